@@ -128,3 +128,337 @@ def d21_support_rank(spark, sf_dir):
 
     qa = qa_view(spark, sf_dir, labels=False)
     return qa.select("dataset", "entry_id", retrieval_rank(qa).cast("bigint").alias("rank"))
+
+
+# ---------------------------------------------------------------- reports ----------
+
+_SUMMARY_KEYS = ["EM", "F1", "jaccard", "tfidf_cos", "jsd", "SupportGoldInContexts", "CoverageF1",
+                 "hit@1", "hit@5", "MRR", "ndcg@3", "first_support_rank"]
+_SUMMARY_METRICS = ["em", "f1", "jaccard", "tfidf_cos", "jsd", "support_gold", "coverage_f1",
+                    "hit@1", "hit@5", "mrr", "ndcg@3", "first_support_rank"]
+
+
+def _summary_source_sql() -> str:
+    ex = O.metric_exprs((1, 3, 5))
+    sel = ", ".join(f"{ex[k]} AS \"{k}\"" for k in _SUMMARY_KEYS)
+    return f"scored AS (SELECT dataset, entry_id, {sel} FROM prep),\nlm AS (UNPIVOT scored ON {', '.join(chr(34) + k + chr(34) for k in _SUMMARY_KEYS)} INTO NAME metric VALUE value)"
+
+
+@register(
+    "e01_summary",
+    O.with_qa(
+        "SELECT dataset, metric, round(avg(value), 6) AS mean, count(value) AS n FROM lm GROUP BY dataset, metric",
+        O.PREP_CTE, _summary_source_sql(),
+    ),
+)
+def e01_summary(spark, sf_dir):
+    from ..operators.report import summarise
+
+    qa = qa_view(spark, sf_dir, labels=False)
+    scored, keys = score_columns(qa, _SUMMARY_METRICS, [1, 3, 5])
+    s = summarise(scored, keys)
+    return s.select("dataset", "metric", F.round("mean", 6).alias("mean"), "n")
+
+
+@register(
+    "e02_overall",
+    O.with_qa(
+        "SELECT CASE WHEN grouping(dataset) = 1 THEN '__ALL__' ELSE dataset END AS dataset, metric, "
+        "round(avg(value), 6) AS mean, count(value) AS n FROM lm GROUP BY GROUPING SETS ((dataset, metric), (metric))",
+        O.PREP_CTE, _summary_source_sql(),
+    ),
+)
+def e02_overall(spark, sf_dir):
+    from ..operators.report import summarise_with_overall
+
+    qa = qa_view(spark, sf_dir, labels=False)
+    scored, keys = score_columns(qa, _SUMMARY_METRICS, [1, 3, 5])
+    s = summarise_with_overall(scored, keys)
+    return s.select("dataset", "metric", F.round("mean", 6).alias("mean"), "n")
+
+
+# ---------------------------------------------------------------- samplers ---------
+from ..operators import sampling as S  # noqa: E402
+
+SAMPLE_N = 20
+AS_OF = "2024-01-03 00:00:00"
+
+
+def _rank_sql(select_from: str, order: str, n: int, part: str = "dataset") -> str:
+    return (f"SELECT dataset, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {order}) AS rn "
+            f"FROM {select_from}) WHERE rn <= {n}")
+
+
+def _sampler_query(name, method, params, sql, view_kw=None, as_of=None):
+    def fn(spark, sf_dir):
+        qa = qa_view(spark, sf_dir, **(view_kw or {}))
+        out, _audit = S.run_sampler(qa, method, params, as_of=as_of)
+        return out.select("dataset", "entry_id")
+
+    REGISTRY[name] = (fn, sql)
+
+
+_sampler_query("b01_no_sampling", "no_sampling", {}, O.with_qa("SELECT dataset, entry_id FROM qa"))
+_sampler_query(
+    "b02_uniform", "uniform_random", {"n": SAMPLE_N},
+    O.with_qa(_rank_sql("qa", f"{O.u(42, 'pick', 'entry_id')}, entry_id", SAMPLE_N)),
+)
+
+
+def _strat_sql(n: int, allocation: str, min_per: int = 0, vf: str | None = None) -> str:
+    qtok = f"len({O.sampler_tokens('Question')})::DOUBLE"
+    val = qtok if vf in (None, "length") else f"coalesce(CAST({vf} AS DOUBLE), {qtok})"
+    if allocation == "equal":
+        alloc = (f"least(Nh, (CAST(floor({n} / k) AS BIGINT)) + CASE WHEN (row_number() OVER (PARTITION BY dataset ORDER BY first, stratum) - 1) "
+                 f"< {n} - CAST(floor({n} / k) AS BIGINT) * k THEN 1 ELSE 0 END)")
+    elif allocation == "neyman":
+        alloc = f"least(Nh, CAST(round_even({float(n)} * (wgt / CASE WHEN tot = 0 THEN 1.0 ELSE tot END), 0) AS BIGINT))"
+    else:
+        alloc = f"least(Nh, CAST(round_even({float(n)} * (Nh / N), 0) AS BIGINT))"
+    ctes = [
+        f"rows AS (SELECT dataset, entry_id, coalesce(CAST(topic AS VARCHAR), 'None') || '||' || coalesce(CAST(answer_type AS VARCHAR), 'None') AS stratum, "
+        f"{O.u(42, 'shuffle', 'entry_id')} AS u0, {val} AS val, {O.u(42, 'stratum', 'entry_id')} AS u2 FROM qa)",
+        "st AS (SELECT dataset, stratum, count(*) AS Nh, min(u0) AS first, stddev_samp(val) AS sd FROM rows GROUP BY dataset, stratum)",
+        "st1 AS (SELECT *, sum(Nh) OVER (PARTITION BY dataset) AS N, count(*) OVER (PARTITION BY dataset) AS k, "
+        "greatest(Nh, 1) * (CASE WHEN Nh <= 1 THEN 1.0 WHEN coalesce(sd, 0) = 0 THEN 1.0 ELSE sd END) AS wgt FROM st)",
+        "st2 AS (SELECT *, sum(wgt) OVER (PARTITION BY dataset) AS tot FROM st1)",
+        f"st3 AS (SELECT *, {alloc} AS alloc FROM st2)",
+        f"st4 AS (SELECT *, least(greatest(alloc, {max(min_per, 0)}), Nh) AS fl FROM st3)",
+        f"st5 AS (SELECT *, alloc - fl AS frac, Nh - fl AS cap, greatest({n} - sum(fl) OVER (PARTITION BY dataset), 0) AS R, "
+        "row_number() OVER (PARTITION BY dataset ORDER BY alloc - fl DESC, stratum DESC) AS srank FROM st4)",
+        "slots AS (SELECT dataset, stratum, srank, R, unnest(range(1, CAST(least(cap, R) AS BIGINT) + 1)) AS j FROM st5)",
+        "ex AS (SELECT dataset, stratum, count(*) AS extra FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY j, srank) AS o FROM slots) WHERE o <= R GROUP BY dataset, stratum)",
+        f"m AS (SELECT st5.dataset, st5.stratum, CASE WHEN N <= {n} THEN Nh ELSE fl + coalesce(extra, 0) END AS m FROM st5 LEFT JOIN ex USING (dataset, stratum))",
+    ]
+    body = ("SELECT r.dataset, r.entry_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset, stratum ORDER BY u2, entry_id) AS rh FROM rows) r "
+            "JOIN m USING (dataset, stratum) WHERE r.rh <= m.m")
+    return O.with_qa(body, *ctes)
+
+
+_sampler_query("b03a_stratified_proportional", "stratified", {"n": 30}, _strat_sql(30, "proportional"))
+_sampler_query("b03b_stratified_equal", "stratified", {"n": 30, "allocation": "equal"}, _strat_sql(30, "equal"))
+_sampler_query(
+    "b03c_stratified_neyman", "stratified", {"n": 30, "allocation": "neyman", "variability_field": "difficulty"},
+    _strat_sql(30, "neyman", vf="difficulty"),
+)
+_sampler_query(
+    "b03d_stratified_min_floor", "stratified", {"n": 60, "min_per_stratum": 2}, _strat_sql(60, "proportional", min_per=2),
+)
+
+_IMP_SQL = O.with_qa(
+    _rank_sql("k", "key, entry_id", SAMPLE_N),
+    "r AS (SELECT dataset, entry_id, CASE WHEN isnan(coalesce(weight, 0.0)) THEN 0.0 ELSE greatest(coalesce(weight, 0.0), 0.0) END AS w FROM qa)",
+    "s AS (SELECT dataset, sum(w) AS wsum, count(*) AS N FROM r GROUP BY dataset)",
+    "r2 AS (SELECT r.*, s.wsum, s.N, least((w / wsum + 1e-09) / (1.0 + N * 1e-09), (1.0 / N) * 5.0) AS p3 FROM r JOIN s USING (dataset))",
+    "s3 AS (SELECT dataset, sum(p3) AS S3 FROM r2 GROUP BY dataset)",
+    f"k AS (SELECT r2.dataset, entry_id, CASE WHEN wsum > 0 THEN -ln({O.u(42, 'es', 'entry_id')}) / greatest(p3 / S3, 1e-12) "
+    f"ELSE {O.u(42, 'pick', 'entry_id')} END AS key FROM r2 JOIN s3 USING (dataset))",
+)
+_sampler_query("b05_importance_weighted", "importance_weighted", {"n": SAMPLE_N}, _IMP_SQL)
+
+
+def _al_sql(mode: str) -> str:
+    ps = "list_transform(probs, lambda x: greatest(1e-12, least(1 - 1e-12, x)))"
+    pn = f"list_transform({ps}, lambda x: x / list_sum({ps}))"
+    ok = "(probs IS NOT NULL AND len(probs) >= 2)"
+    qlen = f"len({O.sampler_tokens('Question')})::DOUBLE"
+    if mode == "entropy":
+        sc = f"CASE WHEN {ok} THEN -list_sum(list_transform({pn}, lambda x: greatest(1e-12, x) * ln(greatest(1e-12, x)))) END"
+    elif mode == "margin":
+        srt = f"list_sort({pn}, 'DESC')"
+        sc = f"CASE WHEN {ok} THEN 1.0 - ({srt}[1] - {srt}[2]) END"
+    else:
+        vals = "list_transform(map_values(MAP {'a': CAST(label % 2 AS VARCHAR), 'b': CAST(quality AS VARCHAR), 'c': CAST(toxic AS VARCHAR)}), lambda x: coalesce(x, chr(0) || 'None'))"
+        top = f"list_max(list_transform(list_distinct({vals}), lambda d: len(list_filter({vals}, lambda x: x = d))))"
+        sc = f"1.0 - {top} / len({vals})"
+    return O.with_qa(
+        _rank_sql("sc", f"score DESC, {O.u(42, 'shuffle', 'entry_id')}, entry_id", SAMPLE_N),
+        f"sc AS (SELECT dataset, entry_id, coalesce({sc}, {qlen}) AS score FROM qa)",
+    )
+
+
+for _mode, _key in (("entropy", "b06a_active_entropy"), ("margin", "b06b_active_margin"), ("disagreement", "b06c_active_disagreement")):
+    _sampler_query(_key, "active_learning", {"n": SAMPLE_N, "mode": _mode}, _al_sql(_mode), view_kw={"embeddings": True})
+
+
+def _diff_sql(hard_frac: float) -> str:
+    qt = O.sampler_tokens("Question")
+    ents = (f"len(list_filter(regexp_split_to_array(coalesce(Question, ''), '{O.WS_RUN}'), lambda t: t <> '' AND "
+            "upper(substr(t, 1, 1)) = substr(t, 1, 1) AND lower(substr(t, 1, 1)) <> substr(t, 1, 1)))")
+    ct = O.sampler_tokens("CASE WHEN RetrievedContexts IS NOT NULL THEN array_to_string(RetrievedContexts, ' ') ELSE '' END")
+
+    def jac(a, b):
+        da, db = f"list_distinct({a})", f"list_distinct({b})"
+        return (f"(CASE WHEN len({da}) = 0 OR len({db}) = 0 THEN 0.0 ELSE len(list_intersect({da}, {db}))::DOUBLE / "
+                f"len(list_distinct(list_concat({da}, {db}))) END)")
+
+    score = f"coalesce(difficulty, 1.0 * len({qt}) + 0.5 * {ents} - 1.0 * greatest({jac(qt, '[]::VARCHAR[]')}, {jac(qt, ct)}))"
+    sc = f"sc AS (SELECT dataset, entry_id, {score} AS score FROM qa)"
+    order = f"score DESC, {O.u(42, 'shuffle', 'entry_id')}, entry_id"
+    if hard_frac >= 1.0:
+        return O.with_qa(_rank_sql("sc", order, SAMPLE_N), sc)
+    k_hard = int(round(SAMPLE_N * hard_frac))
+    hr = f"hr AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY {order}) AS h FROM sc)"
+    order2 = f"CASE WHEN h <= {k_hard} THEN 0 ELSE 1 END, CASE WHEN h <= {k_hard} THEN h END, {O.u(42, 'rest', 'entry_id')}, entry_id"
+    return O.with_qa(_rank_sql("hr", order2, SAMPLE_N), sc, hr)
+
+
+_sampler_query("b07_difficulty_aware", "difficulty_aware", {"n": SAMPLE_N}, _diff_sql(1.0))
+_sampler_query("b07b_difficulty_hard_frac", "difficulty_aware", {"n": SAMPLE_N, "hard_frac": 0.5}, _diff_sql(0.5))
+
+_sampler_query(
+    "b08_temporal_window", "temporal_recent", {"n": SAMPLE_N, "days": 1},
+    O.with_qa(_rank_sql(
+        "qa", f"CASE WHEN date >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY THEN 0 ELSE 1 END, {O.u(42, 'pick', 'entry_id')}, entry_id",
+        SAMPLE_N)),
+    view_kw={"events": True}, as_of=AS_OF,
+)
+_sampler_query(
+    "b08a_temporal_decay", "temporal_recent", {"n": SAMPLE_N, "mode": "decay", "half_life_days": 1},
+    O.with_qa(
+        _rank_sql("k", "key, entry_id", SAMPLE_N),
+        f"w AS (SELECT dataset, entry_id, CASE WHEN date IS NULL THEN 0.1 ELSE exp(-{__import__('math').log(2)!r} * "
+        f"greatest(0.0, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(date)) / 1000000.0 / 86400.0) / 1.0) END AS w FROM qa)",
+        "t AS (SELECT dataset, sum(w) AS T FROM w GROUP BY dataset)",
+        f"k AS (SELECT w.dataset, entry_id, -ln({O.u(42, 'es', 'entry_id')}) / greatest(w / CASE WHEN T = 0 THEN 1.0 ELSE T END, 1e-12) AS key FROM w JOIN t USING (dataset))",
+    ),
+    view_kw={"events": True}, as_of=AS_OF,
+)
+_sampler_query(
+    "b09_unanswerable_mix", "unanswerable_mix", {"n": SAMPLE_N},
+    O.with_qa(
+        "SELECT dataset, entry_id FROM rk JOIN st USING (dataset) WHERE CASE WHEN flag THEN rf <= wpos + fill ELSE rf <= wneg END",
+        f"rk AS (SELECT dataset, entry_id, is_unanswerable AS flag, row_number() OVER (PARTITION BY dataset, is_unanswerable "
+        f"ORDER BY {O.u(42, 'pick', 'entry_id')}, entry_id) AS rf FROM qa)",
+        "st0 AS (SELECT dataset, sum(CASE WHEN is_unanswerable THEN 1 ELSE 0 END) AS npos, sum(CASE WHEN is_unanswerable THEN 0 ELSE 1 END) AS nneg FROM qa GROUP BY dataset)",
+        f"st1 AS (SELECT *, least(npos, {int(round(SAMPLE_N * 0.2))}) AS wpos FROM st0)",
+        f"st2 AS (SELECT *, least(nneg, {SAMPLE_N} - wpos) AS wneg FROM st1)",
+        f"st AS (SELECT *, greatest({SAMPLE_N} - wpos - wneg, 0) AS fill FROM st2)",
+    ),
+)
+
+
+@register(
+    "b10_weighted_es",
+    O.with_qa(
+        _rank_sql("k", "key, entry_id", SAMPLE_N),
+        "t AS (SELECT dataset, sum(CAST(n_chars AS DOUBLE)) AS T FROM documents d JOIN (SELECT DISTINCT dataset FROM qa) q ON q.dataset = d.lang GROUP BY dataset)",
+        f"k AS (SELECT qa.dataset, entry_id, -ln({O.u(7, 'es', 'entry_id')}) / greatest(CAST(d.n_chars AS DOUBLE) / T, 1e-12) AS key "
+        "FROM qa JOIN documents d ON CAST(d.doc_id AS VARCHAR) = qa.entry_id JOIN t USING (dataset))",
+    ),
+)
+def b10_weighted_es(spark, sf_dir):
+    from .fixtures import _read
+
+    qa = qa_view(spark, sf_dir, labels=False)
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("entry_id"), F.col("n_chars").cast("double").alias("w"))
+    return S.weighted_sample(qa.join(docs, "entry_id"), F.col("w"), SAMPLE_N, 7).select("dataset", "entry_id")
+
+
+@register(
+    "b11_audit",
+    O.with_qa("SELECT dataset, 'uniform_random' AS method, CAST(200 AS BIGINT) AS requested_n, "
+              "CAST(least(count(*), 200) AS BIGINT) AS actual_n FROM qa GROUP BY dataset"),
+)
+def b11_audit(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    _out, audit = S.run_sampler(qa, "uniform_random", {"n": 200})
+    return audit.select("dataset", "method", "requested_n", "actual_n")
+
+
+@register(
+    "b13_sampler_tokens",
+    O.with_qa(f"SELECT dataset, entry_id, CAST(len({O.sampler_tokens('Question')}) AS BIGINT) AS n_tok, "
+              f"array_to_string({O.sampler_tokens('Question')}, '|') AS toks FROM qa"),
+)
+def b13_sampler_tokens(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    t = TX.sampler_tokens("Question")
+    return qa.select("dataset", "entry_id", F.size(t).cast("bigint").alias("n_tok"), F.array_join(t, "|").alias("toks"))
+
+
+_TFIDF_CTES = (
+    f"tk AS (SELECT dataset, entry_id, {O.sampler_tokens('Question')} AS t FROM qa)",
+    "ex AS (SELECT dataset, entry_id, unnest(t) AS term FROM tk)",
+    "tf AS (SELECT dataset, entry_id, term, count(*) AS c FROM ex GROUP BY ALL)",
+    "nd AS (SELECT dataset, count(*) AS N FROM qa GROUP BY dataset)",
+    "dfq AS (SELECT dataset, term, count(*) AS dfreq FROM tf GROUP BY ALL)",
+    "post AS (SELECT tf.dataset, tf.entry_id, tf.term, c / greatest(len(tk.t), 1)::DOUBLE * (ln((N + 1.0) / (dfreq + 1.0)) + 1.0) AS w "
+    "FROM tf JOIN tk USING (dataset, entry_id) JOIN dfq USING (dataset, term) JOIN nd USING (dataset))",
+)
+
+
+@register("b14_tfidf_postings", O.with_qa("SELECT dataset, entry_id, term, round(w, 6) AS w FROM post", *_TFIDF_CTES))
+def b14_tfidf_postings(spark, sf_dir):
+    from ..operators.vectors import tfidf_postings
+
+    qa = qa_view(spark, sf_dir, labels=False)
+    p = tfidf_postings(qa, F.col("Question"))
+    return p.select("dataset", "entry_id", "term", F.round("w", 6).alias("w"))
+
+
+@register(
+    "b15_sparse_cosine",
+    O.with_qa(
+        "SELECT p.dataset, p.entry_id, round(CASE WHEN nr.nrm = 0 OR c.cnorm = 0 THEN 0.0 ELSE coalesce(d.dot, 0.0) / (nr.nrm * c.cnorm) END, 6) AS cos "
+        "FROM (SELECT DISTINCT dataset, entry_id FROM qa) p JOIN nr USING (dataset, entry_id) JOIN cn c USING (dataset) "
+        "LEFT JOIN d USING (dataset, entry_id)",
+        *_TFIDF_CTES,
+        f"ctr AS (SELECT dataset, arg_min(entry_id, {O.u(42, 'first', 'entry_id')}) AS cid FROM qa GROUP BY dataset)",
+        "nr AS (SELECT q.dataset, q.entry_id, coalesce(sqrt(sum(w * w)), 0.0) AS nrm FROM qa q LEFT JOIN post USING (dataset, entry_id) GROUP BY ALL)",
+        "cp AS (SELECT post.dataset, term, w AS wc FROM post JOIN ctr ON post.dataset = ctr.dataset AND post.entry_id = ctr.cid)",
+        "cn AS (SELECT ctr.dataset, nr.nrm AS cnorm FROM ctr JOIN nr ON nr.dataset = ctr.dataset AND nr.entry_id = ctr.cid)",
+        "d AS (SELECT post.dataset, post.entry_id, sum(w * wc) AS dot FROM post JOIN cp USING (dataset, term) GROUP BY ALL)",
+    ),
+)
+def b15_sparse_cosine(spark, sf_dir):
+    from ..functions.hashing import u as uu
+    from ..operators.vectors import norms, tfidf_postings
+
+    qa = qa_view(spark, sf_dir, labels=False)
+    post = tfidf_postings(qa, F.col("Question"))
+    nrm = norms(post)
+    ctr = qa.groupBy("dataset").agg(F.min_by("entry_id", uu(42, "first", "entry_id")).alias("cid"))
+    cp = post.join(ctr, (post.dataset == ctr.dataset) & (post.entry_id == ctr.cid)).select(post.dataset, "term", F.col("w").alias("wc"))
+    cn = nrm.join(ctr, (nrm.dataset == ctr.dataset) & (nrm.entry_id == ctr.cid)).select(nrm.dataset, F.col("norm").alias("cnorm"))
+    dots = post.join(cp, ["dataset", "term"]).groupBy("dataset", "entry_id").agg(F.sum(F.col("w") * F.col("wc")).alias("dot"))
+    base = qa.select("dataset", "entry_id").join(nrm, ["dataset", "entry_id"], "left").join(cn, "dataset").join(dots, ["dataset", "entry_id"], "left")
+    nr = F.coalesce(F.col("norm"), F.lit(0.0))
+    cos = F.when((nr == 0) | (F.col("cnorm") == 0), 0.0).otherwise(F.coalesce(F.col("dot"), F.lit(0.0)) / (nr * F.col("cnorm")))
+    return base.select("dataset", "entry_id", F.round(cos, 6).alias("cos"))
+
+
+@register(
+    "b17_embedding_validator",
+    O.with_qa("SELECT dataset, CAST(sum(CASE WHEN embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x))) "
+              "THEN 1 ELSE 0 END) AS BIGINT) AS n_valid, bool_and(embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x)))) AS all_valid FROM qa GROUP BY dataset"),
+)
+def b17_embedding_validator(spark, sf_dir):
+    from ..operators.vectors import embedding_valid
+
+    qa = qa_view(spark, sf_dir, labels=False, embeddings=True)
+    ok = embedding_valid(F.col("embedding"))
+    return qa.groupBy("dataset").agg(F.sum(F.when(ok, 1).otherwise(0)).cast("bigint").alias("n_valid"), F.bool_and(ok).alias("all_valid"))
+
+
+def b04_kcenter(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False, embeddings=True)
+    out, _ = S.run_sampler(qa, "diversity_kcenter", {"n": 8})
+    return out.select("dataset", "entry_id")
+
+
+def b04b_kcenter_tfidf(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    out, _ = S.run_sampler(qa, "diversity_kcenter", {"n": 8})
+    return out.select("dataset", "entry_id")
+
+
+def b04a_avg_pairwise_cosine(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False, embeddings=True)
+    _out, audit = S.run_sampler(qa, "diversity_kcenter", {"n": 8})
+    return audit.select("dataset", "actual_n", "avg_pairwise_cosine", "note")
+
+
+REGISTRY["b04_kcenter"] = (b04_kcenter, None)
+REGISTRY["b04b_kcenter_tfidf"] = (b04b_kcenter_tfidf, None)
+REGISTRY["b04a_avg_pairwise_cosine"] = (b04a_avg_pairwise_cosine, None)
