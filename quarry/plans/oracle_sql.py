@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from ..functions.text import WS_RUN
+from ..functions.text import WS_CLASS, WS_RUN  # noqa: F401
 
 PUNCT_RE = "[!-/:-@\\[-`{-~]"
 NON_ALNUM_RUN = "[^\\p{L}\\p{N}]+"

@@ -462,3 +462,205 @@ def b04a_avg_pairwise_cosine(spark, sf_dir):
 REGISTRY["b04_kcenter"] = (b04_kcenter, None)
 REGISTRY["b04b_kcenter_tfidf"] = (b04b_kcenter_tfidf, None)
 REGISTRY["b04a_avg_pairwise_cosine"] = (b04a_avg_pairwise_cosine, None)
+
+
+# ---------------------------------------------------------------- sources / prep ----
+from ..operators import prep as PR  # noqa: E402
+from ..sources import readers as RD  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from .fixtures import _read, conversation_pairs  # noqa: E402
+
+WS_SQL_STRIP = f"regexp_replace(%s, '^{O.WS_CLASS}+|{O.WS_CLASS}+$', '', 'g')"
+
+
+def _conversation_docs(spark, sf_dir) -> str:
+    """Write one JSON document per conversation (three shapes) and return the folder."""
+    c = _read(spark, sf_dir, "conversations")
+    rows = c.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+    )
+    items = F.transform("turns", lambda t: F.struct(t["text"].alias("question"), t["role"].alias("Role"), t["turn"].alias("turn")))
+    m3 = F.pmod(F.col("conv_id"), F.lit(3))
+    doc = (
+        F.when(m3 == 0, F.to_json(items))
+        .when(m3 == 1, F.to_json(F.struct(items.alias("data"))))
+        .otherwise(F.to_json(F.create_map(F.concat(F.lit("c"), F.pmod(F.col("conv_id"), F.lit(5)).cast("string")), items)))
+    )
+    path = scratch_path(spark, "convdocs")
+    rows.select("conv_id", doc.alias("value")).repartition("conv_id").write.partitionBy("conv_id").text(path)
+    return path
+
+
+@register(
+    "a01_read_json",
+    "SELECT CASE WHEN conv_id % 3 = 2 THEN 'c' || CAST(conv_id % 5 AS VARCHAR) ELSE 'uploaded' END AS dataset, "
+    "CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS pos, coalesce(text, '') AS Question, "
+    "turn, role FROM conversations",
+)
+def a01_read_json(spark, sf_dir):
+    path = _conversation_docs(spark, sf_dir)
+    df = RD.read_json(spark, path)
+    return df.select("dataset", "pos", "Question", F.try_variant_get("extra", "$.turn", "bigint").alias("turn"),
+                     F.try_variant_get("extra", "$.Role", "string").alias("role"))
+
+
+def a03_read_many(spark, sf_dir):
+    path = _conversation_docs(spark, sf_dir)
+    files = sorted(r[0] for r in spark.read.text(path).select(F.col("_metadata.file_path")).distinct().collect())
+    df = RD.read_many(spark, files)
+    return df.select("dataset", "pos", "Question")
+
+
+REGISTRY["a03_read_many"] = (a03_read_many, None)
+
+
+@register(
+    "a02_read_jsonl",
+    O.with_qa("SELECT 'uploaded' AS dataset, entry_id, Question, Context, Response, Predicted, "
+              "array_to_string(RetrievedContexts, '||') AS ctx_joined, CAST(len(RetrievedContexts) AS INTEGER) AS n_ctx, GoldDocId, "
+              "array_to_string(RetrievedDocIds, ',') AS doc_ids, topic FROM qa"),
+)
+def a02_read_jsonl(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    raw = qa.select(
+        F.col("entry_id").alias("id"), F.col("Question").alias("query"), F.col("Context").alias("passage"),
+        F.col("Response").alias("ANSWER"), F.col("Predicted").alias("prediction"), F.col("RetrievedContexts").alias("contexts"),
+        F.col("RetrievedDocIds").alias("retrieved_docs"), F.col("GoldDocId").alias("gold_doc_id"), "topic",
+    )
+    path = scratch_path(spark, "jsonl")
+    raw.write.json(path)
+    df = RD.read_jsonl(spark, path)
+    return df.select("dataset", "entry_id", "Question", "Context", "Response", "Predicted",
+                     F.array_join("RetrievedContexts", "||").alias("ctx_joined"), F.size("RetrievedContexts").alias("n_ctx"),
+                     "GoldDocId", F.array_join("RetrievedDocIds", ",").alias("doc_ids"),
+                     F.try_variant_get("extra", "$.topic", "string").alias("topic"))
+
+
+_PAIRS_SQL = ("SELECT 'conversations' AS dataset, CAST(u.conv_id AS VARCHAR) || '-' || CAST(u.turn AS VARCHAR) AS entry_id, "
+              "u.conv_id * 10000 + u.turn AS pos, u.text AS Question, a.text AS Response "
+              "FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 "
+              "WHERE u.role = 'user' AND a.role = 'assistant'")
+
+
+@register("a04_read_table", _PAIRS_SQL)
+def a04_read_table(spark, sf_dir):
+    df = RD.read_table(conversation_pairs(spark, sf_dir), dataset_col="dataset", id_col="id", order_col="pos")
+    return df.select("dataset", "entry_id", "pos", "Question", "Response")
+
+
+@register("a05_canonical_keys", O.with_qa("SELECT dataset, entry_id, Question, Response, Predicted, Context FROM qa"))
+def a05_canonical_keys(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    odd = qa.select(
+        "dataset", "entry_id", "pos", F.upper("Question").alias("query"), F.col("Question").alias("Question"),
+        F.col("Response").alias("Ground-Truth"), F.col("Predicted").alias(" OUTPUT "), F.col("Context").alias("passage"),
+    )
+    df = RD.read_table(odd)
+    return df.select("dataset", "entry_id", "Question", "Response", "Predicted", "Context")
+
+
+@register(
+    "a06_normalize_rows",
+    O.with_qa("SELECT dataset, entry_id, substr(Context, 1, 300) AS Context, "
+              "array_to_string(list_transform(CASE WHEN pos % 2 = 1 THEN [Question, NULL] ELSE RetrievedContexts END, lambda x: coalesce(x, '')), '||') AS ctx_joined "
+              "FROM qa"),
+)
+def a06_normalize_rows(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    qa = qa.withColumn("RetrievedContexts", F.when(F.col("pos") % 2 == 1, F.array(F.col("Question"), F.lit(None).cast("string")))
+                       .otherwise(F.col("RetrievedContexts")))
+    df = PR.normalize_rows(qa, max_context_chars=300)
+    return df.select("dataset", "entry_id", "Context", F.array_join("RetrievedContexts", "||").alias("ctx_joined"))
+
+
+@register("a07_keep_only", O.with_qa("SELECT dataset, entry_id, pos, Question, Response FROM qa"))
+def a07_keep_only(spark, sf_dir):
+    return PR.keep_only(qa_view(spark, sf_dir, labels=False), ["Question", "Response", "NotThere"])
+
+
+_BLANKED = ("CASE WHEN pos % 7 = 0 THEN ' ' || chr(160) || ' ' WHEN pos % 7 = 1 THEN ' ' ELSE Question END AS Question, "
+            "CASE WHEN pos % 7 = 0 THEN '' ELSE Response END AS Response, CASE WHEN pos % 7 IN (0, 1) THEN NULL ELSE Predicted END AS Predicted")
+
+
+@register(
+    "a08_content_filter",
+    O.with_qa(f"SELECT dataset, entry_id FROM (SELECT dataset, entry_id, {_BLANKED} FROM qa) "
+              f"WHERE coalesce(regexp_matches(Question, '[^{O.WS_CLASS[1:]}'), false) OR coalesce(regexp_matches(Response, '[^{O.WS_CLASS[1:]}'), false) "
+              f"OR coalesce(regexp_matches(Predicted, '[^{O.WS_CLASS[1:]}'), false)"),
+)
+def a08_content_filter(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    m7 = F.col("pos") % 7
+    qa = qa.select(
+        "dataset", "entry_id", "pos",
+        F.when(m7 == 0, F.lit("   ")).when(m7 == 1, F.lit(" ")).otherwise(F.col("Question")).alias("Question"),
+        F.when(m7 == 0, F.lit("")).otherwise(F.col("Response")).alias("Response"),
+        F.when(m7.isin(0, 1), F.lit(None).cast("string")).otherwise(F.col("Predicted")).alias("Predicted"),
+    )
+    return PR.content_filter(qa).select("dataset", "entry_id")
+
+
+@register(
+    "a09_dedupe",
+    O.with_qa("SELECT dataset, entry_id FROM (SELECT dataset, entry_id, row_number() OVER (PARTITION BY dataset, "
+              f"lower({WS_SQL_STRIP % 'coalesce(Question, \'\')'}), lower(substr(coalesce(Context, ''), 1, 256)) ORDER BY pos, entry_id) AS rn FROM qa) WHERE rn = 1"),
+)
+def a09_dedupe(spark, sf_dir):
+    return PR.dedupe(qa_view(spark, sf_dir, labels=False)).select("dataset", "entry_id")
+
+
+@register(
+    "a10_cap",
+    O.with_qa("SELECT dataset, entry_id FROM (SELECT dataset, entry_id, row_number() OVER (PARTITION BY dataset ORDER BY pos, entry_id) AS rn FROM qa) WHERE rn <= 50"),
+)
+def a10_cap(spark, sf_dir):
+    return PR.cap_per_dataset(qa_view(spark, sf_dir, labels=False), 50).select("dataset", "entry_id")
+
+
+@register(
+    "a11_nested_field",
+    "SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, coalesce(json_extract_string(props, '$.missing.x'), 'none') AS missing FROM events",
+)
+def a11_nested_field(spark, sf_dir):
+    ev = _read(spark, sf_dir, "events")
+    return ev.select("event_id", PR.get_path("props", "k", "double").alias("k"),
+                     PR.get_path("props", "missing.x", "string", "none").alias("missing"))
+
+
+@register(
+    "a12_preview",
+    O.with_qa("SELECT dataset, entry_id, CAST(No AS INTEGER) AS No, Question, Response, Predicted FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY pos, entry_id) AS No FROM qa) WHERE No <= 25"),
+)
+def a12_preview(spark, sf_dir):
+    p = PR.preview(qa_view(spark, sf_dir, labels=False))
+    return p.select("dataset", "entry_id", "No", "Question", "Response", "Predicted")
+
+
+@register(
+    "a13_jsonl_sink",
+    O.with_qa(
+        "SELECT dataset, count(*) AS n, sum(length(Question)) AS q_chars FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY "
+        f"{O.u(42, 'pick', 'entry_id')}, entry_id) AS rn FROM qa) WHERE rn <= {SAMPLE_N} GROUP BY dataset"
+    ),
+)
+def a13_jsonl_sink(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    out, _ = S.run_sampler(qa, "uniform_random", {"n": SAMPLE_N})
+    path = SK.write_jsonl(out, scratch_path(spark, "sampled"))
+    back = spark.read.json(path)
+    return back.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("Question")).alias("q_chars"))
+
+
+@register(
+    "a14_csv_sink",
+    O.with_qa(
+        "SELECT dataset, metric, round(avg(value), 6) AS mean, count(value) AS n FROM lm GROUP BY dataset, metric",
+        O.PREP_CTE, _summary_source_sql(),
+    ),
+)
+def a14_csv_sink(spark, sf_dir):
+    summ = e01_summary(spark, sf_dir)
+    path = SK.write_csv(summ, scratch_path(spark, "summary_csv"))
+    back = spark.read.option("header", True).csv(path)
+    return back.select("dataset", "metric", F.round(F.col("mean").cast("double"), 6).alias("mean"), F.col("n").cast("bigint").alias("n"))
