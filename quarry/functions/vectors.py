@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from typing import Callable
+from typing import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,15 +43,48 @@ def hashed_tf(text, dim: int = DEFAULT_DIM) -> Column:
 Embedder = Callable[[Column], Column]
 
 
+def _hashed_tf_udf(dim: int):
+    """The same hashed term counts as ``hashed_tf``, computed per Arrow batch with numpy
+    (one md5 per distinct token per batch)."""
+    import hashlib
+
+    import numpy as np
+    import regex
+    from pyspark.sql import types as T
+
+    splitter = regex.compile(r"[^\p{L}\p{N}]+")
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            cache: dict[str, int] = {}
+            out = []
+            for text in s:
+                ids = []
+                for tok in splitter.sub(" ", "" if text is None else str(text)).lower().split(" "):
+                    if not tok:
+                        continue
+                    b = cache.get(tok)
+                    if b is None:
+                        b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
+                        cache[tok] = b
+                    ids.append(b)
+                out.append(np.bincount(np.asarray(ids, dtype=np.int64), minlength=dim).astype(float)
+                           if ids else np.zeros(dim))
+            yield pd.Series(out)
+
+    return _embed
+
+
 def default_embedder(dim: int = DEFAULT_DIM) -> Embedder:
-    return lambda c: hashed_tf(c, dim)
+    """Hashed term counts in an Arrow-batched UDF (the embedder slot real models use);
+    ``hashed_tf`` is the equivalent pure-JVM expression."""
+    udf = _hashed_tf_udf(dim)
+    return lambda c: udf(c)
 
 
 def pandas_embedder(factory: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Embedder:
     """Wrap ``factory() -> encode(list[str]) -> list[vector]`` as an iterator pandas UDF."""
-    from typing import Iterator
-
-    import pandas as pd
     from pyspark.sql import types as T
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -187,3 +187,19 @@ def metric_exprs(ks=(1, 3, 5, 10)) -> dict[str, str]:
             f"/ {den}[least({k}, {n_list}) + 1]"
         )
     return e
+
+
+def hashed_vec(x: str, dim: int = 64) -> str:
+    b = f"list_transform({sampler_tokens(x)}, lambda t: CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % {dim})"
+    return f"list_transform(range({dim}), lambda i: len(list_filter({b}, lambda b: b = i))::DOUBLE)"
+
+
+def cos(a: str, b: str) -> str:
+    den = f"sqrt(list_sum(list_transform({a}, lambda x: x * x)) * list_sum(list_transform({b}, lambda x: x * x)))"
+    return f"(CASE WHEN {den} > 0 THEN list_dot_product({a}, {b}) / {den} ELSE 0.0 END)"
+
+
+def chunks_cte(size: int, name: str = "ch") -> str:
+    return (f"{name} AS (SELECT dataset, entry_id, CAST(chunk_id AS INTEGER) AS chunk_id, substr(Context, chunk_id * {size} + 1, {size}) AS text "
+            f"FROM (SELECT dataset, entry_id, Context, unnest(range(0, CAST((length(Context) - 1) // {size} + 1 AS BIGINT))) AS chunk_id "
+            f"FROM qa WHERE length(coalesce(Context, '')) > 0))")

@@ -664,3 +664,185 @@ def a14_csv_sink(spark, sf_dir):
     path = SK.write_csv(summ, scratch_path(spark, "summary_csv"))
     back = spark.read.option("header", True).csv(path)
     return back.select("dataset", "metric", F.round(F.col("mean").cast("double"), 6).alias("mean"), F.col("n").cast("bigint").alias("n"))
+
+
+# ---------------------------------------------------------------- retrieval --------
+from ..operators import retrieval as RT  # noqa: E402
+from ..functions.vectors import hashed_tf  # noqa: E402
+
+NL2 = "chr(10) || chr(10)"
+PROMPT_SQL = "'User Question: ' || coalesce(Question, '') || " + NL2 + " || 'Relevant Excerpt(s):' || " + NL2 + " || "
+
+
+@register("c01_chunk", O.with_qa("SELECT dataset, entry_id, chunk_id, text FROM ch", O.chunks_cte(100)))
+def c01_chunk(spark, sf_dir):
+    return RT.chunk(qa_view(spark, sf_dir, labels=False), "Context", 100)
+
+
+@register(
+    "c02_embed",
+    O.with_qa(f"SELECT dataset, entry_id, array_to_string(list_transform({O.hashed_vec('Question')}, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS vec FROM qa"),
+)
+def c02_embed(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    v = hashed_tf(F.col("Question"))
+    return qa.select("dataset", "entry_id", F.array_join(F.transform(v, lambda x: x.cast("bigint").cast("string")), ",").alias("vec"))
+
+
+def c03_kmeans(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    ch = RT.embed(RT.chunk(qa, "Context", 100), "text")
+    return RT.kmeans_per_entry(ch, 5)
+
+
+REGISTRY["c03_kmeans"] = (c03_kmeans, None)
+
+_SUMM_CTES = (
+    O.chunks_cte(100),
+    "sm AS (SELECT dataset, entry_id, CAST(chunk_id % 3 AS INTEGER) AS cluster_id, string_agg(text, ' ' ORDER BY chunk_id) AS summary FROM ch GROUP BY ALL)",
+)
+
+
+def _mod3_summaries(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    ch = RT.chunk(qa, "Context", 100)
+    labels = ch.select("entry_id", "chunk_id", (F.col("chunk_id") % 3).alias("cluster_id"))
+    return qa, RT.cluster_summaries(ch, labels)
+
+
+@register("c04_cluster_summaries", O.with_qa("SELECT dataset, entry_id, cluster_id, summary FROM sm", *_SUMM_CTES))
+def c04_cluster_summaries(spark, sf_dir):
+    return _mod3_summaries(spark, sf_dir)[1]
+
+
+_C06_SQL_CTES = (
+    *_SUMM_CTES,
+    f"sc AS (SELECT sm.entry_id, sm.cluster_id, sm.summary, {O.cos(O.hashed_vec('qa.Question'), O.hashed_vec('sm.summary'))} AS sim FROM sm JOIN qa USING (entry_id))",
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY sim DESC, cluster_id) AS rank FROM sc)",
+)
+
+
+@register(
+    "c06_summary_retrieval",
+    O.with_qa("SELECT entry_id, CAST(rank AS INTEGER) AS rank, cluster_id, round(sim, 6) AS sim FROM rk WHERE rank <= 3", *_C06_SQL_CTES),
+)
+def c06_summary_retrieval(spark, sf_dir):
+    qa, summ = _mod3_summaries(spark, sf_dir)
+    summ = RT.embed(summ, "summary", "vec")
+    q = RT.embed(qa.select("entry_id", "Question"), "Question", "qvec").select("entry_id", "qvec")
+    top = RT.top_k_by_similarity(summ.join(q, "entry_id"), F.col("qvec"), F.col("vec"), 3, tie=("cluster_id",))
+    return top.select("entry_id", "rank", "cluster_id", r6(F.col("sim")).alias("sim"))
+
+
+@register(
+    "c13_prompt_assembly",
+    O.with_qa(f"SELECT qa.entry_id, {PROMPT_SQL} coalesce(e.ex, '') AS prompt FROM qa LEFT JOIN "
+              f"(SELECT entry_id, string_agg(summary, {NL2} ORDER BY rank) AS ex FROM rk WHERE rank <= 3 GROUP BY entry_id) e USING (entry_id)",
+              *_C06_SQL_CTES),
+)
+def c13_prompt_assembly(spark, sf_dir):
+    qa, summ = _mod3_summaries(spark, sf_dir)
+    summ = RT.embed(summ, "summary", "vec")
+    q = RT.embed(qa.select("entry_id", "Question"), "Question", "qvec").select("entry_id", "qvec")
+    top = RT.top_k_by_similarity(summ.join(q, "entry_id"), F.col("qvec"), F.col("vec"), 3, tie=("cluster_id",))
+    return RT.excerpts_prompt(qa, top, "summary").select("entry_id", "prompt")
+
+
+_GRAPH_CTES = (
+    O.chunks_cte(400, "cg"),
+    f"cv AS (SELECT entry_id, chunk_id, {O.hashed_vec('text')} AS v FROM cg)",
+    f"pr AS (SELECT a.entry_id, a.chunk_id AS src, b.chunk_id AS dst, {O.cos('a.v', 'b.v')} AS w FROM cv a JOIN cv b ON a.entry_id = b.entry_id AND a.chunk_id < b.chunk_id)",
+)
+
+
+@register(
+    "c07_similarity_graph",
+    O.with_qa("SELECT entry_id, src, dst, round(w, 6) AS weight FROM pr WHERE w > 0.5 UNION ALL "
+              "SELECT entry_id, dst AS src, src AS dst, round(w, 6) AS weight FROM pr WHERE w > 0.5", *_GRAPH_CTES),
+)
+def c07_similarity_graph(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    ch = RT.embed(RT.chunk(qa, "Context", 400), "text")
+    g = RT.similarity_graph(ch, 0.5)
+    return g.select("entry_id", "src", "dst", r6(F.col("weight")).alias("weight"))
+
+
+_RANK_CTES = (
+    O.chunks_cte(100),
+    f"cv AS (SELECT ch.entry_id, ch.chunk_id, ch.text, {O.hashed_vec('ch.text')} AS v FROM ch)",
+    f"qv AS (SELECT entry_id, Question, {O.hashed_vec('Question')} AS qv FROM qa)",
+    f"sc AS (SELECT cv.*, {O.cos('qv.qv', 'cv.v')} AS sim FROM cv JOIN qv USING (entry_id))",
+    "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY sim DESC, chunk_id) AS rank FROM sc) WHERE rank <= 3)",
+    f"nb AS (SELECT t.entry_id, t.rank, c.chunk_id AS nb, c.text AS nt, {O.cos('t.v', 'c.v')} AS w FROM top t JOIN cv c ON c.entry_id = t.entry_id AND c.chunk_id <> t.chunk_id)",
+    "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_id, rank ORDER BY w DESC, nb) AS o FROM nb WHERE w > 0.5) WHERE o = 1)",
+    "ref AS (SELECT top.entry_id, top.rank, top.chunk_id, coalesce(best.nb, top.chunk_id) AS refined_id, coalesce(best.nt, top.text) AS refined_text FROM top LEFT JOIN best USING (entry_id, rank))",
+)
+
+
+def _graph_top(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    ch = RT.embed(RT.chunk(qa, "Context", 100), "text")
+    q = RT.embed(qa.select("entry_id", "Question"), "Question", "qvec").select("entry_id", "qvec")
+    top = RT.top_k_by_similarity(ch.join(q, "entry_id"), F.col("qvec"), F.col("vec"), 3)
+    return qa, ch, top
+
+
+@register("c08_node_ranking", O.with_qa("SELECT entry_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(sim, 6) AS sim FROM top", *_RANK_CTES))
+def c08_node_ranking(spark, sf_dir):
+    _qa, _ch, top = _graph_top(spark, sf_dir)
+    return top.select("entry_id", "rank", "chunk_id", r6(F.col("sim")).alias("sim"))
+
+
+@register("c09_neighbour_refinement", O.with_qa("SELECT entry_id, CAST(rank AS INTEGER) AS rank, chunk_id, refined_id FROM ref", *_RANK_CTES))
+def c09_neighbour_refinement(spark, sf_dir):
+    _qa, ch, top = _graph_top(spark, sf_dir)
+    return RT.refine_with_neighbours(top, ch, 0.5).select("entry_id", "rank", "chunk_id", "refined_id")
+
+
+@register(
+    "c12_graphrag_prompt",
+    O.with_qa(f"SELECT qa.entry_id, {PROMPT_SQL} coalesce(e.ex, '') AS prompt FROM qa LEFT JOIN "
+              f"(SELECT entry_id, string_agg(refined_text, {NL2} ORDER BY rank) AS ex FROM ref GROUP BY entry_id) e USING (entry_id)",
+              *_RANK_CTES),
+)
+def c12_graphrag_prompt(spark, sf_dir):
+    qa, ch, top = _graph_top(spark, sf_dir)
+    ref = RT.refine_with_neighbours(top, ch, 0.5)
+    return RT.excerpts_prompt(qa, ref.select("entry_id", "rank", F.col("refined_text").alias("text")), "text").select("entry_id", "prompt")
+
+
+@register("c10_rag_prompt", O.with_qa(f"SELECT entry_id, {PROMPT_SQL} coalesce(Context, '') AS prompt FROM qa"))
+def c10_rag_prompt(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    return qa.select("entry_id", RT.rag_prompt(F.col("Question"), F.col("Context")).alias("prompt"))
+
+
+def c11_raptor(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    return RT.run_retrieval(qa, "raptor").select("dataset", "entry_id", "Predicted", "GenerationError")
+
+
+def c12b_graphrag_run(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    return RT.run_retrieval(qa, "graphrag").select("dataset", "entry_id", "Predicted", "GenerationError")
+
+
+def c14_generate(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    return RT.run_retrieval(qa, "rag").select("dataset", "entry_id", "Predicted", "GenerationError")
+
+
+REGISTRY["c11_raptor"] = (c11_raptor, None)
+REGISTRY["c12b_graphrag_run"] = (c12b_graphrag_run, None)
+REGISTRY["c14_generate"] = (c14_generate, None)
+
+
+@register(
+    "c16_missing_predictions",
+    O.with_qa("SELECT dataset, count_if(Predicted IS NULL) AS missing_predicted, count(*) AS n FROM "
+              f"(SELECT dataset, {_BLANKED} FROM qa) GROUP BY dataset"),
+)
+def c16_missing_predictions(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    qa = qa.withColumn("Predicted", F.when((F.col("pos") % 7).isin(0, 1), F.lit(None).cast("string")).otherwise(F.col("Predicted")))
+    return RT.missing_predictions(qa)
