@@ -846,3 +846,200 @@ def c16_missing_predictions(spark, sf_dir):
     qa = qa_view(spark, sf_dir, labels=False)
     qa = qa.withColumn("Predicted", F.when((F.col("pos") % 7).isin(0, 1), F.lit(None).cast("string")).otherwise(F.col("Predicted")))
     return RT.missing_predictions(qa)
+
+
+# ---------------------------------------------------------------- more metrics -----
+
+def _metric_sql(keys_exprs: dict[str, str], extra_ctes=()) -> str:
+    sel = ", ".join(f"round({e}, 6) AS \"{safe_name(k)}\"" for k, e in keys_exprs.items())
+    return O.with_qa(f"SELECT dataset, entry_id, {sel} FROM prep2", O.PREP_CTE, *extra_ctes)
+
+
+def _metric_spark(metrics, keys, **kw):
+    def fn(spark, sf_dir):
+        qa = qa_view(spark, sf_dir, labels=False)
+        scored, _ = score_columns(qa, metrics, **kw)
+        return scored.select("dataset", "entry_id", *[r6(F.col(f"`{k}`")).alias(safe_name(k)) for k in keys])
+
+    return fn
+
+
+_FOLD = "translate(%s, 'éóèñçêüäößí', 'ABCDEFGHIJK')"  # code points -> single bytes (fixture alphabet)
+_LEV = (f"CASE WHEN pn = '' AND gn = '' THEN 1.0 ELSE 1.0 - levenshtein({_FOLD % 'pn'}, {_FOLD % 'gn'}) / "
+        "greatest(1, greatest(length(pn), length(gn)))::DOUBLE END")
+REGISTRY["d07_levenshtein"] = (
+    _metric_spark(["levenshtein"], ["levenshtein"]),
+    _metric_sql({"levenshtein": _LEV}, ("prep2 AS (SELECT * FROM prep)",)),
+)
+
+
+def _bleu_sql() -> str:
+    ms = []
+    for n in (1, 2, 3, 4):
+        pg, gg = O.ngrams("pt", n), O.ngrams("gt", n)
+        ms.append(f"coalesce(list_sum(list_transform(list_distinct({pg}), lambda g: least({O.cnt(pg, 'g')}, {O.cnt(gg, 'g')}))), 0)")
+    precs = [f"(CASE WHEN P - {n} + 1 > 0 THEN {m} / (P - {n} + 1)::DOUBLE ELSE 0.0 END)" for n, m in zip((1, 2, 3, 4), ms)]
+    any0 = " OR ".join(f"{p} = 0" for p in precs)
+    geo = "exp((" + " + ".join(f"ln({p})" for p in precs) + ") / 4.0)"
+    return (f"CASE WHEN P = 0 AND G = 0 THEN 1.0 WHEN P = 0 OR G = 0 THEN 0.0 WHEN {any0} THEN 0.0 "
+            f"ELSE (CASE WHEN P > G THEN 1.0 ELSE exp(1.0 - G / P::DOUBLE) END) * {geo} END")
+
+
+REGISTRY["d11_bleu"] = (_metric_spark(["bleu"], ["bleu"]), _metric_sql({"bleu": _bleu_sql()}, ("prep2 AS (SELECT * FROM prep)",)))
+
+
+def _rouge_n_sql(n: int) -> str:
+    pg, gg = O.ngrams("rp", n), O.ngrams("rg", n)
+    ov = f"coalesce(list_sum(list_transform(list_distinct({pg}), lambda g: least({O.cnt(pg, 'g')}, {O.cnt(gg, 'g')}))), 0)"
+    pr = f"({ov} / greatest(len({pg}), 1)::DOUBLE)"
+    rc = f"({ov} / greatest(len({gg}), 1)::DOUBLE)"
+    return f"CASE WHEN P = 0 OR G = 0 THEN 0.0 WHEN {pr} + {rc} > 0 THEN 2 * {pr} * {rc} / ({pr} + {rc}) ELSE 0.0 END"
+
+
+REGISTRY["d12_rouge_n"] = (
+    _metric_spark(["rouge1", "rouge2"], ["rouge1", "rouge2"]),
+    _metric_sql({"rouge1": _rouge_n_sql(1), "rouge2": _rouge_n_sql(2)},
+                (f"prep2 AS (SELECT *, {O.rouge_tokens('pred')} AS rp, {O.rouge_tokens('ref')} AS rg FROM prep)",)),
+)
+REGISTRY["d15_nli_default"] = (
+    _metric_spark(["nli_entail", "nli_neutral", "nli_contra"], ["nli_entail", "nli_neutral", "nli_contra"]),
+    _metric_sql({"nli_entail": "0.0", "nli_neutral": "0.0", "nli_contra": "0.0"}, ("prep2 AS (SELECT * FROM prep)",)),
+)
+REGISTRY["d16_cosine_default"] = (
+    _metric_spark(["cosine"], ["cosine"]),
+    _metric_sql({"cosine": f"CASE WHEN pn <> '' OR gn <> '' THEN {O.cos(O.hashed_vec('ref'), O.hashed_vec('pred'))} ELSE 0.0 END"},
+                ("prep2 AS (SELECT * FROM prep)",)),
+)
+for _name, _m, _k in (("d05_rouge_l", "rougeL", "ROUGE-L"), ("d08_seqmatch", "seqmatch", "seqmatch"),
+                      ("d13_rouge_lsum", "rougeLsum", "rougeLsum"), ("d14_meteor", "meteor", "meteor")):
+    REGISTRY[_name] = (_metric_spark([_m], [_k]), None)
+
+
+@register(
+    "d28_merge_metrics",
+    O.with_qa(f"SELECT dataset, entry_id, CAST(2 AS INTEGER) AS n_keys, round({O.metric_exprs()['EM']}, 6) AS EM, "
+              f"round({O.metric_exprs()['F1']}, 6) AS F1 FROM prep", O.PREP_CTE),
+)
+def d28_merge_metrics(spark, sf_dir):
+    from ..operators.scoring import score
+
+    qa = qa_view(spark, sf_dir, labels=False)
+    once = score(qa, ["em"])
+    twice = score(once, ["F1"])
+    return twice.select("dataset", "entry_id", F.size("metrics").alias("n_keys"), r6(F.col("metrics")["EM"]).alias("EM"),
+                        r6(F.col("metrics")["F1"]).alias("F1"))
+
+
+def d27b_score_all_map(spark, sf_dir):
+    from ..operators.scoring import score
+
+    qa = qa_view(spark, sf_dir, labels=False)
+    return score(qa).select("dataset", "entry_id", F.size("metrics").alias("n_metrics"))
+
+
+REGISTRY["d27b_score_all_map"] = (d27b_score_all_map, None)
+
+
+# ---------------------------------------------------------------- pipeline / trials ---
+from . import pipeline as PL  # noqa: E402
+
+_TRIALS = 3
+
+
+def _trial_sql_ctes():
+    ex = O.metric_exprs()
+    pick = " UNION ALL ".join(
+        f"SELECT {t} AS trial, dataset, entry_id FROM (SELECT dataset, entry_id, row_number() OVER (PARTITION BY dataset ORDER BY "
+        f"{O.u(42 + t, 'pick', 'entry_id')}, entry_id) AS rn FROM qa) WHERE rn <= {SAMPLE_N}"
+        for t in range(_TRIALS)
+    )
+    return (
+        O.PREP_CTE,
+        f"dr AS ({pick})",
+        f"sc AS (SELECT entry_id, {ex['EM']} AS \"EM\", {ex['F1']} AS \"F1\" FROM prep)",
+        "lm AS (UNPIVOT (SELECT dr.trial, dr.dataset, sc.\"EM\", sc.\"F1\" FROM dr JOIN sc USING (entry_id)) ON \"EM\", \"F1\" INTO NAME metric VALUE value)",
+        "ts AS (SELECT trial, dataset, metric, avg(value) AS mean, count(value) AS n FROM lm GROUP BY ALL)",
+        "st AS (SELECT dataset, metric, avg(mean) AS m, stddev_pop(mean) AS s, count(mean) AS trials FROM ts GROUP BY ALL)",
+        "disp AS (SELECT *, CASE WHEN round(s, 3) = 0 THEN printf('%.3f', m) ELSE printf('%.3f ± %.3f', m, s) END AS display FROM st)",
+    )
+
+
+def _trials(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    return PL.run_trials(qa, "uniform_random", {"n": SAMPLE_N}, trials=_TRIALS, metrics=["em", "f1"])
+
+
+@register("e03_trials", O.with_qa("SELECT CAST(trial AS INTEGER) AS trial, dataset, metric, round(mean, 6) AS mean, n FROM ts", *_trial_sql_ctes()))
+def e03_trials(spark, sf_dir):
+    summ, _ = _trials(spark, sf_dir)
+    return summ.select("trial", "dataset", "metric", r6(F.col("mean")).alias("mean"), "n")
+
+
+@register("e04_trial_stats", O.with_qa("SELECT dataset, metric, round(m, 6) AS trial_mean, round(s, 6) AS trial_std, trials, display FROM disp", *_trial_sql_ctes()))
+def e04_trial_stats(spark, sf_dir):
+    _, st = _trials(spark, sf_dir)
+    return st.select("dataset", "metric", r6(F.col("trial_mean")).alias("trial_mean"), r6(F.col("trial_std")).alias("trial_std"),
+                     "trials", "display")
+
+
+@register(
+    "e05_pivot",
+    O.with_qa("SELECT metric, " + ", ".join(f"coalesce(max(CASE WHEN dataset = '{d}' THEN display END), '—') AS {d}" for d in ("de", "en", "es", "fr"))
+              + " FROM disp GROUP BY metric", *_trial_sql_ctes()),
+)
+def e05_pivot(spark, sf_dir):
+    from ..operators.report import pivot_table
+
+    _, st = _trials(spark, sf_dir)
+    return pivot_table(st, "display", ["de", "en", "es", "fr"])
+
+
+_PIPE_CFG = {"mode": "dataset", "subsampling": {"method": "uniform_random", "n": SAMPLE_N},
+             "evals": {"metrics": ["em", "f1", "mrr"], "k_values": [1, 3]}}
+
+
+@register(
+    "e06_pipeline",
+    O.with_qa(
+        "SELECT dataset, metric, round(avg(value), 6) AS mean, count(value) AS n FROM lm GROUP BY dataset, metric",
+        O.PREP_CTE,
+        "dd AS (SELECT dataset, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY lower(regexp_replace(coalesce(Question, ''), "
+        f"'^{O.WS_CLASS}+|{O.WS_CLASS}+$', '', 'g')), lower(substr(coalesce(Context, ''), 1, 256)), pos, entry_id) AS x, "
+        f"row_number() OVER (PARTITION BY dataset, lower(regexp_replace(coalesce(Question, ''), '^{O.WS_CLASS}+|{O.WS_CLASS}+$', '', 'g')), "
+        "lower(substr(coalesce(Context, ''), 1, 256)) ORDER BY pos, entry_id) AS rn FROM qa) WHERE rn = 1)",
+        f"sp AS (SELECT dataset, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY {O.u(42, 'pick', 'entry_id')}, entry_id) AS r FROM dd) WHERE r <= {SAMPLE_N})",
+        f"sc AS (SELECT prep.dataset, entry_id, {O.metric_exprs((1, 3))['EM']} AS \"EM\", {O.metric_exprs((1, 3))['F1']} AS \"F1\", "
+        f"{O.metric_exprs((1, 3))['MRR']} AS \"MRR\" FROM prep JOIN sp USING (entry_id))",
+        "lm AS (UNPIVOT sc ON \"EM\", \"F1\", \"MRR\" INTO NAME metric VALUE value)",
+    ),
+)
+def e06_pipeline(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    out = PL.run_pipeline(qa, _PIPE_CFG)
+    return out["metrics_summary"].select("dataset", "metric", r6(F.col("mean")).alias("mean"), "n")
+
+
+@register(
+    "e07_evaluation_step",
+    O.with_qa(
+        "SELECT dataset, metric, round(avg(value), 6) AS mean, count(value) AS n FROM lm GROUP BY dataset, metric",
+        O.PREP_CTE,
+        f"sc AS (SELECT dataset, entry_id, {O.metric_exprs()['EM']} AS \"EM\", {O.metric_exprs()['jaccard']} AS \"jaccard\" FROM prep)",
+        "lm AS (UNPIVOT sc ON \"EM\", \"jaccard\" INTO NAME metric VALUE value)",
+    ),
+)
+def e07_evaluation_step(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    _enriched, summary = PL.evaluation_step(qa, ["em", "jaccard"])
+    return summary.select("dataset", "metric", r6(F.col("mean")).alias("mean"), "n")
+
+
+@register(
+    "e08_sampling_step",
+    "SELECT dataset, 'stratified' AS method, CAST(30 AS BIGINT) AS requested_n, count(*) AS actual_n FROM ("
+    + _strat_sql(30, "proportional") + ") GROUP BY dataset",
+)
+def e08_sampling_step(spark, sf_dir):
+    qa = qa_view(spark, sf_dir)
+    _s, audit = PL.sampling_step(qa, "stratified", {"n": 30})
+    return audit.select("dataset", "method", "requested_n", "actual_n")
