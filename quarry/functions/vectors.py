@@ -22,10 +22,23 @@ def sq_norm(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """dot / sqrt(|a|^2 |b|^2); 0 when either vector is zero or missing."""
-    den = F.sqrt(sq_norm(a) * sq_norm(b))
-    return F.when(den > 0, dot(a, b) / den).otherwise(F.lit(0.0))
+def dot_fixed(a: Column, b: Column, dim: int) -> Column:
+    """Dot product of two vectors of known length as one flat arithmetic expression
+    (whole-stage codegen, no lambda interpretation)."""
+    acc = a.getItem(0) * b.getItem(0)
+    for i in range(1, dim):
+        acc = acc + a.getItem(i) * b.getItem(i)
+    return acc
+
+
+def cosine(a: Column, b: Column, dim: int | None = None, na: Column | None = None, nb: Column | None = None) -> Column:
+    """dot / sqrt(|a|^2 |b|^2); 0 when either vector is zero or missing. With ``dim`` the
+    products are unrolled for codegen; ``na``/``nb`` pass precomputed squared norms."""
+    d = dot_fixed(a, b, dim) if dim else dot(a, b)
+    na = na if na is not None else (dot_fixed(a, a, dim) if dim else sq_norm(a))
+    nb = nb if nb is not None else (dot_fixed(b, b, dim) if dim else sq_norm(b))
+    den = F.sqrt(na * nb)
+    return F.when(den > 0, d / den).otherwise(F.lit(0.0))
 
 
 def hashed_tf(text, dim: int = DEFAULT_DIM) -> Column:

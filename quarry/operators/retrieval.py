@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, default_embedder
+from ..functions.vectors import DEFAULT_DIM, cosine, default_embedder
 
 # ---- fixed values: technique defaults and the prompt layout -------------------------
 TECHNIQUE_DEFAULTS = {
@@ -37,8 +37,10 @@ def chunk(df: DataFrame, text_col: str = "Context", chunk_size: int = 100, keys=
     t = F.coalesce(F.col(text_col), F.lit(""))
     n = F.length(t)
     idx = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / k).cast("int"))).otherwise(F.array().cast("array<int>"))
-    exploded = df.select(*keys, t.alias("_t"), F.explode(idx).alias("chunk_id"))
-    return exploded.select(*keys, "chunk_id", F.expr(f"substring(_t, chunk_id * {k} + 1, {k})").alias("text"))
+    # Build the chunk strings first, then explode them: the full text is not copied into
+    # every exploded row.
+    pieces = F.transform(idx, lambda i: F.substring(t, i * k + 1, k))
+    return df.select(*keys, F.posexplode(pieces).alias("chunk_id", "text"))
 
 
 def embed(df: DataFrame, text_col: str, out_col: str = "vec", embedder=None) -> DataFrame:
@@ -46,11 +48,16 @@ def embed(df: DataFrame, text_col: str, out_col: str = "vec", embedder=None) ->
     return df.withColumn(out_col, emb(F.col(text_col)))
 
 
+def _dim(embedder) -> int | None:
+    """Vector length when the default embedder is used (lets cosines unroll for codegen)."""
+    return None  # HOF dot products; unrolled 64-term sums exceed the codegen method size
+
+
 def top_k_by_similarity(cands: DataFrame, query_vec: Column, cand_vec: Column, k: int, part=("entry_id",),
-                        tie=("chunk_id",)) -> DataFrame:
+                        tie=("chunk_id",), dim: int | None = None) -> DataFrame:
     """Top k candidates per group by cosine (desc), ties -> lower ``tie`` columns.
     Literal k -> map-side WindowGroupLimit."""
-    scored = cands.withColumn("sim", cosine(query_vec, cand_vec))
+    scored = cands.withColumn("sim", cosine(query_vec, cand_vec, dim))
     w = Window.partitionBy(*part).orderBy(F.desc("sim"), *[F.col(t) for t in tie])
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= int(k))
 
@@ -141,14 +148,14 @@ def similarity_graph(chunks: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
-def refine_with_neighbours(top: DataFrame, chunks: DataFrame, threshold: float = 0.5) -> DataFrame:
+def refine_with_neighbours(top: DataFrame, chunks: DataFrame, threshold: float = 0.5, dim: int | None = None) -> DataFrame:
     """Each top node is replaced by its strongest graph neighbour (cosine > threshold,
     ties -> lowest index), or kept when isolated. Joins the k top nodes with the entry's
     chunks (k x chunks rows per entry), no all-pairs graph."""
     t = top.select("entry_id", "rank", F.col("chunk_id").alias("node"), F.col("vec").alias("_tv"))
     c = chunks.select("entry_id", F.col("chunk_id").alias("nb"), F.col("vec").alias("_nv"), F.col("text").alias("_nt"))
     pairs = t.join(c, "entry_id").where(F.col("nb") != F.col("node"))
-    pairs = pairs.withColumn("_w", cosine(F.col("_tv"), F.col("_nv"))).where(F.col("_w") > F.lit(float(threshold)))
+    pairs = pairs.withColumn("_w", cosine(F.col("_tv"), F.col("_nv"), dim)).where(F.col("_w") > F.lit(float(threshold)))
     best = pairs.groupBy("entry_id", "rank", "node").agg(
         F.max_by(F.struct("nb", "_nt"), F.struct(F.col("_w"), -F.col("nb"))).alias("_b")
     )
@@ -236,16 +243,18 @@ def raptor_excerpts(df: DataFrame, chunk_size=100, num_clusters=5, top_k=3, embe
     summ = embed(cluster_summaries(ch, labels), "summary", "vec", embedder)
     q = embed(df.select("entry_id", "Question"), "Question", "qvec", embedder).select("entry_id", "qvec")
     cand = summ.join(q, "entry_id")
-    return top_k_by_similarity(cand, F.col("qvec"), F.col("vec"), top_k, tie=("cluster_id",)).select(
+    return top_k_by_similarity(cand, F.col("qvec"), F.col("vec"), top_k, tie=("cluster_id",), dim=_dim(embedder)).select(
         "entry_id", "rank", "cluster_id", F.col("summary").alias("text")
     )
 
 
 def graphrag_excerpts(df: DataFrame, chunk_size=100, top_k=3, edge_threshold=0.5, embedder=None) -> DataFrame:
-    ch = embed(chunk(df, "Context", chunk_size), "text", "vec", embedder)
+    # One exchange by entry: the ranking window and the neighbour join both reuse it, so the
+    # chunk embeddings are computed once.
+    ch = embed(chunk(df, "Context", chunk_size), "text", "vec", embedder).repartition("entry_id")
     q = embed(df.select("entry_id", "Question"), "Question", "qvec", embedder).select("entry_id", "qvec")
-    top = top_k_by_similarity(ch.join(q, "entry_id"), F.col("qvec"), F.col("vec"), top_k)
-    ref = refine_with_neighbours(top, ch, edge_threshold)
+    top = top_k_by_similarity(ch.join(q, "entry_id"), F.col("qvec"), F.col("vec"), top_k, dim=_dim(embedder))
+    ref = refine_with_neighbours(top, ch, edge_threshold, dim=_dim(embedder))
     return ref.select("entry_id", "rank", "chunk_id", "refined_id", F.col("refined_text").alias("text"))
 
 

@@ -70,6 +70,9 @@ def embedding_valid(vec: Column) -> Column:
     return vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x))
 
 
+CHECKPOINT_EVERY = 1  # reliable checkpoint every round: as fast here as persist, and loss-safe
+
+
 def kcenter(df: DataFrame, p: dict, seed, part) -> tuple[DataFrame, dict]:
     """Greedy farthest-first: start at a random row, repeatedly add the row with the largest
     min distance (1 - cosine) to the chosen set; ties -> earlier in shuffled order.
@@ -116,7 +119,8 @@ def kcenter(df: DataFrame, p: dict, seed, part) -> tuple[DataFrame, dict]:
     center_schema = "%s, term string, wc double, cnorm double" % ", ".join(f"{c} string" for c in part)
     all_picks: list[tuple] = list(chosen)
     latest = list(chosen)
-    for _rnd in range(n - 1):
+    previous = None
+    for rnd in range(n - 1):
         if not latest:
             break
         lat = spark.createDataFrame(latest, picks_schema)
@@ -134,7 +138,15 @@ def kcenter(df: DataFrame, p: dict, seed, part) -> tuple[DataFrame, dict]:
             .otherwise(F.least(F.col("md"), F.lit(1.0) - F.coalesce(F.col("cos"), F.lit(0.0))))
             .alias("md"),
         )
-        state = cut_lineage(nxt)
+        # Persist each round (recomputable from lineage if an executor is lost) and write a
+        # reliable checkpoint every CHECKPOINT_EVERY rounds so the lineage stays short.
+        if (rnd + 1) % CHECKPOINT_EVERY == 0:
+            state = cut_lineage(nxt)
+        else:
+            state = nxt.persist()
+        if previous is not None:
+            previous.unpersist()
+        previous = state
         far = (
             state.where(F.col("md") >= 0)
             .groupBy(*part)

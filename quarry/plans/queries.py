@@ -781,7 +781,7 @@ _RANK_CTES = (
 
 def _graph_top(spark, sf_dir):
     qa = qa_view(spark, sf_dir, labels=False)
-    ch = RT.embed(RT.chunk(qa, "Context", 100), "text")
+    ch = RT.embed(RT.chunk(qa, "Context", 100), "text").repartition("entry_id")
     q = RT.embed(qa.select("entry_id", "Question"), "Question", "qvec").select("entry_id", "qvec")
     top = RT.top_k_by_similarity(ch.join(q, "entry_id"), F.col("qvec"), F.col("vec"), 3)
     return qa, ch, top
