@@ -1043,3 +1043,20 @@ def e08_sampling_step(spark, sf_dir):
     qa = qa_view(spark, sf_dir)
     _s, audit = PL.sampling_step(qa, "stratified", {"n": 30})
     return audit.select("dataset", "method", "requested_n", "actual_n")
+
+
+@register(
+    "b16_date_parser",
+    "SELECT event_id, CAST(CASE WHEN event_id % 4 = 0 THEN epoch(date_trunc('day', ts)) ELSE epoch(date_trunc('second', ts)) END AS BIGINT) AS epoch_s FROM events",
+)
+def b16_date_parser(spark, sf_dir):
+    ev = _read(spark, sf_dir, "events").select("event_id", "ts")
+    m4 = F.col("event_id") % 4
+    s = (
+        F.when(m4 == 0, F.date_format("ts", "yyyy-MM-dd"))
+        .when(m4 == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(m4 == 2, F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+    )
+    num = F.when(m4 == 3, F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("double"))
+    parsed = F.coalesce(S.parse_date(s, "string"), S.parse_date(num, "double"))
+    return ev.select("event_id", F.unix_timestamp(parsed.cast("timestamp")).alias("epoch_s"))
