@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, divergence, edit_counts, imatch, mixing, quality_gbt, token_store, url_filter
+from quarry.llm import bpe, divergence, edit_counts, imatch, mixing, ngram_join, quality_gbt, suffix_dedup, token_store, url_filter
 from quarry.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digest(documents(spark, sf_dir))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.session import scratch_path
 
@@ -25,6 +29,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_token_digests(spark, manifest)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_components(documents(spark, sf_dir), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -53,7 +61,9 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_imatch": (op1_imatch, None),
+    "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op3_token_files": (op3_token_files, None),
+    "op4_ngram_join": (op4_ngram_join, None),
     "op5_bpe_round_trip": (op5_bpe_round_trip, None),
     "op6_source_mix": (op6_source_mix, mixing.OP6_SQL),
     "op7_divergence_rules": (op7_divergence_rules, None),
