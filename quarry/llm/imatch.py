@@ -2,10 +2,11 @@
 
 Terms (lower-cased words) whose document frequency lies in a band of inverse document frequency,
 ``min_idf <= ln(N / df) <= max_idf``, form the lexicon. A document's distinct lexicon terms are
-sorted (by their 64-bit hashes) and hashed once whole and once for each of ``slots - 1`` random
+sorted (by their 64-bit hashes) and hashed once whole and once for each of many random
 sub-lexicons of several densities; membership is a hash of term and slot. The fingerprint is the
 list of these hashes. Dense subsets break at the first changed term, sparse ones survive many
-changes, so the share of equal slots (among those not empty on both sides) grows with likeness.
+changes: where a subset meets about one term of two texts, it is equal with the probability of
+their Jaccard similarity, so the share of equal sparse slots estimates it.
 
 df counts all documents: tasks count words locally and send (hash, count) sorted in packed blobs,
 a group by hash range adds them. A term in the lexicon has df >= N * exp(-max_idf), so there are at
@@ -32,11 +33,13 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import NULL_ID, only, pack_small, pack_u64, parts_for, text_bytes, text_or_empty, unpack_small, unpack_u64
 
-SLOTS = 32
+#: Slot 0 holds every lexicon term; then PER_SCALE slots with 1/2 of the lexicon, as many with
+#: 1/4, and so on.
+SCALES, PER_SCALE = 12, 8
+SLOTS = 1 + SCALES * PER_SCALE
 MIN_IDF, MAX_IDF = math.log(8), math.log(1e4)
 _RANGES = 256
-#: Slot 0 holds every lexicon term; the others 1/2, 1/4, ... 1/256 of the lexicon in turn.
-DENSITY = np.array([1 << 32] + [1 << (32 - 1 - k % 8) for k in range(SLOTS - 1)], dtype=np.uint64)
+DENSITY = np.array([1 << 32] + [1 << (31 - k // PER_SCALE) for k in range(SLOTS - 1)], dtype=np.uint64)
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 3) | 1) & (1 << 64) - 1 for k in range(SLOTS)], dtype=np.uint64)
 
 
@@ -130,8 +133,17 @@ def fingerprint(text: str, band: np.ndarray) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    used = (a != 0) | (b != 0)
-    return float(np.count_nonzero((a == b) & used) / np.count_nonzero(used))
+    """1 for equal fingerprints. Else the share of equal slots among those not empty on both
+    sides, over the scales sparse enough to tell part of a text: from the densest scale on in
+    which a quarter of the slots is empty on both sides (all scales if there is none)."""
+    if np.array_equal(a, b):
+        return 1.0
+    used = ((a != 0) | (b != 0))[1:].reshape(SCALES, PER_SCALE)
+    same = (a == b)[1:].reshape(SCALES, PER_SCALE) & used
+    sparse = np.flatnonzero(used.mean(axis=1) <= 0.75)
+    first = int(sparse[0]) if len(sparse) and used[sparse[0] :].any() else 0
+    n = np.count_nonzero(used[first:])
+    return float(np.count_nonzero(same[first:]) / n) if n else 0.0
 
 
 def as_text(fp: np.ndarray) -> str:
