@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quarry.functions.hashing import u as u_key
-from quarry.llm.common import only, saved, sized_broadcast, text_or_empty
+from quarry.llm.common import only, saved, sized_broadcast, text_or_empty, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -95,10 +95,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     takes at least half of it. Keeps the columns of ``docs``. Documents without words take no
     words and go; a document is matched by doc_id, and rows that repeat a doc_id stay together."""
     taken = mix(docs, **options)
-    copies = taken.withColumn("times", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int"))
-    picked = copies.where("times > 0").groupBy("doc_id").agg(F.max("times").alias("__times")).withColumnRenamed("doc_id", "__id")
-    out = docs.join(picked, docs["doc_id"].eqNullSafe(picked["__id"]))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[out[c] for c in docs.columns])
+    name, copies = unused(docs, "mix_id"), unused(docs, "mix_copies")
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    picked = taken.select(F.col("doc_id").alias(name), times.alias(copies)).where(F.col(copies) > 0).groupBy(name).agg(F.max(copies).alias(copies))
+    out = docs.join(picked, docs["doc_id"].cast("long").eqNullSafe(F.col(name)))
+    return out.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[out[c] for c in docs.columns])
 
 
 #: The same rows in DuckDB SQL.

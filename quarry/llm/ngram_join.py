@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NULL_ID, only, saved, sized_broadcast
+from quarry.llm.common import only, saved, sized_broadcast, unused
 from quarry.llm.repeats import chunks_of, lookup, with_repeats
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -226,11 +226,11 @@ def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     """The rows of ``docs`` without those whose component has a smaller doc_id. Rows without
     doc_id stay; of rows that repeat id and set one stays. Keeps the columns of ``docs``."""
     found = similarity_components(docs, k, percent)
-    gone = saved(found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    kept = docs.join(sized_broadcast(gone, 2_000_000), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
-    twice = found.where("NOT first AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__twice")).distinct()
+    name = unused(docs, "gone_id")
+    is_named = docs["doc_id"].cast("long") == F.col(name)
+    gone = saved(found.where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    kept = docs.join(sized_broadcast(gone, 2_000_000), is_named, "left_anti")
+    twice = saved(found.where("NOT first AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct(), "twice")
     if twice.isEmpty():
         return kept
-    again = saved(twice, "twice")
-    is_twice = docs["doc_id"].cast("long") == F.col("__twice")
-    return kept.join(again, is_twice, "left_anti").unionByName(kept.join(again, is_twice, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.join(twice, is_named, "left_anti").unionByName(kept.join(twice, is_named, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -38,6 +38,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import NULL_ID, pack_small, parts_for, saved, unpack_small
 from quarry.llm.repeats import chunks_of, lookup, with_repeats
@@ -483,7 +484,8 @@ def dedup_documents(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
             left[row] = kept_bytes(text, spans)[0].decode("utf-8", "ignore") if spans else text.decode()
         return pa.table([pa.array(left, pa.string()), table.column("row")], names=["text", "row"])
 
-    done = rows.groupBy("chunk").cogroup(_by_chunk(gone, n).groupBy("chunk")).applyInArrow(finish, "text string, row " + docs.select(F.struct(*[docs[c] for c in others]).alias("row")).schema["row"].dataType.simpleString())
+    schema = T.StructType([T.StructField("text", T.StringType()), rows.schema["row"]])
+    done = rows.groupBy("chunk").cogroup(_by_chunk(gone, n).groupBy("chunk")).applyInArrow(finish, schema)
     picked = {c: F.col("text") if c == "text" else F.col("row")[c] for c in docs.columns}
     if "n_chars" in picked:
         picked["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
