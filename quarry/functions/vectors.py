@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .hashing import bucket
 from .text import sampler_tokens
@@ -22,23 +26,10 @@ def sq_norm(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
 
 
-def dot_fixed(a: Column, b: Column, dim: int) -> Column:
-    """Dot product of two vectors of known length as one flat arithmetic expression
-    (whole-stage codegen, no lambda interpretation)."""
-    acc = a.getItem(0) * b.getItem(0)
-    for i in range(1, dim):
-        acc = acc + a.getItem(i) * b.getItem(i)
-    return acc
-
-
-def cosine(a: Column, b: Column, dim: int | None = None, na: Column | None = None, nb: Column | None = None) -> Column:
-    """dot / sqrt(|a|^2 |b|^2); 0 when either vector is zero or missing. With ``dim`` the
-    products are unrolled for codegen; ``na``/``nb`` pass precomputed squared norms."""
-    d = dot_fixed(a, b, dim) if dim else dot(a, b)
-    na = na if na is not None else (dot_fixed(a, a, dim) if dim else sq_norm(a))
-    nb = nb if nb is not None else (dot_fixed(b, b, dim) if dim else sq_norm(b))
-    den = F.sqrt(na * nb)
-    return F.when(den > 0, d / den).otherwise(F.lit(0.0))
+def cosine(a: Column, b: Column) -> Column:
+    """dot / sqrt(|a|^2 |b|^2); 0 when either vector is zero or missing."""
+    den = F.sqrt(sq_norm(a) * sq_norm(b))
+    return F.when(den > 0, dot(a, b) / den).otherwise(F.lit(0.0))
 
 
 def hashed_tf(text, dim: int = DEFAULT_DIM) -> Column:
@@ -51,60 +42,66 @@ def hashed_tf(text, dim: int = DEFAULT_DIM) -> Column:
     )
 
 
-# An embedder maps a text Column to an array<double> Column. Users plug models in with
-# ``pandas_embedder``: the model is built once per Python worker and fed Arrow batches.
+# An embedder maps a text Column to an array<double> Column; models plug in with
+# ``pandas_embedder``. Its ``factory`` builds ``encode(list[str]) -> list of vectors`` once per
+# Python worker, which the map-only retrieval kernels call directly.
 Embedder = Callable[[Column], Column]
 
 
-def _hashed_tf_udf(dim: int):
-    """The same hashed term counts as ``hashed_tf``, computed per Arrow batch with numpy
-    (one md5 per distinct token per batch)."""
-    import hashlib
+def hashed_encoder(dim: int = DEFAULT_DIM) -> Callable[[list[str]], list[np.ndarray]]:
+    """The counts of ``hashed_tf`` in numpy, one md5 per distinct token."""
+    cache: dict[str, int] = {}
 
-    import numpy as np
-    import regex
-    from pyspark.sql import types as T
+    def bucket_of(token: str) -> int:
+        if token not in cache:
+            if len(cache) >= 1_000_000:
+                cache.clear()
+            cache[token] = int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
+        return cache[token]
 
-    splitter = regex.compile(r"[^\p{L}\p{N}]+")
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for text in texts:
+            ids = [bucket_of(t) for t in _SEPARATORS.sub(" ", text).lower().split(" ") if t]
+            out.append(np.bincount(np.array(ids, dtype=np.int64), minlength=dim).astype(float))
+        return out
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            cache: dict[str, int] = {}
-            out = []
-            for text in s:
-                ids = []
-                for tok in splitter.sub(" ", "" if text is None else str(text)).lower().split(" "):
-                    if not tok:
-                        continue
-                    b = cache.get(tok)
-                    if b is None:
-                        b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
-                        cache[tok] = b
-                    ids.append(b)
-                out.append(np.bincount(np.asarray(ids, dtype=np.int64), minlength=dim).astype(float)
-                           if ids else np.zeros(dim))
-            yield pd.Series(out)
-
-    return _embed
+    return encode
 
 
-def default_embedder(dim: int = DEFAULT_DIM) -> Embedder:
-    """Hashed term counts in an Arrow-batched UDF (the embedder slot real models use);
-    ``hashed_tf`` is the equivalent pure-JVM expression."""
-    udf = _hashed_tf_udf(dim)
-    return lambda c: udf(c)
+_SEPARATORS = regex.compile(r"[^\p{L}\p{N}]+")
 
 
-def pandas_embedder(factory: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Embedder:
+def pandas_embedder(factory: Callable[[], Callable[[list[str]], list]]) -> Embedder:
     """Wrap ``factory() -> encode(list[str]) -> list[vector]`` as an iterator pandas UDF."""
-    from pyspark.sql import types as T
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = factory()
         for s in batches:
             texts = ["" if x is None else str(x) for x in s]
-            yield pd.Series([[float(v) for v in vec] for vec in encode(texts)])
+            yield pd.Series([[float(v) for v in vec] for vec in encode(texts)], dtype=object)
+
+    def embedder(c: Column) -> Column:
+        return _embed(c)
+
+    embedder.factory = factory
+    return embedder
+
+
+EMBEDDERS: dict[str, Embedder] = {}
+
+
+def register_embedder(name: str, embedder: Embedder) -> None:
+    """Make an embedder usable by name wherever one is accepted."""
+    EMBEDDERS[name] = embedder
+
+
+def default_embedder(dim: int = DEFAULT_DIM) -> Embedder:
+    """Hashed term counts in an Arrow-batched UDF (the embedder slot real models use);
+    ``hashed_tf`` is the equivalent pure-JVM expression."""
+    return pandas_embedder(lambda: hashed_encoder(dim))
+
 
-    return lambda c: _embed(c)
+def as_embedder(embedder: Embedder | str | None) -> Embedder:
+    return default_embedder() if embedder is None else EMBEDDERS[embedder] if isinstance(embedder, str) else embedder

@@ -8,35 +8,44 @@ from pyspark.sql import functions as F
 ALL_LABEL = "__ALL__"
 
 
-def long_metrics(scored: DataFrame, metric_cols: list[str] | None = None) -> DataFrame:
-    """(dataset, metric, value) from a metrics map, or from wide metric columns."""
-    if metric_cols:
-        pairs = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(f"`{k}`").cast("double").alias("value"))
-                          for k in metric_cols])
-        ex = scored.select("dataset", F.inline(pairs))
-        return ex.where(F.col("value").isNotNull())
+def long_metrics(scored: DataFrame) -> DataFrame:
+    """(dataset, metric, value) of a ``metrics`` map whose keys are not known."""
     return scored.select("dataset", F.explode("metrics").alias("metric", "value"))
 
 
-def summarise(scored: DataFrame, metric_cols: list[str] | None = None) -> DataFrame:
+def metric_sums(scored: DataFrame, keys: list[str] | None = None, part=("dataset",)) -> DataFrame:
+    """(part..., metric, total, n) over the rows that HAVE the metric. With ``keys`` (metric
+    columns, or keys of the ``metrics`` map) one wide aggregate folds the rows map-side and only
+    its few rows are unpivoted; without them the map is exploded."""
+    if not keys:
+        long = scored.select(*part, F.explode("metrics").alias("metric", "value"))
+        return long.groupBy(*part, "metric").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    value = (lambda k: F.col(f"`{k}`")) if set(keys) <= set(scored.columns) else (lambda k: F.col("metrics")[k])
+    aggs = [a for i, k in enumerate(keys) for a in (F.sum(value(k)).alias(f"_t{i}"), F.count(value(k)).alias(f"_n{i}"))]
+    wide = scored.groupBy(*part).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(f"_t{i}").alias("total"), F.col(f"_n{i}").alias("n")) for i, k in enumerate(keys)])
+    return wide.select(*part, F.inline(rows)).where("n > 0")
+
+
+def _means(sums: DataFrame, part=("dataset",)) -> DataFrame:
+    return sums.select(*part, "metric", (F.col("total") / F.col("n")).alias("mean"), "n")
+
+
+def summarise(scored: DataFrame, metric_cols: list[str] | None = None, datasets: DataFrame | None = None) -> DataFrame:
     """Mean of each metric per dataset over the rows that HAVE it: (dataset, metric, mean, n).
-    Partial aggregation runs map-side, so a dataset holding most rows is pre-folded."""
-    lm = long_metrics(scored, metric_cols)
-    return lm.groupBy("dataset", "metric").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
+    ``datasets`` (a ``dataset`` column) adds a row of n = 0 per metric for sets without rows."""
+    out = _means(metric_sums(scored, metric_cols))
+    if datasets is None or not metric_cols:
+        return out
+    every = datasets.select("dataset").distinct().withColumn("metric", F.explode(F.array(*map(F.lit, metric_cols))))
+    return every.join(out, ["dataset", "metric"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def summarise_with_overall(scored: DataFrame, metric_cols: list[str] | None = None) -> DataFrame:
-    """Per dataset plus an overall ``__ALL__`` row per metric, in one GROUPING SETS pass."""
-    lm = long_metrics(scored, metric_cols)
-    agg = lm.rollup("metric", "dataset").agg(
-        F.avg("value").alias("mean"), F.count("value").alias("n"), F.grouping("dataset").alias("_gd"),
-        F.grouping("metric").alias("_gm"),
-    )
-    agg = agg.where(F.col("_gm") == 0)
-    return agg.select(
-        F.when(F.col("_gd") == 1, F.lit(ALL_LABEL)).otherwise(F.col("dataset")).alias("dataset"),
-        "metric", "mean", "n",
-    )
+    """Per dataset plus an overall ``__ALL__`` row per metric, folded from the per-dataset sums."""
+    sums = metric_sums(scored, metric_cols)
+    both = sums.withColumn("dataset", F.explode(F.array(F.col("dataset"), F.lit(ALL_LABEL))))
+    return _means(both.groupBy("dataset", "metric").agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
 
 
 def dataset_row_counts(df: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
 """Retrieval techniques as DataFrame plans: chunk -> embed -> (cluster | graph) -> top-k ->
 prompt -> generate.
 
-Chunks of one entry come from one Context trimmed to ``max_context_chars``, so per-entry work
-(k-means, the similarity graph) is bounded by ``max_context_chars / chunk_size`` chunks and is
-spread over tasks by entry. Ranking joins only the k top nodes of an entry with its chunks
-(k x chunks rows), never all chunk pairs.
+An entry is (dataset, entry_id); ids are unique within a dataset only. Each step is an operator on
+chunk tables of its own. The techniques run all steps of an entry where its row is: one map over
+the rows, one embedding per chunk, no exchange. They need the embedder's ``factory``
+(``pandas_embedder``); with an opaque embedder they are composed of the operators instead.
 """
 
 from __future__ import annotations
@@ -13,10 +13,16 @@ from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vectors import DEFAULT_DIM, cosine, default_embedder
+from ..functions.vectors import as_embedder, cosine
+
+IDS = ("dataset", "entry_id")
+#: Rows of a similarity matrix that are in memory at once.
+GRAPH_BLOCK = 1024
 
 # ---- fixed values: technique defaults and the prompt layout -------------------------
 TECHNIQUE_DEFAULTS = {
@@ -27,11 +33,9 @@ TECHNIQUE_DEFAULTS = {
 PROMPT_HEAD = "User Question: "
 PROMPT_MID = "\n\nRelevant Excerpt(s):\n\n"
 EXCERPT_SEP = "\n\n"
-KMEANS_SEED = 42
-KMEANS_MAX_ITER = 50
 
 
-def chunk(df: DataFrame, text_col: str = "Context", chunk_size: int = 100, keys=("dataset", "entry_id")) -> DataFrame:
+def chunk(df: DataFrame, text_col: str = "Context", chunk_size: int = 100, keys=IDS) -> DataFrame:
     """Consecutive fixed-size character chunks, no overlap; empty text -> no chunks."""
     k = int(chunk_size)
     t = F.coalesce(F.col(text_col), F.lit(""))
@@ -44,126 +48,99 @@ def chunk(df: DataFrame, text_col: str = "Context", chunk_size: int = 100, keys=
 
 
 def embed(df: DataFrame, text_col: str, out_col: str = "vec", embedder=None) -> DataFrame:
-    emb = embedder or default_embedder()
-    return df.withColumn(out_col, emb(F.col(text_col)))
-
-
-def _dim(embedder) -> int | None:
-    """Vector length when the default embedder is used (lets cosines unroll for codegen)."""
-    return None  # HOF dot products; unrolled 64-term sums exceed the codegen method size
+    return df.withColumn(out_col, as_embedder(embedder)(F.col(text_col)))
 
 
-def top_k_by_similarity(cands: DataFrame, query_vec: Column, cand_vec: Column, k: int, part=("entry_id",),
-                        tie=("chunk_id",), dim: int | None = None) -> DataFrame:
+def top_k_by_similarity(cands: DataFrame, query_vec: Column, cand_vec: Column, k: int, part=IDS, tie=("chunk_id",)) -> DataFrame:
     """Top k candidates per group by cosine (desc), ties -> lower ``tie`` columns.
     Literal k -> map-side WindowGroupLimit."""
-    scored = cands.withColumn("sim", cosine(query_vec, cand_vec, dim))
+    scored = cands.withColumn("sim", cosine(query_vec, cand_vec))
     w = Window.partitionBy(*part).orderBy(F.desc("sim"), *[F.col(t) for t in tie])
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= int(k))
 
 
 # ---- RAPTOR: per-entry k-means ---------------------------------------------------------
 
-def _kmeans_group(pdf: pd.DataFrame, num_clusters: int) -> pd.DataFrame:
-    """Lloyd's k-means for one entry's chunk vectors (bounded group), farthest-first init
-    from chunk 0, deterministic; labels renumbered by first chunk."""
-    pdf = pdf.sort_values("chunk_id")
-    x = np.array([np.asarray(v, dtype=float) for v in pdf["vec"]])
-    n = len(x)
-    k = max(1, min(int(num_clusters), n))
-    centers = [0]
-    d = np.linalg.norm(x - x[0], axis=1)
-    while len(centers) < k:
-        nxt = int(np.argmax(d))
-        if d[nxt] <= 0:
-            break
-        centers.append(nxt)
-        d = np.minimum(d, np.linalg.norm(x - x[nxt], axis=1))
-    c = x[centers].copy()
-    labels = np.zeros(n, dtype=int)
-    for _ in range(KMEANS_MAX_ITER):
-        dist = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
-        new = dist.argmin(axis=1)
-        if _ > 0 and np.array_equal(new, labels):
+def kmeans_labels(x: np.ndarray, num_clusters: int) -> np.ndarray:
+    """Lloyd's k-means: farthest-first start from the first row, ties to the lower index, rounds
+    until no label changes (each lowers the error, so they end), labels numbered by first row."""
+    k = max(1, min(int(num_clusters), len(x)))
+    picks, near = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(picks) < k and near.max() > 0:
+        picks.append(int(near.argmax()))
+        near = np.minimum(near, ((x - x[picks[-1]]) ** 2).sum(axis=1))
+    centers, labels = x[picks].copy(), None
+    while True:
+        new = np.stack([((x - c) ** 2).sum(axis=1) for c in centers]).argmin(axis=0)
+        if labels is not None and np.array_equal(new, labels):
             break
         labels = new
-        for j in range(len(c)):
-            m = labels == j
-            if m.any():
-                c[j] = x[m].mean(axis=0)
-    remap, out = {}, []
-    for lab in labels:
-        if lab not in remap:
-            remap[lab] = len(remap)
-        out.append(remap[lab])
-    return pd.DataFrame({"entry_id": pdf["entry_id"].values, "chunk_id": pdf["chunk_id"].values, "cluster_id": out})
+        for j in np.unique(labels):
+            centers[j] = x[labels == j].mean(axis=0)
+    first = {int(j): i for i, j in enumerate(dict.fromkeys(labels.tolist()))}
+    return np.array([first[j] for j in labels.tolist()])
 
 
 def kmeans_per_entry(chunks: DataFrame, num_clusters: int = 5) -> DataFrame:
-    """(entry_id, chunk_id, vec) -> (entry_id, chunk_id, cluster_id); one group per entry."""
-    nc = int(num_clusters)
-    return chunks.select("entry_id", "chunk_id", "vec").groupBy("entry_id").applyInPandas(
-        lambda pdf: _kmeans_group(pdf, nc), schema="entry_id string, chunk_id int, cluster_id int"
-    )
+    """(dataset, entry_id, chunk_id, vec) -> (dataset, entry_id, chunk_id, cluster_id); one group
+    per entry, which holds that entry's vectors in one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk_id")
+        pdf["cluster_id"] = kmeans_labels(np.stack(pdf.pop("vec").to_list()).astype(float), num_clusters)
+        return pdf
 
+    return chunks.select(*IDS, "chunk_id", "vec").groupBy(*IDS).applyInPandas(run, "dataset string, entry_id string, chunk_id int, cluster_id int")
 
-def cluster_summaries(chunks: DataFrame, labels: DataFrame, keys=("dataset", "entry_id")) -> DataFrame:
+
+def cluster_summaries(chunks: DataFrame, labels: DataFrame, keys=IDS) -> DataFrame:
     """Texts of a cluster joined by a space in chunk order: (keys..., cluster_id, summary)."""
-    j = chunks.join(labels, ["entry_id", "chunk_id"])
+    j = chunks.join(labels, [*keys, "chunk_id"])
     g = j.groupBy(*keys, "cluster_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))).alias("_c"))
     return g.select(*keys, "cluster_id", F.array_join(F.transform("_c", lambda x: x["text"]), " ").alias("summary"))
 
 
 # ---- GraphRAG: similarity graph and refinement ---------------------------------------
 
-def _edges_group(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    pdf = pdf.sort_values("chunk_id")
-    ids = pdf["chunk_id"].to_numpy()
-    x = np.array([np.asarray(v, dtype=float) for v in pdf["vec"]]) if len(pdf) else np.zeros((0, 1))
-    if len(ids) < 2:
-        return pd.DataFrame({"entry_id": pd.Series([], dtype=object), "src": pd.Series([], dtype="int32"),
-                             "dst": pd.Series([], dtype="int32"), "weight": pd.Series([], dtype="float64")})
-    dots = x @ x.T
-    nrm = (x * x).sum(axis=1)
-    den = np.sqrt(np.outer(nrm, nrm))
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    den = np.sqrt(np.outer((x * x).sum(axis=1), (y * y).sum(axis=1)))
     with np.errstate(divide="ignore", invalid="ignore"):
-        sim = np.where(den > 0, dots / den, 0.0)
-    iu, ju = np.triu_indices(len(ids), k=1)
-    keep = sim[iu, ju] > threshold
-    s, d, w = ids[iu[keep]], ids[ju[keep]], sim[iu[keep], ju[keep]]
-    eid = pdf["entry_id"].iloc[0]
-    return pd.DataFrame({
-        "entry_id": pd.Series([eid] * (2 * len(s)), dtype=object),
-        "src": np.concatenate([s, d]).astype("int32"), "dst": np.concatenate([d, s]).astype("int32"),
-        "weight": np.concatenate([w, w]).astype("float64"),
-    })
+        return np.where(den > 0, x @ y.T / den, 0.0)
 
 
 def similarity_graph(chunks: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Edges (entry_id, src, dst, weight) in both directions for chunk pairs of one entry
-    with cosine > threshold. One bounded group per entry; only edges leave the task."""
-    th = float(threshold)
-    return chunks.select("entry_id", "chunk_id", "vec").groupBy("entry_id").applyInPandas(
-        lambda pdf: _edges_group(pdf, th), schema="entry_id string, src int, dst int, weight double"
-    )
-
-
-def refine_with_neighbours(top: DataFrame, chunks: DataFrame, threshold: float = 0.5, dim: int | None = None) -> DataFrame:
+    """Edges (dataset, entry_id, src, dst, weight) in both directions for chunk pairs of one entry
+    with cosine > threshold. One group per entry; its similarity matrix is made in blocks of rows
+    and only edges leave the task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("chunk_id").to_numpy(), kind="stable")
+        ids = table.column("chunk_id").to_numpy()[order]
+        x = np.stack(table.column("vec").to_pylist()).astype(float)[order]
+        src, dst, weight = [], [], []
+        for at in range(0, len(x), GRAPH_BLOCK):
+            sim = _cosines(x[at : at + GRAPH_BLOCK], x)
+            i, j = np.nonzero(sim > threshold)
+            keep = i + at != j
+            src.append(ids[i[keep] + at]), dst.append(ids[j[keep]]), weight.append(sim[i[keep], j[keep]])
+        n = sum(map(len, src))
+        keys = [pa.array([table.column(c)[0].as_py()] * n, pa.string()) for c in IDS]
+        return pa.table([*keys, pa.array(np.concatenate(src), pa.int32()), pa.array(np.concatenate(dst), pa.int32()), pa.array(np.concatenate(weight))], names=[*IDS, "src", "dst", "weight"])
+
+    return chunks.select(*IDS, "chunk_id", "vec").groupBy(*IDS).applyInArrow(run, "dataset string, entry_id string, src int, dst int, weight double")
+
+
+def refine_with_neighbours(top: DataFrame, chunks: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Each top node is replaced by its strongest graph neighbour (cosine > threshold,
     ties -> lowest index), or kept when isolated. Joins the k top nodes with the entry's
     chunks (k x chunks rows per entry), no all-pairs graph."""
-    t = top.select("entry_id", "rank", F.col("chunk_id").alias("node"), F.col("vec").alias("_tv"))
-    c = chunks.select("entry_id", F.col("chunk_id").alias("nb"), F.col("vec").alias("_nv"), F.col("text").alias("_nt"))
-    pairs = t.join(c, "entry_id").where(F.col("nb") != F.col("node"))
-    pairs = pairs.withColumn("_w", cosine(F.col("_tv"), F.col("_nv"), dim)).where(F.col("_w") > F.lit(float(threshold)))
-    best = pairs.groupBy("entry_id", "rank", "node").agg(
-        F.max_by(F.struct("nb", "_nt"), F.struct(F.col("_w"), -F.col("nb"))).alias("_b")
-    )
-    out = top.join(best.select("entry_id", "rank", F.col("_b.nb").alias("refined_id"), F.col("_b._nt").alias("refined_text")),
-                   ["entry_id", "rank"], "left")
-    return out.withColumn("refined_id", F.coalesce("refined_id", "chunk_id")).withColumn(
-        "refined_text", F.coalesce("refined_text", "text")
-    )
+    t = top.select(*IDS, "rank", F.col("chunk_id").alias("node"), F.col("vec").alias("_tv"))
+    c = chunks.select(*IDS, F.col("chunk_id").alias("nb"), F.col("vec").alias("_nv"), F.col("text").alias("_nt"))
+    pairs = t.join(c, list(IDS)).where(F.col("nb") != F.col("node"))
+    pairs = pairs.withColumn("_w", cosine(F.col("_tv"), F.col("_nv"))).where(F.col("_w") > F.lit(float(threshold)))
+    best = pairs.groupBy(*IDS, "rank").agg(F.max_by(F.struct("nb", "_nt"), F.struct(F.col("_w"), -F.col("nb"))).alias("_b"))
+    out = top.join(best.select(*IDS, "rank", F.col("_b.nb").alias("refined_id"), F.col("_b._nt").alias("refined_text")), [*IDS, "rank"], "left")
+    return out.withColumn("refined_id", F.coalesce("refined_id", "chunk_id")).withColumn("refined_text", F.coalesce("refined_text", "text"))
 
 
 # ---- prompts and generation -------------------------------------------------------------
@@ -172,7 +149,7 @@ def rag_prompt(question: Column, context: Column) -> Column:
     return F.concat(F.lit(PROMPT_HEAD), F.coalesce(question, F.lit("")), F.lit(PROMPT_MID), F.coalesce(context, F.lit("")))
 
 
-def excerpts_prompt(df: DataFrame, excerpts: DataFrame, text_col: str, keys=("entry_id",)) -> DataFrame:
+def excerpts_prompt(df: DataFrame, excerpts: DataFrame, text_col: str, keys=IDS) -> DataFrame:
     """Join excerpts (keys..., rank, text) in rank order into the prompt of each row."""
     agg = excerpts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(text_col).alias("t")))).alias("_ex"))
     j = df.join(agg, list(keys), "left")
@@ -200,88 +177,160 @@ def extractive_generator() -> GenerateFn:
     return gen
 
 
-def generate(df: DataFrame, prompt_col: str = "prompt", factory: Callable[[], GenerateFn] | None = None,
-             out_col: str = "Predicted") -> DataFrame:
-    """One answer per prompt with ``mapInPandas``: the generator is built once per task and
-    fed Arrow batches; a failing batch yields NULL answers and the error text, not a failed job."""
-    from pyspark.sql import types as T
-
-    factory = factory or extractive_generator
-    cols = list(df.columns)
-    tmp = out_col if out_col not in cols else "_gen"
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(tmp, T.StringType()), T.StructField("GenerationError", T.StringType())])
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gen = factory()
-        for pdf in it:
-            prompts = pdf[prompt_col].fillna("").astype(str).tolist()
-            try:
-                ans, err = list(gen(prompts)), [None] * len(prompts)
-            except Exception as e:  # noqa: BLE001
-                ans, err = [None] * len(prompts), [repr(e)[:500]] * len(prompts)
-            pdf = pdf.copy()
-            pdf[tmp] = ans
-            pdf["GenerationError"] = err
-            yield pdf
-
-    out = df.mapInPandas(run, schema=schema)
-    if out_col in cols:
-        out = out.drop(out_col).withColumnRenamed("_gen", out_col)
-    return out
+GENERATORS: dict[str, Callable[[], GenerateFn]] = {"extractive": extractive_generator}
+
+
+def register_generator(name: str, factory: Callable[[], GenerateFn]) -> None:
+    """Make ``factory() -> generate(list of prompts)`` usable by name."""
+    GENERATORS[name] = factory
+
+
+def answers_for(gen: GenerateFn, prompts: list[str]) -> tuple[list, list]:
+    """(answers, errors). A batch that fails or answers the wrong number of prompts is halved until
+    the prompts that fail stand alone; only those have no answer."""
+    try:
+        got = list(gen(prompts))
+        if len(got) != len(prompts):
+            raise ValueError(f"{len(got)} answers to {len(prompts)} prompts")
+        return got, [None] * len(got)
+    except Exception as e:  # noqa: BLE001
+        if len(prompts) == 1:
+            return [None], [repr(e)]
+        half = len(prompts) // 2
+        left, right = answers_for(gen, prompts[:half]), answers_for(gen, prompts[half:])
+        return left[0] + right[0], left[1] + right[1]
+
+
+def generate(df: DataFrame, prompt_col: str = "prompt", factory: Callable[[], GenerateFn] | str | None = None,
+             out_col: str = "Predicted", batch: int = 256) -> DataFrame:
+    """One answer per prompt: the generator is built once per task and fed ``batch`` prompts at a
+    time. A NULL prompt is not sent and gets ''. A failing prompt yields NULL and the error text."""
+    build = GENERATORS[factory] if isinstance(factory, str) else factory or extractive_generator
+    rest = [f for f in df.schema.fields if f.name not in (out_col, "GenerationError")]
+    schema = T.StructType([*rest, T.StructField(out_col, T.StringType()), T.StructField("GenerationError", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gen = build()
+        for b in batches:
+            prompts = b.column(prompt_col).to_pylist()
+            ask = [i for i, p in enumerate(prompts) if p is not None]
+            ans, err = [""] * len(prompts), [None] * len(prompts)
+            for at in range(0, len(ask), batch):
+                part = ask[at : at + batch]
+                for i, a, e in zip(part, *answers_for(gen, [prompts[i] for i in part])):
+                    ans[i], err[i] = a, e
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in rest], pa.array(ans, pa.string()), pa.array(err, pa.string())], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 # ---- techniques ------------------------------------------------------------------------
 
-def run_rag(df: DataFrame, generator=None, **_ignored) -> DataFrame:
-    out = df.withColumn("prompt", rag_prompt(F.col("Question"), F.col("Context")))
-    return generate(out, factory=generator)
+def _pieces(text: str | None, size: int) -> list[str]:
+    return [text[i : i + size] for i in range(0, len(text or ""), size)]
+
+
+def _best(query: np.ndarray, vecs: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the k rows most similar to the query, ties to the lower index."""
+    return np.argsort(-_cosines(query[None, :], vecs)[0], kind="stable")[:k]
+
+
+def _raptor_row(encode, question, context, chunk_size, num_clusters, top_k) -> list[str]:
+    texts = _pieces(context, chunk_size)
+    labels = kmeans_labels(np.stack(encode(texts)).astype(float), num_clusters)
+    summaries = [" ".join(t for t, j in zip(texts, labels) if j == c) for c in range(labels.max() + 1)]
+    vecs = np.stack(encode([question or "", *summaries])).astype(float)
+    return [summaries[i] for i in _best(vecs[0], vecs[1:], top_k)]
+
+
+def _graphrag_row(encode, question, context, chunk_size, top_k, edge_threshold) -> list[str]:
+    texts = _pieces(context, chunk_size)
+    vecs = np.stack(encode([question or "", *texts])).astype(float)
+    chunks = vecs[1:]
+    out = []
+    for i in _best(vecs[0], chunks, top_k):
+        sim = _cosines(chunks[i : i + 1], chunks)[0]
+        sim[i] = -1.0
+        j = int(sim.argmax())
+        out.append(texts[j] if sim[j] > edge_threshold else texts[i])
+    return out
+
+
+def _excerpts_by_row(df: DataFrame, embedder, row_fn, **params) -> DataFrame:
+    """``df`` with ``RetrievedExcerpts``, computed where the row is; no excerpts without context."""
+    factory = as_embedder(embedder).factory
+    schema = T.StructType([*[f for f in df.schema.fields if f.name != "RetrievedExcerpts"], T.StructField("RetrievedExcerpts", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = factory()
+        for b in batches:
+            rows = zip(b.column("Question").to_pylist(), b.column("Context").to_pylist())
+            got = [row_fn(encode, q, c, **params) if c else [] for q, c in rows]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in schema.names[:-1]], pa.array(got, pa.list_(pa.string()))], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def raptor_excerpts(df: DataFrame, chunk_size=100, num_clusters=5, top_k=3, embedder=None) -> DataFrame:
+    """(dataset, entry_id, rank, cluster_id, text): RAPTOR from the operators above."""
     ch = embed(chunk(df, "Context", chunk_size), "text", "vec", embedder)
-    labels = kmeans_per_entry(ch, num_clusters)
-    summ = embed(cluster_summaries(ch, labels), "summary", "vec", embedder)
-    q = embed(df.select("entry_id", "Question"), "Question", "qvec", embedder).select("entry_id", "qvec")
-    cand = summ.join(q, "entry_id")
-    return top_k_by_similarity(cand, F.col("qvec"), F.col("vec"), top_k, tie=("cluster_id",), dim=_dim(embedder)).select(
-        "entry_id", "rank", "cluster_id", F.col("summary").alias("text")
-    )
+    summ = embed(cluster_summaries(ch, kmeans_per_entry(ch, num_clusters)), "summary", "vec", embedder)
+    q = embed(df.select(*IDS, "Question"), "Question", "qvec", embedder).select(*IDS, "qvec")
+    top = top_k_by_similarity(summ.join(q, list(IDS)), F.col("qvec"), F.col("vec"), top_k, tie=("cluster_id",))
+    return top.select(*IDS, "rank", "cluster_id", F.col("summary").alias("text"))
 
 
 def graphrag_excerpts(df: DataFrame, chunk_size=100, top_k=3, edge_threshold=0.5, embedder=None) -> DataFrame:
-    # One exchange by entry: the ranking window and the neighbour join both reuse it, so the
-    # chunk embeddings are computed once.
-    ch = embed(chunk(df, "Context", chunk_size), "text", "vec", embedder).repartition("entry_id")
-    q = embed(df.select("entry_id", "Question"), "Question", "qvec", embedder).select("entry_id", "qvec")
-    top = top_k_by_similarity(ch.join(q, "entry_id"), F.col("qvec"), F.col("vec"), top_k, dim=_dim(embedder))
-    ref = refine_with_neighbours(top, ch, edge_threshold, dim=_dim(embedder))
-    return ref.select("entry_id", "rank", "chunk_id", "refined_id", F.col("refined_text").alias("text"))
+    """(dataset, entry_id, rank, chunk_id, refined_id, text): GraphRAG from the operators above."""
+    ch = embed(chunk(df, "Context", chunk_size), "text", "vec", embedder).repartition(*IDS)
+    q = embed(df.select(*IDS, "Question"), "Question", "qvec", embedder).select(*IDS, "qvec")
+    top = top_k_by_similarity(ch.join(q, list(IDS)), F.col("qvec"), F.col("vec"), top_k)
+    ref = refine_with_neighbours(top, ch, edge_threshold)
+    return ref.select(*IDS, "rank", "chunk_id", "refined_id", F.col("refined_text").alias("text"))
+
 
+def _answered(df: DataFrame, generator, excerpts_as_contexts: bool) -> DataFrame:
+    """Prompt and answer from RetrievedExcerpts; entries without context are not sent."""
+    body = F.array_join("RetrievedExcerpts", EXCERPT_SEP)
+    has_text = F.length(F.coalesce(F.col("Context"), F.lit(""))) > 0
+    if excerpts_as_contexts:
+        df = df.withColumn("RetrievedContexts", F.col("RetrievedExcerpts"))
+    return generate(df.withColumn("prompt", F.when(has_text, rag_prompt(F.col("Question"), body))), factory=generator)
 
-def _with_prediction(df: DataFrame, excerpts: DataFrame, generator) -> DataFrame:
-    prompted = excerpts_prompt(df, excerpts, "text")
-    has_chunks = F.length(F.coalesce(F.col("Context"), F.lit(""))) > 0
-    gen = generate(prompted, factory=generator)
-    return gen.withColumn("Predicted", F.when(has_chunks, F.col("Predicted")).otherwise(F.lit("")))
 
+def _technique(df, embedder, generator, excerpts_as_contexts, row_fn, composed, **params) -> DataFrame:
+    if hasattr(as_embedder(embedder), "factory"):
+        found = _excerpts_by_row(df, embedder, row_fn, **params)
+    else:
+        found = excerpts_prompt(df, composed(df, embedder=embedder, **params), "text").drop("prompt")
+    return _answered(found, generator, excerpts_as_contexts)
 
-def run_raptor(df: DataFrame, chunk_size=100, num_clusters=5, top_k=3, embedder=None, generator=None) -> DataFrame:
-    return _with_prediction(df, raptor_excerpts(df, chunk_size, num_clusters, top_k, embedder), generator)
+
+def run_rag(df: DataFrame, generator=None, **_ignored) -> DataFrame:
+    return generate(df.withColumn("prompt", rag_prompt(F.col("Question"), F.col("Context"))), factory=generator)
 
 
-def run_graphrag(df: DataFrame, chunk_size=100, top_k=3, edge_threshold=0.5, embedder=None, generator=None) -> DataFrame:
-    return _with_prediction(df, graphrag_excerpts(df, chunk_size, top_k, edge_threshold, embedder), generator)
+def run_raptor(df: DataFrame, chunk_size=100, num_clusters=5, top_k=3, embedder=None, generator=None, excerpts_as_contexts=False) -> DataFrame:
+    return _technique(df, embedder, generator, excerpts_as_contexts, _raptor_row, raptor_excerpts, chunk_size=chunk_size, num_clusters=num_clusters, top_k=top_k)
+
+
+def run_graphrag(df: DataFrame, chunk_size=100, top_k=3, edge_threshold=0.5, embedder=None, generator=None, excerpts_as_contexts=False) -> DataFrame:
+    return _technique(df, embedder, generator, excerpts_as_contexts, _graphrag_row, graphrag_excerpts, chunk_size=chunk_size, top_k=top_k, edge_threshold=edge_threshold)
 
 
 TECHNIQUES = {"rag": run_rag, "raptor": run_raptor, "graphrag": run_graphrag}
 
 
+def register_technique(name: str, run, defaults: dict | None = None) -> None:
+    """Add ``run(df, generator=..., **params)`` as a retrieval technique."""
+    TECHNIQUES[name], TECHNIQUE_DEFAULTS[name] = run, dict(defaults or {})
+
+
 def run_retrieval(df: DataFrame, technique: str = "rag", **params) -> DataFrame:
-    if technique not in TECHNIQUES:
-        raise ValueError(f"Unknown technique '{technique}'. Options: {list(TECHNIQUES)}")
-    merged = dict(TECHNIQUE_DEFAULTS[technique])
-    merged.update({k: v for k, v in params.items() if v is not None})
-    return TECHNIQUES[technique](df, **merged)
+    run = TECHNIQUES.get(technique)
+    if run is None:
+        raise ValueError(f"no retrieval technique is called {technique!r}; there are {', '.join(sorted(TECHNIQUES))}")
+    return run(df, **(TECHNIQUE_DEFAULTS[technique] | {k: v for k, v in params.items() if v is not None}))
 
 
 def missing_predictions(df: DataFrame) -> DataFrame:

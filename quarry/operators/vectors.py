@@ -1,20 +1,21 @@
 """Sparse vectors as long tables, corpus TF-IDF, sparse cosine, and the greedy k-center
 (farthest-first) sampler.
 
-Vectors are postings ``(dataset, entry_id, term, w)``. Dense embeddings become postings
-with the dimension index as the term (zero entries dropped), so one join-based cosine
-serves both paths and no vector is ever gathered into one task.
+TF-IDF vectors are postings ``(dataset, entry_id, term, w)``; the k-center reads every row's unit
+vector as one sparse array.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.hashing import u
 from ..functions.text import sampler_tokens
-from ..session import cut_lineage
+from ..session import saved
 
 
 def tfidf_postings(df: DataFrame, text: Column, part=("dataset",)) -> DataFrame:
@@ -54,7 +55,7 @@ def cosine_to(postings: DataFrame, nrm: DataFrame, center: DataFrame, part=("dat
     one vector per group (small). Vectors sharing no term get no row (cosine 0)."""
     part = list(part)
     dots = (
-        postings.join(F.broadcast(center), [*part, "term"])
+        postings.join(center, [*part, "term"])
         .groupBy(*part, "entry_id", "cnorm")
         .agg(F.sum(F.col("w") * F.col("wc")).alias("_dot"))
     )
@@ -70,95 +71,155 @@ def embedding_valid(vec: Column) -> Column:
     return vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x))
 
 
-CHECKPOINT_EVERY = 1  # reliable checkpoint every round: as fast here as persist, and loss-safe
+#: Values of all chosen vectors that one broadcast may hold (32 MB of doubles).
+MAX_CENTER_VALUES = 4_000_000
+
+
+def unit_rows(df: DataFrame, p: dict, seed, part) -> DataFrame:
+    """(part..., entry_id, u0, u1, note, idx, val): every row's unit vector, sparse and sorted by
+    index. Embeddings are used when every row of a dataset has one (index = dimension), else the
+    TF-IDF of the text (index = 64-bit hash of the term)."""
+    from .fields import resolve
+    from .sampling import field, uid
+
+    emb = resolve(df, p.get("embedding_field", "embedding")).numbers()
+    rows = df.select(*part, "entry_id", emb.alias("_emb"), field(df, p.get("text_field", "question")).alias("_text"), uid(seed, "shuffle").alias("u0"), uid(seed, "first").alias("u1"))
+    dense = rows.groupBy(*part).agg(F.bool_and(F.coalesce(embedding_valid(F.col("_emb")), F.lit(False))).alias("_dense"))
+    rows = rows.join(dense, part)
+    post = tfidf_postings(rows.where(~F.col("_dense")), F.col("_text"), part)
+    pairs = post.groupBy(*part, "entry_id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("i"), F.col("w").alias("v")))).alias("_sp"))
+    rows = rows.join(pairs, [*part, "entry_id"], "left")
+    empty = F.array().cast("array<struct<i:bigint,v:double>>")
+    from_dense = F.transform("_emb", lambda x, i: F.struct(i.cast("bigint").alias("i"), x.alias("v")))
+    vec = F.when(F.col("_dense"), F.filter(from_dense, lambda x: x["v"] != 0)).otherwise(F.coalesce("_sp", empty))
+    note = F.when(F.col("_dense"), F.lit("used provided embeddings")).otherwise(F.lit("used TF-IDF fallback"))
+    rows = rows.select(*part, "entry_id", "u0", "u1", note.alias("note"), vec.alias("_v"))
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x["v"] * x["v"]))
+    return rows.withColumn("_norm", norm).select(
+        *part, "entry_id", "u0", "u1", "note", F.col("_v.i").alias("idx"),
+        F.transform("_v", lambda x: x["v"] / F.col("_norm")).alias("val"),
+    )
+
+
+def _similarity(idx: np.ndarray, val: np.ndarray, ends: np.ndarray, center: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Dot products of sparse rows (laid end to end) with one sparse vector."""
+    ci, cv = center
+    if not len(ci):
+        return np.zeros(len(ends) - 1)
+    at = np.searchsorted(ci, idx)
+    at[at == len(ci)] = 0
+    part = np.where(ci[at] == idx, val * cv[at], 0.0)
+    return np.diff(np.concatenate([[0.0], np.cumsum(part)])[ends])
+
+
+def _farthest(units: DataFrame, part: list[str], centers: dict[tuple, list[tuple]]) -> DataFrame:
+    """(part..., md, u0, entry_id, idx, val): per dataset the row with the largest min distance to
+    the chosen ones (ties: earlier in shuffled order). Tasks reduce to one row a dataset; nothing
+    else is shuffled."""
+    shared = units.sparkSession.sparkContext.broadcast(centers)
+    schema = T.StructType([*[units.schema[c] for c in part], T.StructField("md", T.DoubleType()), *[units.schema[c] for c in ("u0", "entry_id", "idx", "val")]])
+
+    def run(batches):
+        best: dict[tuple, tuple] = {}
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in part)))
+            ids, u0 = b.column("entry_id").to_pylist(), b.column("u0").to_numpy()
+            lists = b.column("idx")
+            ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64)
+            idx, val = lists.flatten().to_numpy(), b.column("val").flatten().to_numpy()
+            for key in set(keys) & shared.value.keys():
+                chosen = shared.value[key]
+                mine = np.array([k == key for k in keys])
+                near = np.full(b.num_rows, -np.inf)
+                for _, ci, cv in chosen:
+                    near = np.maximum(near, _similarity(idx, val, ends, (ci, cv)))
+                taken = {e for e, _, _ in chosen}
+                for i in np.flatnonzero(mine):
+                    if ids[i] in taken:
+                        continue
+                    rank = (max(0.0, 1.0 - near[i]), -u0[i])
+                    if key not in best or rank > best[key][0]:
+                        best[key] = (rank, ids[i], idx[ends[i] : ends[i + 1]], val[ends[i] : ends[i + 1]])
+        rows = [(*k, r[0], -r[1], e, i.tolist(), v.tolist()) for k, (r, e, i, v) in best.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(schema.fields), to_arrow_schema(schema))], names=schema.names)
+
+    found = units.select(*part, "entry_id", "u0", "idx", "val").mapInArrow(run, schema)
+    return found.groupBy(*part).agg(F.max_by(F.struct("entry_id", "idx", "val"), F.struct("md", -F.col("u0"))).alias("r")).select(*part, "r.*")
 
 
 def kcenter(df: DataFrame, p: dict, seed, part) -> tuple[DataFrame, dict]:
     """Greedy farthest-first: start at a random row, repeatedly add the row with the largest
-    min distance (1 - cosine) to the chosen set; ties -> earlier in shuffled order.
+    min distance (1 - cosine) to the chosen set; ties -> earlier in shuffled order. Copies of a
+    chosen row are chosen last, so n rows come out whenever there are n.
 
-    One round = one distributed pass that updates ``md`` with the newest center (broadcast,
-    one vector per dataset) plus an arg-max per dataset. The state (ids + md) is written to
-    the checkpoint folder every round, so lineage stays flat and a lost executor costs one
-    round. Embeddings are used when every row of a dataset has one, else TF-IDF of text."""
-    spark = df.sparkSession
-    n = int(p["n"])
-    part = list(part)
-    emb_field = p.get("embedding_field", "embedding")
-    text_field = p.get("text_field", "question")
-    from .sampling import field
-
-    rows = df.select("*", u(seed, "shuffle", "entry_id").alias("_u0"), u(seed, "first", "entry_id").alias("_u1"))
-    has_emb = emb_field in df.columns and dict(df.dtypes)[emb_field].startswith("array")
-    if has_emb:
-        flag = rows.groupBy(*part).agg(F.bool_and(embedding_valid(F.col(emb_field))).alias("_dense"))
-        rows = rows.join(flag, part)
-        dense = dense_postings(rows.where(F.col("_dense")), F.col(emb_field), part)
-        sparse = tfidf_postings(rows.where(~F.col("_dense")), field(rows, text_field), part)
-        post = dense.unionByName(sparse)
-        note = F.when(F.col("_dense"), F.lit("used provided embeddings")).otherwise(F.lit("used TF-IDF fallback"))
-    else:
-        post = tfidf_postings(rows, field(rows, text_field), part)
-        rows = rows.withColumn("_dense", F.lit(False))
-        note = F.lit("used TF-IDF fallback")
-    post = cut_lineage(post.repartition(*part, "entry_id"))
-    nrm = cut_lineage(norms(post, part))
-
-    counts = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_N"), F.first(note).alias("note"))
-    small = counts.where(F.col("_N") <= n).select(*part)
-    big = counts.where(F.col("_N") > n).select(*part)
-    state = rows.join(big, part, "left_semi").select(*part, "entry_id", "_u0", "_u1")
-    state = state.join(nrm, [*part, "entry_id"], "left").select(
-        *part, "entry_id", "_u0", "_u1", F.coalesce("norm", F.lit(0.0)).alias("norm")
-    )
+    One round is one map over the stored unit vectors with the chosen ones broadcast, and a
+    partial maximum per dataset; no state is kept and no vector is shuffled. The chosen vectors
+    are n a dataset: datasets are taken in groups whose vectors fit ``MAX_CENTER_VALUES``.
 
-    picks_schema = T.StructType([*[T.StructField(c, T.StringType()) for c in part], T.StructField("entry_id", T.StringType())])
-    first = state.groupBy(*part).agg(F.min_by("entry_id", "_u1").alias("entry_id"))
-    chosen = [tuple(r) for r in first.collect()]
-    state = state.withColumn("md", F.lit(2.0))
-    center_schema = "%s, term string, wc double, cnorm double" % ", ".join(f"{c} string" for c in part)
-    all_picks: list[tuple] = list(chosen)
-    latest = list(chosen)
-    previous = None
-    for rnd in range(n - 1):
-        if not latest:
-            break
-        lat = spark.createDataFrame(latest, picks_schema)
-        cpost = post.join(F.broadcast(lat), [*part, "entry_id"]).join(nrm, [*part, "entry_id"]).select(
-            *part, "term", F.col("w").alias("wc"), F.col("norm").alias("cnorm")
-        )
-        center = spark.createDataFrame([tuple(r) for r in cpost.collect()], center_schema)
-        cos = cosine_to(post, nrm, center, part)
-        nxt = state.join(cos, [*part, "entry_id"], "left").join(
-            F.broadcast(lat.withColumn("_sel", F.lit(True))), [*part, "entry_id"], "left"
-        )
-        nxt = nxt.select(
-            *part, "entry_id", "_u0", "_u1", "norm",
-            F.when(F.col("_sel"), F.lit(-1.0))
-            .otherwise(F.least(F.col("md"), F.lit(1.0) - F.coalesce(F.col("cos"), F.lit(0.0))))
-            .alias("md"),
-        )
-        # Persist each round (recomputable from lineage if an executor is lost) and write a
-        # reliable checkpoint every CHECKPOINT_EVERY rounds so the lineage stays short.
-        if (rnd + 1) % CHECKPOINT_EVERY == 0:
-            state = cut_lineage(nxt)
-        else:
-            state = nxt.persist()
-        if previous is not None:
-            previous.unpersist()
-        previous = state
-        far = (
-            state.where(F.col("md") >= 0)
-            .groupBy(*part)
-            .agg(F.max_by("entry_id", F.struct(F.col("md"), -F.col("_u0"))).alias("entry_id"))
-        )
-        latest = [tuple(r) for r in far.collect()]
-        all_picks += latest
-    picked = spark.createDataFrame(all_picks, picks_schema) if all_picks else spark.createDataFrame([], picks_schema)
-    chosen_rows = df.join(F.broadcast(picked), [*part, "entry_id"], "left_semi")
-    out = chosen_rows.unionByName(df.join(small, part, "left_semi"))
-    avg = avg_pairwise_cosine(post, nrm, out.select(*part, "entry_id"), part)
-    return out, {"_avg_cos": avg.join(counts.select(*part, "note"), part, "right")}
+    ``p["core_set"]`` (a number of rows a partition, for very large n and data) first reduces every
+    partition to that many farthest-first rows; the greedy then runs on their union, a constant
+    factor from the exact answer."""
+    part = list(part)
+    n = int(p["n"])
+    spark = df.sparkSession
+    units = saved(unit_rows(df, p, seed, part), "kcenter-units")
+    pool = units
+    if p.get("core_set"):
+        pool = saved(core_set(units, part, int(p["core_set"])), "kcenter-core")
+    stats = units.groupBy(*part).agg(F.count(F.lit(1)).alias("_N"), F.first("note").alias("note"), F.max(F.size("idx")).alias("_w"))
+    first = pool.groupBy(*part).agg(F.min_by(F.struct("entry_id", "idx", "val"), "u1").alias("r")).join(stats.where(F.col("_N") > n), part)
+    picks: list[tuple] = []
+    group: dict[tuple, list[tuple]] = {}
+    held = 0
+
+    def finish() -> None:
+        for _ in range(n - 1):
+            if not group:
+                return
+            for r in _farthest(pool, part, group).collect():  # one row a dataset of the group
+                group[tuple(r[c] for c in part)].append((r["entry_id"], np.array(r["idx"], np.int64), np.array(r["val"])))
+        picks.extend((*key, e) for key, rows in group.items() for e, _, _ in rows)
+
+    for r in first.toLocalIterator() if n else ():
+        if group and held + n * (r["_w"] + 1) > MAX_CENTER_VALUES:
+            finish()
+            group, held = {}, 0
+        group[tuple(r[c] for c in part)] = [(r["r"]["entry_id"], np.array(r["r"]["idx"], np.int64), np.array(r["r"]["val"]))]
+        held += n * (r["_w"] + 1)
+    finish() if n else None
+    schema = T.StructType([*[df.schema[c] for c in part], T.StructField("entry_id", T.StringType())])
+    picked = spark.createDataFrame(picks, schema)
+    out = df.join(picked, [*part, "entry_id"], "left_semi").unionByName(df.join(stats.where(F.col("_N") <= n), part, "left_semi"))
+    if not n:
+        out = df.limit(0)
+    post = units.select(*part, "entry_id", F.explode(F.arrays_zip("idx", "val")).alias("x")).select(*part, "entry_id", F.col("x.idx").alias("term"), F.col("x.val").alias("w"))
+    avg = avg_pairwise_cosine(post, norms(post, part), out.select(*part, "entry_id"), part)
+    return out, {"_avg_cos": avg.join(stats.select(*part, "note"), part, "right")}
+
+
+def core_set(units: DataFrame, part: list[str], m: int) -> DataFrame:
+    """The first ``m`` farthest-first rows of each dataset in each partition."""
+
+    def run(batches):
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in part)))
+            lists = b.column("idx")
+            ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64)
+            idx, val = lists.flatten().to_numpy(), b.column("val").flatten().to_numpy()
+            u1 = b.column("u1").to_numpy()
+            keep: list[int] = []
+            for key in dict.fromkeys(keys):
+                mine = np.flatnonzero([k == key for k in keys])
+                near, i = np.full(b.num_rows, -np.inf), int(mine[np.argmin(u1[mine])])
+                left = set(mine.tolist())
+                while left and len(mine) - len(left) < m:
+                    left.discard(i)
+                    keep.append(i)
+                    near = np.maximum(near, _similarity(idx, val, ends, (idx[ends[i] : ends[i + 1]], val[ends[i] : ends[i + 1]])))
+                    i = min(left, key=lambda j: near[j], default=i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    return units.mapInArrow(run, units.schema)
 
 
 def avg_pairwise_cosine(post: DataFrame, nrm: DataFrame, picked: DataFrame, part=("dataset",)) -> DataFrame:

@@ -23,11 +23,19 @@ def qa_view(
     labels: bool = True,
     events: bool = False,
     embeddings: bool = False,
+    shared_ids: bool = False,
 ) -> DataFrame:
+    """Every document as a QA row made of its whole text, cut in halves and thirds. Every event and
+    every embedding belongs to some document. ``shared_ids`` deals the rows to four sets whose ids
+    restart in each."""
     d = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    s = lambda start, length: F.substring(F.col("text"), start, length)
     doc = F.col("doc_id")
-    resp = s(121, 160)
+    n = F.length("text")
+    piece = lambda start, length: F.substr(F.col("text"), start, length)
+    half, third = F.floor(n / 2).cast("int"), F.floor(n / 3).cast("int")
+    one = F.lit(1)
+    front, back = piece(one, half), piece(half + 1, n)
+    mid, tail = piece(third + 1, third), piece(2 * third + 1, n)
 
     df = d
     if labels:
@@ -36,29 +44,30 @@ def qa_view(
         )
         df = df.join(lab, "doc_id", "left")
     if events:
-        ev = _read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts")
+        n_docs = d.count()
+        ev = _read(spark, sf_dir, "events").groupBy(F.pmod("event_id", F.lit(n_docs)).alias("doc_id")).agg(F.max("ts").alias("ts"))
         df = df.join(ev, "doc_id", "left")
     if embeddings:
-        em = _read(spark, sf_dir, "embeddings").select(
-            F.col("vec_id").alias("_vec_id"), "embedding", "label"
-        )
-        df = df.join(em, F.pmod(doc, F.lit(500)) == F.col("_vec_id"), "left")
+        em = _read(spark, sf_dir, "embeddings")
+        n_vecs = em.count()
+        em = em.select(F.col("vec_id").alias("_vec_id"), "embedding", "label")
+        df = df.join(em, F.pmod(doc, F.lit(n_vecs)) == F.col("_vec_id"), "left")
 
     m6 = F.pmod(doc, F.lit(6))
     ctx_lists = (
         F.when(m6 == 0, F.lit(None).cast("array<string>"))
-        .when(m6 == 1, F.array(s(101, 200), s(1, 100)))
-        .when(m6 == 2, F.array(s(1, 100), s(101, 200)))
-        .when(m6 == 3, F.array(s(1, 100), s(301, 400), s(101, 200)))
-        .when(m6 == 4, F.array(s(1, 100), s(301, 400)))
+        .when(m6 == 1, F.array(back, front))
+        .when(m6 == 2, F.array(front, back))
+        .when(m6 == 3, F.array(front, tail, back))
+        .when(m6 == 4, F.array(front, mid))
         .otherwise(F.array().cast("array<string>"))
     )
     m5 = F.pmod(doc, F.lit(5))
     predicted = (
-        F.when(m5 == 0, resp)
-        .when(m5 == 1, F.concat(F.lit("The "), resp, F.lit("!")))
-        .when(m5 == 2, s(181, 160))
-        .when(m5 == 3, s(1, 160))
+        F.when(m5 == 0, back)
+        .when(m5 == 1, F.concat(F.lit("The "), back, F.lit("!")))
+        .when(m5 == 2, F.concat(mid, tail))
+        .when(m5 == 3, front)
         .otherwise(F.lit(""))
     )
     j = F.pmod(doc, F.lit(12)) + 1
@@ -68,12 +77,12 @@ def qa_view(
     doc_ids = F.array(*[F.pmod(doc + i * i, F.lit(97)).cast("string") for i in range(1, 11)])
 
     cols = [
-        F.col("lang").alias("dataset"),
-        doc.cast("string").alias("entry_id"),
+        (F.concat(F.lit("set"), F.pmod(doc, F.lit(4)).cast("string")) if shared_ids else F.col("lang")).alias("dataset"),
+        (F.floor(doc / 4) if shared_ids else doc).cast("string").alias("entry_id"),
         doc.alias("pos"),
-        s(1, 120).alias("Question"),
-        s(1, 8000).alias("Context"),
-        resp.alias("Response"),
+        front.alias("Question"),
+        F.col("text").alias("Context"),
+        back.alias("Response"),
         predicted.alias("Predicted"),
         ctx_lists.alias("RetrievedContexts"),
         doc_ids.alias("RetrievedDocIds"),

@@ -16,40 +16,50 @@ NON_ALNUM_RUN = "[^\\p{L}\\p{N}]+"
 TWO_52 = "4503599627370496.0"
 
 QA_CTE = """qa AS (
-  SELECT d.lang AS dataset, CAST(d.doc_id AS VARCHAR) AS entry_id, d.doc_id AS pos,
-    substr(d.text,1,120) AS Question, substr(d.text,1,8000) AS Context,
-    substr(d.text,121,160) AS Response,
-    CASE d.doc_id % 5 WHEN 0 THEN substr(d.text,121,160)
-      WHEN 1 THEN 'The ' || substr(d.text,121,160) || '!'
-      WHEN 2 THEN substr(d.text,181,160) WHEN 3 THEN substr(d.text,1,160) ELSE '' END AS Predicted,
-    CASE d.doc_id % 6 WHEN 0 THEN NULL
-      WHEN 1 THEN [substr(d.text,101,200), substr(d.text,1,100)]
-      WHEN 2 THEN [substr(d.text,1,100), substr(d.text,101,200)]
-      WHEN 3 THEN [substr(d.text,1,100), substr(d.text,301,400), substr(d.text,101,200)]
-      WHEN 4 THEN [substr(d.text,1,100), substr(d.text,301,400)]
-      ELSE []::VARCHAR[] END AS RetrievedContexts,
+  SELECT %(dataset)s AS dataset, %(entry)s AS entry_id, doc_id AS pos,
+    front AS Question, text AS Context, back AS Response,
+    CASE doc_id %% 5 WHEN 0 THEN back WHEN 1 THEN 'The ' || back || '!'
+      WHEN 2 THEN mid || tail WHEN 3 THEN front ELSE '' END AS Predicted,
+    CASE doc_id %% 6 WHEN 0 THEN NULL WHEN 1 THEN [back, front] WHEN 2 THEN [front, back]
+      WHEN 3 THEN [front, tail, back] WHEN 4 THEN [front, mid] ELSE []::VARCHAR[] END AS RetrievedContexts,
     [%(docids)s] AS RetrievedDocIds,
-    CASE WHEN d.doc_id %% 5 = 4 THEN NULL
-      ELSE CAST((d.doc_id + (d.doc_id %% 12 + 1) * (d.doc_id %% 12 + 1)) %% 97 AS VARCHAR) END AS GoldDocId,
-    d.source AS topic,
-    CASE WHEN d.doc_id %% 11 = 0 THEN NULL ELSE CAST(d.n_chars AS DOUBLE) END AS weight,
-    coalesce(CAST(l.quality AS VARCHAR), 'None') AS answer_type,
-    CASE WHEN l.doc_id IS NOT NULL THEN CAST(d.n_chars AS DOUBLE) / 100.0 END AS difficulty,
-    coalesce(l.toxic, 0) = 1 AS is_unanswerable,
-    CASE WHEN d.doc_id %% 13 = 0 THEN NULL ELSE e.ts END AS date,
-    CAST(v.embedding AS DOUBLE[]) AS embedding,
-    CASE WHEN d.doc_id %% 9 = 0 THEN NULL ELSE [abs(CAST(v.embedding[1] AS DOUBLE)),
-      abs(CAST(v.embedding[2] AS DOUBLE)), abs(CAST(v.embedding[3] AS DOUBLE))] END AS probs,
-    v.label AS label, l.quality AS quality, l.toxic AS toxic
-  FROM documents d LEFT JOIN labels l USING (doc_id)
-    LEFT JOIN events e ON e.event_id = d.doc_id
-    LEFT JOIN embeddings v ON v.vec_id = d.doc_id %% 500
-)""".replace("%(docids)s", ", ".join(f"CAST((d.doc_id + {i * i}) %% 97 AS VARCHAR)" for i in range(1, 11))).replace("%%", "%")
-
-
-def with_qa(body: str, *ctes: str) -> str:
+    CASE WHEN doc_id %% 5 = 4 THEN NULL
+      ELSE CAST((doc_id + (doc_id %% 12 + 1) * (doc_id %% 12 + 1)) %% 97 AS VARCHAR) END AS GoldDocId,
+    source AS topic,
+    CASE WHEN doc_id %% 11 = 0 THEN NULL ELSE CAST(n_chars AS DOUBLE) END AS weight,
+    coalesce(CAST(quality AS VARCHAR), 'None') AS answer_type,
+    CASE WHEN labelled THEN CAST(n_chars AS DOUBLE) / 100.0 END AS difficulty,
+    coalesce(toxic, 0) = 1 AS is_unanswerable,
+    CASE WHEN doc_id %% 13 = 0 THEN NULL ELSE ts END AS date,
+    CAST(embedding AS DOUBLE[]) AS embedding,
+    CASE WHEN doc_id %% 9 = 0 THEN NULL ELSE [abs(CAST(embedding[1] AS DOUBLE)),
+      abs(CAST(embedding[2] AS DOUBLE)), abs(CAST(embedding[3] AS DOUBLE))] END AS probs,
+    label, quality, toxic
+  FROM (
+    SELECT d.*, l.quality, l.toxic, l.doc_id IS NOT NULL AS labelled, e.ts, v.embedding, v.label,
+      substr(d.text, 1, length(d.text) // 2) AS front, substr(d.text, length(d.text) // 2 + 1) AS back,
+      substr(d.text, length(d.text) // 3 + 1, length(d.text) // 3) AS mid, substr(d.text, 2 * (length(d.text) // 3) + 1) AS tail
+    FROM documents d LEFT JOIN labels l USING (doc_id)
+      LEFT JOIN (SELECT event_id %% (SELECT count(*) FROM documents) AS doc_id, max(ts) AS ts FROM events GROUP BY 1) e ON e.doc_id = d.doc_id
+      LEFT JOIN embeddings v ON v.vec_id = d.doc_id %% (SELECT count(*) FROM embeddings))
+)"""
+_DOC_IDS = ", ".join(f"CAST((doc_id + {i * i}) % 97 AS VARCHAR)" for i in range(1, 11))
+#: A row's identity for uniform numbers: ids are unique within a dataset only.
+ID = "concat_ws('/', dataset, entry_id)"
+
+
+#: (dataset, entry_id) of the views: as given, ids that restart in each set, and one JSONL set.
+IDS = {
+    "lang": ("lang", "CAST(doc_id AS VARCHAR)"),
+    "shared": ("'set' || (doc_id % 4)", "CAST(doc_id // 4 AS VARCHAR)"),
+    "uploaded": ("'uploaded'", "CAST(doc_id AS VARCHAR)"),
+}
+
+
+def with_qa(body: str, *ctes: str, ids: str = "lang") -> str:
+    dataset, entry = IDS[ids]
     extra = "".join(f",\n{c}" for c in ctes)
-    return f"WITH {QA_CTE}{extra}\n{body}"
+    return f"WITH {QA_CTE % {'dataset': dataset, 'entry': entry, 'docids': _DOC_IDS}}{extra}\n{body}"
 
 
 def norm_tokens(x: str) -> str:
@@ -121,39 +131,39 @@ def lit_list(xs) -> str:
     return "[" + ", ".join(repr(float(x)) for x in xs) + "]"
 
 
-# A prepared per-row frame with normalised tokens and contexts.
-PREP_CTE = f"""prep AS (
+# A prepared per-row frame with normalised tokens and contexts, and the sums over a row's tokens:
+# one row a (row, token) with its counts in prediction (cp), gold (cg) and contexts (cc).
+IDF_SINGLE = repr(math.log(1.5) + 1.0)
+PREP_CTE = f"""prep0 AS (
   SELECT *, array_to_string(pt, ' ') AS pn, array_to_string(gt, ' ') AS gn, len(pt) AS P, len(gt) AS G,
     list_transform(ctx, lambda c: {normalize('c')}) AS nctx
   FROM (SELECT dataset, entry_id, Question, Context, Response, Predicted, RetrievedContexts, RetrievedDocIds,
           GoldDocId, coalesce(Response, '') AS ref, coalesce(Predicted, '') AS pred,
           {norm_tokens('Predicted')} AS pt, {norm_tokens('Response')} AS gt, {contexts()} AS ctx FROM qa)
-)"""
-
-IDF_SINGLE = repr(math.log(1.5) + 1.0)
-
+),
+tok AS (
+  SELECT dataset, entry_id, t, sum(cp)::DOUBLE AS cp, sum(cg)::DOUBLE AS cg, max(cc) AS cc FROM (
+    SELECT dataset, entry_id, unnest(pt) AS t, 1 AS cp, 0 AS cg, 0 AS cc FROM prep0
+    UNION ALL SELECT dataset, entry_id, unnest(gt), 0, 1, 0 FROM prep0
+    UNION ALL SELECT dataset, entry_id, unnest(flatten(list_transform(nctx, lambda c: {split_norm('c')}))), 0, 0, 1 FROM prep0)
+  GROUP BY ALL),
+bag AS (
+  SELECT dataset, entry_id, sum(least(cp, cg)) AS ov, count_if(cp > 0 AND cg > 0) AS inter, count_if(cp > 0 OR cg > 0) AS uni,
+    sum(cp * cg * idf * idf) / (greatest(any_value(P), 1) * greatest(any_value(G), 1)) AS tdot,
+    sum((cp * idf) ** 2) / greatest(any_value(P), 1) ** 2 AS ta, sum((cg * idf) ** 2) / greatest(any_value(G), 1) ** 2 AS tb,
+    sum(CASE WHEN P > 0 AND G > 0 THEN 0.5 * (cp / P) * ln((cp / P + 1e-12) / ((cp / P + cg / G) / 2.0 + 1e-12))
+      + 0.5 * (cg / G) * ln((cg / G + 1e-12) / ((cp / P + cg / G) / 2.0 + 1e-12)) END) AS jsd,
+    sum(CASE WHEN cc > 0 THEN cp ELSE 0 END) AS covp, sum(CASE WHEN cc > 0 THEN cg ELSE 0 END) AS covg
+  FROM (SELECT tok.*, P, G, CASE WHEN cp > 0 AND cg > 0 THEN 1.0 ELSE {IDF_SINGLE} END AS idf FROM tok JOIN prep0 USING (dataset, entry_id))
+  GROUP BY ALL),
+prep AS (SELECT * FROM prep0 LEFT JOIN bag USING (dataset, entry_id))"""
 
 def metric_exprs(ks=(1, 3, 5, 10)) -> dict[str, str]:
-    """SQL expression per output key over the ``prep`` CTE (needs columns pt, gt, pn, gn,
-    P, G, ctx, nctx, RetrievedDocIds, GoldDocId)."""
-    ov = f"coalesce(list_sum(list_transform(list_distinct(pt), lambda t: least({cnt('pt', 't')}, {cnt('gt', 't')}))), 0)"
-    inter = "len(list_intersect(list_distinct(pt), list_distinct(gt)))"
-    uni = "len(list_distinct(list_concat(pt, gt)))"
-    vocab = "list_distinct(list_concat(pt, gt))"
-    idf = f"(CASE WHEN list_contains(pt, t) AND list_contains(gt, t) THEN 1.0 ELSE {IDF_SINGLE} END)"
-    va = f"({cnt('pt', 't')} / greatest(P, 1)::DOUBLE * {idf})"
-    vb = f"({cnt('gt', 't')} / greatest(G, 1)::DOUBLE * {idf})"
-    tdot = f"coalesce(list_sum(list_transform({vocab}, lambda t: {va} * {vb})), 0)"
-    ta = f"coalesce(list_sum(list_transform({vocab}, lambda t: {va} * {va})), 0)"
-    tb = f"coalesce(list_sum(list_transform({vocab}, lambda t: {vb} * {vb})), 0)"
-    pa = f"({cnt('pt', 't')}::DOUBLE / P)"
-    pb = f"({cnt('gt', 't')}::DOUBLE / G)"
-    mm = f"(({pa} + {pb}) / 2.0)"
-    kl = lambda x: f"({x} * ln(({x} + 1e-12) / ({mm} + 1e-12)))"
-    jsd_sum = f"coalesce(list_sum(list_transform({vocab}, lambda t: 0.5 * {kl(pa)} + 0.5 * {kl(pb)})), 0)"
-    cset = f"list_distinct(flatten(list_transform(nctx, lambda c: {split_norm('c')})))"
-    covp = f"(CASE WHEN P > 0 AND len({cset}) > 0 THEN len(list_filter(pt, lambda t: list_contains({cset}, t)))::DOUBLE / P ELSE 0.0 END)"
-    covg = f"(CASE WHEN G > 0 AND len({cset}) > 0 THEN len(list_filter(gt, lambda t: list_contains({cset}, t)))::DOUBLE / G ELSE 0.0 END)"
+    """SQL expression per output key over the ``prep`` CTE."""
+    ov, inter, uni = "coalesce(ov, 0)", "coalesce(inter, 0)", "uni"
+    tdot, ta, tb, jsd_sum = "coalesce(tdot, 0)", "coalesce(ta, 0)", "coalesce(tb, 0)", "coalesce(jsd, 0)"
+    covp = "(CASE WHEN P > 0 THEN coalesce(covp, 0)::DOUBLE / P ELSE 0.0 END)"
+    covg = "(CASE WHEN G > 0 THEN coalesce(covg, 0)::DOUBLE / G ELSE 0.0 END)"
     by_ids = "(RetrievedDocIds IS NOT NULL AND GoldDocId IS NOT NULL)"
     pos_ids = "coalesce(list_position(RetrievedDocIds, GoldDocId), 0)"
     pos_sub = "coalesce(list_position(list_transform(nctx, lambda c: contains(c, gn)), true), 0)"
@@ -199,6 +209,13 @@ def cos(a: str, b: str) -> str:
     return f"(CASE WHEN {den} > 0 THEN list_dot_product({a}, {b}) / {den} ELSE 0.0 END)"
 
 
+#: n-grams of two token lists, one row a (row, n, gram) with its counts on both sides.
+def grams_cte(left: str, right: str, sizes: tuple[int, ...], source: str = "prep0") -> str:
+    parts = [f"SELECT dataset, entry_id, {n} AS n, unnest({ngrams(lst, n)}) AS g, {c} AS cp, {1 - c} AS cg FROM {source}" for n in sizes for lst, c in ((left, 1), (right, 0))]
+    return ("gc AS (SELECT dataset, entry_id, n, g, sum(cp) AS cp, sum(cg) AS cg FROM (" + " UNION ALL ".join(parts) + ") GROUP BY ALL),\n"
+            "gm AS (SELECT dataset, entry_id, " + ", ".join(f"sum(CASE WHEN n = {n} THEN least(cp, cg) END)::DOUBLE AS m{n}, sum(CASE WHEN n = {n} THEN cp END) AS p{n}, sum(CASE WHEN n = {n} THEN cg END) AS g{n}" for n in sizes) + " FROM gc GROUP BY ALL)")
+
+
 def chunks_cte(size: int, name: str = "ch") -> str:
     return (f"{name} AS (SELECT dataset, entry_id, CAST(chunk_id AS INTEGER) AS chunk_id, substr(Context, chunk_id * {size} + 1, {size}) AS text "
             f"FROM (SELECT dataset, entry_id, Context, unnest(range(0, CAST((length(Context) - 1) // {size} + 1 AS BIGINT))) AS chunk_id "

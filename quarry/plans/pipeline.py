@@ -1,9 +1,13 @@
 """End-to-end pipeline and seeded trials.
 
 load + normalise + dedupe + cap -> sample (per dataset) -> [retrieve + generate] -> score
--> summarise. Trials run as ONE job: every row is replicated per trial with a generator
-(no join), samplers partition by (trial, dataset) with the trial's seed, and the distinct
-union of drawn entries is scored once, then joined back (scores do not depend on the trial).
+-> summarise. Every stage is computed once: samples, predictions and scored rows are written
+(under ``artifacts_dir`` if given, else in the shared checkpoint folder) and read back by what
+follows, so a generator sees each sampled row once and all artifacts agree.
+
+Trials run as ONE job: narrow ids are drawn per trial (partitions (trial, dataset), the trial's
+seed), the distinct union of drawn entries goes through retrieval and scoring once, and the scores
+are joined back to the draws.
 """
 
 from __future__ import annotations
@@ -13,16 +17,17 @@ from pyspark.sql import functions as F
 
 from ..operators import sampling as S
 from ..operators.prep import load_and_normalize
-from ..operators.report import summarise, summarise_with_overall, trial_stats
+from ..operators.report import metric_sums, summarise, summarise_with_overall, trial_stats
 from ..operators.retrieval import missing_predictions, run_retrieval
-from ..operators.scoring import score, score_columns
+from ..operators.scoring import MetricSpec, score, score_columns
+from ..session import saved
 from ..sources.sinks import write_artifacts
 
 DEFAULT_CONFIG = {
     "mode": "api",
     "dataset_name": "uploaded",
     "max_items_per_dataset": None,
-    "max_context_chars": 8000,
+    "max_context_chars": None,
     "dedupe": True,
     "keep_only_keys": None,
     "subsampling": {"method": "uniform_random"},
@@ -53,33 +58,44 @@ def sampling_step(df: DataFrame, method: str | None, params: dict | None, as_of=
     return S.run_sampler(df, method, params, as_of=as_of)
 
 
-def evaluation_step(df: DataFrame, metrics=None, k_values=None):
+def evaluation_step(df: DataFrame, metrics=None, k_values=None, datasets=None):
+    """(scored rows, summary). Write the scored rows and summarise those where scoring is dear;
+    ``run_pipeline`` does."""
     enriched = score(df, metrics, k_values)
-    return enriched, summarise(enriched)
+    return enriched, summarise(enriched, MetricSpec.resolve(metrics, k_values).output_keys(), datasets)
 
 
-def run_pipeline(rows: DataFrame, cfg: dict | None = None, *, as_of=None, generator=None, embedder=None) -> dict[str, DataFrame]:
-    """``rows`` is any canonical QA DataFrame (see ``sources``). Returns the five artifacts
-    as DataFrames (written under ``artifacts_dir`` when it is set)."""
-    c = _merged(cfg)
-    data = load_and_normalize(
+def _retrieved(rows: DataFrame, c: dict, generator, embedder) -> DataFrame:
+    if str(c["mode"]).lower() == "dataset":
+        return rows
+    r = dict(c["retrieval"])
+    tech = r.pop("technique", "rag")
+    r = {k: v for k, v in r.items() if k in ("chunk_size", "top_k", "num_clusters", "edge_threshold", "excerpts_as_contexts")}
+    if tech != "rag":
+        r["embedder"] = embedder
+    return run_retrieval(rows, tech, generator=generator, **r)
+
+
+def _prepared(rows: DataFrame, c: dict) -> DataFrame:
+    return load_and_normalize(
         rows, max_items_per_dataset=c["max_items_per_dataset"], max_context_chars=c["max_context_chars"],
         dedupe_rows=c["dedupe"], keep_only_keys=c["keep_only_keys"],
     )
+
+
+def run_pipeline(rows: DataFrame, cfg: dict | None = None, *, as_of=None, generator=None, embedder=None, datasets: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``rows`` is any canonical QA DataFrame (see ``sources``). Returns the five artifacts
+    as DataFrames (also written under ``artifacts_dir`` when it is set). ``datasets`` names sets
+    that may have no rows; they appear in audit and summary."""
+    c = _merged(cfg)
     sub = dict(c["subsampling"])
     method = sub.pop("method", "uniform_random")
-    sampled, audit = sampling_step(data, method, sub, as_of=as_of)
-    if str(c["mode"]).lower() == "dataset":
-        preds = sampled
-    else:
-        r = dict(c["retrieval"])
-        tech = r.pop("technique", "rag")
-        r = {k: v for k, v in r.items() if k in ("chunk_size", "top_k", "num_clusters", "edge_threshold")}
-        if tech != "rag":
-            r["embedder"] = embedder
-        preds = run_retrieval(sampled, tech, generator=generator, **r)
+    sampled, audit = S.run_sampler(_prepared(rows, c), method or "no_sampling", sub, as_of=as_of, datasets=datasets)
+    sampled = saved(sampled, "sampled")
+    preds = sampled if str(c["mode"]).lower() == "dataset" else saved(_retrieved(sampled, c, generator, embedder), "predictions")
     ev = c["evals"]
-    enriched, summary = evaluation_step(preds, ev.get("metrics"), ev.get("k_values"))
+    enriched = saved(score(preds, ev.get("metrics"), ev.get("k_values")), "enriched")
+    summary = summarise(enriched, MetricSpec.resolve(ev.get("metrics"), ev.get("k_values")).output_keys(), datasets)
     out = {
         "sampled": sampled, "predictions": preds, "enriched": enriched, "metrics_summary": summary,
         "sampling_audit": audit, "missing_predicted": missing_predictions(preds),
@@ -90,23 +106,24 @@ def run_pipeline(rows: DataFrame, cfg: dict | None = None, *, as_of=None, genera
 
 
 def run_trials(rows: DataFrame, method: str, params: dict | None, *, trials: int = 1, seed_step: int = 1,
-               metrics=None, k_values=None, as_of=None) -> tuple[DataFrame, DataFrame]:
-    """Seeded trials in one job. Returns (per-trial summary, mean/std over trials)."""
-    merged = S.merge_params(method, params)
-    base_seed = int(merged.get("seed", 42))
+               metrics=None, k_values=None, as_of=None, cfg: dict | None = None, generator=None, embedder=None) -> tuple[DataFrame, DataFrame]:
+    """Seeded trials in one job. Returns (per-trial summary, mean/std over trials). With ``cfg`` the
+    rows are prepared and retrieved as ``run_pipeline`` does; without it stored predictions count."""
+    c = _merged({"mode": "dataset", "dedupe": False} | (cfg or {}))
+    if cfg is not None:
+        rows = saved(_prepared(rows, c), "prepared")
+    base_seed = int(S.merge_params(method, params).get("seed", 42))
     rep = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(int(trials) - 1))))
     seed_col = (F.lit(base_seed) + F.col("trial") * F.lit(int(seed_step))).cast("string")
     sampled, _audit = S.run_sampler(rep, method, params, as_of=as_of, seed_col=seed_col, part=("trial", "dataset"))
-    drawn = sampled.select("trial", "dataset", "entry_id")
-    entries = rows.join(drawn.select("entry_id").distinct(), "entry_id", "left_semi")
+    drawn = saved(sampled.select("trial", "dataset", "entry_id"), "drawn")
+    entries = rows.join(drawn.select("dataset", "entry_id").distinct(), ["dataset", "entry_id"], "left_semi")
+    if str(c["mode"]).lower() != "dataset":
+        entries = saved(_retrieved(entries, c, generator, embedder), "trial-predictions")
     scored, keys = score_columns(entries, metrics, k_values)
-    per_trial = drawn.join(scored.drop("dataset"), "entry_id")
-    from ..operators.report import long_metrics
-
-    lm = long_metrics(per_trial.withColumn("dataset", F.concat_ws("\u0001", F.col("trial").cast("string"), F.col("dataset"))), keys)
-    summ = lm.groupBy("dataset", "metric").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
-    parts = F.split(F.col("dataset"), "\u0001")
-    summ = summ.select(parts.getItem(0).cast("int").alias("trial"), parts.getItem(1).alias("dataset"), "metric", "mean", "n")
+    per_trial = drawn.join(scored.select("dataset", "entry_id", *[f"`{k}`" for k in keys]), ["dataset", "entry_id"])
+    sums = metric_sums(per_trial, keys, part=("trial", "dataset"))
+    summ = saved(sums.select(F.col("trial").cast("int").alias("trial"), "dataset", "metric", (F.col("total") / F.col("n")).alias("mean"), "n"), "trial-summary")
     return summ, trial_stats(summ)
 
 

@@ -39,20 +39,23 @@ def r6(c):
 
 # ---------------------------------------------------------------- metrics (per row) ----
 
-def _metric_query(name: str, metrics: list[str], keys: list[str], k_values=None):
+def _metric_query(name: str, metrics: list[str], keys: list[str], k_values=None, ids="lang", engine="arrow"):
     def spark_fn(spark: SparkSession, sf_dir: str) -> DataFrame:
-        qa = qa_view(spark, sf_dir, labels=False)
-        scored, _ = score_columns(qa, metrics, k_values)
+        qa = qa_view(spark, sf_dir, labels=False, shared_ids=ids == "shared")
+        scored, _ = score_columns(qa, metrics, k_values, engine=engine)
         return scored.select("dataset", "entry_id", *[r6(F.col(f"`{k}`")).alias(safe_name(k)) for k in keys])
 
     ex = O.metric_exprs(tuple(k_values) if k_values else (1, 3, 5, 10))
     sel = ", ".join(f"round({ex[k]}, 6) AS \"{safe_name(k)}\"" for k in keys)
-    sql = O.with_qa(f"SELECT dataset, entry_id, {sel} FROM prep", O.PREP_CTE)
+    sql = O.with_qa(f"SELECT dataset, entry_id, {sel} FROM prep", O.PREP_CTE, ids=ids)
     REGISTRY[name] = (spark_fn, sql)
 
 
 _metric_query("d03_em", ["em"], ["EM"])
 _metric_query("d04_f1", ["f1"], ["F1"])
+_metric_query("d04b_f1_shared_ids", ["f1"], ["F1"], ids="shared")
+_metric_query("d04c_bags_by_token", ["f1", "jaccard", "tfidf_cos", "jsd", "coverage_f1"],
+              ["F1", "jaccard", "tfidf_cos", "jsd", "CoverageF1"], ids="shared", engine="tokens")
 _metric_query("d06_jaccard", ["jaccard"], ["jaccard"])
 _metric_query("d09_tfidf_cos", ["tfidf_cos"], ["tfidf_cos"])
 _metric_query("d10_jsd", ["jsd"], ["jsd"])
@@ -179,6 +182,8 @@ def e02_overall(spark, sf_dir):
 
 # ---------------------------------------------------------------- samplers ---------
 from ..operators import sampling as S  # noqa: E402
+from ..session import saved, scratch_path  # noqa: E402
+from ..sources import readers as RD  # noqa: E402
 
 SAMPLE_N = 20
 AS_OF = "2024-01-03 00:00:00"
@@ -189,9 +194,9 @@ def _rank_sql(select_from: str, order: str, n: int, part: str = "dataset") -> st
             f"FROM {select_from}) WHERE rn <= {n}")
 
 
-def _sampler_query(name, method, params, sql, view_kw=None, as_of=None):
+def _sampler_query(name, method, params, sql, view_kw=None, as_of=None, source=qa_view):
     def fn(spark, sf_dir):
-        qa = qa_view(spark, sf_dir, **(view_kw or {}))
+        qa = source(spark, sf_dir, **(view_kw or {}))
         out, _audit = S.run_sampler(qa, method, params, as_of=as_of)
         return out.select("dataset", "entry_id")
 
@@ -201,11 +206,11 @@ def _sampler_query(name, method, params, sql, view_kw=None, as_of=None):
 _sampler_query("b01_no_sampling", "no_sampling", {}, O.with_qa("SELECT dataset, entry_id FROM qa"))
 _sampler_query(
     "b02_uniform", "uniform_random", {"n": SAMPLE_N},
-    O.with_qa(_rank_sql("qa", f"{O.u(42, 'pick', 'entry_id')}, entry_id", SAMPLE_N)),
+    O.with_qa(_rank_sql("qa", f"{O.u(42, 'pick', O.ID)}, entry_id", SAMPLE_N)),
 )
 
 
-def _strat_sql(n: int, allocation: str, min_per: int = 0, vf: str | None = None) -> str:
+def _strat_sql(n: int, allocation: str, min_per: int = 0, vf: str | None = None, ids: str = "lang") -> str:
     qtok = f"len({O.sampler_tokens('Question')})::DOUBLE"
     val = qtok if vf in (None, "length") else f"coalesce(CAST({vf} AS DOUBLE), {qtok})"
     if allocation == "equal":
@@ -217,7 +222,7 @@ def _strat_sql(n: int, allocation: str, min_per: int = 0, vf: str | None = None)
         alloc = f"least(Nh, CAST(round_even({float(n)} * (Nh / N), 0) AS BIGINT))"
     ctes = [
         f"rows AS (SELECT dataset, entry_id, coalesce(CAST(topic AS VARCHAR), 'None') || '||' || coalesce(CAST(answer_type AS VARCHAR), 'None') AS stratum, "
-        f"{O.u(42, 'shuffle', 'entry_id')} AS u0, {val} AS val, {O.u(42, 'stratum', 'entry_id')} AS u2 FROM qa)",
+        f"{O.u(42, 'shuffle', O.ID)} AS u0, {val} AS val, {O.u(42, 'stratum', O.ID)} AS u2 FROM qa)",
         "st AS (SELECT dataset, stratum, count(*) AS Nh, min(u0) AS first, stddev_samp(val) AS sd FROM rows GROUP BY dataset, stratum)",
         "st1 AS (SELECT *, sum(Nh) OVER (PARTITION BY dataset) AS N, count(*) OVER (PARTITION BY dataset) AS k, "
         "greatest(Nh, 1) * (CASE WHEN Nh <= 1 THEN 1.0 WHEN coalesce(sd, 0) = 0 THEN 1.0 ELSE sd END) AS wgt FROM st)",
@@ -232,7 +237,7 @@ def _strat_sql(n: int, allocation: str, min_per: int = 0, vf: str | None = None)
     ]
     body = ("SELECT r.dataset, r.entry_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset, stratum ORDER BY u2, entry_id) AS rh FROM rows) r "
             "JOIN m USING (dataset, stratum) WHERE r.rh <= m.m")
-    return O.with_qa(body, *ctes)
+    return O.with_qa(body, *ctes, ids=ids)
 
 
 _sampler_query("b03a_stratified_proportional", "stratified", {"n": 30}, _strat_sql(30, "proportional"))
@@ -245,19 +250,32 @@ _sampler_query(
     "b03d_stratified_min_floor", "stratified", {"n": 60, "min_per_stratum": 2}, _strat_sql(60, "proportional", min_per=2),
 )
 
-_IMP_SQL = O.with_qa(
+def _imp_sql(ids: str = "lang", weight: str = "weight") -> str:
+  return O.with_qa(
     _rank_sql("k", "key, entry_id", SAMPLE_N),
-    "r AS (SELECT dataset, entry_id, CASE WHEN isnan(coalesce(weight, 0.0)) THEN 0.0 ELSE greatest(coalesce(weight, 0.0), 0.0) END AS w FROM qa)",
+    f"r AS (SELECT dataset, entry_id, CASE WHEN isnan(coalesce({weight}, 0.0)) THEN 0.0 ELSE greatest(coalesce({weight}, 0.0), 0.0) END AS w FROM qa)",
     "s AS (SELECT dataset, sum(w) AS wsum, count(*) AS N FROM r GROUP BY dataset)",
-    "r2 AS (SELECT r.*, s.wsum, s.N, least((w / wsum + 1e-09) / (1.0 + N * 1e-09), (1.0 / N) * 5.0) AS p3 FROM r JOIN s USING (dataset))",
+    "r2 AS (SELECT r.*, s.wsum, s.N, least((w / nullif(wsum, 0) + 1e-09) / (1.0 + N * 1e-09), (1.0 / N) * 5.0) AS p3 FROM r JOIN s USING (dataset))",
     "s3 AS (SELECT dataset, sum(p3) AS S3 FROM r2 GROUP BY dataset)",
-    f"k AS (SELECT r2.dataset, entry_id, CASE WHEN wsum > 0 THEN -ln({O.u(42, 'es', 'entry_id')}) / greatest(p3 / S3, 1e-12) "
-    f"ELSE {O.u(42, 'pick', 'entry_id')} END AS key FROM r2 JOIN s3 USING (dataset))",
-)
-_sampler_query("b05_importance_weighted", "importance_weighted", {"n": SAMPLE_N}, _IMP_SQL)
+    f"k AS (SELECT r2.dataset, entry_id, CASE WHEN wsum > 0 THEN -ln({O.u(42, 'es', O.ID)}) / greatest(p3 / S3, 1e-12) "
+    f"ELSE {O.u(42, 'pick', O.ID)} END AS key FROM r2 JOIN s3 USING (dataset))", ids=ids,
+  )
+
+
+_sampler_query("b05_importance_weighted", "importance_weighted", {"n": SAMPLE_N}, _imp_sql())
+
 
+def _some_weightless(spark, sf_dir):
+    """Dataset ``fr`` has only zero weights, ``de`` has none."""
+    weight = F.when(F.col("dataset") == "fr", 0.0).when(F.col("dataset") != "de", F.col("weight"))
+    return qa_view(spark, sf_dir).withColumn("weight", weight)
 
-def _al_sql(mode: str) -> str:
+
+_sampler_query("b05c_zero_weights", "importance_weighted", {"n": SAMPLE_N},
+               _imp_sql(weight="(CASE WHEN dataset = 'fr' THEN 0.0 WHEN dataset <> 'de' THEN weight END)"), source=_some_weightless)
+
+
+def _al_sql(mode: str, ids: str = "lang") -> str:
     ps = "list_transform(probs, lambda x: greatest(1e-12, least(1 - 1e-12, x)))"
     pn = f"list_transform({ps}, lambda x: x / list_sum({ps}))"
     ok = "(probs IS NOT NULL AND len(probs) >= 2)"
@@ -272,8 +290,8 @@ def _al_sql(mode: str) -> str:
         top = f"list_max(list_transform(list_distinct({vals}), lambda d: len(list_filter({vals}, lambda x: x = d))))"
         sc = f"1.0 - {top} / len({vals})"
     return O.with_qa(
-        _rank_sql("sc", f"score DESC, {O.u(42, 'shuffle', 'entry_id')}, entry_id", SAMPLE_N),
-        f"sc AS (SELECT dataset, entry_id, coalesce({sc}, {qlen}) AS score FROM qa)",
+        _rank_sql("sc", f"score DESC, {O.u(42, 'shuffle', O.ID)}, entry_id", SAMPLE_N),
+        f"sc AS (SELECT dataset, entry_id, coalesce({sc}, {qlen}) AS score FROM qa)", ids=ids,
     )
 
 
@@ -281,7 +299,7 @@ for _mode, _key in (("entropy", "b06a_active_entropy"), ("margin", "b06b_active_
     _sampler_query(_key, "active_learning", {"n": SAMPLE_N, "mode": _mode}, _al_sql(_mode), view_kw={"embeddings": True})
 
 
-def _diff_sql(hard_frac: float) -> str:
+def _diff_sql(hard_frac: float, ids: str = "lang", difficulty: str = "difficulty", answer: str = "''") -> str:
     qt = O.sampler_tokens("Question")
     ents = (f"len(list_filter(regexp_split_to_array(coalesce(Question, ''), '{O.WS_RUN}'), lambda t: t <> '' AND "
             "upper(substr(t, 1, 1)) = substr(t, 1, 1) AND lower(substr(t, 1, 1)) <> substr(t, 1, 1)))")
@@ -292,27 +310,27 @@ def _diff_sql(hard_frac: float) -> str:
         return (f"(CASE WHEN len({da}) = 0 OR len({db}) = 0 THEN 0.0 ELSE len(list_intersect({da}, {db}))::DOUBLE / "
                 f"len(list_distinct(list_concat({da}, {db}))) END)")
 
-    score = f"coalesce(difficulty, 1.0 * len({qt}) + 0.5 * {ents} - 1.0 * greatest({jac(qt, '[]::VARCHAR[]')}, {jac(qt, ct)}))"
+    score = f"coalesce({difficulty}, 1.0 * len({qt}) + 0.5 * {ents} - 1.0 * greatest({jac(qt, O.sampler_tokens(answer))}, {jac(qt, ct)}))"
     sc = f"sc AS (SELECT dataset, entry_id, {score} AS score FROM qa)"
-    order = f"score DESC, {O.u(42, 'shuffle', 'entry_id')}, entry_id"
+    order = f"score DESC, {O.u(42, 'shuffle', O.ID)}, entry_id"
     if hard_frac >= 1.0:
-        return O.with_qa(_rank_sql("sc", order, SAMPLE_N), sc)
+        return O.with_qa(_rank_sql("sc", order, SAMPLE_N), sc, ids=ids)
     k_hard = int(round(SAMPLE_N * hard_frac))
     hr = f"hr AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY {order}) AS h FROM sc)"
-    order2 = f"CASE WHEN h <= {k_hard} THEN 0 ELSE 1 END, CASE WHEN h <= {k_hard} THEN h END, {O.u(42, 'rest', 'entry_id')}, entry_id"
-    return O.with_qa(_rank_sql("hr", order2, SAMPLE_N), sc, hr)
+    order2 = f"CASE WHEN h <= {k_hard} THEN 0 ELSE 1 END, CASE WHEN h <= {k_hard} THEN h END, {O.u(42, 'rest', O.ID)}, entry_id"
+    return O.with_qa(_rank_sql("hr", order2, SAMPLE_N), sc, hr, ids=ids)
 
 
 _sampler_query("b07_difficulty_aware", "difficulty_aware", {"n": SAMPLE_N}, _diff_sql(1.0))
 _sampler_query("b07b_difficulty_hard_frac", "difficulty_aware", {"n": SAMPLE_N, "hard_frac": 0.5}, _diff_sql(0.5))
 
-_sampler_query(
-    "b08_temporal_window", "temporal_recent", {"n": SAMPLE_N, "days": 1},
-    O.with_qa(_rank_sql(
-        "qa", f"CASE WHEN date >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY THEN 0 ELSE 1 END, {O.u(42, 'pick', 'entry_id')}, entry_id",
-        SAMPLE_N)),
-    view_kw={"events": True}, as_of=AS_OF,
-)
+def _window_sql(ids: str = "lang") -> str:
+    return O.with_qa(_rank_sql(
+        "qa", f"CASE WHEN date >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY THEN 0 ELSE 1 END, {O.u(42, 'pick', O.ID)}, entry_id",
+        SAMPLE_N), ids=ids)
+
+
+_sampler_query("b08_temporal_window", "temporal_recent", {"n": SAMPLE_N, "days": 1}, _window_sql(), view_kw={"events": True}, as_of=AS_OF)
 _sampler_query(
     "b08a_temporal_decay", "temporal_recent", {"n": SAMPLE_N, "mode": "decay", "half_life_days": 1},
     O.with_qa(
@@ -320,22 +338,56 @@ _sampler_query(
         f"w AS (SELECT dataset, entry_id, CASE WHEN date IS NULL THEN 0.1 ELSE exp(-{__import__('math').log(2)!r} * "
         f"greatest(0.0, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(date)) / 1000000.0 / 86400.0) / 1.0) END AS w FROM qa)",
         "t AS (SELECT dataset, sum(w) AS T FROM w GROUP BY dataset)",
-        f"k AS (SELECT w.dataset, entry_id, -ln({O.u(42, 'es', 'entry_id')}) / greatest(w / CASE WHEN T = 0 THEN 1.0 ELSE T END, 1e-12) AS key FROM w JOIN t USING (dataset))",
+        f"k AS (SELECT w.dataset, entry_id, -ln({O.u(42, 'es', O.ID)}) / greatest(w / CASE WHEN T = 0 THEN 1.0 ELSE T END, 1e-12) AS key FROM w JOIN t USING (dataset))",
     ),
     view_kw={"events": True}, as_of=AS_OF,
 )
-_sampler_query(
-    "b09_unanswerable_mix", "unanswerable_mix", {"n": SAMPLE_N},
-    O.with_qa(
+def _mix_sql(ids: str = "lang") -> str:
+    return O.with_qa(
         "SELECT dataset, entry_id FROM rk JOIN st USING (dataset) WHERE CASE WHEN flag THEN rf <= wpos + fill ELSE rf <= wneg END",
         f"rk AS (SELECT dataset, entry_id, is_unanswerable AS flag, row_number() OVER (PARTITION BY dataset, is_unanswerable "
-        f"ORDER BY {O.u(42, 'pick', 'entry_id')}, entry_id) AS rf FROM qa)",
+        f"ORDER BY {O.u(42, 'pick', O.ID)}, entry_id) AS rf FROM qa)",
         "st0 AS (SELECT dataset, sum(CASE WHEN is_unanswerable THEN 1 ELSE 0 END) AS npos, sum(CASE WHEN is_unanswerable THEN 0 ELSE 1 END) AS nneg FROM qa GROUP BY dataset)",
         f"st1 AS (SELECT *, least(npos, {int(round(SAMPLE_N * 0.2))}) AS wpos FROM st0)",
         f"st2 AS (SELECT *, least(nneg, {SAMPLE_N} - wpos) AS wneg FROM st1)",
-        f"st AS (SELECT *, greatest({SAMPLE_N} - wpos - wneg, 0) AS fill FROM st2)",
-    ),
-)
+        f"st AS (SELECT *, greatest({SAMPLE_N} - wpos - wneg, 0) AS fill FROM st2)", ids=ids,
+    )
+
+
+_sampler_query("b09_unanswerable_mix", "unanswerable_mix", {"n": SAMPLE_N}, _mix_sql())
+
+
+# The same samplers over JSON Lines: fields are keys and dotted paths of the rows.
+
+def _jsonl_rows(spark, sf_dir, **view):
+    qa = qa_view(spark, sf_dir, **view)
+    have = set(qa.columns)
+    nested = {"stats": ["weight", "difficulty"], "metadata": ["topic", "date"], "model": ["probs", "committee_votes"], "flags": ["is_unanswerable"]}
+    if "date" in have:
+        qa = qa.withColumn("date", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    cols = [F.struct(*[c for c in cs if c in have]).alias(k) for k, cs in nested.items() if have & set(cs)]
+    if "answer_type" in have:
+        cols.append(F.col("answer_type"))
+    raw = qa.select(
+        F.col("entry_id").alias("id"), F.col("Question").alias("question"), F.col("RetrievedContexts").alias("contexts"),
+        F.struct(F.array("Response").alias("text")).alias("answers"), *cols,
+    )
+    path = scratch_path(spark, "jsonl-rows")
+    raw.write.json(path)
+    return RD.read_jsonl(spark, path)
+
+
+_sampler_query("b03f_stratified_jsonl", "stratified", {"n": 30, "strata_keys": ["metadata.topic", "answer_type"]}, _strat_sql(30, "proportional", ids="uploaded"), source=_jsonl_rows)
+_sampler_query("b05b_importance_jsonl", "importance_weighted", {"n": SAMPLE_N, "weight_field": "stats.weight"}, _imp_sql("uploaded"), source=_jsonl_rows)
+_sampler_query("b06d_active_jsonl", "active_learning", {"n": SAMPLE_N, "probs_field": "model.probs"}, _al_sql("entropy", "uploaded"), {"embeddings": True}, source=_jsonl_rows)
+_sampler_query("b06e_committee_jsonl", "active_learning", {"n": SAMPLE_N, "mode": "disagreement", "committee_votes_field": "model.committee_votes"},
+               _al_sql("disagreement", "uploaded"), {"embeddings": True}, source=_jsonl_rows)
+_sampler_query("b07c_difficulty_answers_jsonl", "difficulty_aware", {"n": SAMPLE_N, "difficulty_field": "stats.difficulty", "hard_frac": 0.5},
+               _diff_sql(0.5, "uploaded", answer="Response"), source=_jsonl_rows)
+_sampler_query("b08c_temporal_jsonl", "temporal_recent", {"n": SAMPLE_N, "days": 1, "date_field": "metadata.date"}, _window_sql("uploaded"), {"events": True}, AS_OF, _jsonl_rows)
+_sampler_query("b09b_unanswerable_jsonl", "unanswerable_mix", {"n": SAMPLE_N, "flag_field": "flags.is_unanswerable"}, _mix_sql("uploaded"), source=_jsonl_rows)
+_sampler_query("b02b_uniform_shared_ids", "uniform_random", {"n": SAMPLE_N},
+               O.with_qa(_rank_sql("qa", f"{O.u(42, 'pick', O.ID)}, entry_id", SAMPLE_N), ids="shared"), {"shared_ids": True})
 
 
 @register(
@@ -343,7 +395,7 @@ _sampler_query(
     O.with_qa(
         _rank_sql("k", "key, entry_id", SAMPLE_N),
         "t AS (SELECT dataset, sum(CAST(n_chars AS DOUBLE)) AS T FROM documents d JOIN (SELECT DISTINCT dataset FROM qa) q ON q.dataset = d.lang GROUP BY dataset)",
-        f"k AS (SELECT qa.dataset, entry_id, -ln({O.u(7, 'es', 'entry_id')}) / greatest(CAST(d.n_chars AS DOUBLE) / T, 1e-12) AS key "
+        f"k AS (SELECT qa.dataset, entry_id, -ln({O.u(7, 'es', O.ID)}) / greatest(CAST(d.n_chars AS DOUBLE) / T, 1e-12) AS key "
         "FROM qa JOIN documents d ON CAST(d.doc_id AS VARCHAR) = qa.entry_id JOIN t USING (dataset))",
     ),
 )
@@ -404,7 +456,7 @@ def b14_tfidf_postings(spark, sf_dir):
         "FROM (SELECT DISTINCT dataset, entry_id FROM qa) p JOIN nr USING (dataset, entry_id) JOIN cn c USING (dataset) "
         "LEFT JOIN d USING (dataset, entry_id)",
         *_TFIDF_CTES,
-        f"ctr AS (SELECT dataset, arg_min(entry_id, {O.u(42, 'first', 'entry_id')}) AS cid FROM qa GROUP BY dataset)",
+        f"ctr AS (SELECT dataset, arg_min(entry_id, {O.u(42, 'first', O.ID)}) AS cid FROM qa GROUP BY dataset)",
         "nr AS (SELECT q.dataset, q.entry_id, coalesce(sqrt(sum(w * w)), 0.0) AS nrm FROM qa q LEFT JOIN post USING (dataset, entry_id) GROUP BY ALL)",
         "cp AS (SELECT post.dataset, term, w AS wc FROM post JOIN ctr ON post.dataset = ctr.dataset AND post.entry_id = ctr.cid)",
         "cn AS (SELECT ctr.dataset, nr.nrm AS cnorm FROM ctr JOIN nr ON nr.dataset = ctr.dataset AND nr.entry_id = ctr.cid)",
@@ -412,20 +464,17 @@ def b14_tfidf_postings(spark, sf_dir):
     ),
 )
 def b15_sparse_cosine(spark, sf_dir):
-    from ..functions.hashing import u as uu
-    from ..operators.vectors import norms, tfidf_postings
+    from ..operators.vectors import cosine_to, norms, tfidf_postings
 
     qa = qa_view(spark, sf_dir, labels=False)
-    post = tfidf_postings(qa, F.col("Question"))
+    post = saved(tfidf_postings(qa, F.col("Question")), "postings")
     nrm = norms(post)
-    ctr = qa.groupBy("dataset").agg(F.min_by("entry_id", uu(42, "first", "entry_id")).alias("cid"))
-    cp = post.join(ctr, (post.dataset == ctr.dataset) & (post.entry_id == ctr.cid)).select(post.dataset, "term", F.col("w").alias("wc"))
-    cn = nrm.join(ctr, (nrm.dataset == ctr.dataset) & (nrm.entry_id == ctr.cid)).select(nrm.dataset, F.col("norm").alias("cnorm"))
-    dots = post.join(cp, ["dataset", "term"]).groupBy("dataset", "entry_id").agg(F.sum(F.col("w") * F.col("wc")).alias("dot"))
-    base = qa.select("dataset", "entry_id").join(nrm, ["dataset", "entry_id"], "left").join(cn, "dataset").join(dots, ["dataset", "entry_id"], "left")
-    nr = F.coalesce(F.col("norm"), F.lit(0.0))
-    cos = F.when((nr == 0) | (F.col("cnorm") == 0), 0.0).otherwise(F.coalesce(F.col("dot"), F.lit(0.0)) / (nr * F.col("cnorm")))
-    return base.select("dataset", "entry_id", F.round(cos, 6).alias("cos"))
+    ctr = qa.groupBy("dataset").agg(F.min_by("entry_id", S.uid(S._seed_col(42), "first")).alias("cid"))
+    of_center = lambda df: df.join(ctr.withColumnRenamed("cid", "entry_id"), ["dataset", "entry_id"])
+    center = of_center(post).join(of_center(nrm).select("dataset", F.col("norm").alias("cnorm")), "dataset")
+    cos = cosine_to(post, nrm, center.select("dataset", "term", F.col("w").alias("wc"), "cnorm"))
+    out = qa.select("dataset", "entry_id").join(cos, ["dataset", "entry_id"], "left")
+    return out.select("dataset", "entry_id", F.round(F.coalesce("cos", F.lit(0.0)), 6).alias("cos"))
 
 
 @register(
@@ -475,7 +524,7 @@ WS_SQL_STRIP = f"regexp_replace(%s, '^{O.WS_CLASS}+|{O.WS_CLASS}+$', '', 'g')"
 
 
 def _conversation_docs(spark, sf_dir) -> str:
-    """Write one JSON document per conversation (three shapes) and return the folder."""
+    """Write one JSON document per conversation, one line each (three shapes); return the folder."""
     c = _read(spark, sf_dir, "conversations")
     rows = c.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
@@ -488,7 +537,7 @@ def _conversation_docs(spark, sf_dir) -> str:
         .otherwise(F.to_json(F.create_map(F.concat(F.lit("c"), F.pmod(F.col("conv_id"), F.lit(5)).cast("string")), items)))
     )
     path = scratch_path(spark, "convdocs")
-    rows.select("conv_id", doc.alias("value")).repartition("conv_id").write.partitionBy("conv_id").text(path)
+    rows.select(doc.alias("value")).write.text(path)
     return path
 
 
@@ -500,21 +549,30 @@ def _conversation_docs(spark, sf_dir) -> str:
 )
 def a01_read_json(spark, sf_dir):
     path = _conversation_docs(spark, sf_dir)
-    df = RD.read_json(spark, path)
+    df = RD.read_json(spark, path, one_per_line=True)
     return df.select("dataset", "pos", "Question", F.try_variant_get("extra", "$.turn", "bigint").alias("turn"),
                      F.try_variant_get("extra", "$.Role", "string").alias("role"))
 
 
+@register(
+    "a03_read_many",
+    "SELECT CASE WHEN rank = 1 THEN 'g' || conv_id % 3 ELSE 'g' || conv_id % 3 || '_' || rank END AS dataset, pos, Question FROM ("
+    "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id % 6 ORDER BY conv_id, turn) - 1 AS BIGINT) AS pos, coalesce(text, '') AS Question, "
+    "1 + (conv_id % 6) // 3 AS rank FROM conversations)",
+)
 def a03_read_many(spark, sf_dir):
-    path = _conversation_docs(spark, sf_dir)
-    files = sorted(r[0] for r in spark.read.text(path).select(F.col("_metadata.file_path")).distinct().collect())
-    df = RD.read_many(spark, files)
+    """Six files: file i has the conversations with id % 6 = i under the set name g<i % 3>, so each
+    name is taken once more by a later file."""
+    c = _read(spark, sf_dir, "conversations").withColumn("part", F.pmod("conv_id", F.lit(6)).cast("int"))
+    base = scratch_path(spark, "six")
+    for i in range(6):
+        turns = c.where(F.col("part") == i).select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"))
+        rows = F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "question"))), lambda t: F.struct(t["question"]))
+        turns.agg(F.to_json(F.create_map(F.lit(f"g{i % 3}"), rows)).alias("value")).write.text(f"{base}/{i}")
+    df = RD.read_many(spark, [spark.read.text(f"{base}/{i}").inputFiles()[0] for i in range(6)])
     return df.select("dataset", "pos", "Question")
 
 
-REGISTRY["a03_read_many"] = (a03_read_many, None)
-
-
 @register(
     "a02_read_jsonl",
     O.with_qa("SELECT 'uploaded' AS dataset, entry_id, Question, Context, Response, Predicted, "
@@ -604,12 +662,21 @@ def a08_content_filter(spark, sf_dir):
 @register(
     "a09_dedupe",
     O.with_qa("SELECT dataset, entry_id FROM (SELECT dataset, entry_id, row_number() OVER (PARTITION BY dataset, "
-              f"lower({WS_SQL_STRIP % 'coalesce(Question, \'\')'}), lower(substr(coalesce(Context, ''), 1, 256)) ORDER BY pos, entry_id) AS rn FROM qa) WHERE rn = 1"),
+              f"lower({WS_SQL_STRIP % 'coalesce(Question, \'\')'}), lower(coalesce(Context, '')) ORDER BY pos, entry_id) AS rn FROM qa) WHERE rn = 1"),
 )
 def a09_dedupe(spark, sf_dir):
     return PR.dedupe(qa_view(spark, sf_dir, labels=False)).select("dataset", "entry_id")
 
 
+@register(
+    "a09b_dedupe_late_difference",
+    O.with_qa("SELECT dataset, entry_id FROM (SELECT dataset, entry_id, row_number() OVER (PARTITION BY dataset, lower(Context) ORDER BY pos, entry_id) AS rn FROM qa) WHERE rn = 1"),
+)
+def a09b_dedupe_late_difference(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    return PR.dedupe(qa.withColumn("Question", F.lit("same")).withColumn("Context", F.concat(F.repeat(F.lit("x"), 256), "Context"))).select("dataset", "entry_id")
+
+
 @register(
     "a10_cap",
     O.with_qa("SELECT dataset, entry_id FROM (SELECT dataset, entry_id, row_number() OVER (PARTITION BY dataset ORDER BY pos, entry_id) AS rn FROM qa) WHERE rn <= 50"),
@@ -641,7 +708,7 @@ def a12_preview(spark, sf_dir):
     "a13_jsonl_sink",
     O.with_qa(
         "SELECT dataset, count(*) AS n, sum(length(Question)) AS q_chars FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY "
-        f"{O.u(42, 'pick', 'entry_id')}, entry_id) AS rn FROM qa) WHERE rn <= {SAMPLE_N} GROUP BY dataset"
+        f"{O.u(42, 'pick', O.ID)}, entry_id) AS rn FROM qa) WHERE rn <= {SAMPLE_N} GROUP BY dataset"
     ),
 )
 def a13_jsonl_sink(spark, sf_dir):
@@ -668,7 +735,7 @@ def a14_csv_sink(spark, sf_dir):
 
 # ---------------------------------------------------------------- retrieval --------
 from ..operators import retrieval as RT  # noqa: E402
-from ..functions.vectors import hashed_tf  # noqa: E402
+from ..functions.vectors import default_embedder  # noqa: E402
 
 NL2 = "chr(10) || chr(10)"
 PROMPT_SQL = "'User Question: ' || coalesce(Question, '') || " + NL2 + " || 'Relevant Excerpt(s):' || " + NL2 + " || "
@@ -685,7 +752,7 @@ def c01_chunk(spark, sf_dir):
 )
 def c02_embed(spark, sf_dir):
     qa = qa_view(spark, sf_dir, labels=False)
-    v = hashed_tf(F.col("Question"))
+    v = default_embedder()(F.col("Question"))
     return qa.select("dataset", "entry_id", F.array_join(F.transform(v, lambda x: x.cast("bigint").cast("string")), ",").alias("vec"))
 
 
@@ -706,7 +773,7 @@ _SUMM_CTES = (
 def _mod3_summaries(spark, sf_dir):
     qa = qa_view(spark, sf_dir, labels=False)
     ch = RT.chunk(qa, "Context", 100)
-    labels = ch.select("entry_id", "chunk_id", (F.col("chunk_id") % 3).alias("cluster_id"))
+    labels = ch.select("dataset", "entry_id", "chunk_id", (F.col("chunk_id") % 3).alias("cluster_id"))
     return qa, RT.cluster_summaries(ch, labels)
 
 
@@ -717,104 +784,114 @@ def c04_cluster_summaries(spark, sf_dir):
 
 _C06_SQL_CTES = (
     *_SUMM_CTES,
-    f"sc AS (SELECT sm.entry_id, sm.cluster_id, sm.summary, {O.cos(O.hashed_vec('qa.Question'), O.hashed_vec('sm.summary'))} AS sim FROM sm JOIN qa USING (entry_id))",
-    "rk AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY sim DESC, cluster_id) AS rank FROM sc)",
+    f"qv AS (SELECT dataset, entry_id, {O.hashed_vec('Question')} AS qv FROM qa)",
+    f"sv AS (SELECT *, {O.hashed_vec('summary')} AS v FROM sm)",
+    f"sc AS (SELECT dataset, entry_id, cluster_id, summary, round({O.cos('qv', 'v')}, 12) AS sim FROM sv JOIN qv USING (dataset, entry_id))",
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY dataset, entry_id ORDER BY sim DESC, cluster_id) AS rank FROM sc)",
 )
 
 
 @register(
     "c06_summary_retrieval",
-    O.with_qa("SELECT entry_id, CAST(rank AS INTEGER) AS rank, cluster_id, round(sim, 6) AS sim FROM rk WHERE rank <= 3", *_C06_SQL_CTES),
+    O.with_qa("SELECT dataset, entry_id, CAST(rank AS INTEGER) AS rank, cluster_id, round(sim, 6) AS sim FROM rk WHERE rank <= 3", *_C06_SQL_CTES),
 )
 def c06_summary_retrieval(spark, sf_dir):
     qa, summ = _mod3_summaries(spark, sf_dir)
     summ = RT.embed(summ, "summary", "vec")
-    q = RT.embed(qa.select("entry_id", "Question"), "Question", "qvec").select("entry_id", "qvec")
-    top = RT.top_k_by_similarity(summ.join(q, "entry_id"), F.col("qvec"), F.col("vec"), 3, tie=("cluster_id",))
-    return top.select("entry_id", "rank", "cluster_id", r6(F.col("sim")).alias("sim"))
+    q = RT.embed(qa.select("dataset", "entry_id", "Question"), "Question", "qvec").select("dataset", "entry_id", "qvec")
+    top = RT.top_k_by_similarity(summ.join(q, ["dataset", "entry_id"]), F.col("qvec"), F.col("vec"), 3, tie=("cluster_id",))
+    return top.select("dataset", "entry_id", "rank", "cluster_id", r6(F.col("sim")).alias("sim"))
 
 
 @register(
     "c13_prompt_assembly",
-    O.with_qa(f"SELECT qa.entry_id, {PROMPT_SQL} coalesce(e.ex, '') AS prompt FROM qa LEFT JOIN "
-              f"(SELECT entry_id, string_agg(summary, {NL2} ORDER BY rank) AS ex FROM rk WHERE rank <= 3 GROUP BY entry_id) e USING (entry_id)",
+    O.with_qa(f"SELECT dataset, entry_id, {PROMPT_SQL} coalesce(e.ex, '') AS prompt FROM qa LEFT JOIN "
+              f"(SELECT dataset, entry_id, string_agg(summary, {NL2} ORDER BY rank) AS ex FROM rk WHERE rank <= 3 GROUP BY ALL) e USING (dataset, entry_id)",
               *_C06_SQL_CTES),
 )
 def c13_prompt_assembly(spark, sf_dir):
     qa, summ = _mod3_summaries(spark, sf_dir)
     summ = RT.embed(summ, "summary", "vec")
-    q = RT.embed(qa.select("entry_id", "Question"), "Question", "qvec").select("entry_id", "qvec")
-    top = RT.top_k_by_similarity(summ.join(q, "entry_id"), F.col("qvec"), F.col("vec"), 3, tie=("cluster_id",))
-    return RT.excerpts_prompt(qa, top, "summary").select("entry_id", "prompt")
+    q = RT.embed(qa.select("dataset", "entry_id", "Question"), "Question", "qvec").select("dataset", "entry_id", "qvec")
+    top = RT.top_k_by_similarity(summ.join(q, ["dataset", "entry_id"]), F.col("qvec"), F.col("vec"), 3, tie=("cluster_id",))
+    return RT.excerpts_prompt(qa, top, "summary").select("dataset", "entry_id", "prompt")
 
 
 _GRAPH_CTES = (
     O.chunks_cte(400, "cg"),
-    f"cv AS (SELECT entry_id, chunk_id, {O.hashed_vec('text')} AS v FROM cg)",
-    f"pr AS (SELECT a.entry_id, a.chunk_id AS src, b.chunk_id AS dst, {O.cos('a.v', 'b.v')} AS w FROM cv a JOIN cv b ON a.entry_id = b.entry_id AND a.chunk_id < b.chunk_id)",
+    f"cv AS (SELECT dataset, entry_id, chunk_id, {O.hashed_vec('text')} AS v FROM cg)",
+    f"pr AS (SELECT a.dataset, a.entry_id, a.chunk_id AS src, b.chunk_id AS dst, {O.cos('a.v', 'b.v')} AS w FROM cv a JOIN cv b ON a.dataset = b.dataset AND a.entry_id = b.entry_id AND a.chunk_id < b.chunk_id)",
 )
 
 
 @register(
     "c07_similarity_graph",
-    O.with_qa("SELECT entry_id, src, dst, round(w, 6) AS weight FROM pr WHERE w > 0.5 UNION ALL "
-              "SELECT entry_id, dst AS src, src AS dst, round(w, 6) AS weight FROM pr WHERE w > 0.5", *_GRAPH_CTES),
+    O.with_qa("SELECT dataset, entry_id, src, dst, round(w, 6) AS weight FROM pr WHERE w > 0.5 UNION ALL "
+              "SELECT dataset, entry_id, dst AS src, src AS dst, round(w, 6) AS weight FROM pr WHERE w > 0.5", *_GRAPH_CTES),
 )
 def c07_similarity_graph(spark, sf_dir):
     qa = qa_view(spark, sf_dir, labels=False)
     ch = RT.embed(RT.chunk(qa, "Context", 400), "text")
     g = RT.similarity_graph(ch, 0.5)
-    return g.select("entry_id", "src", "dst", r6(F.col("weight")).alias("weight"))
+    return g.select("dataset", "entry_id", "src", "dst", r6(F.col("weight")).alias("weight"))
 
 
 _RANK_CTES = (
     O.chunks_cte(100),
-    f"cv AS (SELECT ch.entry_id, ch.chunk_id, ch.text, {O.hashed_vec('ch.text')} AS v FROM ch)",
-    f"qv AS (SELECT entry_id, Question, {O.hashed_vec('Question')} AS qv FROM qa)",
-    f"sc AS (SELECT cv.*, {O.cos('qv.qv', 'cv.v')} AS sim FROM cv JOIN qv USING (entry_id))",
-    "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY sim DESC, chunk_id) AS rank FROM sc) WHERE rank <= 3)",
-    f"nb AS (SELECT t.entry_id, t.rank, c.chunk_id AS nb, c.text AS nt, {O.cos('t.v', 'c.v')} AS w FROM top t JOIN cv c ON c.entry_id = t.entry_id AND c.chunk_id <> t.chunk_id)",
-    "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_id, rank ORDER BY w DESC, nb) AS o FROM nb WHERE w > 0.5) WHERE o = 1)",
-    "ref AS (SELECT top.entry_id, top.rank, top.chunk_id, coalesce(best.nb, top.chunk_id) AS refined_id, coalesce(best.nt, top.text) AS refined_text FROM top LEFT JOIN best USING (entry_id, rank))",
+    f"cv AS (SELECT ch.*, {O.hashed_vec('ch.text')} AS v FROM ch)",
+    f"qv AS (SELECT dataset, entry_id, {O.hashed_vec('Question')} AS qv FROM qa)",
+    f"sc AS (SELECT cv.*, {O.cos('qv.qv', 'cv.v')} AS sim FROM cv JOIN qv USING (dataset, entry_id))",
+    "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, entry_id ORDER BY sim DESC, chunk_id) AS rank FROM sc) WHERE rank <= 3)",
+    f"nb AS (SELECT t.dataset, t.entry_id, t.rank, c.chunk_id AS nb, c.text AS nt, {O.cos('t.v', 'c.v')} AS w FROM top t JOIN cv c ON c.dataset = t.dataset AND c.entry_id = t.entry_id AND c.chunk_id <> t.chunk_id)",
+    "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, entry_id, rank ORDER BY w DESC, nb) AS o FROM nb WHERE w > 0.5) WHERE o = 1)",
+    "ref AS (SELECT top.dataset, top.entry_id, top.rank, top.chunk_id, coalesce(best.nb, top.chunk_id) AS refined_id, coalesce(best.nt, top.text) AS refined_text FROM top LEFT JOIN best USING (dataset, entry_id, rank))",
+    f"ex AS (SELECT dataset, entry_id, string_agg(refined_text, {NL2} ORDER BY rank) AS ex, first(refined_text ORDER BY rank) AS lead FROM ref GROUP BY ALL)",
 )
 
 
-def _graph_top(spark, sf_dir):
-    qa = qa_view(spark, sf_dir, labels=False)
-    ch = RT.embed(RT.chunk(qa, "Context", 100), "text").repartition("entry_id")
-    q = RT.embed(qa.select("entry_id", "Question"), "Question", "qvec").select("entry_id", "qvec")
-    top = RT.top_k_by_similarity(ch.join(q, "entry_id"), F.col("qvec"), F.col("vec"), 3)
+def _graph_top(spark, sf_dir, **view):
+    qa = qa_view(spark, sf_dir, labels=False, **view)
+    ch = RT.embed(RT.chunk(qa, "Context", 100), "text").repartition("dataset", "entry_id")
+    q = RT.embed(qa.select("dataset", "entry_id", "Question"), "Question", "qvec").select("dataset", "entry_id", "qvec")
+    top = RT.top_k_by_similarity(ch.join(q, ["dataset", "entry_id"]), F.col("qvec"), F.col("vec"), 3)
     return qa, ch, top
 
 
-@register("c08_node_ranking", O.with_qa("SELECT entry_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(sim, 6) AS sim FROM top", *_RANK_CTES))
+@register("c08_node_ranking", O.with_qa("SELECT dataset, entry_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(sim, 6) AS sim FROM top", *_RANK_CTES))
 def c08_node_ranking(spark, sf_dir):
     _qa, _ch, top = _graph_top(spark, sf_dir)
-    return top.select("entry_id", "rank", "chunk_id", r6(F.col("sim")).alias("sim"))
+    return top.select("dataset", "entry_id", "rank", "chunk_id", r6(F.col("sim")).alias("sim"))
 
 
-@register("c09_neighbour_refinement", O.with_qa("SELECT entry_id, CAST(rank AS INTEGER) AS rank, chunk_id, refined_id FROM ref", *_RANK_CTES))
+@register("c09_neighbour_refinement", O.with_qa("SELECT dataset, entry_id, CAST(rank AS INTEGER) AS rank, chunk_id, refined_id FROM ref", *_RANK_CTES))
 def c09_neighbour_refinement(spark, sf_dir):
     _qa, ch, top = _graph_top(spark, sf_dir)
-    return RT.refine_with_neighbours(top, ch, 0.5).select("entry_id", "rank", "chunk_id", "refined_id")
+    return RT.refine_with_neighbours(top, ch, 0.5).select("dataset", "entry_id", "rank", "chunk_id", "refined_id")
 
 
-@register(
-    "c12_graphrag_prompt",
-    O.with_qa(f"SELECT qa.entry_id, {PROMPT_SQL} coalesce(e.ex, '') AS prompt FROM qa LEFT JOIN "
-              f"(SELECT entry_id, string_agg(refined_text, {NL2} ORDER BY rank) AS ex FROM ref GROUP BY entry_id) e USING (entry_id)",
-              *_RANK_CTES),
-)
+def _graph_prompt_sql(ids: str = "lang") -> str:
+    return O.with_qa(f"SELECT dataset, entry_id, {PROMPT_SQL} coalesce(ex.ex, '') AS prompt FROM qa LEFT JOIN ex USING (dataset, entry_id)", *_RANK_CTES, ids=ids)
+
+
+@register("c12_graphrag_prompt", _graph_prompt_sql())
 def c12_graphrag_prompt(spark, sf_dir):
+    """Composed of the operators, as with an embedder that only maps columns."""
     qa, ch, top = _graph_top(spark, sf_dir)
     ref = RT.refine_with_neighbours(top, ch, 0.5)
-    return RT.excerpts_prompt(qa, ref.select("entry_id", "rank", F.col("refined_text").alias("text")), "text").select("entry_id", "prompt")
+    return RT.excerpts_prompt(qa, ref.select("dataset", "entry_id", "rank", F.col("refined_text").alias("text")), "text").select("dataset", "entry_id", "prompt")
+
+
+@register("c12c_graphrag_shared_ids", _graph_prompt_sql("shared"))
+def c12c_graphrag_shared_ids(spark, sf_dir):
+    """The technique's own map-only path, on sets whose ids restart."""
+    out = RT.run_retrieval(qa_view(spark, sf_dir, labels=False, shared_ids=True), "graphrag")
+    return out.select("dataset", "entry_id", F.coalesce("prompt", RT.rag_prompt(F.col("Question"), F.lit(""))).alias("prompt"))
 
 
-@register("c10_rag_prompt", O.with_qa(f"SELECT entry_id, {PROMPT_SQL} coalesce(Context, '') AS prompt FROM qa"))
+@register("c10_rag_prompt", O.with_qa(f"SELECT dataset, entry_id, {PROMPT_SQL} coalesce(Context, '') AS prompt FROM qa"))
 def c10_rag_prompt(spark, sf_dir):
     qa = qa_view(spark, sf_dir, labels=False)
-    return qa.select("entry_id", RT.rag_prompt(F.col("Question"), F.col("Context")).alias("prompt"))
+    return qa.select("dataset", "entry_id", RT.rag_prompt(F.col("Question"), F.col("Context")).alias("prompt"))
 
 
 def c11_raptor(spark, sf_dir):
@@ -822,19 +899,46 @@ def c11_raptor(spark, sf_dir):
     return RT.run_retrieval(qa, "raptor").select("dataset", "entry_id", "Predicted", "GenerationError")
 
 
+REGISTRY["c11_raptor"] = (c11_raptor, None)
+
+
+def _answer_sql(body: str) -> str:
+    """The default generator: the first excerpt up to its first '. ' or line end, stripped."""
+    first = f"split_part({body}, {NL2}, 1)"
+    cut = f"list_min(list_filter([strpos({first}, '. '), strpos({first}, chr(10))], lambda x: x > 0))"
+    return f"regexp_replace(CASE WHEN {cut} IS NULL THEN {first} ELSE substr({first}, 1, {cut}) END, '^{O.WS_CLASS}+|{O.WS_CLASS}+$', '', 'g')"
+
+
+@register("c12b_graphrag_run", O.with_qa(f"SELECT dataset, entry_id, CASE WHEN coalesce(Context, '') = '' THEN '' ELSE {_answer_sql('coalesce(ex, chr(32))')} END AS Predicted, "
+                                         "CAST(NULL AS VARCHAR) AS GenerationError FROM qa LEFT JOIN ex USING (dataset, entry_id)", *_RANK_CTES))
 def c12b_graphrag_run(spark, sf_dir):
     qa = qa_view(spark, sf_dir, labels=False)
     return RT.run_retrieval(qa, "graphrag").select("dataset", "entry_id", "Predicted", "GenerationError")
 
 
+@register("c14_generate", O.with_qa(f"SELECT dataset, entry_id, {_answer_sql(chr(39) + chr(39) + ' || coalesce(Context, ' + chr(39) + chr(39) + ')')} AS Predicted, CAST(NULL AS VARCHAR) AS GenerationError FROM qa"))
 def c14_generate(spark, sf_dir):
     qa = qa_view(spark, sf_dir, labels=False)
     return RT.run_retrieval(qa, "rag").select("dataset", "entry_id", "Predicted", "GenerationError")
 
 
-REGISTRY["c11_raptor"] = (c11_raptor, None)
-REGISTRY["c12b_graphrag_run"] = (c12b_graphrag_run, None)
-REGISTRY["c14_generate"] = (c14_generate, None)
+def _failing_generator():
+    def gen(prompts):
+        if any(len(p) % 7 == 0 for p in prompts):
+            raise RuntimeError("refused")
+        return [str(len(p)) for p in prompts]
+
+    return gen
+
+
+_PROMPT_LEN = f"length({PROMPT_SQL} coalesce(Context, ''))"
+
+
+@register("c14b_generate_errors", O.with_qa(f"SELECT dataset, entry_id, CASE WHEN {_PROMPT_LEN} % 7 <> 0 THEN CAST({_PROMPT_LEN} AS VARCHAR) END AS Predicted, "
+                                            f"CASE WHEN {_PROMPT_LEN} % 7 = 0 THEN 'RuntimeError(''refused'')' END AS GenerationError FROM qa"))
+def c14b_generate_errors(spark, sf_dir):
+    out = RT.run_retrieval(qa_view(spark, sf_dir, labels=False), "rag", generator=_failing_generator)
+    return out.select("dataset", "entry_id", "Predicted", "GenerationError")
 
 
 @register(
@@ -873,33 +977,27 @@ REGISTRY["d07_levenshtein"] = (
 )
 
 
-def _bleu_sql() -> str:
-    ms = []
-    for n in (1, 2, 3, 4):
-        pg, gg = O.ngrams("pt", n), O.ngrams("gt", n)
-        ms.append(f"coalesce(list_sum(list_transform(list_distinct({pg}), lambda g: least({O.cnt(pg, 'g')}, {O.cnt(gg, 'g')}))), 0)")
-    precs = [f"(CASE WHEN P - {n} + 1 > 0 THEN {m} / (P - {n} + 1)::DOUBLE ELSE 0.0 END)" for n, m in zip((1, 2, 3, 4), ms)]
-    any0 = " OR ".join(f"{p} = 0" for p in precs)
-    geo = "exp((" + " + ".join(f"ln({p})" for p in precs) + ") / 4.0)"
-    return (f"CASE WHEN P = 0 AND G = 0 THEN 1.0 WHEN P = 0 OR G = 0 THEN 0.0 WHEN {any0} THEN 0.0 "
-            f"ELSE (CASE WHEN P > G THEN 1.0 ELSE exp(1.0 - G / P::DOUBLE) END) * {geo} END")
-
-
-REGISTRY["d11_bleu"] = (_metric_spark(["bleu"], ["bleu"]), _metric_sql({"bleu": _bleu_sql()}, ("prep2 AS (SELECT * FROM prep)",)))
+_PRECS = [f"(CASE WHEN P - {n} + 1 > 0 THEN coalesce(m{n}, 0) / (P - {n} + 1)::DOUBLE ELSE 0.0 END)" for n in (1, 2, 3, 4)]
+_BLEU = (
+    "CASE WHEN P = 0 AND G = 0 THEN 1.0 WHEN P = 0 OR G = 0 THEN 0.0 WHEN " + " OR ".join(f"{p} = 0" for p in _PRECS)
+    + " THEN 0.0 ELSE (CASE WHEN P > G THEN 1.0 ELSE exp(1.0 - G / P::DOUBLE) END) * exp((" + " + ".join(f"ln({p})" for p in _PRECS) + ") / 4.0) END"
+)
+REGISTRY["d11_bleu"] = (
+    _metric_spark(["bleu"], ["bleu"]),
+    _metric_sql({"bleu": _BLEU}, (O.grams_cte("pt", "gt", (1, 2, 3, 4)), "prep2 AS (SELECT * FROM prep LEFT JOIN gm USING (dataset, entry_id))")),
+)
 
 
 def _rouge_n_sql(n: int) -> str:
-    pg, gg = O.ngrams("rp", n), O.ngrams("rg", n)
-    ov = f"coalesce(list_sum(list_transform(list_distinct({pg}), lambda g: least({O.cnt(pg, 'g')}, {O.cnt(gg, 'g')}))), 0)"
-    pr = f"({ov} / greatest(len({pg}), 1)::DOUBLE)"
-    rc = f"({ov} / greatest(len({gg}), 1)::DOUBLE)"
+    pr, rc = f"(coalesce(m{n}, 0) / greatest(coalesce(p{n}, 0), 1))", f"(coalesce(m{n}, 0) / greatest(coalesce(g{n}, 0), 1))"
     return f"CASE WHEN P = 0 OR G = 0 THEN 0.0 WHEN {pr} + {rc} > 0 THEN 2 * {pr} * {rc} / ({pr} + {rc}) ELSE 0.0 END"
 
 
 REGISTRY["d12_rouge_n"] = (
     _metric_spark(["rouge1", "rouge2"], ["rouge1", "rouge2"]),
     _metric_sql({"rouge1": _rouge_n_sql(1), "rouge2": _rouge_n_sql(2)},
-                (f"prep2 AS (SELECT *, {O.rouge_tokens('pred')} AS rp, {O.rouge_tokens('ref')} AS rg FROM prep)",)),
+                (f"prep1 AS (SELECT dataset, entry_id, {O.rouge_tokens('pred')} AS rp, {O.rouge_tokens('ref')} AS rg FROM prep0)",
+                 O.grams_cte("rp", "rg", (1, 2), "prep1"), "prep2 AS (SELECT * FROM prep LEFT JOIN gm USING (dataset, entry_id))")),
 )
 REGISTRY["d15_nli_default"] = (
     _metric_spark(["nli_entail", "nli_neutral", "nli_contra"], ["nli_entail", "nli_neutral", "nli_contra"]),
@@ -950,22 +1048,22 @@ def _trial_sql_ctes():
     ex = O.metric_exprs()
     pick = " UNION ALL ".join(
         f"SELECT {t} AS trial, dataset, entry_id FROM (SELECT dataset, entry_id, row_number() OVER (PARTITION BY dataset ORDER BY "
-        f"{O.u(42 + t, 'pick', 'entry_id')}, entry_id) AS rn FROM qa) WHERE rn <= {SAMPLE_N}"
+        f"{O.u(42 + t, 'pick', O.ID)}, entry_id) AS rn FROM qa) WHERE rn <= {SAMPLE_N}"
         for t in range(_TRIALS)
     )
     return (
         O.PREP_CTE,
         f"dr AS ({pick})",
-        f"sc AS (SELECT entry_id, {ex['EM']} AS \"EM\", {ex['F1']} AS \"F1\" FROM prep)",
-        "lm AS (UNPIVOT (SELECT dr.trial, dr.dataset, sc.\"EM\", sc.\"F1\" FROM dr JOIN sc USING (entry_id)) ON \"EM\", \"F1\" INTO NAME metric VALUE value)",
+        f"sc AS (SELECT dataset, entry_id, {ex['EM']} AS \"EM\", {ex['F1']} AS \"F1\" FROM prep)",
+        "lm AS (UNPIVOT (SELECT dr.trial, dr.dataset, sc.\"EM\", sc.\"F1\" FROM dr JOIN sc USING (dataset, entry_id)) ON \"EM\", \"F1\" INTO NAME metric VALUE value)",
         "ts AS (SELECT trial, dataset, metric, avg(value) AS mean, count(value) AS n FROM lm GROUP BY ALL)",
         "st AS (SELECT dataset, metric, avg(mean) AS m, stddev_pop(mean) AS s, count(mean) AS trials FROM ts GROUP BY ALL)",
         "disp AS (SELECT *, CASE WHEN round(s, 3) = 0 THEN printf('%.3f', m) ELSE printf('%.3f ± %.3f', m, s) END AS display FROM st)",
     )
 
 
-def _trials(spark, sf_dir):
-    qa = qa_view(spark, sf_dir, labels=False)
+def _trials(spark, sf_dir, **view):
+    qa = qa_view(spark, sf_dir, labels=False, **view)
     return PL.run_trials(qa, "uniform_random", {"n": SAMPLE_N}, trials=_TRIALS, metrics=["em", "f1"])
 
 
@@ -975,6 +1073,12 @@ def e03_trials(spark, sf_dir):
     return summ.select("trial", "dataset", "metric", r6(F.col("mean")).alias("mean"), "n")
 
 
+@register("e03b_trials_shared_ids", O.with_qa("SELECT CAST(trial AS INTEGER) AS trial, dataset, metric, round(mean, 6) AS mean, n FROM ts", *_trial_sql_ctes(), ids="shared"))
+def e03b_trials_shared_ids(spark, sf_dir):
+    summ, _ = _trials(spark, sf_dir, shared_ids=True)
+    return summ.select("trial", "dataset", "metric", r6(F.col("mean")).alias("mean"), "n")
+
+
 @register("e04_trial_stats", O.with_qa("SELECT dataset, metric, round(m, 6) AS trial_mean, round(s, 6) AS trial_std, trials, display FROM disp", *_trial_sql_ctes()))
 def e04_trial_stats(spark, sf_dir):
     _, st = _trials(spark, sf_dir)
@@ -1004,12 +1108,12 @@ _PIPE_CFG = {"mode": "dataset", "subsampling": {"method": "uniform_random", "n":
         "SELECT dataset, metric, round(avg(value), 6) AS mean, count(value) AS n FROM lm GROUP BY dataset, metric",
         O.PREP_CTE,
         "dd AS (SELECT dataset, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY lower(regexp_replace(coalesce(Question, ''), "
-        f"'^{O.WS_CLASS}+|{O.WS_CLASS}+$', '', 'g')), lower(substr(coalesce(Context, ''), 1, 256)), pos, entry_id) AS x, "
+        f"'^{O.WS_CLASS}+|{O.WS_CLASS}+$', '', 'g')), pos, entry_id) AS x, "
         f"row_number() OVER (PARTITION BY dataset, lower(regexp_replace(coalesce(Question, ''), '^{O.WS_CLASS}+|{O.WS_CLASS}+$', '', 'g')), "
-        "lower(substr(coalesce(Context, ''), 1, 256)) ORDER BY pos, entry_id) AS rn FROM qa) WHERE rn = 1)",
-        f"sp AS (SELECT dataset, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY {O.u(42, 'pick', 'entry_id')}, entry_id) AS r FROM dd) WHERE r <= {SAMPLE_N})",
+        "lower(coalesce(Context, '')) ORDER BY pos, entry_id) AS rn FROM qa) WHERE rn = 1)",
+        f"sp AS (SELECT dataset, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY {O.u(42, 'pick', O.ID)}, entry_id) AS r FROM dd) WHERE r <= {SAMPLE_N})",
         f"sc AS (SELECT prep.dataset, entry_id, {O.metric_exprs((1, 3))['EM']} AS \"EM\", {O.metric_exprs((1, 3))['F1']} AS \"F1\", "
-        f"{O.metric_exprs((1, 3))['MRR']} AS \"MRR\" FROM prep JOIN sp USING (entry_id))",
+        f"{O.metric_exprs((1, 3))['MRR']} AS \"MRR\" FROM prep JOIN sp USING (dataset, entry_id))",
         "lm AS (UNPIVOT sc ON \"EM\", \"F1\", \"MRR\" INTO NAME metric VALUE value)",
     ),
 )
@@ -1019,6 +1123,43 @@ def e06_pipeline(spark, sf_dir):
     return out["metrics_summary"].select("dataset", "metric", r6(F.col("mean")).alias("mean"), "n")
 
 
+_RAG_CFG = {"mode": "api", "dedupe": False, "retrieval": {"technique": "rag"}}
+_RAG_EM = "CASE WHEN " + O.normalize(f"({_answer_sql(chr(39) + chr(39) + ' || coalesce(Context, ' + chr(39) + chr(39) + ')')})") + " = " + O.normalize("Response") + " THEN 1.0 ELSE 0.0 END"
+
+
+def _rag_draw(seed: int) -> str:
+    return (f"(SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY {O.u(seed, 'pick', O.ID)}, entry_id) AS rn FROM qa)")
+
+
+@register("e06b_pipeline_api", O.with_qa(f"SELECT dataset, 'EM' AS metric, round(avg({_RAG_EM}), 6) AS mean, count(*) AS n, count(*) AS n_predictions FROM {_rag_draw(42)} WHERE rn <= {SAMPLE_N} GROUP BY dataset"))
+def e06b_pipeline_api(spark, sf_dir):
+    """The api mode with all artifacts written; the counts come from the written predictions."""
+    folder = scratch_path(spark, "artifacts")
+    cfg = _RAG_CFG | {"subsampling": {"method": "uniform_random", "n": SAMPLE_N}, "evals": {"metrics": ["em"]}, "artifacts_dir": folder}
+    out = PL.run_pipeline(qa_view(spark, sf_dir, labels=False), cfg)
+    written = spark.read.json(f"{folder}/predictions").groupBy("dataset").agg(F.count(F.lit(1)).alias("n_predictions"))
+    return out["metrics_summary"].join(written, "dataset").select("dataset", "metric", r6(F.col("mean")).alias("mean"), "n", "n_predictions")
+
+
+@register("e03c_trials_rag", O.with_qa("SELECT trial, dataset, 'EM' AS metric, round(avg(em), 6) AS mean, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT {t} AS trial, dataset, {_RAG_EM} AS em FROM {_rag_draw(42 + t)} WHERE rn <= {SAMPLE_N}" for t in range(_TRIALS)) + ") GROUP BY ALL"))
+def e03c_trials_rag(spark, sf_dir):
+    qa = qa_view(spark, sf_dir, labels=False)
+    summ, _ = PL.run_trials(qa, "uniform_random", {"n": SAMPLE_N}, trials=_TRIALS, metrics=["em"], cfg=_RAG_CFG)
+    return summ.select("trial", "dataset", "metric", r6(F.col("mean")).alias("mean"), "n")
+
+
+@register("e01b_empty_dataset", O.with_qa("SELECT s.dataset, 'EM' AS metric, round(avg(CASE WHEN pn = gn THEN 1.0 ELSE 0.0 END) FILTER (prep0.dataset IS NOT NULL), 6) AS mean, count(prep0.dataset) AS n "
+                                          "FROM (SELECT DISTINCT dataset FROM qa UNION ALL SELECT 'none') s LEFT JOIN prep0 ON prep0.dataset = s.dataset GROUP BY s.dataset", O.PREP_CTE))
+def e01b_empty_dataset(spark, sf_dir):
+    from ..operators.report import summarise
+
+    qa = qa_view(spark, sf_dir, labels=False)
+    names = qa.select("dataset").distinct().unionByName(spark.range(1).select(F.lit("none").alias("dataset")))
+    scored, keys = score_columns(qa, ["em"])
+    return summarise(scored, keys, names).select("dataset", "metric", r6(F.col("mean")).alias("mean"), "n")
+
+
 @register(
     "e07_evaluation_step",
     O.with_qa(
@@ -1060,3 +1201,19 @@ def b16_date_parser(spark, sf_dir):
     num = F.when(m4 == 3, F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("double"))
     parsed = F.coalesce(S.parse_date(s, "string"), S.parse_date(num, "double"))
     return ev.select("event_id", F.unix_timestamp(parsed.cast("timestamp")).alias("epoch_s"))
+
+
+@register(
+    "b16b_iso_forms",
+    "SELECT event_id, CAST(epoch_us(CASE event_id % 6 WHEN 0 THEN date_trunc('day', ts) WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN date_trunc('hour', ts - INTERVAL 330 MINUTE) + INTERVAL 330 MINUTE ELSE ts END) AS BIGINT) AS micros FROM events",
+)
+def b16b_iso_forms(spark, sf_dir):
+    ev = _read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    m = F.col("event_id") % 6
+    text = lambda form, shift=0: F.date_format(F.col("ts") + F.expr(f"INTERVAL {shift} MINUTES"), form)
+    s = (
+        F.when(m == 0, text("yyyyMMdd")).when(m == 1, text("yyyy-MM-dd'T'HH:mm")).when(m == 2, F.concat(text("yyyy-MM-dd HH", -330), F.lit("-0530")))
+        .when(m == 3, text("yyyy-MM-dd HH:mm:ss.SSSSSS")).when(m == 4, F.concat(text("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", 60), F.lit("+01")))
+        .otherwise(F.concat(text("yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00")))
+    )
+    return ev.select("event_id", F.unix_micros(S.parse_date(s, "string").cast("timestamp")).alias("micros"))

@@ -9,7 +9,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS_CLASS
@@ -28,7 +30,6 @@ KEY_SYNONYMS = {
 CANONICAL = ["Question", "Context", "Response", "Predicted", "RetrievedContexts", "RetrievedDocIds", "GoldDocId"]
 TEXT_COLS = ["Question", "Context", "Response", "Predicted", "GoldDocId"]
 DEFAULT_DATASET = "uploaded"
-POS_BLOCK_SHIFT = 2**20  # pos = byte offset of the split * 2^20 + line index inside it
 
 
 def normalise_key(k: str) -> str:
@@ -48,21 +49,21 @@ def _priority(raw: str, canon: str) -> int:
     return keys.index(nk) if nk in keys else len(keys)
 
 
+def _normalised(k: Column) -> Column:
+    """``normalise_key`` as a column expression."""
+    trimmed = F.regexp_replace(k, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(trimmed), " ", ""), "-", "_")
+
+
 def _key_expr(k: Column) -> Column:
-    """Canonical key of a key column (SQL CASE over the synonym table)."""
-    nk = F.regexp_replace(F.replace(F.lower(F.trim(k)), F.lit(" "), F.lit("")), "-", "_")
-    expr = None
-    for syn, canon in KEY_SYNONYMS.items():
-        expr = (F.when(nk == syn, F.lit(canon)) if expr is None else expr.when(nk == syn, F.lit(canon)))
-    return expr.otherwise(k)
+    """Canonical key of a key column."""
+    table = F.create_map(*[F.lit(x) for kv in KEY_SYNONYMS.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, _normalised(k)), k)
 
 
 def _key_priority(k: Column, canon: Column) -> Column:
-    nk = F.regexp_replace(F.replace(F.lower(F.trim(k)), F.lit(" "), F.lit("")), "-", "_")
-    expr = F.when(k == canon, F.lit(-1))
-    for i, syn in enumerate(KEY_SYNONYMS):
-        expr = expr.when(nk == syn, F.lit(i))
-    return expr.otherwise(F.lit(len(KEY_SYNONYMS)))
+    order = F.create_map(*[F.lit(x) for i, syn in enumerate(KEY_SYNONYMS) for x in (syn, i)])
+    return F.when(k == canon, F.lit(-1)).otherwise(F.coalesce(F.try_element_at(order, _normalised(k)), F.lit(len(KEY_SYNONYMS))))
 
 
 # ------------------------------------------------------------------ typed tables ------
@@ -77,7 +78,8 @@ def read_table(
     mapping: dict | None = None,
 ) -> DataFrame:
     """Canonicalise a typed DataFrame: rename columns through the synonym table (or an
-    explicit ``mapping``), add dataset / entry_id / pos."""
+    explicit ``mapping``), add dataset / entry_id / pos. Without an id or order column a row's id
+    is the digest of its content and a count among equal rows, whatever the partitioning."""
     mapping = dict(mapping or {})
     chosen: dict[str, str] = {}
     for c in df.columns:
@@ -101,8 +103,14 @@ def read_table(
         eid = F.col("entry_id").cast("string")
     elif "id" in df.columns and "id" not in used:
         eid = F.col("id").cast("string")
+    elif pos is not None:
+        eid = F.md5(F.concat_ws("\u0001", F.lit("table"), ds.cast("string"), pos.cast("string")))
     else:
-        eid = F.md5(F.concat_ws("\u0001", F.lit("table"), ds.cast("string"), (pos if pos is not None else F.lit("")).cast("string")))
+        content = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+        name = "__content"
+        df = df.withColumn(name, content)
+        again = F.row_number().over(Window.partitionBy(name).orderBy(name))
+        eid = F.when(again == 1, F.col(name)).otherwise(F.concat_ws("-", F.col(name), again.cast("string")))
     cols.append(eid.alias("entry_id"))
     cols.append((pos if pos is not None else F.lit(None)).cast("bigint").alias("pos"))
     for target, src in chosen.items():
@@ -168,19 +176,21 @@ def _falsy(x: Column) -> Column:
     )
 
 
-def _split_pos() -> Column:
-    """Stable line position: split start offset * 2^20 + index inside the split."""
-    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return F.col("_metadata.file_block_start") * F.lit(POS_BLOCK_SHIFT) + local
-
-
 def read_jsonl(spark: SparkSession, path, dataset_name: str = DEFAULT_DATASET) -> DataFrame:
-    """One JSON object per non-blank line (splittable)."""
+    """One JSON object per non-blank line (splittable). ``pos`` counts the lines in the order of
+    (file, split, line): a line's place does not depend on how splits are packed into tasks, and
+    neither does the id made from it. A first pass counts the lines of each split."""
     lines = spark.read.text(path).select(
-        F.col("value"), F.col("_metadata.file_path").alias("file"), _split_pos().alias("pos")
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_seq"),  # order within a split only
+    ).where(F.col("value").rlike("[^" + WS_CLASS[1:]))
+    splits = lines.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("file", "_start").rowsBetween(Window.unboundedPreceding, -1))  # a row a split
+    splits = splits.select("file", "_start", F.coalesce(before, F.lit(0)).alias("_before"))
+    ranked = F.row_number().over(Window.partitionBy("file", "_start").orderBy("_seq")) - 1
+    rows = lines.withColumn("_i", ranked).join(splits, ["file", "_start"]).select(
+        F.lit(dataset_name).alias("dataset"), (F.col("_before") + F.col("_i")).cast("bigint").alias("pos"), "file", F.parse_json("value").alias("row")
     )
-    lines = lines.where(F.col("value").rlike("[^" + WS_CLASS[1:]))
-    rows = lines.select(F.lit(dataset_name).alias("dataset"), "pos", "file", F.parse_json("value").alias("row"))
     return variant_rows_to_canonical(rows)
 
 
@@ -201,13 +211,15 @@ def _document_datasets(doc: Column, default_name: Column) -> Column:
         .when(as_obj.isNotNull() & (F.size(keys) == 1) & (F.try_element_at(keys, F.lit(1)) == "data") & data.isNotNull(), one(data))
         .when(as_obj.isNotNull() & (F.size(keys) > 0) & all_lists, named)
         .when(as_obj.isNotNull() & (F.size(keys) > 0), one(F.array(doc)))
+        .otherwise(F.raise_error(F.lit("a JSON document must be a list of rows, an object of lists, or one row object")))
     )
 
 
-def read_json(spark: SparkSession, path, dataset_name: str = DEFAULT_DATASET) -> DataFrame:
-    """JSON documents, one per file: list of rows, {"data": [...]} (sole key),
-    {name: [rows]} or a single row object. Other shapes yield no rows."""
-    docs = spark.read.text(path, wholetext=True).select(
+def read_json(spark: SparkSession, path, dataset_name: str = DEFAULT_DATASET, one_per_line: bool = False) -> DataFrame:
+    """JSON documents: list of rows, {"data": [...]} (sole key), {name: [rows]} or a single row
+    object; other shapes are an error. A file is one document, or with ``one_per_line`` one on each
+    line, which lets a large file be split."""
+    docs = spark.read.text(path, wholetext=not one_per_line).select(
         F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("doc")
     )
     sets = docs.select("file", F.explode(_document_datasets(F.col("doc"), F.lit(dataset_name))).alias("ds"))
@@ -215,21 +227,22 @@ def read_json(spark: SparkSession, path, dataset_name: str = DEFAULT_DATASET) ->
     return variant_rows_to_canonical(rows.select("dataset", F.col("pos").cast("bigint").alias("pos"), "file", "row"))
 
 
+def _plain_path(p: str) -> str:
+    """A path as Spark's file metadata spells it, without the local scheme."""
+    return re.sub("^file:(//)?", "", p)
+
+
 def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Several JSON documents in one read; a list takes the file stem as its name, an object
-    keeps its list-valued keys; a name already taken gets ``_2``, ``_3``... in the order the
-    paths are given. The path -> order table is as long as the user's path list."""
-    from pyspark.sql import Window
-
-    order = spark.createDataFrame(
-        [(i, p, p.rstrip("/").split("/")[-1].rsplit(".", 1)[0] or f"ds{i + 1}") for i, p in enumerate(paths)],
-        "_fi int, _path string, _stem string",
-    )
+    keeps its list-valued keys; a name already taken gets the next free of ``_2``, ``_3``... in the
+    order the paths are given. Only the set names meet in the driver, a few per path."""
+    stems = [p.rstrip("/").split("/")[-1].rsplit(".", 1)[0] or f"ds{i + 1}" for i, p in enumerate(paths)]
+    order = spark.createDataFrame([(i, _plain_path(p), s) for i, (p, s) in enumerate(zip(paths, stems))], "_fi int, _path string, _stem string")
     docs = spark.read.text(paths, wholetext=True).select(
-        F.parse_json("value").alias("doc"), F.col("_metadata.file_path").alias("file")
+        F.parse_json("value").alias("doc"), F.col("_metadata.file_path").alias("file"),
+        F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:(//)?", "").alias("_path"),
     )
-    norm_path = F.regexp_replace(F.col("file"), "^file:(//)?", "")
-    docs = docs.join(F.broadcast(order), (norm_path == F.regexp_replace(F.col("_path"), "^file:(//)?", "")) | (F.col("file") == F.col("_path")))
+    docs = docs.join(order, "_path")
     as_list = F.try_variant_get(F.col("doc"), "$", "array<variant>")
     as_obj = F.try_variant_get(F.col("doc"), "$", "map<string,variant>")
     named = F.filter(
@@ -238,10 +251,14 @@ def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
     sets = F.when(as_list.isNotNull(), F.array(F.struct(F.col("_stem").alias("name"), as_list.alias("rows")))).otherwise(named)
     allsets = docs.select("_fi", "file", F.posexplode(sets).alias("_ki", "ds"))
-    w = Window.partitionBy(F.col("ds.name")).orderBy("_fi", "_ki")
-    k = F.row_number().over(w)
-    named_sets = allsets.select(
-        "file", "ds", F.when(k == 1, F.col("ds.name")).otherwise(F.concat(F.col("ds.name"), F.lit("_"), k.cast("string"))).alias("dataset")
-    )
-    rows = named_sets.select("file", "dataset", F.posexplode("ds.rows").alias("pos", "row"))
+    taken: set[str] = set()
+    names = []
+    for fi, ki, name in sorted(map(tuple, allsets.select("_fi", "_ki", "ds.name").collect())):
+        free, i = name, 2
+        while free in taken:
+            free, i = f"{name}_{i}", i + 1
+        taken.add(free)
+        names.append((fi, ki, free))
+    table = spark.createDataFrame(names, "_fi int, _ki int, dataset string")
+    rows = allsets.join(table, ["_fi", "_ki"]).select("file", "dataset", F.posexplode("ds.rows").alias("pos", "row"))
     return variant_rows_to_canonical(rows.select("dataset", F.col("pos").cast("bigint").alias("pos"), "file", "row"))

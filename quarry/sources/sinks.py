@@ -53,3 +53,11 @@ def write_artifacts(artifacts: dict[str, DataFrame], out_dir: str, fmt: str = "j
         path = f"{out_dir.rstrip('/')}/{name}"
         out[name] = write_parquet(df, path) if fmt == "parquet" else write_jsonl(df, path)
     return out
+
+
+def write_trials_report(per_trial: DataFrame, stats: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """One JSON line per (dataset, metric): the mean and n of every trial, and their mean, spread
+    and display text. ``per_trial`` and ``stats`` come from ``run_trials``."""
+    runs = per_trial.groupBy("dataset", "metric").agg(F.sort_array(F.collect_list(F.struct("trial", "mean", "n"))).alias("trials_run"))
+    stats.join(runs, ["dataset", "metric"], "left").write.mode(mode).json(path)
+    return path

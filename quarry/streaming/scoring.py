@@ -1,10 +1,8 @@
 """Scoring on Structured Streaming.
 
-Row-local metrics (EM, Levenshtein, support, ranking, cosine, Arrow sequence metrics) are
-plain column expressions and run unchanged on a streaming DataFrame. Bag metrics need the
-token-profile aggregate joined back to the rows, so they run per micro-batch inside
-``foreachBatch``; every batch is written under its epoch id, so a retried batch overwrites
-its own output (idempotent sink).
+All metrics are row-local, so they run unchanged on a streaming DataFrame. ``foreach_batch_scorer``
+also writes a per-dataset summary of each micro-batch; every batch is written under its epoch id,
+so a retried batch overwrites its own output (idempotent sink), and is scored once.
 """
 
 from __future__ import annotations
@@ -12,20 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators.report import summarise
-from ..operators.scoring import PROFILE_METRICS, MetricSpec, score, score_columns
+from ..operators.scoring import MetricSpec, score, score_columns
 
 ROW_LOCAL_DEFAULT = ["em", "levenshtein", "support_gold", "support_pred", "hit@1", "hit@3", "mrr", "ndcg@3",
                      "first_support_rank"]
 
 
 def score_stream(stream_df: DataFrame, metrics=None, k_values=None) -> DataFrame:
-    """Row-local metric columns on a streaming DataFrame (no state, no shuffle)."""
-    spec = MetricSpec.resolve(metrics or ROW_LOCAL_DEFAULT, k_values)
-    bad = spec.wanted & PROFILE_METRICS
-    if bad:
-        raise ValueError(f"{sorted(bad)} need an aggregate per entry; use foreach_batch_scorer")
-    out, _keys = score_columns(stream_df, metrics or ROW_LOCAL_DEFAULT, k_values, repartition=False)
-    return out
+    """Metric columns on a streaming DataFrame (no state, no shuffle)."""
+    return score_columns(stream_df, metrics or ROW_LOCAL_DEFAULT, k_values)[0]
 
 
 def foreach_batch_scorer(out_path: str, metrics=None, k_values=None):
@@ -33,8 +26,9 @@ def foreach_batch_scorer(out_path: str, metrics=None, k_values=None):
     micro-batch, written to ``out_path/{enriched,summary}/epoch=<id>``."""
 
     def fn(batch: DataFrame, epoch_id: int) -> None:
-        enriched = score(batch, metrics, k_values)
-        enriched.write.mode("overwrite").parquet(f"{out_path}/enriched/epoch={epoch_id}")
-        summarise(enriched).write.mode("overwrite").parquet(f"{out_path}/summary/epoch={epoch_id}")
+        path = f"{out_path}/enriched/epoch={epoch_id}"
+        score(batch, metrics, k_values).write.mode("overwrite").parquet(path)
+        keys = MetricSpec.resolve(metrics, k_values).output_keys()
+        summarise(batch.sparkSession.read.parquet(path), keys).write.mode("overwrite").parquet(f"{out_path}/summary/epoch={epoch_id}")
 
     return fn

@@ -17,3 +17,42 @@ def test_window_group_limit(spark, sf_dir, name):
 def test_no_cross_join(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def _plan(spark, sf_dir, name):
+    return QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hard_fraction_is_limited_twice(spark, sf_dir):
+    assert _plan(spark, sf_dir, "b07b_difficulty_hard_frac").count("WindowGroupLimit") >= 4
+
+
+@pytest.mark.parametrize("name", ["d04_f1", "d27_score_local", "d07_levenshtein", "c11_raptor", "c12c_graphrag_shared_ids"])
+def test_maps_without_exchange(spark, sf_dir, name):
+    plan = _plan(spark, sf_dir, name)
+    assert "Exchange" not in plan and plan.count("FileScan") == 1
+
+
+def test_summary_folds_before_the_exchange(spark, sf_dir):
+    plan = _plan(spark, sf_dir, "e02_overall")
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 2
+
+
+def test_read_many_joins_by_path(spark, sf_dir):
+    assert "NestedLoop" not in _plan(spark, sf_dir, "a03_read_many")
+
+
+def test_checkpoint_folder_is_required_off_local(monkeypatch):
+    from quarry import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
