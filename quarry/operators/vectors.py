@@ -73,6 +73,8 @@ def embedding_valid(vec: Column) -> Column:
 
 #: Values of all chosen vectors that one broadcast may hold (32 MB of doubles).
 MAX_CENTER_VALUES = 4_000_000
+#: Distances equal to so many digits are ties, whatever the order of their sums.
+DISTANCE_DIGITS = 12
 
 
 def unit_rows(df: DataFrame, p: dict, seed, part) -> DataFrame:
@@ -109,7 +111,11 @@ def _similarity(idx: np.ndarray, val: np.ndarray, ends: np.ndarray, center: tupl
     at = np.searchsorted(ci, idx)
     at[at == len(ci)] = 0
     part = np.where(ci[at] == idx, val * cv[at], 0.0)
-    return np.diff(np.concatenate([[0.0], np.cumsum(part)])[ends])
+    full = ends[1:] > ends[:-1]  # equal rows have equal sums wherever they stand
+    out = np.zeros(len(ends) - 1)
+    if full.any():
+        out[full] = np.add.reduceat(part, ends[:-1][full])
+    return out
 
 
 def _farthest(units: DataFrame, part: list[str], centers: dict[tuple, list[tuple]]) -> DataFrame:
@@ -137,7 +143,7 @@ def _farthest(units: DataFrame, part: list[str], centers: dict[tuple, list[tuple
                 for i in np.flatnonzero(mine):
                     if ids[i] in taken:
                         continue
-                    rank = (max(0.0, 1.0 - near[i]), -u0[i])
+                    rank = (round(max(0.0, 1.0 - near[i]), DISTANCE_DIGITS), -u0[i])
                     if key not in best or rank > best[key][0]:
                         best[key] = (rank, ids[i], idx[ends[i] : ends[i + 1]], val[ends[i] : ends[i + 1]])
         rows = [(*k, r[0], -r[1], e, i.tolist(), v.tolist()) for k, (r, e, i, v) in best.items()]

@@ -490,29 +490,62 @@ def b17_embedding_validator(spark, sf_dir):
     return qa.groupBy("dataset").agg(F.sum(F.when(ok, 1).otherwise(0)).cast("bigint").alias("n_valid"), F.bool_and(ok).alias("all_valid"))
 
 
+KCENTER_N = 8
+
+
+def _kcenter_sql(vector: str, body: str, ids: str = "lang") -> str:
+    """Greedy farthest-first, one pair of CTEs a round: the distances after k picks, then the next."""
+    norm = f"sqrt(list_sum(list_transform({vector}, lambda x: x * x)))"
+    ctes = [
+        f"v AS (SELECT dataset, entry_id, list_transform({vector}, lambda x: x / {norm}) AS e, {O.u(42, 'shuffle', O.ID)} AS u0, {O.u(42, 'first', O.ID)} AS u1 FROM qa)",
+        "c0 AS (SELECT dataset, arg_min(entry_id, u1) AS entry_id FROM v GROUP BY dataset)",
+        "s0 AS (SELECT v.*, 2.0::DOUBLE AS md, false AS taken FROM v)",
+    ]
+    for k in range(KCENTER_N - 1):
+        ctes.append(f"s{k + 1} AS (SELECT s.dataset, s.entry_id, s.e, s.u0, s.u1, least(s.md, round(greatest(0.0, 1.0 - list_dot_product(s.e, c.e)), 12)) AS md, "
+                    f"s.taken OR s.entry_id = c.entry_id AS taken FROM s{k} s JOIN (SELECT v.dataset, v.entry_id, v.e FROM v JOIN c{k} USING (dataset, entry_id)) c ON c.dataset = s.dataset)")
+        ctes.append(f"c{k + 1} AS (SELECT dataset, arg_max(entry_id, (md, -u0)) AS entry_id FROM s{k + 1} WHERE NOT taken GROUP BY dataset)")
+    ctes.append("picks AS (" + " UNION ALL ".join(f"SELECT dataset, entry_id FROM c{k}" for k in range(KCENTER_N)) + ")")
+    return O.with_qa(body, *ctes, ids=ids)
+
+
+@register("b04_kcenter", _kcenter_sql("embedding", "SELECT dataset, entry_id FROM picks"))
 def b04_kcenter(spark, sf_dir):
     qa = qa_view(spark, sf_dir, labels=False, embeddings=True)
-    out, _ = S.run_sampler(qa, "diversity_kcenter", {"n": 8})
+    out, _ = S.run_sampler(qa, "diversity_kcenter", {"n": KCENTER_N})
+    return out.select("dataset", "entry_id")
+
+
+_FIVE = "list_transform([0, 1, 2, 3, 4], lambda i: CASE WHEN pos % 5 = i THEN 1.0 ELSE 0.0 END)"
+
+
+@register("b04c_kcenter_duplicates", _kcenter_sql(_FIVE, "SELECT dataset, entry_id FROM picks", ids="shared"))
+def b04c_kcenter_duplicates(spark, sf_dir):
+    """Five distinct vectors and eight to choose: copies fill the rest in shuffled order."""
+    qa = qa_view(spark, sf_dir, labels=False, shared_ids=True)
+    qa = qa.withColumn("embedding", F.transform(F.array(*map(F.lit, range(5))), lambda i: F.when(F.col("pos") % 5 == i, 1.0).otherwise(0.0)))
+    out, _ = S.run_sampler(qa, "diversity_kcenter", {"n": KCENTER_N})
     return out.select("dataset", "entry_id")
 
 
 def b04b_kcenter_tfidf(spark, sf_dir):
     qa = qa_view(spark, sf_dir, labels=False)
-    out, _ = S.run_sampler(qa, "diversity_kcenter", {"n": 8})
+    out, _ = S.run_sampler(qa, "diversity_kcenter", {"n": KCENTER_N})
     return out.select("dataset", "entry_id")
 
 
+REGISTRY["b04b_kcenter_tfidf"] = (b04b_kcenter_tfidf, None)
+
+
+@register("b04a_avg_pairwise_cosine", _kcenter_sql("embedding", f"""SELECT dataset, CAST({KCENTER_N} AS BIGINT) AS actual_n, round(c, 4) AS avg_pairwise_cosine, 'used provided embeddings' AS note FROM (
+  SELECT a.dataset, avg(list_dot_product(a.e, b.e)) AS c FROM v a JOIN v b ON a.dataset = b.dataset AND a.entry_id < b.entry_id
+  WHERE (a.dataset, a.entry_id) IN (SELECT (dataset, entry_id) FROM picks) AND (b.dataset, b.entry_id) IN (SELECT (dataset, entry_id) FROM picks) GROUP BY a.dataset)"""))
 def b04a_avg_pairwise_cosine(spark, sf_dir):
     qa = qa_view(spark, sf_dir, labels=False, embeddings=True)
-    _out, audit = S.run_sampler(qa, "diversity_kcenter", {"n": 8})
+    _out, audit = S.run_sampler(qa, "diversity_kcenter", {"n": KCENTER_N})
     return audit.select("dataset", "actual_n", "avg_pairwise_cosine", "note")
 
 
-REGISTRY["b04_kcenter"] = (b04_kcenter, None)
-REGISTRY["b04b_kcenter_tfidf"] = (b04b_kcenter_tfidf, None)
-REGISTRY["b04a_avg_pairwise_cosine"] = (b04a_avg_pairwise_cosine, None)
-
-
 # ---------------------------------------------------------------- sources / prep ----
 from ..operators import prep as PR  # noqa: E402
 from ..sources import readers as RD  # noqa: E402
@@ -1028,6 +1061,8 @@ def d28_merge_metrics(spark, sf_dir):
                         r6(F.col("metrics")["F1"]).alias("F1"))
 
 
+@register("d27b_score_all_map", O.with_qa(
+    f"SELECT dataset, entry_id, CAST(31 + CASE WHEN {O.metric_exprs()['first_support_rank']} IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_metrics FROM prep", O.PREP_CTE))
 def d27b_score_all_map(spark, sf_dir):
     from ..operators.scoring import score
 
@@ -1035,7 +1070,6 @@ def d27b_score_all_map(spark, sf_dir):
     return score(qa).select("dataset", "entry_id", F.size("metrics").alias("n_metrics"))
 
 
-REGISTRY["d27b_score_all_map"] = (d27b_score_all_map, None)
 
 
 # ---------------------------------------------------------------- pipeline / trials ---
