@@ -12,13 +12,15 @@ prefix is long has no partner and is done. The others (copies, near copies, docu
 shared passages) go on with their prefixes and sets:
 
 * Equal sets are one node (class); only its prefix and set go further.
-* Two rounds of clustering join most of a large group of near copies without listing its pairs:
-  nodes meet by their most frequent prefix token, split into cells of about ``cell`` nodes by a
-  hash that changes with the round; a cell compares its nodes exactly and gives the links of a
-  spanning forest.
-* Exact rest: all pairs of nodes in DIFFERENT components that share prefix tokens under every
-  order and pass the size filter are compared. No link between components is lost, and pairs
-  inside a component need no comparison.
+* A round of clustering joins most near copies without listing pairs: nodes meet by the first
+  frequent token of their prefix, split into cells of about ``cell`` nodes by a hash; a cell
+  compares its nodes exactly and gives the links of a spanning forest.
+* Exact rest: pairs of nodes in DIFFERENT components that share prefix tokens. Where a token
+  joins few nodes, their pairs are listed, must share a token under every order, pass the size
+  filter, and are compared. Where it joins many, listing pairs would grow with the square of the
+  group: the nodes that such tokens connect form a cluster, cut into blocks, and two blocks are
+  compared in one task by a matrix product over their shared tokens; only the links of a spanning
+  forest leave it. No link between components is lost, and pairs inside one need no comparison.
 
 Components come from repeated contraction to the least neighbour. Nothing is collected.
 
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import only, saved, sized_broadcast, unused
-from quarry.llm.repeats import chunks_of, lookup, with_repeats
+from quarry.llm.repeats import Totals, chunks_of, with_repeats
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SETS = "doc_id long, n long, first boolean, node binary, p1 array<long>, p2 array<long>, p3 array<long>, hot long, shingles binary"
@@ -92,23 +94,30 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(a[at] == b))
 
 
+#: A token of at least so many documents is frequent enough to gather a group.
+_FREQUENT = 16
+
+
+def meeting_token(prefix: np.ndarray, totals: Totals) -> int:
+    """The first frequent token of the prefix, else its last: near copies mostly agree on it."""
+    often = np.flatnonzero(totals.of(prefix) >= _FREQUENT)
+    return int(prefix.view(np.int64)[often[0] if len(often) else -1])
+
+
 def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """A row a document: n, and for those that may have partners node, prefixes and set."""
 
     def sets(table: pa.Table) -> list[np.ndarray]:
         return [shingle_set(t, k) for t in table.column("text").to_pylist()]
 
-    def keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        every = np.concatenate([np.empty(0, np.uint64), *sets(table)])
-        u, c = np.unique(every, return_counts=True)
-        return u, c.astype(np.uint64)
+    def keys(table: pa.Table) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.uint64), *sets(table)])
 
-    def use(table: pa.Table, known: np.ndarray, totals: np.ndarray) -> pa.Table:
+    def use(table: pa.Table, totals: Totals) -> pa.Table:
         out: dict[str, list] = {c.split()[0]: [] for c in _SETS.split(", ")}
         seen: set[tuple] = set()
         for doc_id, s in zip(table.column("doc_id").to_pylist(), sets(table)):
-            df = lookup(known, totals, s)
-            p = prefixes(s, df, percent) if len(s) and doc_id is not None else None
+            p = prefixes(s, totals.of(s), percent) if len(s) and doc_id is not None else None
             node = xxhash.xxh3_128_digest(s.tobytes()) if p else None
             out["doc_id"].append(doc_id)
             out["n"].append(len(s))
@@ -117,59 +126,84 @@ def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
             out["node"].append(node)
             for i, name in enumerate(("p1", "p2", "p3")):
                 out[name].append(p[i].view(np.int64) if p else None)
-            out["hot"].append(int(p[0].view(np.int64)[-1]) if p else None)
+            out["hot"].append(meeting_token(p[0], totals) if p else None)
             out["shingles"].append(s.astype("<u8").tobytes() if p else None)
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), *[pa.list_(pa.int64())] * 3, pa.int64(), pa.binary()]
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
-    rows, n = chunks_of(only(docs, "doc_id", "text"))
-    return saved(with_repeats(rows, n, keys, use, _SETS), "ngram-sets")
-
-
-def cell_links(nodes: DataFrame, labels: DataFrame | None, percent: int, salt: int, cell: int) -> DataFrame:
-    """Links (a, b) of a spanning forest within each cell; nodes known to be connected are not
-    compared."""
+    return saved(with_repeats(*chunks_of(only(docs, "doc_id", "text")), keys, use, _SETS), "ngram-sets")
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """|x and y| of every x in a and y in b: a product of 0/1 matrices over the tokens that several
+    sets have, a few thousand columns at a time."""
+    every = np.concatenate([*a, *b])
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in [*a, *b]])
+    _, col, n = np.unique(every, return_inverse=True, return_counts=True)
+    shared = n[col] > 1
+    number = np.cumsum(n > 1) - 1
+    row, col = row[shared], number[col[shared]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
+        i, j = np.searchsorted(col, (at, at + columns))
+        m = np.zeros((len(a) + len(b), columns), np.float32)
+        m[row[i:j], col[i:j] - at] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out.astype(np.int64)
+
+
+def forest_links(table: pa.Table, percent: int, apart: bool) -> pa.Table:
+    """Links (a, b) of a spanning forest over the labels of (node, label, side, shingles): between
+    all rows, or only between the two sides."""
+    node, label = table.column("node").to_pylist(), table.column("label").to_pylist()
+    side = np.array(table.column("side").to_pylist())
+    sets = [np.frombuffer(x, dtype="<u8") for x in table.column("shingles").to_pylist()]
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if apart else (np.arange(len(node)),) * 2
+    root = {x: x for x in label}
+
+    def top(x: bytes) -> bytes:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    a, b = [], []
+    if len(left) and len(right):
+        size = np.array([len(s) for s in sets])
+        both = overlaps([sets[i] for i in left], [sets[j] for j in right])
+        union = size[left][:, None] + size[right][None, :] - both
+        for i, j in zip(*np.nonzero(100 * both >= percent * union)):
+            x, y = left[i], right[j]
+            if top(label[x]) != top(label[y]):
+                root[top(label[x])] = top(label[y])
+                a.append(node[x])
+                b.append(node[y])
+    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
+def cell_links(nodes: DataFrame, percent: int, cell: int) -> DataFrame:
+    """Links of a spanning forest within each cell."""
     sizes = sized_broadcast(nodes.groupBy("hot").agg(F.count("*").alias("n_hot")).where("n_hot > 1").withColumnRenamed("hot", "h_hot"), 500_000)
     at = nodes.select("node", "hot", "shingles").join(sizes, F.col("hot") == F.col("h_hot"))
-    if labels is not None:
-        at = at.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    else:
-        at = at.withColumn("label", F.col("node"))
-    at = at.select("hot", F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("n_hot") / cell)).alias("cell"), "node", "label", "shingles")
-
-    def compare(table: pa.Table) -> pa.Table:
-        node, label = table.column("node").to_pylist(), table.column("label").to_pylist()
-        sets = [np.frombuffer(x, dtype="<u8") for x in table.column("shingles").to_pylist()]
-        order = sorted(range(len(node)), key=lambda i: (len(sets[i]), node[i]))
-        root = {x: x for x in label}
-
-        def top(x: bytes) -> bytes:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        a, b = [], []
-        for i, x in enumerate(order):
-            for y in order[i + 1 :]:
-                if 100 * len(sets[x]) < percent * len(sets[y]):
-                    break
-                if top(label[x]) != top(label[y]) and linked(sets[x], sets[y], percent):
-                    a.append(node[x])
-                    b.append(node[y])
-                    root[top(label[x])] = top(label[y])
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    return at.groupBy("hot", "cell").applyInArrow(compare, "a binary, b binary")
-
-
-def rest_links(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All links between nodes of different components."""
+    at = at.select("hot", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_hot") / cell)).alias("cell"), "node", F.col("node").alias("label"), F.lit(0).alias("side"), "shingles")
+    return at.groupBy("hot", "cell").applyInArrow(lambda t: forest_links(t, percent, False), "a binary, b binary")
+
+
+def rest_links(nodes: DataFrame, labels: DataFrame, percent: int, listed: int, block: int) -> DataFrame:
+    """All links between components, of pairs that share a prefix token: see the module's note.
+    A token that joins at most ``listed`` nodes has its pairs listed."""
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     postings = labelled.select(F.explode("p1").alias("token"), "node", "n", "label")
-    cross = postings.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("token"))
-    postings = postings.join(cross, "token")
-    a, b = (postings.select(*[F.col(c).alias(f"{c}_{s}") for c in postings.columns]) for s in "ab")
+    cross = postings.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("joined"), F.min("node").alias("least"))
+    cross = cross.where("lo <> hi").select("token", "joined", "least")
+    postings = saved(postings.join(cross, "token"), "postings")
+    return _listed_links(nodes, postings.where(F.col("joined") <= listed), percent).unionByName(_block_links(labelled, postings.where(F.col("joined") > listed), percent, block))
+
+
+def _listed_links(nodes: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
+    a, b = (postings.select(*[F.col(c).alias(f"{c}_{s}") for c in ("token", "node", "n", "label")]) for s in "ab")
     near = (F.col("token_a") == F.col("token_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
     near &= (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
     pairs = a.join(b, near).select("node_a", "node_b").distinct()
@@ -186,6 +220,21 @@ def rest_links(nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return shared.select("node_a", "node_b", "shingles_a", "shingles_b").mapInArrow(verify, "a binary, b binary")
 
 
+def _block_links(labelled: DataFrame, postings: DataFrame, percent: int, block: int) -> DataFrame:
+    clusters = components(postings.select(F.col("least").alias("a"), F.col("node").alias("b")))
+    sizes = sized_broadcast(clusters.groupBy("label").agg(F.count("*").alias("n_cluster")).withColumnRenamed("label", "cluster"), 500_000)
+    at = clusters.withColumnRenamed("label", "cluster").join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n_cluster") / block).cast("int"))
+    at = at.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), (F.col("own") > j).cast("int").alias("side")))
+    placed = at.select("node", "cluster", F.explode(others).alias("at")).select("node", "cluster", "at.*")
+    rows = placed.join(labelled.select("node", "label", "shingles"), "node")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        return forest_links(table, percent, key[1].as_py() != key[2].as_py())
+
+    return rows.groupBy("cluster", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node of each component of the links (a, b). Each round points
     every node to its least neighbour, jumps once, and contracts; rounds stop when no link is
@@ -203,17 +252,14 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def similarity_components(docs: DataFrame, k: int, percent: int, rounds: int = 2, cell: int = 96) -> DataFrame:
+def similarity_components(docs: DataFrame, k: int, percent: int, cell: int = 512, listed: int = 48, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, first (false on rows that repeat both id and set)."""
     sets = document_sets(docs, k, percent)
     members = sets.where("node IS NOT NULL")
     nodes = saved(members.groupBy("node").agg(F.min(F.struct("doc_id", "n", "p1", "p2", "p3", "hot", "shingles")).alias("r")).select("node", "r.*"), "nodes")
-    links, labels = None, None
-    for i in range(rounds):
-        new = cell_links(nodes, labels, percent, i, cell)
-        links = saved(new if links is None else links.unionByName(new), "links")
-        labels = components(links)
-    labels = components(links.unionByName(rest_links(nodes, labels, percent)))
+    links = saved(cell_links(nodes, percent, cell), "links")
+    labels = components(links)
+    labels = components(links.unionByName(rest_links(nodes, labels, percent, listed, block)))
     by_label = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = by_label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     component = by_label.join(least, "label").select("node", "component_id")

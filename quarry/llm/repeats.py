@@ -3,9 +3,10 @@
 Used by the n-gram join (keys: shingles) and the suffix-array dedup (keys: anchor grams). The
 documents are dealt into chunks by a hash of doc_id; a chunk is what one task holds at a time.
 
-1. ``keys(chunk)`` gives its distinct keys and their counts. They leave the chunk sorted, cut at
-   hash ranges, as packed blobs: a key costs a few bytes and a chunk names it once, however often
-   it occurs there, so a hot key arrives at most once a chunk.
+1. ``keys(chunk)`` gives its 64-bit keys. Their upper bits, as many as keep chance collisions under
+   one key in a thousand for this much text, leave the chunk distinct, counted, sorted and cut at
+   ranges, as packed blobs: a key costs a few bytes and a chunk names it once, however often it
+   occurs there, so a hot key arrives at most once a chunk. A collision can only raise a total.
 2. A range adds the counts and sends each chunk back those of its keys whose total is two or more.
 3. ``use(chunk, keys, totals)`` goes through the same chunk again with that dictionary.
 
@@ -25,18 +26,19 @@ from quarry.llm.common import NULL_ID, pack_small, pack_u64, parts_for, text_byt
 _BLOBS = "range int, chunk int, keys binary, counts binary"
 
 
-def chunks_of(docs: DataFrame, chunk_bytes: int | None = None) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, key, text) and the number of chunks: 8 MB of text each, more (up to
-    256 MB) once there would be over 2048 of them."""
+def chunks_of(docs: DataFrame, chunk_bytes: int | None = None) -> tuple[DataFrame, int, int]:
+    """(chunk, doc_id, key, text), the number of chunks, and the bits of a key that count: 8 MB of
+    text a chunk, more (up to 256 MB) once there would be over 2048 of them."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("key"), text_or_empty(docs["text"]).alias("text"))
     total = text_bytes(rows)
     n = parts_for(total, chunk_bytes or min(256 << 20, max(8 << 20, total // 2048)))
-    return rows.select(F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "key", "text"), n
+    bits = min(64, max(32, total.bit_length() + 10))
+    return rows.select(F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "key", "text"), n, bits
 
 
-def with_repeats(rows: DataFrame, n_chunks: int, keys: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], use: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    bits = max(1, (n_chunks - 1).bit_length())
-    borders = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+def with_repeats(rows: DataFrame, n_chunks: int, bits: int, keys: Callable[[pa.Table], np.ndarray], use: Callable[[pa.Table, "Totals"], pa.Table], schema: str) -> DataFrame:
+    cut = max(5, (n_chunks - 1).bit_length())
+    borders = np.arange(1, 1 << cut, dtype=np.uint64) << np.uint64(bits - cut)
 
     def blobs(chunk: np.ndarray, key: list[np.ndarray], n: list[np.ndarray], at: np.ndarray) -> pa.Table:
         return pa.table(
@@ -45,7 +47,7 @@ def with_repeats(rows: DataFrame, n_chunks: int, keys: Callable[[pa.Table], tupl
         )
 
     def out(key: tuple, table: pa.Table) -> pa.Table:
-        k, n = keys(table)
+        k, n = np.unique(keys(table) >> np.uint64(64 - bits), return_counts=True)
         cuts = np.searchsorted(k, borders)
         ks, ns = np.split(k, cuts), np.split(n, cuts)
         at = [i for i, x in enumerate(ks) if len(x)]
@@ -75,16 +77,23 @@ def with_repeats(rows: DataFrame, n_chunks: int, keys: Callable[[pa.Table], tupl
         blobs = sorted(zip(known.column("range").to_pylist(), known.column("keys").to_pylist(), known.column("counts").to_pylist()))
         k = np.concatenate([np.empty(0, np.uint64), *[unpack_u64(b[1]) for b in blobs]])
         n = np.concatenate([np.empty(0, np.uint64), *[unpack_small(b[2]) for b in blobs]])
-        return use(table, k, n)
+        return use(table, Totals(k, n, 64 - bits))
 
     found = rows.groupBy("chunk").applyInArrow(out, _BLOBS).groupBy("range").applyInArrow(total, _BLOBS)
     return rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(again, schema)
 
 
-def lookup(known: np.ndarray, totals: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Total of each key, 1 for keys that occur once in the corpus."""
-    if not len(known) or not len(keys):
-        return np.ones(len(keys), dtype=np.uint64)
-    at = np.searchsorted(known, keys)
-    at[at == len(known)] = 0
-    return np.where(known[at] == keys, totals[at], np.uint64(1))
+class Totals:
+    """How often keys occur in the corpus, for a chunk's keys."""
+
+    def __init__(self, known: np.ndarray, totals: np.ndarray, shift: int):
+        self.known, self.totals, self.shift = known, totals, np.uint64(shift)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Total of each key, 1 for keys that occur once."""
+        if not len(self.known) or not len(keys):
+            return np.ones(len(keys), dtype=np.uint64)
+        keys = keys >> self.shift
+        at = np.searchsorted(self.known, keys)
+        at[at == len(self.known)] = 0
+        return np.where(self.known[at] == keys, self.totals[at], np.uint64(1))

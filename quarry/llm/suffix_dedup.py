@@ -1,7 +1,7 @@
 """Suffix-array dedup: remove every byte covered by a ``width``-byte string that starts earlier too.
 
 Which suffixes are sorted. Sorting all suffixes of a corpus moves ``width`` bytes a byte of text,
-so the suffix array is sparse: every window of ``width`` bytes owns an anchor, the position of the
+so the suffix array is sparse: every window of ``width`` bytes has an anchor, the position of the
 least hash among its ``gram``-byte substrings (leftmost on ties), which depends on the window's
 content alone, so equal windows have equal anchor offsets. About one byte in 32 is an anchor.
 Anchors whose gram occurs once in the corpus (repeats.py, exact counts) own no repeated window.
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.common import NULL_ID, pack_small, parts_for, saved, unpack_small
-from quarry.llm.repeats import chunks_of, lookup, with_repeats
+from quarry.llm.repeats import Totals, chunks_of, with_repeats
 
 WIDTH, GRAM = 100, 40
 #: A position is (rows before it with the same doc_id) << SUB | byte offset.
@@ -81,34 +81,34 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+#: Low bits of a hash that give way to the position, and windows handled at once.
+_PLACE, _SEGMENT = 24, 1 << 23
+
+
 def anchors(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, anchor, first, last): the anchors in order and the starts of the windows each owns."""
+    """(hash, anchor, first, last): the anchors in order and the starts of the windows each owns.
+    Hashes are compared by their upper bits with the position below them, so one sliding minimum
+    finds the leftmost least gram of every window."""
     w = width - gram + 1
+    e = np.empty(0, np.int64)
     if len(data) < width:
-        e = np.empty(0, np.int64)
         return np.empty(0, np.uint64), e, e, e
     h = gram_hashes(data, gram)
-    least, span = h, 1
-    while 2 * span <= w:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if span < w:
-        least = np.minimum(least[: len(h) - w + 1], least[w - span : w - span + len(h) - w + 1])
-    # the leftmost position in the window with that hash: the next equal one at or after its start
-    at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    first, last, where, value = [], [], [], []
-    ends = np.append(at[1:], len(least)) - 1
-    for i, j in zip(at.tolist(), ends.tolist()):
-        v = least[i]
-        p = i + int(np.argmax(h[i : i + w] == v))
-        while True:
-            stop = min(j, p)  # windows that start behind p own the next equal gram
-            first.append(i), last.append(stop), where.append(p), value.append(v)
-            if stop == j:
-                break
-            i = stop + 1
-            p = i + int(np.argmax(h[i : i + w] == v))
-    return np.array(value, np.uint64), np.array(where, np.int64), np.array(first, np.int64), np.array(last, np.int64)
+    where = []
+    for at in range(0, len(h) - w + 1, _SEGMENT):
+        part = h[at : at + _SEGMENT + w - 1]
+        least = (part >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(part), dtype=np.uint64)
+        span = 1
+        while 2 * span <= w:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if span < w:
+            least = np.minimum(least[: len(part) - w + 1], least[w - span :])
+        where.append((least & np.uint64((1 << _PLACE) - 1)).astype(np.int64) + at)
+    anchor = np.concatenate(where)
+    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    last = np.append(first[1:], len(anchor)) - 1
+    return h[anchor[first]], anchor[first], first, last
 
 
 # ---- front-coded runs ---------------------------------------------------------------------------
@@ -240,24 +240,29 @@ def _data(text: str) -> np.ndarray:
     return np.frombuffer(text.encode(), dtype=np.uint8)
 
 
-def sorted_runs(rows: DataFrame, n_chunks: int, width: int, gram: int, samples: int) -> DataFrame:
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Least hashes of windows are small numbers; a bijection spreads them over all hash ranges."""
+    h = h * _MIXERS[1]
+    return h ^ (h >> np.uint64(32))
+
+
+def sorted_runs(rows: DataFrame, n_chunks: int, bits: int, width: int, gram: int, samples: int) -> DataFrame:
     """A run a chunk, and the removals that the chunk decides alone."""
 
-    def keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def keys(table: pa.Table) -> np.ndarray:
         every = [np.empty(0, np.uint64)]
         for text in table.column("text").to_pylist():
-            every.append(anchors(_data(text), width, gram)[0])
-        u, c = np.unique(np.concatenate(every), return_counts=True)
-        return u, c.astype(np.uint64)
+            every.append(_spread(anchors(_data(text), width, gram)[0]))
+        return np.concatenate(every)
 
-    def use(table: pa.Table, known: np.ndarray, totals: np.ndarray) -> pa.Table:
+    def use(table: pa.Table, totals: Totals) -> pa.Table:
         texts = table.column("text").to_pylist()
         earliest: dict[bytes, tuple[int, int]] = {}
         gone: list[tuple[int, int, int]] = []
         for row, key, sub in numbered(table):  # ascending: the first to come is the earliest
             text = texts[row].encode()
             h, p, first, last = anchors(np.frombuffer(text, dtype=np.uint8), width, gram)
-            hit = lookup(known, totals, h) > 1
+            hit = totals.of(_spread(h)) > 1
             back = text[::-1]
             n, base = len(text), sub << SUB
             start = stop = -1
@@ -287,7 +292,7 @@ def sorted_runs(rows: DataFrame, n_chunks: int, width: int, gram: int, samples:
             names=[c.split()[0] for c in _CUT.split(", ")],
         )
 
-    return with_repeats(rows, n_chunks, keys, use, _CUT)
+    return with_repeats(rows, n_chunks, bits, keys, use, _CUT)
 
 
 def splitters(samples: list[tuple[int, list[bytes]]], parts: int, gram: int) -> tuple[list[bytes], set[bytes]]:
@@ -414,9 +419,9 @@ def _resolve(group: list[tuple[bytes, int, int]], width: int, cut: bool, out: li
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keys_per_part: int = 40_000) -> tuple[DataFrame, DataFrame, int]:
     """(rows, removals, number of chunks): the chunked documents, and the (key, start, end) rows of
     all bytes to remove."""
-    rows, n = chunks_of(docs)
+    rows, n, bits = chunks_of(docs)
     samples = max(4, min(64, 65_536 // n))
-    runs = saved(sorted_runs(rows, n, width, gram, samples), "suffix-runs")
+    runs = saved(sorted_runs(rows, n, bits, width, gram, samples), "suffix-runs")
     parallel = docs.sparkSession.sparkContext.defaultParallelism
     gone = merged_removals(runs, width, gram, keys_per_part, parallel)
     return rows, runs.where("run IS NULL").select("key", "start", "end").unionByName(gone), n

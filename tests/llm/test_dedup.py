@@ -30,7 +30,7 @@ def test_anchor_of_each_window():
         assert sorted(own) == list(range(max(0, n - 99)))
         if own:
             h = suffix_dedup.gram_hashes(data, 40)
-            assert all(a == i + int(np.argmin(h[i : i + 61])) for i, a in own.items())
+            assert all(a == i + int(np.argmin(h[i : i + 61] >> np.uint64(24))) for i, a in own.items())
 
 
 def test_loser_tree_merges_and_knows_prefixes():
@@ -168,12 +168,12 @@ def near_copies(n):
     return rows
 
 
-@pytest.mark.parametrize("k,percent,cell", [(3, 90, 4), (5, 80, 96), (3, 60, 2)])
-def test_op4_near_copies(spark, tiny_parts, k, percent, cell):
+@pytest.mark.parametrize("k,percent,cell,listed,block", [(3, 90, 4, 48, 512), (5, 80, 512, 48, 512), (3, 60, 2, 1, 3), (3, 80, 2, 6, 5), (5, 60, 1, 0, 7)])
+def test_op4_near_copies(spark, tiny_parts, k, percent, cell, listed, block):
     rows = near_copies(14) + passages(40)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(((d, *w) for (d, _), w in zip(rows, brute_components(rows, k, percent))), key=str)
-    assert joined(df, k, percent, cell=cell) == want
+    assert joined(df, k, percent, cell=cell, listed=listed, block=block) == want
 
 
 def test_op4_edges(edge_docs, empty_docs, tiny_parts):
