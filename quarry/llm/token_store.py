@@ -20,10 +20,12 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.ipc as ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,59 +40,109 @@ _TAIL = ".,;:!?#$%&*"
 class WordwiseEncoder:
     """Ids by the tokenizers library for vocabularies that drop white space: no token and no
     normalisation step reaches across a blank, so the ids of a text are those of its words in
-    turn. Each distinct word is encoded once and kept in a bounded cache. ``word`` below is what
-    stands between blanks or line ends; other white space stays inside and the library sees it."""
+    turn. ``word`` is what stands between blanks or line ends; other white space stays inside and
+    the library sees it. Arrow numbers the distinct words of a slice, folds ASCII words, and parts
+    them from marks at their end, which are a token of their own after a letter; each distinct
+    part is encoded once and kept in a bounded cache."""
 
-    def __init__(self, path: str, cache_entries: int = 700_000):
+    def __init__(self, path: str, cache_entries: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
-        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        size = max(vocab.values()) + 1
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.limit = cache_entries
-        self.words: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {"": b""}
-
-    def _library(self, pieces: list[str]) -> None:
-        if len(self.stems) >= self.limit:
-            self.stems.clear()
-        for p, e in zip(pieces, self.tok.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.stems[p] = np.array(e.ids, dtype=self.dtype).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        """Words in ASCII are folded and parted from marks at their end, which the library keeps
-        as a token of its own after a letter; the parts are encoded in one batch."""
-        if len(self.words) >= self.limit:
-            self.words.clear()
-        parts = {}
-        for w in words:
-            if w.isascii() and "<|" not in w:
-                stem = w.rstrip(_TAIL)
-                parts[w] = (stem.lower(), w[len(stem) :]) if stem and stem[-1].isalpha() else (w.lower(), "")
-            else:
-                parts[w] = (w, "")
-        have = self.stems
-        new = {p for x in parts.values() for p in x if p and p not in have}
-        kept = {p: have[p] for x in parts.values() for p in x if p in have}
-        if new:
-            self._library(list(new))
-        have = self.stems
-        for w, (a, b) in parts.items():
-            self.words[w] = (have[a] if a in have else kept.get(a, b"")) + (have[b] if b in have else kept.get(b, b""))
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            got = list(map(self.words.get, words))
-            if None in got:
-                self._learn({w for w, x in zip(words, got) if x is None})
-                have = self.words
-                got = [have[w] if x is None else x for w, x in zip(words, got)]
-            out.append(b"".join(got))
-        return out
+        self.parts: dict[str, bytes] = {}
+        suffix = self.tok.model.end_of_word_suffix or ""
+        self.ends_word = np.zeros(size, bool)
+        if suffix:
+            self.ends_word[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def _encode_each(self, parts: list[str]) -> None:
+        for p, e in zip(parts, self.tok.encode_batch_fast(parts, add_special_tokens=False)):
+            self.parts[p] = array(self.code, e.ids).tobytes()
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode new parts. ASCII letters alone are one word to the vocabulary, so many of them go
+        through the library as one text, whose ids are cut where a word ends."""
+        if len(self.parts) >= self.limit:
+            self.parts.clear()
+        plain = [p for p in parts if p.isalpha() and p.isascii()] if self.ends_word.any() else []
+        self._encode_each(list(set(parts).difference(plain)))
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            cuts = (np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize
+            if len(cuts) != len(some):
+                self._encode_each(some)
+                continue
+            data, start = ids.tobytes(), 0
+            for p, stop in zip(some, cuts.tolist()):
+                self.parts[p] = data[start:stop]
+                start = stop
+
+    def _ids_of(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all distinct parts end to end, number of ids of each)."""
+        names = parts.to_pylist()
+        got = list(map(self.parts.get, names))
+        if None in got:
+            old = {p: x for p, x in zip(names, got) if x is not None} if len(self.parts) >= self.limit else {}
+            self._learn([p for p, x in zip(names, got) if x is None])
+            self.parts |= old
+            have = self.parts
+            got = [have[p] if x is None else x for p, x in zip(names, got)]
+        n = np.fromiter(map(len, got), np.int32, len(got)) // self.dtype.itemsize
+        return np.frombuffer(b"".join(got), dtype=self.dtype), n
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all distinct words end to end, number of ids of each)."""
+        ascii_ = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<")))
+        head = pc.utf8_rtrim(words, characters=_TAIL)
+        parted = pc.and_(ascii_, pc.match_substring_regex(head, "[A-Za-z]$"))
+        tail = pc.if_else(parted, pc.extract_regex(words, f"(?P<t>[{_TAIL}]*)$").field("t"), "")
+        head = pc.if_else(ascii_, pc.ascii_lower(pc.if_else(parted, head, words)), words)
+        heads, tails = head.dictionary_encode(), tail.dictionary_encode()
+        return _joined([(*self._ids_of(x.dictionary), x.indices.to_numpy()) for x in (heads, tails)])
+
+    def encode_slices(self, texts: pa.Array, slice_bytes: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``encode_batch`` of consecutive slices of about so many bytes (a longer text alone)."""
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size, dtype=np.int64) // slice_bytes
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        for i, j in zip(cuts, cuts[1:]):
+            if i < j:
+                yield self.encode_batch(texts.slice(i, j - i))
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, borders): text i has ids[borders[i]:borders[i + 1]].
+        Words are numbered by Arrow, so Python sees each distinct word of the batch once."""
+        if not len(texts):
+            return np.empty(0, self.dtype), np.zeros(1, np.int64)
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = pieces.flatten().dictionary_encode()
+        ids, n = _joined([(*self._word_ids(coded.dictionary), coded.indices.to_numpy())])
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        return ids, ends[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
+
+
+def _joined(columns: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows made of one entry of each column: (values of all rows end to end, number of values of
+    each). A column is (values of its entries end to end, their numbers, the entry of each row)."""
+    counts = [n[row] for _, n, row in columns]
+    total = np.sum(counts, axis=0, dtype=np.int32)
+    at = np.cumsum(total, dtype=np.int64) - total
+    out = np.empty(int(total.sum()), columns[0][0].dtype)
+    for (values, n, row), count in zip(columns, counts):
+        start = np.cumsum(n, dtype=np.int64) - n
+        step = np.arange(int(count.sum()), dtype=np.int64) - np.repeat(np.cumsum(count, dtype=np.int64) - count, count)
+        out[np.repeat(at, count) + step] = values[np.repeat(start[row], count) + step]
+        at = at + count
+    return out, total
 
 
 _ENCODERS: dict[str, WordwiseEncoder] = {}
@@ -171,36 +223,35 @@ class TokenFile:
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, seq_len: int = 2048, batch_rows: int = 128, text_bytes_per_file: int = 64 << 20) -> DataFrame:
     """Write the files and return their manifest (part, path, n_docs, n_tokens), one row a file
-    in ascending doc_id order. The one shuffle moves packed ids, sorted by doc_id."""
+    in ascending doc_id order. The one shuffle moves the texts, sorted by doc_id; encoding comes
+    after it, since drawing the range borders runs what comes before it once more."""
     spark = docs.sparkSession
     rows = only(docs, "doc_id", "text").select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs["text"]).alias("text"))
     n_files = parts_for(text_bytes(rows), text_bytes_per_file, spark.sparkContext.defaultParallelism)
     fs, path = open_fs(folder)
     fs.create_dir(path, recursive=True)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(tokenizer_path)
-        end = np.array([end_id], dtype=e.dtype).tobytes()
-        for b in batches:
-            packed = [x + end for x in e.encode_many(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["doc_id", "ids"])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        dtype = encoder(tokenizer_path).dtype
+        e = encoder(tokenizer_path)
+        end = np.array([end_id], dtype=e.dtype)
         fs, base = open_fs(folder)
         name, tmp = f"{base}/part-{part:06d}.arrow", f"{base}/.{uuid.uuid4().hex}"
         n_docs = 0
         with fs.open_output_stream(f"{tmp}.ids") as sink, fs.open_output_stream(f"{tmp}.docs") as side:
-            out = SequenceWriter(sink, dtype, seq_len, batch_rows)
-            index = ipc.new_file(side, pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())]))
+            out = SequenceWriter(sink, e.dtype, seq_len, batch_rows)
+            index = ipc.new_file(side, index_schema())
             for b in batches:
-                ids = [np.frombuffer(x.as_py(), dtype=dtype) for x in b.column(1)]
-                for x in ids:
-                    out.add(x)
-                index.write_batch(pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64())], schema=index_schema()))
+                sizes = []
+                for ids, ends in e.encode_slices(b.column(1)):
+                    for i, j in zip(ends.tolist(), ends[1:].tolist()):
+                        out.add(ids[i:j])
+                        out.add(end)
+                    sizes.append(np.diff(ends) + 1)
+                n_tokens = np.concatenate([np.empty(0, np.int64), *sizes])
+                index.write_batch(pa.RecordBatch.from_arrays([b.column(0), pa.array(n_tokens, pa.int64())], schema=index_schema()))
                 n_docs += b.num_rows
             out.close()
             index.close()
@@ -209,8 +260,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         prefix = folder.rstrip("/")
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{prefix}/part-{part:06d}.arrow"]), pa.array([n_docs]), pa.array([out.n_tokens])], names=["part", "path", "n_docs", "n_tokens"])
 
-    encoded = rows.mapInArrow(encode, "doc_id long, ids binary")
-    files = encoded.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(write, _MANIFEST)
+    files = rows.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, _MANIFEST)
     return spark.createDataFrame(sorted(map(tuple, files.collect())), _MANIFEST)  # a row a file
 
 
