@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +65,8 @@ def merge_pretoken(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]
 
     def put(i: int, value: int) -> None:
         i += size
+        if tree[i] == value:
+            return
         tree[i] = value
         while i > 1:
             a, b = tree[i], tree[i ^ 1]
@@ -117,6 +120,7 @@ class BytePairCodec:
         for token, i in [*vocab.items(), *added.items()]:
             self.piece[i] = bytes(of_char[c] for c in token) if all(c in of_char for c in token) else token.encode()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.code = "H" if size <= 1 << 16 else "I"
         self.decimal = [str(i) for i in range(size)]
         self.pretokens = regex.compile(PATTERN).findall
         self.added = added if special else {}
@@ -131,7 +135,7 @@ class BytePairCodec:
         if got is None:
             byte_id = self.byte_id
             ids = merge_pretoken([byte_id[b] for b in token.encode("utf-8")], self.pairs)
-            got = np.array(ids, dtype=self.dtype).tobytes()
+            got = array(self.code, ids).tobytes()
             if len(self.words) >= self.limit:
                 self.words.clear()
             if len(token) < 256:
