@@ -4,7 +4,9 @@ import difflib
 import math
 import re
 import string
-from collections import Counter
+from fractions import Fraction
+
+import numpy as np
 
 _P = set(string.punctuation)
 
@@ -25,26 +27,25 @@ def em(p, g):
     return 1.0 if norm(p) == norm(g) else 0.0
 
 
-def f1(p, g):
+def _vectors(p, g):
+    """Token counts of both sides over their joint vocabulary, as arrays."""
     a, b = toks(p), toks(g)
-    if not a and not b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    ov = sum((Counter(a) & Counter(b)).values())
-    if ov == 0:
-        return 0.0
-    pr, rc = ov / len(a), ov / len(b)
-    return 2 * pr * rc / (pr + rc + 1e-12)
+    vocab = sorted({*a, *b})
+    return np.array([a.count(t) for t in vocab], float), np.array([b.count(t) for t in vocab], float)
+
+
+def f1(p, g):
+    """Twice the multiset intersection over both lengths, as a fraction."""
+    x, y = _vectors(p, g)
+    total = int(x.sum() + y.sum())
+    return float(Fraction(2 * int(np.minimum(x, y).sum()), total)) if x.any() and y.any() else float(total == 0)
 
 
 def jaccard(p, g):
-    a, b = set(toks(p)), set(toks(g))
-    if not a and not b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    return len(a & b) / len(a | b)
+    x, y = _vectors(p, g)
+    if not x.any() or not y.any():
+        return float(len(x) == 0)
+    return float(np.mean((x > 0) & (y > 0)))
 
 
 def lev(p, g):
@@ -61,36 +62,24 @@ def lev(p, g):
 
 
 def tfidf(p, g):
-    a, b = toks(p), toks(g)
-    vocab = set(a) | set(b)
-    if not vocab:
+    """Cosine of the count vectors scaled by ln(3 / (1 + number of sides that have the term)) + 1;
+    term frequencies only rescale a vector."""
+    x, y = _vectors(p, g)
+    if not len(x):
         return 1.0
-    ca, cb = Counter(a), Counter(b)
-
-    def idf(t):
-        d = (t in ca) + (t in cb)
-        return math.log(3 / (d + 1)) + 1
-
-    va = [ca[t] / max(1, len(a)) * idf(t) for t in vocab]
-    vb = [cb[t] / max(1, len(b)) * idf(t) for t in vocab]
-    na, nb = math.sqrt(sum(x * x for x in va)), math.sqrt(sum(x * x for x in vb))
-    return 0.0 if na == 0 or nb == 0 else sum(x * y for x, y in zip(va, vb)) / (na * nb)
+    w = np.log(3 / (1 + (x > 0) + (y > 0))) + 1
+    norm = np.linalg.norm(x * w) * np.linalg.norm(y * w)
+    return float((x * w) @ (y * w) / norm) if norm else 0.0
 
 
 def jsd(p, g):
-    a, b = Counter(toks(p)), Counter(toks(g))
-    vocab = set(a) | set(b)
-    if not vocab:
-        return 0.0
-    sa, sb = sum(a.values()), sum(b.values())
-    if sa == 0 or sb == 0:
-        return 1.0
-    tot = 0.0
-    for t in vocab:
-        x, y = a[t] / sa, b[t] / sb
-        m = (x + y) / 2
-        tot += 0.5 * x * math.log((x + 1e-12) / (m + 1e-12)) + 0.5 * y * math.log((y + 1e-12) / (m + 1e-12))
-    return tot
+    """H(m) - (H(p) + H(q)) / 2 in nats."""
+    x, y = _vectors(p, g)
+    if not x.any() or not y.any():
+        return float(len(x) > 0)
+    entropy = lambda v: -sum(t * math.log(t) for t in v if t > 0)
+    x, y = x / x.sum(), y / y.sum()
+    return entropy((x + y) / 2) - (entropy(x) + entropy(y)) / 2
 
 
 def lcs_dp(a, b):
@@ -102,14 +91,13 @@ def lcs_dp(a, b):
 
 
 def rouge_l(p, g):
+    """Weighted harmonic mean of LCS precision and recall: beta^2 parts recall, one part precision."""
     a, b = toks(p), toks(g)
-    if not a or not b:
-        return 0.0
-    l = lcs_dp(a, b)
-    pr, rc = l / len(a), l / len(b)
-    if pr == 0 and rc == 0:
+    common = lcs_dp(a, b)
+    if not common:
         return 0.0
-    return (1 + 1.44) * pr * rc / (rc + 1.44 * pr + 1e-12)
+    beta2 = Fraction(144, 100)
+    return float((1 + beta2) / (Fraction(len(a), common) + beta2 * Fraction(len(b), common)))
 
 
 def seqmatch(p, g):
