@@ -65,18 +65,22 @@ def kmeans_labels(x: np.ndarray, num_clusters: int) -> np.ndarray:
     """Lloyd's k-means: farthest-first start from the first row, ties to the lower index, rounds
     until no label changes (each lowers the error, so they end), labels numbered by first row."""
     k = max(1, min(int(num_clusters), len(x)))
-    picks, near = [0], ((x - x[0]) ** 2).sum(axis=1)
-    while len(picks) < k and near.max() > 0:
+    sq = (x * x).sum(axis=1)
+    to = lambda c: sq[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1)[None, :]  # noqa: E731  squared distances
+    picks, near = [0], to(x[:1])[:, 0]
+    while len(picks) < k and near.max() > 1e-9:
         picks.append(int(near.argmax()))
-        near = np.minimum(near, ((x - x[picks[-1]]) ** 2).sum(axis=1))
-    centers, labels = x[picks].copy(), None
+        near = np.minimum(near, to(x[picks[-1:]])[:, 0])
+    centers, seen = x[picks].copy(), set()
     while True:
-        new = np.stack([((x - c) ** 2).sum(axis=1) for c in centers]).argmin(axis=0)
-        if labels is not None and np.array_equal(new, labels):
+        labels = to(centers).argmin(axis=1)
+        if labels.tobytes() in seen:  # unchanged, or a circle of equally good labels by rounding
             break
-        labels = new
-        for j in np.unique(labels):
-            centers[j] = x[labels == j].mean(axis=0)
+        seen.add(labels.tobytes())
+        member = np.zeros((len(centers), len(x)))
+        member[labels, np.arange(len(x))] = 1.0
+        n = member.sum(axis=1, keepdims=True)
+        centers = np.where(n > 0, member @ x / np.maximum(n, 1.0), centers)
     first = {int(j): i for i, j in enumerate(dict.fromkeys(labels.tolist()))}
     return np.array([first[j] for j in labels.tolist()])
 

@@ -86,11 +86,14 @@ def unit_rows(df: DataFrame, p: dict, seed, part) -> DataFrame:
 
     emb = resolve(df, p.get("embedding_field", "embedding")).numbers()
     rows = df.select(*part, "entry_id", emb.alias("_emb"), field(df, p.get("text_field", "question")).alias("_text"), uid(seed, "shuffle").alias("u0"), uid(seed, "first").alias("u1"))
-    dense = rows.groupBy(*part).agg(F.bool_and(F.coalesce(embedding_valid(F.col("_emb")), F.lit(False))).alias("_dense"))
+    dense = saved(rows.groupBy(*part).agg(F.bool_and(F.coalesce(embedding_valid(F.col("_emb")), F.lit(False))).alias("_dense")), "kcenter-dense")
     rows = rows.join(dense, part)
-    post = tfidf_postings(rows.where(~F.col("_dense")), F.col("_text"), part)
-    pairs = post.groupBy(*part, "entry_id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("i"), F.col("w").alias("v")))).alias("_sp"))
-    rows = rows.join(pairs, [*part, "entry_id"], "left")
+    if dense.where(~F.col("_dense")).isEmpty():
+        rows = rows.withColumn("_sp", F.lit(None).cast("array<struct<i:bigint,v:double>>"))
+    else:
+        post = tfidf_postings(rows.where(~F.col("_dense")), F.col("_text"), part)
+        pairs = post.groupBy(*part, "entry_id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("i"), F.col("w").alias("v")))).alias("_sp"))
+        rows = rows.join(pairs, [*part, "entry_id"], "left")
     empty = F.array().cast("array<struct<i:bigint,v:double>>")
     from_dense = F.transform("_emb", lambda x, i: F.struct(i.cast("bigint").alias("i"), x.alias("v")))
     vec = F.when(F.col("_dense"), F.filter(from_dense, lambda x: x["v"] != 0)).otherwise(F.coalesce("_sp", empty))
@@ -103,19 +106,36 @@ def unit_rows(df: DataFrame, p: dict, seed, part) -> DataFrame:
     )
 
 
-def _similarity(idx: np.ndarray, val: np.ndarray, ends: np.ndarray, center: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Dot products of sparse rows (laid end to end) with one sparse vector."""
-    ci, cv = center
-    if not len(ci):
-        return np.zeros(len(ends) - 1)
-    at = np.searchsorted(ci, idx)
-    at[at == len(ci)] = 0
-    part = np.where(ci[at] == idx, val * cv[at], 0.0)
-    full = ends[1:] > ends[:-1]  # equal rows have equal sums wherever they stand
-    out = np.zeros(len(ends) - 1)
-    if full.any():
-        out[full] = np.add.reduceat(part, ends[:-1][full])
-    return out
+class _Rows:
+    """Sparse unit vectors of a batch, end to end; a plain matrix where all have the same indices."""
+
+    def __init__(self, idx: pa.Array, val: pa.Array):
+        self.ends = (idx.offsets.to_numpy() - idx.offsets[0].as_py()).astype(np.int64)
+        self.idx, self.val = idx.flatten().to_numpy(), val.flatten().to_numpy()
+        size = np.diff(self.ends)
+        self.matrix = None
+        if len(size) and size[0] and (size == size[0]).all():
+            table = self.idx.reshape(len(size), -1)
+            if (table == table[0]).all():
+                self.matrix = self.val.reshape(len(size), -1)
+
+    def vector(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.idx[self.ends[i] : self.ends[i + 1]], self.val[self.ends[i] : self.ends[i + 1]]
+
+    def similarity(self, center: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Dot products with a sparse vector. Equal rows have equal sums wherever they stand."""
+        ci, cv = center
+        out = np.zeros(len(self.ends) - 1)
+        if not len(ci) or not len(self.idx):
+            return out
+        if self.matrix is not None and np.array_equal(ci, self.idx[: len(ci)]) and len(ci) == self.matrix.shape[1]:
+            return (self.matrix * cv).sum(axis=1)
+        at = np.searchsorted(ci, self.idx)
+        at[at == len(ci)] = 0
+        part = np.where(ci[at] == self.idx, self.val * cv[at], 0.0)
+        full = self.ends[1:] > self.ends[:-1]
+        out[full] = np.add.reduceat(part, self.ends[:-1][full])
+        return out
 
 
 def _farthest(units: DataFrame, part: list[str], centers: dict[tuple, list[tuple]]) -> DataFrame:
@@ -130,22 +150,20 @@ def _farthest(units: DataFrame, part: list[str], centers: dict[tuple, list[tuple
         for b in batches:
             keys = list(zip(*(b.column(c).to_pylist() for c in part)))
             ids, u0 = b.column("entry_id").to_pylist(), b.column("u0").to_numpy()
-            lists = b.column("idx")
-            ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64)
-            idx, val = lists.flatten().to_numpy(), b.column("val").flatten().to_numpy()
+            rows = _Rows(b.column("idx"), b.column("val"))
             for key in set(keys) & shared.value.keys():
-                chosen = shared.value[key]
-                mine = np.array([k == key for k in keys])
                 near = np.full(b.num_rows, -np.inf)
-                for _, ci, cv in chosen:
-                    near = np.maximum(near, _similarity(idx, val, ends, (ci, cv)))
-                taken = {e for e, _, _ in chosen}
-                for i in np.flatnonzero(mine):
-                    if ids[i] in taken:
-                        continue
-                    rank = (round(max(0.0, 1.0 - near[i]), DISTANCE_DIGITS), -u0[i])
-                    if key not in best or rank > best[key][0]:
-                        best[key] = (rank, ids[i], idx[ends[i] : ends[i + 1]], val[ends[i] : ends[i + 1]])
+                for _, ci, cv in shared.value[key]:
+                    near = np.maximum(near, rows.similarity((ci, cv)))
+                taken = {e for e, _, _ in shared.value[key]}
+                free = np.array([k == key and e not in taken for k, e in zip(keys, ids)])
+                if not free.any():
+                    continue
+                far = np.where(free, np.round(np.maximum(0.0, 1.0 - near), DISTANCE_DIGITS), -1.0)
+                i = int(np.lexsort((u0, -far))[0])
+                rank = (far[i], -u0[i])
+                if key not in best or rank > best[key][0]:
+                    best[key] = (rank, ids[i], *rows.vector(i))
         rows = [(*k, r[0], -r[1], e, i.tolist(), v.tolist()) for k, (r, e, i, v) in best.items()]
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(schema.fields), to_arrow_schema(schema))], names=schema.names)
 
@@ -209,9 +227,7 @@ def core_set(units: DataFrame, part: list[str], m: int) -> DataFrame:
     def run(batches):
         for b in batches:
             keys = list(zip(*(b.column(c).to_pylist() for c in part)))
-            lists = b.column("idx")
-            ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64)
-            idx, val = lists.flatten().to_numpy(), b.column("val").flatten().to_numpy()
+            rows = _Rows(b.column("idx"), b.column("val"))
             u1 = b.column("u1").to_numpy()
             keep: list[int] = []
             for key in dict.fromkeys(keys):
@@ -221,7 +237,7 @@ def core_set(units: DataFrame, part: list[str], m: int) -> DataFrame:
                 while left and len(mine) - len(left) < m:
                     left.discard(i)
                     keep.append(i)
-                    near = np.maximum(near, _similarity(idx, val, ends, (idx[ends[i] : ends[i + 1]], val[ends[i] : ends[i + 1]])))
+                    near = np.maximum(near, rows.similarity(rows.vector(i)))
                     i = min(left, key=lambda j: near[j], default=i)
             yield b.take(pa.array(keep, pa.int64()))
 

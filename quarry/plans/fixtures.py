@@ -16,6 +16,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that Parquet cannot split into as many tasks as there are cores (few row groups) is
+    dealt out; a large table is read as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def qa_view(
     spark: SparkSession,
     sf_dir: str,
@@ -28,7 +35,7 @@ def qa_view(
     """Every document as a QA row made of its whole text, cut in halves and thirds. Every event and
     every embedding belongs to some document. ``shared_ids`` deals the rows to four sets whose ids
     restart in each."""
-    d = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    d = spread(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
     doc = F.col("doc_id")
     n = F.length("text")
     piece = lambda start, length: F.substr(F.col("text"), start, length)
@@ -44,7 +51,7 @@ def qa_view(
         )
         df = df.join(lab, "doc_id", "left")
     if events:
-        n_docs = d.count()
+        n_docs = _read(spark, sf_dir, "documents").count()
         ev = _read(spark, sf_dir, "events").groupBy(F.pmod("event_id", F.lit(n_docs)).alias("doc_id")).agg(F.max("ts").alias("ts"))
         df = df.join(ev, "doc_id", "left")
     if embeddings:

@@ -906,19 +906,28 @@ def _graph_prompt_sql(ids: str = "lang") -> str:
     return O.with_qa(f"SELECT dataset, entry_id, {PROMPT_SQL} coalesce(ex.ex, '') AS prompt FROM qa LEFT JOIN ex USING (dataset, entry_id)", *_RANK_CTES, ids=ids)
 
 
+def _graph_prompts(qa: DataFrame) -> DataFrame:
+    out = RT.run_retrieval(qa, "graphrag")
+    return out.select("dataset", "entry_id", F.coalesce("prompt", RT.rag_prompt(F.col("Question"), F.lit(""))).alias("prompt"))
+
+
 @register("c12_graphrag_prompt", _graph_prompt_sql())
 def c12_graphrag_prompt(spark, sf_dir):
-    """Composed of the operators, as with an embedder that only maps columns."""
-    qa, ch, top = _graph_top(spark, sf_dir)
-    ref = RT.refine_with_neighbours(top, ch, 0.5)
-    return RT.excerpts_prompt(qa, ref.select("dataset", "entry_id", "rank", F.col("refined_text").alias("text")), "text").select("dataset", "entry_id", "prompt")
+    """The technique's own map-only path."""
+    return _graph_prompts(qa_view(spark, sf_dir, labels=False))
 
 
 @register("c12c_graphrag_shared_ids", _graph_prompt_sql("shared"))
 def c12c_graphrag_shared_ids(spark, sf_dir):
-    """The technique's own map-only path, on sets whose ids restart."""
-    out = RT.run_retrieval(qa_view(spark, sf_dir, labels=False, shared_ids=True), "graphrag")
-    return out.select("dataset", "entry_id", F.coalesce("prompt", RT.rag_prompt(F.col("Question"), F.lit(""))).alias("prompt"))
+    return _graph_prompts(qa_view(spark, sf_dir, labels=False, shared_ids=True))
+
+
+@register("c12d_graphrag_operators", _graph_prompt_sql())
+def c12d_graphrag_operators(spark, sf_dir):
+    """Composed of the operators, as with an embedder that only maps columns."""
+    qa, ch, top = _graph_top(spark, sf_dir)
+    ref = RT.refine_with_neighbours(top, ch, 0.5)
+    return RT.excerpts_prompt(qa, ref.select("dataset", "entry_id", "rank", F.col("refined_text").alias("text")), "text").select("dataset", "entry_id", "prompt")
 
 
 @register("c10_rag_prompt", O.with_qa(f"SELECT dataset, entry_id, {PROMPT_SQL} coalesce(Context, '') AS prompt FROM qa"))

@@ -29,13 +29,13 @@ def test_hard_fraction_is_limited_twice(spark, sf_dir):
 
 @pytest.mark.parametrize("name", ["d04_f1", "d27_score_local", "d07_levenshtein", "c11_raptor", "c12c_graphrag_shared_ids"])
 def test_maps_without_exchange(spark, sf_dir, name):
-    plan = _plan(spark, sf_dir, name)
-    assert "Exchange" not in plan and plan.count("FileScan") == 1
+    plan = _plan(spark, sf_dir, name)  # the one exchange deals out a scan of a single row group
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == plan.count("RoundRobinPartitioning") <= 1
 
 
 def test_summary_folds_before_the_exchange(spark, sf_dir):
     plan = _plan(spark, sf_dir, "e02_overall")
-    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 2
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") - plan.count("RoundRobinPartitioning") == 2
 
 
 def test_read_many_joins_by_path(spark, sf_dir):
