@@ -8,15 +8,18 @@ document's quality weight, ``u`` a hash of seed and doc_id, so reruns agree), si
 along that order, and documents are taken until the budget is spent; the last one gives the words
 that still fit. ``taken`` therefore sums to the whole part of the target.
 
-The prefix sums never gather a source in one task: the key's exponential distribution cuts each
-source into ``buckets`` of about equal size; bucket totals are summed along the buckets and rows
-only within a bucket.
+The prefix sums never gather a source in one task: the key's exponential distribution, scaled by
+the source's mean quality, cuts each source into buckets of about a million rows or less (at
+least 256, and ever finer ones for the tail that low weights make); bucket totals are summed
+along the buckets and rows only within a bucket. The result does not depend on the buckets.
 
 Null or empty text has size 0 and takes 0. A null source is a source of its own. Documents with
 equal keys go by doc_id, then size. An empty table gives no rows."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -34,10 +37,10 @@ def quality_weight(text: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, max_epochs: int) -> DataFrame:
-    """(source, source_size, target): one row a source. Filling to a common level: in the order
+    """(source, source_size, mean_quality, target): one row a source. Filling to a common level: in the order
     of ``cap / weight``, a source is capped while its ratio lies under the level that the rest
     would get; the level over all prefixes is greatest exactly there."""
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("quality").alias("mean_quality"))
     by_name = W.orderBy(F.col("source").asc_nulls_last())  # one row a source
     weighed = totals.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
     ratio = max_epochs * F.col("source_size") / F.col("weight")
@@ -48,11 +51,18 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, max
         weighed.withColumn("ratio", ratio)
         .withColumn("level", level)
         .withColumn("level", F.max("level").over(everything))
-        .select("source", "source_size", F.when(F.col("ratio") <= F.col("level"), (max_epochs * F.col("source_size")).cast("double")).otherwise(F.col("weight") * F.col("level")).alias("target"))
+        .select("source", "source_size", "mean_quality", F.when(F.col("ratio") <= F.col("level"), (max_epochs * F.col("source_size")).cast("double")).otherwise(F.col("weight") * F.col("level")).alias("target"))
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, seed: int = 6, buckets: int = 256) -> DataFrame:
+def _bucket(z: Column, n: int) -> Column:
+    """n equal slices of the unit exponential distribution up to its 1 / n tail, then slices of a
+    sixteenth; grows with z."""
+    tail = math.log(n)
+    return F.when(z < tail, F.floor(n * (1 - F.exp(-z)))).otherwise(n + F.floor(F.least((z - tail) * 16, F.lit(1e6)))).cast("int")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, seed: int = 6, buckets: int | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs, taken: one row a document."""
     text = text_or_empty(docs["text"])
     sized = saved(
@@ -65,13 +75,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         "mix-sizes",
     )
     targets = saved(source_targets(sized, weights, share, max_epochs), "mix-targets")
+    buckets = buckets or max(256, sized.count() // 1_000_000)
     key = -F.log(u_key(seed, "mix", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) / F.col("quality")
     t = sized_broadcast(targets.withColumnRenamed("source", "t_source"))
     keyed = (
         sized.join(t, F.col("source").eqNullSafe(F.col("t_source")))
         .drop("t_source")
         .withColumn("key", key)
-        .withColumn("bucket", F.least(F.lit(buckets - 1), F.floor(buckets * (1 - F.exp(-F.col("key"))))).cast("int"))
+        .withColumn("bucket", _bucket(F.col("key") * F.col("mean_quality"), buckets))
     )
     per_bucket = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     earlier = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
