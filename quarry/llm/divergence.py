@@ -8,7 +8,9 @@ histogram of n words is rough by about 1 / sqrt(n), so a limit is ``floor + nois
 each test has a minimum length under which it passes.
 
 References are sums grouped by language: tasks add up bounded vectors, so nothing but a few rows
-a language is shuffled. The nearest of all references counts, since ``lang`` may be wrong or null.
+a language is shuffled. A value of ``lang`` is a reference if its documents hold at least one in
+``1 / MIN_SHARE`` of all words, so there are at most that many of them, whatever the column holds.
+The nearest of all references counts, since ``lang`` may be wrong or null.
 
 Null and empty texts have no words and fail the base rule. Rows map one to one; repeated rows and
 null ids stay; other columns are ignored. If no document passes the base rule there are no
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_or_empty
+from quarry.llm.common import saved, text_or_empty
 from quarry.llm.docstats import CLASS_OF_BYTE, base_stats
 
 #: Common words of four languages (fixed values; a parameter of the operator).
@@ -41,6 +43,7 @@ COMMON_WORDS = tuple(
 #: Limits and guards (production values).
 CHAR_LIMIT = (0.17, 1.0)
 WORD_LIMIT = (0.15, 1.5)
+MIN_SHARE = 0.001
 MIN_CHARS = 100
 MIN_WORDS = 40
 
@@ -84,18 +87,25 @@ def language_references(docs: DataFrame, common_words: tuple[str, ...] = COMMON_
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words, ids, seen, counts, s = base_stats(text.encode())
                 if not fails_base(s["n_words"], s["n_repeat_words"]):
-                    h = histograms(words, ids, seen, counts, common).astype(np.int64)
-                    sums[lang] = sums.get(lang, 0) + h
-        rows = [(k, i, int(v)) for k, h in sums.items() for i, v in enumerate(h)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "bin", "n"])
-
-    parts = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("lang"), text_or_empty(docs["text"]).alias("text")).mapInArrow(run, "lang string, bin int, n long")
-    rows = parts.groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()  # languages x bins
-    langs = sorted({r["lang"] for r in rows})
-    out = np.zeros((len(langs), width))
-    for r in rows:
-        out[langs.index(r["lang"]), r["bin"]] = r["n"]
-    return out
+                    sums[lang] = sums.get(lang, 0) + histograms(words, ids, seen, counts, common).astype(np.int64)
+                    if len(sums) >= 1000:
+                        yield summed(sums)
+                        sums = {}
+        yield summed(sums)
+
+    def summed(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        rows = [(k, int(h[n_classes:].sum()), h.tolist()) for k, h in sums.items()]
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["lang", "words", "bins"])
+
+    n_classes = CLASS_OF_BYTE.shape[1]
+    lang = F.coalesce(docs["lang"].cast("string"), F.lit(""))
+    parts = docs.select(lang.alias("lang"), text_or_empty(docs["text"]).alias("text")).mapInArrow(run, "lang string, words long, bins array<long>")
+    bins = [F.sum(F.col("bins")[i]).alias(f"b{i}") for i in range(width)]
+    sums = saved(parts.groupBy("lang").agg(F.sum("words").alias("words"), *bins), "language-sums")
+    total = sums.agg(F.sum("words")).first()[0] or 0
+    rows = sums.where(F.col("words") >= MIN_SHARE * total).orderBy("lang").collect()  # at most 1 / MIN_SHARE
+    return np.array([[r[f"b{i}"] for i in range(width)] for r in rows], dtype=np.float64).reshape(-1, width)
 
 
 def judge_quality(docs: DataFrame, common_words: tuple[str, ...] = COMMON_WORDS, char_limit: tuple[float, float] = CHAR_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
