@@ -1,9 +1,9 @@
 """URL rules in a sorted digest array.
 
 Rules are strings ``host + path prefix``. Their 64-bit xxhash keys are sorted into one array that
-is stored beside the offsets and bytes of the full strings; executors get the three files through
-Spark's file distribution and memory-map them, so all tasks of a machine share one copy in the
-page cache. A URL is probed with every suffix of its host at label borders combined with every
+is stored beside the offsets and bytes of the full strings in the shared folder; Spark's file
+distribution brings the files to each executor, which memory-maps them, so all tasks of a machine
+share one copy in the page cache. A URL is probed with every suffix of its host at label borders combined with every
 prefix of its path that is as long as some rule's path: each batch makes one vector of keys per
 path length and finds them by binary search. A hit counts only after the stored string equals the
 probe, so hash collisions change nothing. The longest rule that fits wins.
@@ -15,7 +15,6 @@ and repeated rows stay; other columns are ignored."""
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -24,7 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from quarry.llm.common import open_fs
+from quarry.session import scratch_path
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -56,11 +57,12 @@ class RuleArray:
             "blocks": np.array([actions[i] == "block" for i in order], dtype=bool),
             "lengths": np.array(sorted({len(r) - len(split_rule(r)[0]) for r in rules}), dtype=np.int64),
         }
-        out = []
+        fs, base = open_fs(folder)
+        fs.create_dir(base, recursive=True)
         for part, values in parts.items():
-            out.append(os.path.join(folder, f"{name}-{part}.npy"))
-            np.save(out[-1], values)
-        return out
+            with fs.open_output_stream(f"{base}/{name}-{part}.npy") as f:
+                np.save(f, values)
+        return [f"{folder.rstrip('/')}/{name}-{part}.npy" for part in parts]
 
     def find(self, probes: list[bytes]) -> np.ndarray:
         """Index of the rule equal to each probe, or -1."""
@@ -134,8 +136,8 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], default: str = "allow")
     'block'. A map over the url column alone; no shuffle."""
     sc = pages.sparkSession.sparkContext
     name = f"urls-{uuid.uuid4().hex}"
-    for path in RuleArray.build(rules, tempfile.mkdtemp(prefix="quarry-urls-"), name):
-        sc.addFile(path)  # each executor fetches its copy from the driver
+    for path in RuleArray.build(rules, scratch_path(pages.sparkSession, "url-rules"), name):
+        sc.addFile(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _ARRAYS:
