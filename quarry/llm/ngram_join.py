@@ -12,15 +12,13 @@ prefix is long has no partner and is done. The others (copies, near copies, docu
 shared passages) go on with their prefixes and sets:
 
 * Equal sets are one node (class); only its prefix and set go further.
-* A round of clustering joins most near copies without listing pairs: nodes meet by the first
-  frequent token of their prefix, split into cells of about ``cell`` nodes by a hash; a cell
-  compares its nodes exactly and gives the links of a spanning forest.
-* Exact rest: pairs of nodes in DIFFERENT components that share prefix tokens. Where a token
-  joins few nodes, their pairs are listed, must share a token under every order, pass the size
-  filter, and are compared. Where it joins many, listing pairs would grow with the square of the
-  group: the nodes that such tokens connect form a cluster, cut into blocks, and two blocks are
-  compared in one task by a matrix product over their shared tokens; only the links of a spanning
-  forest leave it. No link between components is lost, and pairs inside one need no comparison.
+* Where a token joins few nodes, their pairs are listed, must share a token under every order, pass
+  the size filter, and are compared.
+* Where it joins many, listing pairs would grow with the square of the group: the nodes that such
+  tokens connect form a cluster, cut into blocks, and two blocks are compared in one task by a
+  matrix product over their shared tokens. Only each node's number of links and the links of a
+  spanning forest leave the task. Pairs inside a cluster are not listed again, so every pair is
+  compared once, and no link between different texts is lost.
 
 Components come from repeated contraction to the least neighbour. Nothing is collected.
 
@@ -41,7 +39,7 @@ from quarry.llm.common import only, saved, sized_broadcast, unused
 from quarry.llm.repeats import Totals, chunks_of, with_repeats
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_SETS = "doc_id long, n long, first boolean, node binary, p1 array<long>, p2 array<long>, p3 array<long>, hot long, shingles binary"
+_SETS = "doc_id long, n long, first boolean, node binary, p1 array<long>, p2 array<long>, p3 array<long>, shingles binary"
 
 
 def mix64(x: np.ndarray, salt: int) -> np.ndarray:
@@ -94,16 +92,6 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(a[at] == b))
 
 
-#: A token of at least so many documents is frequent enough to gather a group.
-_FREQUENT = 16
-
-
-def meeting_token(prefix: np.ndarray, totals: Totals) -> int:
-    """The first frequent token of the prefix, else its last: near copies mostly agree on it."""
-    often = np.flatnonzero(totals.of(prefix) >= _FREQUENT)
-    return int(prefix.view(np.int64)[often[0] if len(often) else -1])
-
-
 def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """A row a document: n, and for those that may have partners node, prefixes and set."""
 
@@ -126,9 +114,8 @@ def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
             out["node"].append(node)
             for i, name in enumerate(("p1", "p2", "p3")):
                 out[name].append(p[i].view(np.int64) if p else None)
-            out["hot"].append(meeting_token(p[0], totals) if p else None)
             out["shingles"].append(s.astype("<u8").tobytes() if p else None)
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), *[pa.list_(pa.int64())] * 3, pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), *[pa.list_(pa.int64())] * 3, pa.binary()]
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
     return saved(with_repeats(*chunks_of(only(docs, "doc_id", "text")), keys, use, _SETS), "ngram-sets")
@@ -154,59 +141,60 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> n
     return out.astype(np.int64)
 
 
-def forest_links(table: pa.Table, percent: int, apart: bool) -> pa.Table:
-    """Links (a, b) of a spanning forest over the labels of (node, label, side, shingles): between
-    all rows, or only between the two sides."""
-    node, label = table.column("node").to_pylist(), table.column("label").to_pylist()
+def block_links(table: pa.Table, percent: int, apart: bool) -> pa.Table:
+    """Links among the rows (node, copies, side, shingles) of a block, or only between its two
+    sides: rows (a, b, NULL) of a spanning forest, and (a, NULL, n) with n the documents that node a
+    links to."""
+    node, copies = table.column("node").to_pylist(), table.column("copies").to_numpy()
     side = np.array(table.column("side").to_pylist())
     sets = [np.frombuffer(x, dtype="<u8") for x in table.column("shingles").to_pylist()]
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if apart else (np.arange(len(node)),) * 2
-    root = {x: x for x in label}
-
-    def top(x: bytes) -> bytes:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    a, b = [], []
+    a, b, n = [], [], []
     if len(left) and len(right):
         size = np.array([len(s) for s in sets])
         both = overlaps([sets[i] for i in left], [sets[j] for j in right])
-        union = size[left][:, None] + size[right][None, :] - both
-        for i, j in zip(*np.nonzero(100 * both >= percent * union)):
-            x, y = left[i], right[j]
-            if top(label[x]) != top(label[y]):
-                root[top(label[x])] = top(label[y])
-                a.append(node[x])
-                b.append(node[y])
-    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-
-def cell_links(nodes: DataFrame, percent: int, cell: int) -> DataFrame:
-    """Links of a spanning forest within each cell."""
-    sizes = sized_broadcast(nodes.groupBy("hot").agg(F.count("*").alias("n_hot")).where("n_hot > 1").withColumnRenamed("hot", "h_hot"), 500_000)
-    at = nodes.select("node", "hot", "shingles").join(sizes, F.col("hot") == F.col("h_hot"))
-    at = at.select("hot", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_hot") / cell)).alias("cell"), "node", F.col("node").alias("label"), F.lit(0).alias("side"), "shingles")
-    return at.groupBy("hot", "cell").applyInArrow(lambda t: forest_links(t, percent, False), "a binary, b binary")
-
-
-def rest_links(nodes: DataFrame, labels: DataFrame, percent: int, listed: int, block: int) -> DataFrame:
-    """All links between components, of pairs that share a prefix token: see the module's note.
-    A token that joins at most ``listed`` nodes has its pairs listed."""
-    labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    postings = labelled.select(F.explode("p1").alias("token"), "node", "n", "label")
-    cross = postings.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("joined"), F.min("node").alias("least"))
-    cross = cross.where("lo <> hi").select("token", "joined", "least")
-    postings = saved(postings.join(cross, "token"), "postings")
-    return _listed_links(nodes, postings.where(F.col("joined") <= listed), percent).unionByName(_block_links(labelled, postings.where(F.col("joined") > listed), percent, block))
-
-
-def _listed_links(nodes: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
-    a, b = (postings.select(*[F.col(c).alias(f"{c}_{s}") for c in ("token", "node", "n", "label")]) for s in "ab")
-    near = (F.col("token_a") == F.col("token_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
+        linked = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+        if not apart:
+            np.fill_diagonal(linked, False)
+        counts = np.zeros(len(node), np.int64)
+        counts[left] += linked @ copies[right]
+        if apart:
+            counts[right] += linked.T @ copies[left]
+        root = list(range(len(node)))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for i, j in zip(*np.nonzero(linked)):
+            x, y = top(left[i]), top(right[j])
+            if x != y:
+                root[x] = y
+                a.append(node[left[i]]), b.append(node[right[j]]), n.append(None)
+        for i in np.flatnonzero(counts):
+            a.append(node[i]), b.append(None), n.append(int(counts[i]))
+    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+
+
+def all_links(nodes: DataFrame, percent: int, listed: int, block: int) -> DataFrame:
+    """(a, b, n): links that connect all components (n NULL), and numbers of links (b NULL), as in
+    ``block_links``. A token that joins at most ``listed`` nodes has its pairs listed."""
+    postings = nodes.select(F.explode("p1").alias("token"), "node", "n", "copies")
+    tokens = postings.groupBy("token").agg(F.count("*").alias("joined"), F.min("node").alias("least")).where("joined > 1")
+    postings = saved(postings.join(tokens, "token"), "postings")
+    often = postings.where(F.col("joined") > listed)
+    clusters = components(often.select(F.col("least").alias("a"), F.col("node").alias("b"))).withColumnRenamed("label", "cluster")
+    return _listed_links(nodes, postings.where(F.col("joined") <= listed), clusters, percent).unionByName(_cluster_links(nodes, clusters, percent, block))
+
+
+def _listed_links(nodes: DataFrame, postings: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    rows = postings.join(clusters, "node", "left")
+    a, b = (rows.select(*[F.col(c).alias(f"{c}_{s}") for c in ("token", "node", "n", "copies", "cluster")]) for s in "ab")
+    near = (F.col("token_a") == F.col("token_b")) & (F.col("node_a") < F.col("node_b")) & ~F.col("cluster_a").eqNullSafe(F.coalesce("cluster_b", F.lit(b"")))
     near &= (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    pairs = a.join(b, near).select("node_a", "node_b").distinct()
+    pairs = a.join(b, near).select("node_a", "node_b", "copies_a", "copies_b").distinct()
     sets = nodes.select("node", "p2", "p3", "shingles")
     for s in "ab":
         pairs = pairs.join(sets.select(*[F.col(c).alias(f"{c}_{s}") for c in sets.columns]), f"node_{s}")
@@ -214,25 +202,28 @@ def _listed_links(nodes: DataFrame, postings: DataFrame, percent: int) -> DataFr
 
     def verify(batches):
         for t in batches:
-            keep = [linked(np.frombuffer(x.as_py(), dtype="<u8"), np.frombuffer(y.as_py(), dtype="<u8"), percent) for x, y in zip(t.column(2), t.column(3))]
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = [linked(np.frombuffer(x.as_py(), dtype="<u8"), np.frombuffer(y.as_py(), dtype="<u8"), percent) for x, y in zip(t.column(4), t.column(5))]
+            t = t.filter(pa.array(keep, pa.bool_()))
+            a, b, n_a, n_b = (t.column(i).to_pylist() for i in range(4))
+            none = [None] * len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(a + a + b, pa.binary()), pa.array(b + none + none, pa.binary()), pa.array(none + n_b + n_a, pa.int64())], names=["a", "b", "n"])
 
-    return shared.select("node_a", "node_b", "shingles_a", "shingles_b").mapInArrow(verify, "a binary, b binary")
+    columns = ("node_a", "node_b", "copies_a", "copies_b", "shingles_a", "shingles_b")
+    return shared.select(*columns).mapInArrow(verify, "a binary, b binary, n long")
 
 
-def _block_links(labelled: DataFrame, postings: DataFrame, percent: int, block: int) -> DataFrame:
-    clusters = components(postings.select(F.col("least").alias("a"), F.col("node").alias("b")))
-    sizes = sized_broadcast(clusters.groupBy("label").agg(F.count("*").alias("n_cluster")).withColumnRenamed("label", "cluster"), 500_000)
-    at = clusters.withColumnRenamed("label", "cluster").join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n_cluster") / block).cast("int"))
+def _cluster_links(nodes: DataFrame, clusters: DataFrame, percent: int, block: int) -> DataFrame:
+    sizes = sized_broadcast(clusters.groupBy("cluster").agg(F.count("*").alias("n_cluster")), 500_000)
+    at = clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n_cluster") / block).cast("int"))
     at = at.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), (F.col("own") > j).cast("int").alias("side")))
     placed = at.select("node", "cluster", F.explode(others).alias("at")).select("node", "cluster", "at.*")
-    rows = placed.join(labelled.select("node", "label", "shingles"), "node")
+    rows = placed.join(nodes.select("node", "copies", "shingles"), "node")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        return forest_links(table, percent, key[1].as_py() != key[2].as_py())
+        return block_links(table, percent, key[1].as_py() != key[2].as_py())
 
-    return rows.groupBy("cluster", "i", "j").applyInArrow(compare, "a binary, b binary")
+    return rows.groupBy("cluster", "i", "j").applyInArrow(compare, "a binary, b binary, n long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -252,20 +243,23 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def similarity_components(docs: DataFrame, k: int, percent: int, cell: int = 512, listed: int = 48, block: int = 512) -> DataFrame:
-    """doc_id, n_shingles, component_id, first (false on rows that repeat both id and set)."""
+def similarity_components(docs: DataFrame, k: int, percent: int, listed: int = 48, block: int = 512) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (documents it links to), first (false on rows that
+    repeat both id and set)."""
     sets = document_sets(docs, k, percent)
     members = sets.where("node IS NOT NULL")
-    nodes = saved(members.groupBy("node").agg(F.min(F.struct("doc_id", "n", "p1", "p2", "p3", "hot", "shingles")).alias("r")).select("node", "r.*"), "nodes")
-    links = saved(cell_links(nodes, percent, cell), "links")
-    labels = components(links)
-    labels = components(links.unionByName(rest_links(nodes, labels, percent, listed, block)))
-    by_label = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    one = F.min(F.struct("doc_id", "n", "p1", "p2", "p3", "shingles")).alias("r")
+    nodes = saved(members.groupBy("node").agg(one, F.count("*").alias("copies")).select("node", "copies", "r.*"), "nodes")
+    found = saved(all_links(nodes, percent, listed, block), "links")
+    labels = components(found.where("b IS NOT NULL").select("a", "b"))
+    counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    by_label = nodes.select("node", "doc_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = by_label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    component = by_label.join(least, "label").select("node", "component_id")
-    alone = F.when(F.col("doc_id").isNotNull(), F.col("doc_id"))
-    done = members.select("doc_id", "n", "first", "node").join(component, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "first")
-    return sets.where("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), "first").unionByName(done)
+    n_links = (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
+    component = by_label.join(least, "label").join(counts, "node", "left").select("node", "component_id", n_links)
+    alone = F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).alias("component_id")
+    done = members.select("doc_id", F.col("n").alias("n_shingles"), "first", "node").join(component, "node").drop("node")
+    return sets.where("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "first", alone, F.lit(0).cast("long").alias("n_links")).unionByName(done)
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

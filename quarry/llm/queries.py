@@ -30,7 +30,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similarity_components(documents(spark, sf_dir), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.similarity_components(documents(spark, sf_dir), k=3, percent=90).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

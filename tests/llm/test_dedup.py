@@ -123,12 +123,12 @@ def test_op2_keeps_columns_and_text(spark):
 
 
 def brute_components(rows, k, percent):
-    """(n_shingles, component_id) of each row."""
+    """(n_shingles, component_id, n_links) of each row."""
     sets = []
     for _, t in rows:
         w = [x.lower() for x in (t or "").encode().split()]
         sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
-    root = list(range(len(rows)))
+    root, links = list(range(len(rows))), [0] * len(rows)
 
     def top(x):
         while root[x] != x:
@@ -140,19 +140,21 @@ def brute_components(rows, k, percent):
             a, b = sets[i], sets[j]
             if a and b and rows[i][0] is not None and rows[j][0] is not None and 100 * len(a & b) >= percent * len(a | b):
                 root[top(i)] = top(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[top(i)] = min(d, least.get(top(i), d))
-    return [(len(sets[i]), None if d is None else least[top(i)]) for i, (d, _) in enumerate(rows)]
+    return [(len(sets[i]), None if d is None else least[top(i)], links[i]) for i, (d, _) in enumerate(rows)]
 
 
 def joined(df, k, percent, **options):
-    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similarity_components(df, k, percent, **options).collect()), key=str)
+    return sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.similarity_components(df, k, percent, **options).collect()), key=str)
 
 
 def test_op4_whole_table(spark, sf_dir, small_docs):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op4_ngram_join(spark, sf_dir).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in op4_ngram_join(spark, sf_dir).collect()}
     assert got == {d: w for (d, _), w in zip(small_docs, brute_components(small_docs, 3, 90))}
 
 
@@ -168,12 +170,12 @@ def near_copies(n):
     return rows
 
 
-@pytest.mark.parametrize("k,percent,cell,listed,block", [(3, 90, 4, 48, 512), (5, 80, 512, 48, 512), (3, 60, 2, 1, 3), (3, 80, 2, 6, 5), (5, 60, 1, 0, 7)])
-def test_op4_near_copies(spark, tiny_parts, k, percent, cell, listed, block):
+@pytest.mark.parametrize("k,percent,listed,block", [(3, 90, 48, 512), (5, 80, 48, 512), (3, 60, 1, 3), (3, 80, 6, 5), (5, 60, 0, 7)])
+def test_op4_near_copies(spark, tiny_parts, k, percent, listed, block):
     rows = near_copies(14) + passages(40)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(((d, *w) for (d, _), w in zip(rows, brute_components(rows, k, percent))), key=str)
-    assert joined(df, k, percent, cell=cell, listed=listed, block=block) == want
+    assert joined(df, k, percent, listed=listed, block=block) == want
 
 
 def test_op4_edges(edge_docs, empty_docs, tiny_parts):
@@ -205,7 +207,7 @@ def test_one_of_each_group(spark, edge_docs, empty_docs):
     rows = [(d, t) for d, t, _, _ in edge_rows()]
     found = brute_components(rows, 5, 80)
     want, seen = [], set()
-    for (d, t), (_, c) in zip(rows, found):
+    for (d, t), (_, c, _) in zip(rows, found):
         if c is None or (c == d and (d, t) not in seen):
             want.append(str(d))
         seen.add((d, t))

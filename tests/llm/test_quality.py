@@ -203,7 +203,7 @@ def test_pipeline_stages(spark, sf_dir):
     from test_dedup import brute_components, brute_dedup
 
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect() if score[r.doc_id]]
-    rows = [r for r, (_, c) in zip(rows, brute_components(rows, 5, 80)) if c == r[0]]
+    rows = [r for r, (_, c, _) in zip(rows, brute_components(rows, 5, 80)) if c == r[0]]
     left = {}
     for (d, t), (_, _, _, sha) in zip(rows, brute_dedup(rows)):
         left[d] = sha
