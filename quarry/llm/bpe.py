@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -100,6 +101,24 @@ def merge_pretoken(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]
     return out
 
 
+class _ByteTable:
+    """Byte strings by number; ``of`` joins those of an array of numbers in one gather."""
+
+    def __init__(self, strings: list[bytes]):
+        self.size = np.array([len(x) for x in strings], dtype=np.int32)
+        self.start = np.cumsum(self.size, dtype=np.int32) - self.size
+        self.data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+
+    def of(self, numbers: np.ndarray) -> bytes:
+        n = self.size[numbers]
+        ends = np.cumsum(n, dtype=np.int64)
+        if not len(ends):
+            return b""
+        at = np.repeat(self.start[numbers] - (ends - n), n)
+        at += np.arange(ends[-1])
+        return self.data[at].tobytes()
+
+
 class BytePairCodec:
     """Encoder and decoder of a byte-level BPE vocabulary file (the tokenizers JSON layout)."""
 
@@ -121,7 +140,8 @@ class BytePairCodec:
             self.piece[i] = bytes(of_char[c] for c in token) if all(c in of_char for c in token) else token.encode()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.code = "H" if size <= 1 << 16 else "I"
-        self.decimal = [str(i) for i in range(size)]
+        self.pieces = _ByteTable(self.piece)
+        self.comma_decimals = _ByteTable([b",%d" % i for i in range(size)])
         self.pretokens = regex.compile(PATTERN).findall
         self.added = added if special else {}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
@@ -133,8 +153,7 @@ class BytePairCodec:
         """Ids of one pre-token, packed."""
         got = self.words.get(token)
         if got is None:
-            byte_id = self.byte_id
-            ids = merge_pretoken([byte_id[b] for b in token.encode("utf-8")], self.pairs)
+            ids = merge_pretoken(list(map(self.byte_id.__getitem__, token.encode("utf-8"))), self.pairs)
             got = array(self.code, ids).tobytes()
             if len(self.words) >= self.limit:
                 self.words.clear()
@@ -186,12 +205,41 @@ class BytePairCodec:
             i = j + 1
         return b"".join(out)
 
+    def encode_many(self, texts: pa.Array, slice_bytes: int = 8 << 20) -> Iterator[bytes]:
+        """Packed ids of each text. Arrow numbers the distinct pieces of a slice of the texts, so that
+        Python looks each of them up once."""
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size, dtype=np.int64) // slice_bytes
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        for i, j in zip(cuts, cuts[1:]):
+            if i == j:
+                continue
+            some = texts.slice(i, j - i)
+            pieces = pc.split_pattern(some, " ")
+            coded = pieces.flatten().dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            units = [self._unit(p) if (u := self.units.get(p)) is None else u for p in names]
+            index = coded.indices.to_numpy()
+            open_end = np.concatenate([[0], np.cumsum(np.array([u is False for u in units])[index])])
+            ends = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+            clean = open_end[ends[1:]] == open_end[ends[:-1]]
+            for k, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+                if not clean[k]:  # white space beside a blank: tokens there reach across pieces
+                    yield self.encode_packed(some[k].as_py())
+                    continue
+                first, *rest = index[a:b].tolist()
+                yield b"".join([self._region(names[first]), *map(units.__getitem__, rest)])
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_packed(text), dtype=self.dtype)
 
     def decode(self, ids) -> str:
         """Text of the ids, special tokens kept; broken UTF-8 becomes U+FFFD."""
-        return b"".join(map(self.piece.__getitem__, ids)).decode("utf-8", "replace")
+        return self.pieces.of(np.asarray(ids, dtype=np.int64)).decode("utf-8", "replace")
+
+    def decimals(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, joined by commas."""
+        return self.comma_decimals.of(ids)[1:]
 
 
 _CODECS: dict[tuple, BytePairCodec] = {}
@@ -211,7 +259,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
         for b in batches:
-            ids = [c.encode(t) for t in b.column(1).to_pylist()]
+            ids = [np.frombuffer(x, c.dtype) for x in c.encode_many(b.column(1))]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
             flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["doc_id", "ids"])
@@ -236,16 +284,16 @@ def round_trip_digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer_path)
-        decimal, sha = c.decimal.__getitem__, hashlib.sha256
+        sha = hashlib.sha256
         for b in batches:
             n, ids_sha, text_sha, same = [], [], [], []
-            for text in b.column(1).to_pylist():
-                ids = c.encode(text).tolist()
+            for packed, text in zip(c.encode_many(b.column(1)), b.column(1)):
+                ids = np.frombuffer(packed, c.dtype)
                 back = c.decode(ids)
                 n.append(len(ids))
-                ids_sha.append(sha(",".join(map(decimal, ids)).encode()).hexdigest())
+                ids_sha.append(sha(c.decimals(ids)).hexdigest())
                 text_sha.append(sha(back.encode()).hexdigest())
-                same.append(back == text)
+                same.append(back == text.as_py())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(same, pa.bool_())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"],

@@ -8,6 +8,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import saved  # noqa: F401  the operators' way to cut lineage
+
 #: Rows without a doc_id sort after all others in every operator that needs an order.
 NULL_ID = (1 << 63) - 1
 
@@ -87,17 +89,7 @@ def open_fs(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-# ---- written intermediate tables ----------------------------------------------------------------
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet under the shared checkpoint folder and read again: cuts the
-    lineage, survives lost executors, and keeps later steps from computing it twice."""
-    from quarry.session import scratch_path
-
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+# ---- joins --------------------------------------------------------------------------------------
 
 def sized_broadcast(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     """Hint a broadcast if the table has at most ``most_rows`` rows (counted); beyond that the

@@ -45,6 +45,14 @@ def test_words_equal_the_library(library, text):
     assert ids[: ends[1]].tolist() == library[WORD].encode(text, add_special_tokens=False).ids and len(ends) == 3
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(TEXTS, max_size=6), st.sampled_from([1, 40, 1 << 20]))
+def test_many_texts_equal_the_library(library, texts, slice_bytes):
+    got = [np.frombuffer(x, CODEC.dtype) for x in CODEC.encode_many(pa.array(["x", *texts], pa.string()).slice(1), slice_bytes)]
+    assert [x.tolist() for x in got] == [library[BYTE].encode(t, add_special_tokens=False).ids for t in texts]
+    assert [CODEC.decimals(x).decode() for x in got] == [",".join(map(str, x)) for x in got]
+
+
 def test_small_caches_change_nothing(library):
     small = bpe.BytePairCodec(BYTE, cache_entries=3)
     words = token_store.WordwiseEncoder(WORD, cache_entries=3)
