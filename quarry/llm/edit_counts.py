@@ -15,7 +15,6 @@ one; null ids and repeated rows stay; other columns are ignored."""
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 

@@ -28,7 +28,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.ipc as ipc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarry.llm.common import only, open_fs, parts_for, text_bytes, text_or_empty
 

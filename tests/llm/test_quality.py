@@ -6,11 +6,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import edge_rows, prose
+from conftest import edge_rows
+from oracle_check import compare, duck
 
 import corpus_pipeline
-from quarry.llm import bpe, divergence, docstats, mixing, ngram_join, quality_gbt, suffix_dedup, url_filter
-from quarry.llm.queries import op6_source_mix, op7_divergence_rules, op8_quality_trees, tokenizer
+from quarry.llm import divergence, docstats, mixing, quality_gbt, url_filter
+from quarry.llm.queries import REGISTRY, op7_divergence_rules, op8_quality_trees
 
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 
@@ -62,6 +63,12 @@ def test_op7_edges(edge_docs, empty_docs):
     assert divergence.judge_quality(empty_docs).count() == 0
 
 
+@pytest.mark.parametrize("name", [n for n, (_, sql) in REGISTRY.items() if sql])
+def test_equal_to_sql(spark, sf_dir, name):
+    fn, sql = REGISTRY[name]
+    assert compare(spark, duck(sf_dir), name, fn, sql, sf_dir)["ok"]
+
+
 def brute_targets(sizes, weights=(3, 1, 2)):
     """Share, cap, share the excess again, until none is above."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
