@@ -122,7 +122,7 @@ class _ByteTable:
 class BytePairCodec:
     """Encoder and decoder of a byte-level BPE vocabulary file (the tokenizers JSON layout)."""
 
-    def __init__(self, path: str, cache_entries: int = 500_000, special: bool = True):
+    def __init__(self, path: str, cache_entries: int = 400_000, special: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -205,7 +205,7 @@ class BytePairCodec:
             i = j + 1
         return b"".join(out)
 
-    def encode_many(self, texts: pa.Array, slice_bytes: int = 8 << 20) -> Iterator[bytes]:
+    def encode_many(self, texts: pa.Array, slice_bytes: int = 4 << 20) -> Iterator[bytes]:
         """Packed ids of each text. Arrow numbers the distinct pieces of a slice of the texts, so that
         Python looks each of them up once."""
         size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
