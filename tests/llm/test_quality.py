@@ -57,6 +57,31 @@ def test_js_distance():
     assert divergence.js_distance(p, q)[:2] == pytest.approx([1.0, 0.0])
 
 
+def test_op7_small_languages(spark, monkeypatch):
+    """A language below 0.1 % of the words has its reference, also for a document whose lang is
+    null, whether the references are held at once or in blocks."""
+    words = {"en": "the of and to in river stone garden".split(), "xx": "ŝaĝa ĉevalo ĵaŭdo ĥoro ĝardeno ŭesto".split()}
+
+    def text(lang, seed):
+        r = np.random.default_rng(seed)
+        return " ".join(r.choice(words[lang], 60))
+
+    rows = [(i, " ".join(text("en", 100 * i + j) for j in range(20)), "en") for i in range(260)]
+    rows += [(1000 + i, text("xx", i), "xx" if i < 4 else None) for i in range(5)]
+    rows += [(2000 + i, text("en", 9000 + i), f"l{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").where("lang IS NOT NULL OR doc_id >= 1000").repartition(5)
+    sizes = Counter()
+    for _, t, lang in rows:
+        sizes[lang] += len(t.split())
+    assert sizes["xx"] < 0.001 * sum(sizes.values())
+    at_once = sorted(map(tuple, divergence.judge_quality(docs).collect()))
+    assert all(r[7] for r in at_once if 1000 <= r[0] < 2000)
+    monkeypatch.setattr(divergence, "BLOCK", 2)
+    in_blocks = sorted(map(tuple, divergence.judge_quality(docs).collect()))
+    for a, b in zip(at_once, in_blocks, strict=True):
+        assert a[:8] == b[:8] and a[8:] == pytest.approx(b[8:], abs=1e-12)
+
+
 def test_op7_edges(edge_docs, empty_docs):
     got = divergence.judge_quality(edge_docs).collect()
     assert sorted((r.n_words, r.n_repeat_words) for r in got) == sorted((base_figures(t or "")[0], base_figures(t or "")[4]) for _, t, _, _ in edge_rows())
