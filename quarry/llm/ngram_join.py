@@ -104,12 +104,12 @@ def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def use(table: pa.Table, totals: Totals) -> pa.Table:
         out: dict[str, list] = {c.split()[0]: [] for c in _SETS.split(", ")}
         seen: set[tuple] = set()
-        for doc_id, s in zip(table.column("doc_id").to_pylist(), sets(table)):
+        for doc_id, sub, s in zip(table.column("doc_id").to_pylist(), table.column("sub").to_pylist(), sets(table)):
             p = prefixes(s, totals.of(s), percent) if len(s) and doc_id is not None else None
             node = xxhash.xxh3_128_digest(s.tobytes()) if p else None
             out["doc_id"].append(doc_id)
             out["n"].append(len(s))
-            out["first"].append((doc_id, node) not in seen)
+            out["first"].append(sub is None and (doc_id, node) not in seen)
             seen.add((doc_id, node))
             out["node"].append(node)
             for i, name in enumerate(("p1", "p2", "p3")):
@@ -118,7 +118,8 @@ def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), *[pa.list_(pa.int64())] * 3, pa.binary()]
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
-    return saved(with_repeats(*chunks_of(only(docs, "doc_id", "text")), keys, use, _SETS), "ngram-sets")
+    rows, n, bits, _ = chunks_of(only(docs, "doc_id", "text"))
+    return saved(with_repeats(rows.drop("row"), n, bits, keys, use, _SETS), "ngram-sets")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -245,7 +246,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def similarity_components(docs: DataFrame, k: int, percent: int, listed: int = 48, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (documents it links to), first (false on rows that
-    repeat both id and set)."""
+    repeat both id and set, and on all rows of an id that ``chunks_of`` deals apart)."""
     sets = document_sets(docs, k, percent)
     members = sets.where("node IS NOT NULL")
     one = F.min(F.struct("doc_id", "n", "p1", "p2", "p3", "shingles")).alias("r")

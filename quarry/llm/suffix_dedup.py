@@ -22,7 +22,8 @@ windows are equal. The distributed merge sort of these keys:
    then grouped by a 128-bit hash over all ranges, which splits any hot group.
 
 Decisions are (document, start, end) rows; they meet the texts by chunk. Order is ascending
-doc_id; rows without doc_id come last; rows that repeat a doc_id follow each other by text.
+doc_id; rows without doc_id come last; rows that repeat a doc_id follow each other by the first
+256 bytes of the text, then by its md5.
 Null text counts as empty; texts shorter than ``width`` have no window and lose nothing.
 An empty table gives no rows."""
 
@@ -40,12 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import NULL_ID, pack_small, parts_for, saved, unpack_small
-from quarry.llm.repeats import Totals, chunks_of, with_repeats
+from quarry.llm.common import only, pack_small, parts_for, saved, unpack_small
+from quarry.llm.repeats import HEAD, Totals, chunk_of, chunks_of, with_repeats
 
 WIDTH, GRAM = 100, 40
 #: A position is (rows before it with the same doc_id) << SUB | byte offset.
-SUB = 40
+SUB = 32
 _MULT = 0x9E3779B97F4A7C15
 _MIXERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _CUT = "key long, start long, end long, n_keys long, run binary, sample array<binary>"
@@ -222,17 +223,19 @@ class LoserTree:
 # ---- the stages ---------------------------------------------------------------------------------
 
 def numbered(table: pa.Table) -> list[tuple[int, int, int]]:
-    """(row, key, sub) of a chunk's rows: rows that repeat a key are numbered by text."""
-    keys = table.column("key").to_pylist()
-    order = sorted(range(len(keys)), key=lambda i: keys[i])
-    if len(set(keys)) < len(keys):
-        texts = table.column("text").to_pylist()
-        order.sort(key=lambda i: (keys[i], texts[i].encode()))
+    """(row, key, sub) of a chunk's rows: rows that repeat a key and have no number yet are numbered
+    by the head of the text and its md5, as ``chunks_of`` numbers the others."""
+    keys, subs = table.column("key").to_pylist(), table.column("sub").to_pylist()
+    order = sorted(range(len(keys)), key=lambda i: (keys[i], subs[i] or 0))
+    whole = [k for k, s in zip(keys, subs) if s is None]
+    if len(set(whole)) < len(whole):
+        texts = [t.encode() for t in table.column("text").to_pylist()]
+        order.sort(key=lambda i: (keys[i], (texts[i][:HEAD], hashlib.md5(texts[i]).hexdigest()) if subs[i] is None else (subs[i],)))
     out, before, sub = [], None, 0
     for i in order:
         sub = sub + 1 if keys[i] == before else 0
         before = keys[i]
-        out.append((i, keys[i], sub))
+        out.append((i, keys[i], sub if subs[i] is None else subs[i]))
     return out
 
 
@@ -416,15 +419,15 @@ def _resolve(group: list[tuple[bytes, int, int]], width: int, cut: bool, out: li
             out.append((doc, place - before + begin, place - before + end, None))
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keys_per_part: int = 40_000) -> tuple[DataFrame, DataFrame, int]:
-    """(rows, removals, number of chunks): the chunked documents, and the (key, start, end) rows of
-    all bytes to remove."""
-    rows, n, bits = chunks_of(docs)
+def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keys_per_part: int = 40_000) -> tuple[DataFrame, DataFrame]:
+    """(rows, removals): the chunked documents, and the (chunk, key, start, end) rows of all bytes to
+    remove."""
+    rows, n, bits, heavy = chunks_of(docs)
     samples = max(4, min(64, 65_536 // n))
-    runs = saved(sorted_runs(rows, n, bits, width, gram, samples), "suffix-runs")
+    runs = saved(sorted_runs(rows.drop("row"), n, bits, width, gram, samples), "suffix-runs")
     parallel = docs.sparkSession.sparkContext.defaultParallelism
     gone = merged_removals(runs, width, gram, keys_per_part, parallel)
-    return rows, runs.where("run IS NULL").select("key", "start", "end").unionByName(gone), n
+    return rows, _by_chunk(runs.where("run IS NULL").select("key", "start", "end").unionByName(gone), n, heavy)
 
 
 def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -455,13 +458,17 @@ def _with_spans(table: pa.Table, gone: pa.Table) -> Iterator[tuple[int, bytes, l
         yield row, texts[row].encode(), spans.get((key, sub), [])
 
 
-def _by_chunk(gone: DataFrame, n: int) -> DataFrame:
-    return gone.select(F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("chunk"), "key", "start", "end")
+def _by_chunk(gone: DataFrame, n: int, heavy: DataFrame | None) -> DataFrame:
+    if heavy is None:
+        return gone.select(chunk_of(n, "key"), "key", "start", "end")
+    gone = gone.join(F.broadcast(heavy.withColumn("apart", F.lit(True))), "key", "left")
+    chunk = F.when(F.col("apart"), chunk_of(n, "key", F.shiftright("start", SUB))).otherwise(chunk_of(n, "key"))
+    return gone.select(chunk.alias("chunk"), "key", "start", "end")
 
 
 def dedup_digest(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    rows, gone, n = repeated_spans(docs, width, gram)
+    rows, gone = repeated_spans(only(docs, "doc_id", "text"), width, gram)
 
     def finish(table: pa.Table, gone: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_pylist()
@@ -472,16 +479,14 @@ def dedup_digest(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataF
         kinds = [pa.int64()] * 4 + [pa.string()]
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.groupBy("chunk").cogroup(_by_chunk(gone, n).groupBy("chunk")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.drop("row").groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_documents(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text`` (bytes of characters that were cut in
     the middle go too) and ``n_chars``, if there, set to what is left. All rows and columns stay."""
-    _, gone, n = repeated_spans(docs, width, gram)
-    others = [c for c in docs.columns if c != "text"]
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID))
-    rows = docs.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("chunk"), key.alias("key"), F.coalesce(docs["text"], F.lit("")).alias("text"), F.struct(*[docs[c] for c in others]).alias("row"))
+    rows, gone = repeated_spans(docs, width, gram)
+    rows = rows.select("chunk", "key", "sub", "text", "row")
 
     def finish(table: pa.Table, gone: pa.Table) -> pa.Table:
         left: list[str] = [""] * len(table)
@@ -490,7 +495,7 @@ def dedup_documents(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
         return pa.table([pa.array(left, pa.string()), table.column("row")], names=["text", "row"])
 
     schema = T.StructType([T.StructField("text", T.StringType()), rows.schema["row"]])
-    done = rows.groupBy("chunk").cogroup(_by_chunk(gone, n).groupBy("chunk")).applyInArrow(finish, schema)
+    done = rows.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(finish, schema)
     picked = {c: F.col("text") if c == "text" else F.col("row")[c] for c in docs.columns}
     if "n_chars" in picked:
         picked["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)

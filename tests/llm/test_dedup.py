@@ -114,6 +114,23 @@ def test_op2_edges(edge_docs, empty_docs, tiny_parts):
     assert suffix_dedup.dedup_documents(empty_docs).count() == 0
 
 
+def test_one_id_makes_no_large_chunk(spark, tiny_parts):
+    """A third of the rows without doc_id, a third with one doc_id, copies of one text among both."""
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else 1000 + i, prose(1 if i % 5 == 0 else 50 + i, 25)) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    chunks, n, *_ = suffix_dedup.chunks_of(df)
+    sizes = [r.n for r in chunks.selectExpr("chunk", "octet_length(text) AS b").groupBy("chunk").agg({"b": "sum"}).toDF("chunk", "n").collect()]
+    assert n > 8 and sum(sizes) == sum(len(t) for _, t in rows) and max(sizes) < 4 * 3000
+    assert dedup(df) == sorted(brute_dedup(in_order(rows)))
+    left = {r.kept_sha256 for r in suffix_dedup.dedup_digest(df).collect()}
+    texts = [r.text for r in suffix_dedup.dedup_documents(df).collect()]
+    assert len(texts) == len(rows) and {hashlib.sha256(t.encode()).hexdigest() for t in texts} == left
+    got = ngram_join.similarity_components(df, 3, 90).select("n_shingles", "component_id", "n_links").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_components(rows, 3, 90)))
+    kept = ngram_join.one_of_each_group(df, 3, 90).where("doc_id = 5").collect()
+    assert len(kept) == len({r.text for r in kept}) == len({t for d, t in rows if d == 5})
+
+
 def test_op2_keeps_columns_and_text(spark):
     long = prose(5, 100)
     df = spark.createDataFrame([(1, long, "s", 3), (2, long + "é tail", "t", 4)], "doc_id long, text string, source string, n_chars int")
