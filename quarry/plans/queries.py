@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
@@ -587,6 +587,10 @@ def a01_read_json(spark, sf_dir):
                      F.try_variant_get("extra", "$.Role", "string").alias("role"))
 
 
+#: Bytes of questions in a document of a03.
+A03_BYTES = 4 << 20
+
+
 @register(
     "a03_read_many",
     "SELECT CASE WHEN rank = 1 THEN 'g' || conv_id % 3 ELSE 'g' || conv_id % 3 || '_' || rank END AS dataset, pos, Question FROM ("
@@ -594,16 +598,34 @@ def a01_read_json(spark, sf_dir):
     "1 + (conv_id % 6) // 3 AS rank FROM conversations)",
 )
 def a03_read_many(spark, sf_dir):
-    """Six files: file i has the conversations with id % 6 = i under the set name g<i % 3>, so each
-    name is taken once more by a later file."""
-    c = _read(spark, sf_dir, "conversations").withColumn("part", F.pmod("conv_id", F.lit(6)).cast("int"))
-    base = scratch_path(spark, "six")
-    for i in range(6):
-        turns = c.where(F.col("part") == i).select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"))
-        rows = F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "question"))), lambda t: F.struct(t["question"]))
-        turns.agg(F.to_json(F.create_map(F.lit(f"g{i % 3}"), rows)).alias("value")).write.text(f"{base}/{i}")
-    df = RD.read_many(spark, [spark.read.text(f"{base}/{i}").inputFiles()[0] for i in range(6)])
-    return df.select("dataset", "pos", "Question")
+    """Conversations with id % 6 = i make documents of about ``A03_BYTES`` under the set name
+    g<i % 3>, in order of i, conversation and turn, a file each, so names are taken again by later
+    files. The names that ``read_many`` gives lead back to i and the turns before the document."""
+    c = _read(spark, sf_dir, "conversations").withColumn("part", F.pmod("conv_id", F.lit(6)).cast("int")).where("part IS NOT NULL")
+    order = ["part", "conv_id", "turn"]
+    turns = c.select(*order, F.coalesce(c["text"], F.lit("")).alias("question"))
+    total = turns.agg(F.sum(F.octet_length("question"))).first()[0] or 0
+    ranges = turns.repartitionByRange(total // (16 * A03_BYTES) + 1, *order).sortWithinPartitions(*order, "question")
+    placed = saved(ranges.withColumn("place", F.monotonically_increasing_id()), "six-turns").withColumn("range", F.shiftright("place", 33))
+    size = F.sum(F.octet_length("question") + 20).over(Window.partitionBy("part", "range").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    placed = placed.withColumn("piece", F.floor(size / A03_BYTES))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("place", "question"))), lambda t: F.struct(t["question"]))
+    name = F.concat(F.lit("g"), (F.col("part") % 3).cast("string"))
+    docs = saved(placed.groupBy("part", "range", "piece").agg(F.to_json(F.create_map(F.first(name), rows)).alias("value"), F.count("*").alias("n")), "six-documents")
+    base, at, taken, before = scratch_path(spark, "six"), [], {}, {}
+    docs.select("value", F.concat_ws("_", F.lit("d"), "part", "range", "piece").alias("at")).write.partitionBy("at").text(base)
+    for d in docs.select("part", "range", "piece", "n").orderBy("part", "range", "piece").collect():  # a row a document
+        k, i = d["part"] % 3, d["part"]
+        taken[k] = taken.get(k, 0) + 1
+        given = f"g{k}" if taken[k] == 1 else f"g{k}_{taken[k]}"
+        at.append((f"d_{i}_{d['range']}_{d['piece']}", given, f"g{k}" if i < 3 else f"g{k}_2", before.get(i, 0)))
+        before[i] = before.get(i, 0) + d["n"]
+    if not at:
+        return spark.createDataFrame([], "dataset string, pos long, Question string")
+    files = {f.split("/at=")[1].split("/")[0]: f for f in spark.read.text(base).inputFiles()}
+    df = RD.read_many(spark, [files[x[0]] for x in at])
+    sets = spark.createDataFrame([x[1:] for x in at], "dataset string, six string, before long")
+    return df.join(sets, "dataset").select(F.col("six").alias("dataset"), (F.col("pos") + F.col("before")).alias("pos"), "Question")
 
 
 @register(

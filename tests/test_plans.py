@@ -1,5 +1,7 @@
 """Physical-plan checks: top-n per group is a map-side WindowGroupLimit; no cross joins."""
 
+import os
+
 import pytest
 
 import __spark_entry__ as E
@@ -42,6 +44,20 @@ def test_read_many_joins_by_path(spark, sf_dir):
     assert "NestedLoop" not in _plan(spark, sf_dir, "a03_read_many")
 
 
+def test_a03_documents_are_bounded(spark, sf_dir, monkeypatch):
+    """The files of a03 grow with the data, none is much over the bound, and the rows stay the same."""
+    from oracle_check import compare, duck
+
+    from quarry.plans import queries
+
+    read, sizes = queries.RD.read_many, []
+    monkeypatch.setattr(queries, "A03_BYTES", 2_000, raising=False)
+    monkeypatch.setattr(queries.RD, "read_many", lambda s, paths: sizes.extend(os.path.getsize(p.removeprefix("file://")) for p in paths) or read(s, paths))
+    assert compare(spark, duck(sf_dir), "a03_read_many", QUERIES["a03_read_many"], E.oracle_sql()["a03_read_many"], sf_dir)["ok"]
+    text = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("sum(octet_length(text)) AS b", "max(octet_length(text)) AS m").first()
+    assert len(sizes) > 6 and len(sizes) >= text["b"] // 4_000 and max(sizes) < 2 * 2_000 + 2 * text["m"]
+
+
 def test_checkpoint_folder_is_required_off_local(monkeypatch):
     from quarry import session
 
