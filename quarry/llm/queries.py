@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, divergence, edit_counts, imatch, mixing, ngram_join, quality_gbt, suffix_dedup, token_store, url_filter
+from quarry.llm import bpe, divergence, edit_counts, imatch, lyndon_runs, mixing, ngram_join, quality_gbt, suffix_dedup, token_store, url_filter
 from quarry.llm.common import documents
 
 
@@ -59,6 +59,10 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.count_edits(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), edit_counts.review_edits)
 
 
+def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lyndon_runs.run_digest(documents(spark, sf_dir))
+
+
 REGISTRY = {
     "op1_imatch": (op1_imatch, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
@@ -70,4 +74,5 @@ REGISTRY = {
     "op8_quality_trees": (op8_quality_trees, None),
     "op9_url_rules": (op9_url_rules, url_filter.OP9_SQL),
     "op10_edit_counts": (op10_edit_counts, None),
+    "op11_lyndon_runs": (op11_lyndon_runs, None),
 }
