@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, divergence, edit_counts, imatch, lyndon_runs, mixing, ngram_join, quality_gbt, suffix_dedup, token_store, url_filter
+from quarry.llm import bpe, divergence, edit_counts, imatch, lyndon_runs, mixing, ngram_join, quality_gbt, suffix_dedup, token_store, url_filter, vector_packing
 from quarry.llm.common import documents
 
 
@@ -63,6 +63,11 @@ def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lyndon_runs.run_digest(documents(spark, sf_dir))
 
 
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = vector_packing.token_pieces(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=0, seq_len=2048)
+    return vector_packing.pack(pieces, vector_packing.Capacity(tokens=2048), weights=(1.0, 1.0, 1.0))
+
+
 REGISTRY = {
     "op1_imatch": (op1_imatch, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
@@ -75,4 +80,5 @@ REGISTRY = {
     "op9_url_rules": (op9_url_rules, url_filter.OP9_SQL),
     "op10_edit_counts": (op10_edit_counts, None),
     "op11_lyndon_runs": (op11_lyndon_runs, None),
+    "op12_vector_packing": (op12_vector_packing, None),
 }
