@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, divergence, edit_counts, imatch, lyndon_runs, mixing, ngram_join, quality_gbt, suffix_dedup, token_store, url_filter, vector_packing
+from quarry.llm import bpe, divergence, edit_counts, imatch, lyndon_runs, mixing, ngram_join, phrases, quality_gbt, suffix_dedup, token_store, url_filter, vector_packing
 from quarry.llm.common import documents
 
 
@@ -68,6 +68,10 @@ def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(pieces, vector_packing.Capacity(tokens=2048), weights=(1.0, 1.0, 1.0))
 
 
+def op13_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(documents(spark, sf_dir), k=2000, max_words=3, min_count=10, scale=1_000_000, percent=50)
+
+
 REGISTRY = {
     "op1_imatch": (op1_imatch, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
@@ -81,4 +85,5 @@ REGISTRY = {
     "op10_edit_counts": (op10_edit_counts, None),
     "op11_lyndon_runs": (op11_lyndon_runs, None),
     "op12_vector_packing": (op12_vector_packing, None),
+    "op13_phrase_automata": (op13_phrase_automata, None),
 }
