@@ -231,7 +231,7 @@ class CountAutomaton:
         return state, np.concatenate([first, alone])
 
     def to_bytes(self) -> bytes:
-        target = np.zeros(len(self.label[-1]), np.int64)
+        target = np.zeros(len(self.label[-1]) if self.depth else 0, np.int64)
         blobs = []
         for d in range(self.depth - 1, -1, -1):
             if d:

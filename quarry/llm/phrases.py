@@ -111,7 +111,7 @@ def range_borders(segments: DataFrame, range_nodes: int) -> list[Key]:
         drawn = drawn.sample(MOST_SAMPLES / found["segments"], seed=13)
     keys = sorted(tuple(map(bytes, r["first"])) for r in drawn.toLocalIterator())
     n = min(parts_for(found["nodes"], range_nodes), max(1, len(keys) // SAMPLES_A_RANGE))
-    return sorted({keys[len(keys) * i // n] for i in range(1, n)})
+    return sorted({keys[len(keys) * i // n] for i in range(1, n)} - {*keys[:1]})
 
 
 def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.Table:
