@@ -9,34 +9,60 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import sampler_tokens
 from ..session import saved
+from .identity import COPY, match
 
 
-def tfidf_postings(df: DataFrame, text: Column, part=("dataset",)) -> DataFrame:
+def tfidf_postings(df: DataFrame, text: Column, part=("dataset",), ids=("entry_id",)) -> DataFrame:
     """Per-dataset corpus TF-IDF: tf = count/len, idf = ln((N+1)/(df+1)) + 1.
-    Returns (part..., entry_id, term, w)."""
-    part = list(part)
-    toks = df.select(*part, "entry_id", sampler_tokens(text).alias("_t"))
-    lens = toks.select(*part, "entry_id", F.greatest(F.size("_t"), F.lit(1)).alias("_L"))
-    ex = toks.select(*part, "entry_id", F.explode("_t").alias("term"))
-    tf = ex.groupBy(*part, "entry_id", "term").agg(F.count(F.lit(1)).alias("_c"))
+    Returns (part..., ids..., term, w). A dataset or id may be NULL.
+
+    A term of many rows would be one hot join key, so its idf is joined by (term, salt) where its
+    document frequency is above ``HOT_TERM_ROWS``: postings of such a term are dealt over as many salts
+    as it fills, its one idf row is copied to each."""
+    part, ids = list(part), list(ids)
+    toks = df.select(*part, *ids, sampler_tokens(text).alias("_t"))
+    ex = toks.select(*part, *ids, F.greatest(F.size("_t"), F.lit(1)).alias("_L"), F.explode("_t").alias("term"))
+    tf = ex.groupBy(*part, *ids, "term").agg(F.count(F.lit(1)).alias("_c"), F.first("_L").alias("_L"))
     ndocs = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_N"))
     dfreq = tf.groupBy(*part, "term").agg(F.count(F.lit(1)).alias("_df"))
-    idf = dfreq.join(ndocs, part).select(
-        *part, "term", (F.log((F.col("_N") + 1.0) / (F.col("_df") + 1.0)) + 1.0).alias("_idf")
-    )
-    return (
-        tf.join(lens, [*part, "entry_id"]).join(idf, [*part, "term"])
-        .select(*part, "entry_id", "term", (F.col("_c") / F.col("_L") * F.col("_idf")).alias("w"))
+    idf = match(dfreq, ndocs, part).select(*part, "term", "_df", (F.log((F.col("_N") + 1.0) / (F.col("_df") + 1.0)) + 1.0).alias("_idf"))
+    return match(*salted(tf, idf, "_df", [*part, "term"], ids), [*part, "term", "_salt"]).select(
+        *part, *ids, "term", (F.col("_c") / F.col("_L") * F.col("_idf")).alias("w")
     )
 
 
+#: Rows of a join key from which on it is dealt over several tasks.
+HOT_TERM_ROWS = 100_000
+
+
+def salted(rows: DataFrame, table: DataFrame, count: str, key: list[str], by: list[str], per: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and ``table`` (one row a key, with the ``count`` of the rows that have it) with a
+    ``_salt`` to join on beside ``key``: 0, but for keys of more than ``per`` rows, whose rows are
+    dealt by a hash of ``by`` and whose table row is copied to each salt. Hot keys are at most one in
+    ``per`` rows; their list is broadcast if it is small, else joined."""
+    per = per or HOT_TERM_ROWS
+    salts = F.ceil(F.col(count) / per).cast("int")
+    hot = saved(table.where(F.col(count) > per).select(*key, salts.alias("_salts")), "hot-keys")
+    zero = F.lit(0).cast("int")
+    if hot.isEmpty():
+        return rows.withColumn("_salt", zero), table.withColumn("_salt", zero)
+    few = hot.limit(MAX_HOT_KEYS + 1).count() <= MAX_HOT_KEYS
+    rows = match(rows, F.broadcast(hot) if few else hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    copies = F.when(F.col(count) > per, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(zero))
+    return rows, table.withColumn("_salt", F.explode(copies))
+
+
+#: Hot keys that a broadcast may hold.
+MAX_HOT_KEYS = 200_000
+
+
 def dense_postings(df: DataFrame, vec: Column, part=("dataset",)) -> DataFrame:
     part = list(part)
     return (
@@ -46,8 +72,8 @@ def dense_postings(df: DataFrame, vec: Column, part=("dataset",)) -> DataFrame:
     )
 
 
-def norms(postings: DataFrame, part=("dataset",)) -> DataFrame:
-    return postings.groupBy(*part, "entry_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+def norms(postings: DataFrame, part=("dataset",), ids=("entry_id",)) -> DataFrame:
+    return postings.groupBy(*part, *ids).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
 def cosine_to(postings: DataFrame, nrm: DataFrame, center: DataFrame, part=("dataset",)) -> DataFrame:
@@ -55,11 +81,11 @@ def cosine_to(postings: DataFrame, nrm: DataFrame, center: DataFrame, part=("dat
     one vector per group (small). Vectors sharing no term get no row (cosine 0)."""
     part = list(part)
     dots = (
-        postings.join(center, [*part, "term"])
+        match(postings, center, [*part, "term"])
         .groupBy(*part, "entry_id", "cnorm")
         .agg(F.sum(F.col("w") * F.col("wc")).alias("_dot"))
     )
-    return dots.join(nrm, [*part, "entry_id"]).select(
+    return match(dots, nrm, [*part, "entry_id"]).select(
         *part, "entry_id",
         F.when((F.col("norm") == 0) | (F.col("cnorm") == 0), 0.0)
         .otherwise(F.col("_dot") / (F.col("norm") * F.col("cnorm"))).alias("cos"),
@@ -78,32 +104,33 @@ DISTANCE_DIGITS = 12
 
 
 def unit_rows(df: DataFrame, p: dict, seed, part) -> DataFrame:
-    """(part..., entry_id, u0, u1, note, idx, val): every row's unit vector, sparse and sorted by
+    """(part..., entry_id, copy, u0, u1, note, idx, val): every row's unit vector, sparse and sorted by
     index. Embeddings are used when every row of a dataset has one (index = dimension), else the
-    TF-IDF of the text (index = 64-bit hash of the term)."""
+    TF-IDF of the text (index = 64-bit hash of the term). Zero vectors keep no index."""
     from .fields import resolve
-    from .sampling import field, uid
+    from .sampling import field, row_u
 
+    key = [*part, "entry_id", COPY]
     emb = resolve(df, p.get("embedding_field", "embedding")).numbers()
-    rows = df.select(*part, "entry_id", emb.alias("_emb"), field(df, p.get("text_field", "question")).alias("_text"), uid(seed, "shuffle").alias("u0"), uid(seed, "first").alias("u1"))
+    rows = df.select(*key, emb.alias("_emb"), field(df, p.get("text_field", "question")).alias("_text"), row_u(seed, "shuffle").alias("u0"), row_u(seed, "first").alias("u1"))
     dense = saved(rows.groupBy(*part).agg(F.bool_and(F.coalesce(embedding_valid(F.col("_emb")), F.lit(False))).alias("_dense")), "kcenter-dense")
-    rows = rows.join(dense, part)
+    rows = match(rows, dense, part)
     if dense.where(~F.col("_dense")).isEmpty():
         rows = rows.withColumn("_sp", F.lit(None).cast("array<struct<i:bigint,v:double>>"))
     else:
-        post = tfidf_postings(rows.where(~F.col("_dense")), F.col("_text"), part)
-        pairs = post.groupBy(*part, "entry_id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("i"), F.col("w").alias("v")))).alias("_sp"))
-        rows = rows.join(pairs, [*part, "entry_id"], "left")
+        post = tfidf_postings(rows.where(~F.col("_dense")), F.col("_text"), part, ("entry_id", COPY))
+        pairs = post.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("i"), F.col("w").alias("v")))).alias("_sp"))
+        rows = match(rows, pairs, key, "left")
     empty = F.array().cast("array<struct<i:bigint,v:double>>")
     from_dense = F.transform("_emb", lambda x, i: F.struct(i.cast("bigint").alias("i"), x.alias("v")))
     vec = F.when(F.col("_dense"), F.filter(from_dense, lambda x: x["v"] != 0)).otherwise(F.coalesce("_sp", empty))
     note = F.when(F.col("_dense"), F.lit("used provided embeddings")).otherwise(F.lit("used TF-IDF fallback"))
-    rows = rows.select(*part, "entry_id", "u0", "u1", note.alias("note"), vec.alias("_v"))
+    rows = rows.select(*key, "u0", "u1", note.alias("note"), vec.alias("_v"))
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x["v"] * x["v"]))
-    return rows.withColumn("_norm", norm).select(
-        *part, "entry_id", "u0", "u1", "note", F.col("_v.i").alias("idx"),
-        F.transform("_v", lambda x: x["v"] / F.col("_norm")).alias("val"),
-    )
+    # the norm is bound once a row, as an element: inside the inner lambda it would be summed again for
+    # every value
+    val = F.transform(F.array(norm), lambda n: F.transform("_v", lambda x: x["v"] / n))[0]
+    return rows.select(*key, "u0", "u1", "note", F.col("_v.i").alias("idx"), val.alias("val"))
 
 
 class _Rows:
@@ -138,37 +165,90 @@ class _Rows:
         return out
 
 
-def _farthest(units: DataFrame, part: list[str], centers: dict[tuple, list[tuple]]) -> DataFrame:
-    """(part..., md, u0, entry_id, idx, val): per dataset the row with the largest min distance to
-    the chosen ones (ties: earlier in shuffled order). Tasks reduce to one row a dataset; nothing
-    else is shuffled."""
-    shared = units.sparkSession.sparkContext.broadcast(centers)
-    schema = T.StructType([*[units.schema[c] for c in part], T.StructField("md", T.DoubleType()), *[units.schema[c] for c in ("u0", "entry_id", "idx", "val")]])
+Center = tuple[str, int, np.ndarray, np.ndarray]  # entry_id, copy, idx, val
+
+
+def _keys(b, part: list[str]) -> tuple[list[tuple], np.ndarray]:
+    """The distinct datasets of a batch, and the number of each row's."""
+    number: dict[tuple, int] = {}
+    of = [number.setdefault(k, len(number)) for k in zip(*(b.column(c).to_pylist() for c in part))]
+    return list(number), np.array(of, np.int64)
+
+
+def _nearer(state: DataFrame, part: list[str], fresh: dict[tuple, list[Center]]) -> DataFrame:
+    """``state`` (unit rows with ``near``, the greatest similarity to a chosen row) after the ``fresh``
+    centers: each row meets each center once in its life. Chosen rows and rows of datasets that are
+    not named go. ``md`` is the rounded distance."""
+    shared = state.sparkSession.sparkContext.broadcast(fresh)
+    schema = T.StructType([*[f for f in state.schema if f.name != "md"], T.StructField("md", T.DoubleType())])
 
     def run(batches):
-        best: dict[tuple, tuple] = {}
         for b in batches:
-            keys = list(zip(*(b.column(c).to_pylist() for c in part)))
-            ids, u0 = b.column("entry_id").to_pylist(), b.column("u0").to_numpy()
+            keys, of = _keys(b, part)
             rows = _Rows(b.column("idx"), b.column("val"))
-            for key in set(keys) & shared.value.keys():
-                near = np.full(b.num_rows, -np.inf)
-                for _, ci, cv in shared.value[key]:
-                    near = np.maximum(near, rows.similarity((ci, cv)))
-                taken = {e for e, _, _ in shared.value[key]}
-                free = np.array([k == key and e not in taken for k, e in zip(keys, ids)])
-                if not free.any():
+            near, keep = b.column("near").to_numpy().copy(), np.zeros(b.num_rows, bool)
+            ids, copies = b.column("entry_id"), b.column(COPY).to_numpy()
+            for k, key in enumerate(keys):
+                if key not in shared.value:
                     continue
-                far = np.where(free, np.round(np.maximum(0.0, 1.0 - near), DISTANCE_DIGITS), -1.0)
-                i = int(np.lexsort((u0, -far))[0])
-                rank = (far[i], -u0[i])
-                if key not in best or rank > best[key][0]:
-                    best[key] = (rank, ids[i], *rows.vector(i))
-        rows = [(*k, r[0], -r[1], e, i.tolist(), v.tolist()) for k, (r, e, i, v) in best.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(schema.fields), to_arrow_schema(schema))], names=schema.names)
-
-    found = units.select(*part, "entry_id", "u0", "idx", "val").mapInArrow(run, schema)
-    return found.groupBy(*part).agg(F.max_by(F.struct("entry_id", "idx", "val"), F.struct("md", -F.col("u0"))).alias("r")).select(*part, "r.*")
+                mine = of == k
+                keep |= mine
+                for entry, copy, ci, cv in shared.value[key]:
+                    near[mine] = np.maximum(near, rows.similarity((ci, cv)))[mine]
+                    hit = pc.equal(ids, entry) if entry is not None else pc.is_null(ids)
+                    keep &= ~(mine & (copies == copy) & hit.fill_null(False).to_numpy(zero_copy_only=False))
+            md = np.round(np.maximum(0.0, 1.0 - near), DISTANCE_DIGITS)
+            columns = [pa.array(near) if n == "near" else pa.array(md) if n == "md" else b.column(n) for n in schema.names]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep))
+
+    return state.mapInArrow(run, schema)
+
+
+def _safe_picks(rows: list, n: int, complete: bool) -> list[Center]:
+    """The next at most ``n`` picks of one dataset among its farthest rows, by (distance, earlier in
+    shuffled order). The last row bounds those not seen: their distances only fall, so a pick that
+    ranks before the last row did at the start is the pick among all. ``complete``: there are none."""
+    md, u0 = np.array([r["md"] for r in rows]), np.array([r["u0"] for r in rows])
+    lists = [pa.array([r[c] for r in rows], t) for c, t in (("idx", pa.list_(pa.int64())), ("val", pa.list_(pa.float64())))]
+    vectors = _Rows(*lists)
+    near = np.array([r["near"] for r in rows])
+    bound = (np.inf, 0.0) if complete else (-md[-1], u0[-1])
+    free = np.ones(len(rows), bool)
+    picks: list[Center] = []
+    while len(picks) < n and free.any():
+        i = int(np.lexsort((u0, -np.where(free, md, -1.0)))[0])
+        if picks and (-md[i], u0[i]) >= bound:
+            break
+        free[i] = False
+        center = vectors.vector(i)
+        picks.append((rows[i]["entry_id"], rows[i][COPY], *center))
+        near = np.maximum(near, vectors.similarity(center))
+        md = np.round(np.maximum(0.0, 1.0 - near), DISTANCE_DIGITS)
+    return picks
+
+
+def _picks(pool: DataFrame, part: list[str], first: dict[tuple, Center], n: int, width: int) -> dict[tuple, list[Center]]:
+    """The n picks of each dataset of ``first``. A round updates the distances by the centers chosen
+    since (one map, written), fetches each dataset's farthest rows, and picks as many of them as are
+    proved to be the next."""
+    chosen = {k: [c] for k, c in first.items()}
+    fresh = {k: [c] for k, c in first.items()}
+    state = pool.withColumn("near", F.lit(float("-inf")))
+    fetch = max(1, min(4 * n, MAX_CENTER_VALUES // (len(first) * (width + 1))))
+    while fresh:
+        state = saved(_nearer(state, part, fresh), "kcenter-state")
+        top = Window.partitionBy(*part).orderBy(F.desc("md"), "u0", "entry_id", COPY)
+        far = state.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= fetch + 1)
+        rows: dict[tuple, list] = {}
+        for r in far.orderBy("_r").collect():  # fetch + 1 rows a dataset of this group
+            rows.setdefault(tuple(r[c] for c in part), []).append(r)
+        fresh = {}
+        for key, found in rows.items():
+            more = _safe_picks(found, n - len(chosen[key]), len(found) <= fetch)
+            chosen[key] += more
+            if len(chosen[key]) < n:
+                fresh[key] = more
+    return chosen
 
 
 def kcenter(df: DataFrame, p: dict, seed, part) -> tuple[DataFrame, dict]:
@@ -176,85 +256,97 @@ def kcenter(df: DataFrame, p: dict, seed, part) -> tuple[DataFrame, dict]:
     min distance (1 - cosine) to the chosen set; ties -> earlier in shuffled order. Copies of a
     chosen row are chosen last, so n rows come out whenever there are n.
 
-    One round is one map over the stored unit vectors with the chosen ones broadcast, and a
-    partial maximum per dataset; no state is kept and no vector is shuffled. The chosen vectors
-    are n a dataset: datasets are taken in groups whose vectors fit ``MAX_CENTER_VALUES``.
+    The distances are kept between rounds, so every row meets every center once (n times the rows
+    in all), and a round yields as many picks as its farthest rows prove (see ``_safe_picks``).
+    The vectors in the driver and in a broadcast are bounded by ``MAX_CENTER_VALUES``: datasets are
+    taken in groups that fit.
 
-    ``p["core_set"]`` (a number of rows a partition, for very large n and data) first reduces every
-    partition to that many farthest-first rows; the greedy then runs on their union, a constant
-    factor from the exact answer."""
+    ``p["core_set"]`` (for very large n and data) first reduces every partition to that many
+    farthest-first rows, n at least; the greedy then runs on their union, a constant factor from the
+    exact answer."""
     part = list(part)
     n = int(p["n"])
     spark = df.sparkSession
     units = saved(unit_rows(df, p, seed, part), "kcenter-units")
+    stats = units.groupBy(*part).agg(F.count(F.lit(1)).alias("_N"), F.first("note").alias("note"), F.max(F.size("idx")).alias("_w"),
+                                     F.min_by(F.struct("entry_id", COPY, "idx", "val"), F.struct("u1", "entry_id", COPY)).alias("_first"))
+    stats = saved(stats, "kcenter-stats")
     pool = units
     if p.get("core_set"):
-        pool = saved(core_set(units, part, int(p["core_set"])), "kcenter-core")
-    stats = units.groupBy(*part).agg(F.count(F.lit(1)).alias("_N"), F.first("note").alias("note"), F.max(F.size("idx")).alias("_w"))
-    first = pool.groupBy(*part).agg(F.min_by(F.struct("entry_id", "idx", "val"), "u1").alias("r")).join(stats.where(F.col("_N") > n), part)
+        pool = saved(core_set(units, part, max(n, int(p["core_set"]))), "kcenter-core")
     picks: list[tuple] = []
-    group: dict[tuple, list[tuple]] = {}
-    held = 0
+    group: dict[tuple, Center] = {}
+    width = 0
 
     def finish() -> None:
-        for _ in range(n - 1):
-            if not group:
-                return
-            for r in _farthest(pool, part, group).collect():  # one row a dataset of the group
-                group[tuple(r[c] for c in part)].append((r["entry_id"], np.array(r["idx"], np.int64), np.array(r["val"])))
-        picks.extend((*key, e) for key, rows in group.items() for e, _, _ in rows)
-
-    for r in first.toLocalIterator() if n else ():
-        if group and held + n * (r["_w"] + 1) > MAX_CENTER_VALUES:
+        if group:
+            picks.extend((*key, e, c) for key, rows in _picks(pool, part, group, n, width).items() for e, c, _, _ in rows)
+
+    for r in stats.where(F.col("_N") > n).orderBy(*part).toLocalIterator() if n else ():
+        if group and (len(group) + 1) * n * (max(width, r["_w"]) + 1) > MAX_CENTER_VALUES:
             finish()
-            group, held = {}, 0
-        group[tuple(r[c] for c in part)] = [(r["r"]["entry_id"], np.array(r["r"]["idx"], np.int64), np.array(r["r"]["val"]))]
-        held += n * (r["_w"] + 1)
-    finish() if n else None
-    schema = T.StructType([*[df.schema[c] for c in part], T.StructField("entry_id", T.StringType())])
-    picked = spark.createDataFrame(picks, schema)
-    out = df.join(picked, [*part, "entry_id"], "left_semi").unionByName(df.join(stats.where(F.col("_N") <= n), part, "left_semi"))
+            group, width = {}, 0
+        f = r["_first"]
+        group[tuple(r[c] for c in part)] = (f["entry_id"], f[COPY], np.array(f["idx"], np.int64), np.array(f["val"]))
+        width = max(width, r["_w"])
+    finish()
+    key = [*part, "entry_id", COPY]
+    picked = spark.createDataFrame(picks, T.StructType([df.schema[c] for c in key]))
+    out = match(df, picked, key, "left_semi").unionByName(match(df, stats.where(F.col("_N") <= n), part, "left_semi"))
     if not n:
         out = df.limit(0)
-    post = units.select(*part, "entry_id", F.explode(F.arrays_zip("idx", "val")).alias("x")).select(*part, "entry_id", F.col("x.idx").alias("term"), F.col("x.val").alias("w"))
-    avg = avg_pairwise_cosine(post, norms(post, part), out.select(*part, "entry_id"), part)
-    return out, {"_avg_cos": avg.join(stats.select(*part, "note"), part, "right")}
+    mine = match(units, out.select(*key), key, "left_semi")  # the picked vectors alone are exploded
+    post = mine.select(*key, F.explode(F.arrays_zip("idx", "val")).alias("x")).select(*key, F.col("x.idx").alias("term"), F.col("x.val").alias("w"))
+    avg = avg_pairwise_cosine(post, norms(post, part, ("entry_id", COPY)), out.select(*key), part, ("entry_id", COPY))
+    return out, {"_avg_cos": match(stats.select(*part, "note"), avg, part, "left")}
+
+
+def _farthest_first(rows: _Rows, mine: np.ndarray, first: int, m: int) -> list[int]:
+    """``m`` rows of ``mine`` (positions), each the farthest from those before it."""
+    near, keep, i = np.full(len(rows.ends) - 1, -np.inf), [], first
+    free = np.zeros(len(near), bool)
+    free[mine] = True
+    while len(keep) < min(m, len(mine)):
+        keep.append(i)
+        free[i] = False
+        near = np.maximum(near, rows.similarity(rows.vector(i)))
+        i = int(np.where(free, near, np.inf).argmin())
+    return keep
 
 
 def core_set(units: DataFrame, part: list[str], m: int) -> DataFrame:
-    """The first ``m`` farthest-first rows of each dataset in each partition."""
+    """At most ``m`` farthest-first rows of each dataset in each partition: batch after batch, the rows
+    kept so far and the batch are reduced together, so a task holds a batch and ``m`` rows a dataset."""
 
     def run(batches):
+        held = None
         for b in batches:
-            keys = list(zip(*(b.column(c).to_pylist() for c in part)))
-            rows = _Rows(b.column("idx"), b.column("val"))
-            u1 = b.column("u1").to_numpy()
+            if held is not None:
+                b = pa.concat_batches([held, b])
+            keys, of = _keys(b, part)
+            rows, u1 = _Rows(b.column("idx"), b.column("val")), b.column("u1").to_numpy()
             keep: list[int] = []
-            for key in dict.fromkeys(keys):
-                mine = np.flatnonzero([k == key for k in keys])
-                near, i = np.full(b.num_rows, -np.inf), int(mine[np.argmin(u1[mine])])
-                left = set(mine.tolist())
-                while left and len(mine) - len(left) < m:
-                    left.discard(i)
-                    keep.append(i)
-                    near = np.maximum(near, rows.similarity(rows.vector(i)))
-                    i = min(left, key=lambda j: near[j], default=i)
-            yield b.take(pa.array(keep, pa.int64()))
+            for k in range(len(keys)):
+                mine = np.flatnonzero(of == k)
+                keep += _farthest_first(rows, mine, int(mine[np.argmin(u1[mine])]), m)
+            held = b.take(pa.array(sorted(keep), pa.int64()))
+        if held is not None:
+            yield held
 
     return units.mapInArrow(run, units.schema)
 
 
-def avg_pairwise_cosine(post: DataFrame, nrm: DataFrame, picked: DataFrame, part=("dataset",)) -> DataFrame:
+def avg_pairwise_cosine(post: DataFrame, nrm: DataFrame, picked: DataFrame, part=("dataset",), ids=("entry_id",)) -> DataFrame:
     """Mean cosine over all pairs of the picked rows, one aggregate, no self-join:
     sum_{i<j} cos = (|sum u_i|^2 - #nonzero) / 2 with u_i the unit vectors."""
-    part = list(part)
-    unit = post.join(picked, [*part, "entry_id"], "left_semi").join(nrm, [*part, "entry_id"]).where(F.col("norm") > 0)
+    part, key = list(part), [*part, *ids]
+    unit = match(match(post, picked, key, "left_semi"), nrm, key).where(F.col("norm") > 0)
     per_term = unit.groupBy(*part, "term").agg(F.sum(F.col("w") / F.col("norm")).alias("_s"))
     sq = per_term.groupBy(*part).agg(F.sum(F.col("_s") * F.col("_s")).alias("_sq"))
-    cnt = picked.join(nrm, [*part, "entry_id"], "left").groupBy(*part).agg(
+    cnt = match(picked, nrm, key, "left").groupBy(*part).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col("norm") > 0, 1).otherwise(0)).alias("_nz")
     )
-    j = cnt.join(sq, part, "left")
+    j = match(cnt, sq, part, "left")
     val = F.when(F.col("_n") <= 1, 1.0).otherwise(
         (F.coalesce(F.col("_sq"), F.lit(0.0)) - F.col("_nz")) / (F.col("_n") * (F.col("_n") - 1))
     )

@@ -31,10 +31,12 @@ def qa_view(
     events: bool = False,
     embeddings: bool = False,
     shared_ids: bool = False,
+    repeated_ids: bool = False,
 ) -> DataFrame:
     """Every document as a QA row made of its whole text, cut in halves and thirds. Every event and
     every embedding belongs to some document. ``shared_ids`` deals the rows to four sets whose ids
-    restart in each."""
+    restart in each; ``repeated_ids`` to two sets and none (a third of the rows has a NULL dataset), each
+    with forty ids that repeat."""
     d = spread(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
     doc = F.col("doc_id")
     n = F.length("text")
@@ -83,9 +85,15 @@ def qa_view(
     )
     doc_ids = F.array(*[F.pmod(doc + i * i, F.lit(97)).cast("string") for i in range(1, 11)])
 
+    dataset, entry = F.col("lang"), doc
+    if shared_ids:
+        dataset, entry = F.concat(F.lit("set"), F.pmod(doc, F.lit(4)).cast("string")), F.floor(doc / 4)
+    if repeated_ids:
+        dataset = F.when(F.pmod(doc, F.lit(3)) != 0, F.concat(F.lit("set"), F.pmod(doc, F.lit(2)).cast("string")))
+        entry = F.pmod(F.floor(doc / 7), F.lit(40))
     cols = [
-        (F.concat(F.lit("set"), F.pmod(doc, F.lit(4)).cast("string")) if shared_ids else F.col("lang")).alias("dataset"),
-        (F.floor(doc / 4) if shared_ids else doc).cast("string").alias("entry_id"),
+        dataset.alias("dataset"),
+        entry.cast("string").alias("entry_id"),
         doc.alias("pos"),
         front.alias("Question"),
         F.col("text").alias("Context"),

@@ -54,6 +54,17 @@ IDS = {
     "shared": ("'set' || (doc_id % 4)", "CAST(doc_id // 4 AS VARCHAR)"),
     "uploaded": ("'uploaded'", "CAST(doc_id AS VARCHAR)"),
 }
+#: Ids that repeat, and rows without dataset: here a row has an id of its own, and '~' stands for NULL;
+#: ``repeated`` undoes both in the result.
+_SET, _ID = "CASE WHEN doc_id % 3 = 0 THEN '~' ELSE 'set' || (doc_id % 2) END", "CAST((doc_id // 7) % 40 AS VARCHAR)"
+_NUMBER = f"row_number() OVER (PARTITION BY {_SET}, {_ID} ORDER BY doc_id)"
+IDS["repeated"] = (_SET, f"{_ID} || CASE WHEN {_NUMBER} > 1 THEN '/' || CAST({_NUMBER} - 1 AS VARCHAR) ELSE '' END")
+
+
+def repeated(sql: str, *columns: str) -> str:
+    """The result of ``sql`` over the repeated ids: dataset, the given id and ``columns``."""
+    names = {"dataset": "nullif(dataset, '~') AS dataset", "entry_id": "split_part(entry_id, '/', 1) AS entry_id"}
+    return f"SELECT {', '.join(names.get(c, c) for c in columns)} FROM ({sql.replace(ID, 'concat_ws(' + repr('/') + ', nullif(dataset, ' + repr('~') + '), entry_id)')}) found"
 
 
 def with_qa(body: str, *ctes: str, ids: str = "lang") -> str:

@@ -5,8 +5,8 @@ load + normalise + dedupe + cap -> sample (per dataset) -> [retrieve + generate]
 (under ``artifacts_dir`` if given, else in the shared checkpoint folder) and read back by what
 follows, so a generator sees each sampled row once and all artifacts agree.
 
-Trials run as ONE job: narrow ids are drawn per trial (partitions (trial, dataset), the trial's
-seed), the distinct union of drawn entries goes through retrieval and scoring once, and the scores
+Trials run as ONE job: narrow ids are drawn per trial (with the trial's seed; uniform trials read the
+rows once, see ``uniform_trials``), the distinct union of drawn entries goes through retrieval and scoring once, and the scores
 are joined back to the draws.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import sampling as S
+from ..operators.identity import COPY, identified, match
 from ..operators.prep import load_and_normalize
 from ..operators.report import metric_sums, summarise, summarise_with_overall, trial_stats
 from ..operators.retrieval import missing_predictions, run_retrieval
@@ -112,16 +113,22 @@ def run_trials(rows: DataFrame, method: str, params: dict | None, *, trials: int
     c = _merged({"mode": "dataset", "dedupe": False} | (cfg or {}))
     if cfg is not None:
         rows = saved(_prepared(rows, c), "prepared")
-    base_seed = int(S.merge_params(method, params).get("seed", 42))
-    rep = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(int(trials) - 1))))
-    seed_col = (F.lit(base_seed) + F.col("trial") * F.lit(int(seed_step))).cast("string")
-    sampled, _audit = S.run_sampler(rep, method, params, as_of=as_of, seed_col=seed_col, part=("trial", "dataset"))
-    drawn = saved(sampled.select("trial", "dataset", "entry_id"), "drawn")
-    entries = rows.join(drawn.select("dataset", "entry_id").distinct(), ["dataset", "entry_id"], "left_semi")
+    key = ["dataset", "entry_id", COPY]
+    rows = identified(rows)
+    merged = S.merge_params(method, params)
+    seeds = [str(int(merged.get("seed", 42)) + t * int(seed_step)) for t in range(int(trials))]
+    if method == "uniform_random":
+        drawn = S.uniform_trials(rows, merged["n"], seeds)
+    else:
+        rep = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(len(seeds) - 1))))
+        seed_col = F.element_at(F.array(*map(F.lit, seeds)), F.col("trial") + 1)
+        drawn = S.run_sampler(rep, method, params, as_of=as_of, seed_col=seed_col, part=("trial", "dataset"))[0]
+    drawn = saved(drawn.select("trial", *key), "drawn")
+    entries = match(rows, drawn.select(*key).distinct(), key, "left_semi")
     if str(c["mode"]).lower() != "dataset":
         entries = saved(_retrieved(entries, c, generator, embedder), "trial-predictions")
     scored, keys = score_columns(entries, metrics, k_values)
-    per_trial = drawn.join(scored.select("dataset", "entry_id", *[f"`{k}`" for k in keys]), ["dataset", "entry_id"])
+    per_trial = match(drawn, scored.select(*key, *[f"`{k}`" for k in keys]), key)
     sums = metric_sums(per_trial, keys, part=("trial", "dataset"))
     summ = saved(sums.select(F.col("trial").cast("int").alias("trial"), "dataset", "metric", (F.col("total") / F.col("n")).alias("mean"), "n"), "trial-summary")
     return summ, trial_stats(summ)

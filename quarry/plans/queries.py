@@ -41,13 +41,15 @@ def r6(c):
 
 def _metric_query(name: str, metrics: list[str], keys: list[str], k_values=None, ids="lang", engine="arrow"):
     def spark_fn(spark: SparkSession, sf_dir: str) -> DataFrame:
-        qa = qa_view(spark, sf_dir, labels=False, shared_ids=ids == "shared")
+        qa = qa_view(spark, sf_dir, labels=False, shared_ids=ids == "shared", repeated_ids=ids == "repeated")
         scored, _ = score_columns(qa, metrics, k_values, engine=engine)
         return scored.select("dataset", "entry_id", *[r6(F.col(f"`{k}`")).alias(safe_name(k)) for k in keys])
 
     ex = O.metric_exprs(tuple(k_values) if k_values else (1, 3, 5, 10))
     sel = ", ".join(f"round({ex[k]}, 6) AS \"{safe_name(k)}\"" for k in keys)
     sql = O.with_qa(f"SELECT dataset, entry_id, {sel} FROM prep", O.PREP_CTE, ids=ids)
+    if ids == "repeated":
+        sql = O.repeated(sql, "dataset", "entry_id", *[f'"{safe_name(k)}"' for k in keys])
     REGISTRY[name] = (spark_fn, sql)
 
 
@@ -56,6 +58,7 @@ _metric_query("d04_f1", ["f1"], ["F1"])
 _metric_query("d04b_f1_shared_ids", ["f1"], ["F1"], ids="shared")
 _metric_query("d04c_bags_by_token", ["f1", "jaccard", "tfidf_cos", "jsd", "coverage_f1"],
               ["F1", "jaccard", "tfidf_cos", "jsd", "CoverageF1"], ids="shared", engine="tokens")
+_metric_query("d04d_bags_repeated_ids", ["f1", "jaccard", "jsd", "coverage_f1"], ["F1", "jaccard", "jsd", "CoverageF1"], ids="repeated", engine="tokens")
 _metric_query("d06_jaccard", ["jaccard"], ["jaccard"])
 _metric_query("d09_tfidf_cos", ["tfidf_cos"], ["tfidf_cos"])
 _metric_query("d10_jsd", ["jsd"], ["jsd"])
@@ -331,17 +334,21 @@ def _window_sql(ids: str = "lang") -> str:
 
 
 _sampler_query("b08_temporal_window", "temporal_recent", {"n": SAMPLE_N, "days": 1}, _window_sql(), view_kw={"events": True}, as_of=AS_OF)
-_sampler_query(
-    "b08a_temporal_decay", "temporal_recent", {"n": SAMPLE_N, "mode": "decay", "half_life_days": 1},
-    O.with_qa(
+def _decay_sql(ids: str = "lang") -> str:
+    return O.with_qa(
         _rank_sql("k", "key, entry_id", SAMPLE_N),
         f"w AS (SELECT dataset, entry_id, CASE WHEN date IS NULL THEN 0.1 ELSE exp(-{__import__('math').log(2)!r} * "
         f"greatest(0.0, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(date)) / 1000000.0 / 86400.0) / 1.0) END AS w FROM qa)",
         "t AS (SELECT dataset, sum(w) AS T FROM w GROUP BY dataset)",
         f"k AS (SELECT w.dataset, entry_id, -ln({O.u(42, 'es', O.ID)}) / greatest(w / CASE WHEN T = 0 THEN 1.0 ELSE T END, 1e-12) AS key FROM w JOIN t USING (dataset))",
-    ),
-    view_kw={"events": True}, as_of=AS_OF,
-)
+        ids=ids,
+    )
+
+
+_sampler_query("b08a_temporal_decay", "temporal_recent", {"n": SAMPLE_N, "mode": "decay", "half_life_days": 1}, _decay_sql(),
+               view_kw={"events": True}, as_of=AS_OF)
+
+
 def _mix_sql(ids: str = "lang") -> str:
     return O.with_qa(
         "SELECT dataset, entry_id FROM rk JOIN st USING (dataset) WHERE CASE WHEN flag THEN rf <= wpos + fill ELSE rf <= wneg END",
@@ -357,6 +364,21 @@ def _mix_sql(ids: str = "lang") -> str:
 _sampler_query("b09_unanswerable_mix", "unanswerable_mix", {"n": SAMPLE_N}, _mix_sql())
 
 
+# The same samplers over rows that repeat ids, a third of them without a dataset.
+
+_REPEATED = {
+    "b02c_uniform_repeated_ids": ("uniform_random", {}, O.with_qa(_rank_sql("qa", f"{O.u(42, 'pick', O.ID)}, entry_id", SAMPLE_N), ids="repeated")),
+    "b03e_stratified_repeated_ids": ("stratified", {"n": 30}, _strat_sql(30, "proportional", ids="repeated")),
+    "b05d_importance_repeated_ids": ("importance_weighted", {}, _imp_sql(ids="repeated")),
+    "b07d_difficulty_repeated_ids": ("difficulty_aware", {"hard_frac": 0.5}, _diff_sql(0.5, ids="repeated")),
+    "b08d_decay_repeated_ids": ("temporal_recent", {"mode": "decay", "half_life_days": 1}, _decay_sql(ids="repeated")),
+    "b09c_unanswerable_repeated_ids": ("unanswerable_mix", {}, _mix_sql(ids="repeated")),
+}
+for _key, (_method, _params, _sql) in _REPEATED.items():
+    _sampler_query(_key, _method, {"n": SAMPLE_N} | _params, O.repeated(_sql, "dataset", "entry_id"),
+                   view_kw={"events": _method == "temporal_recent", "repeated_ids": True}, as_of=AS_OF)
+
+
 # The same samplers over JSON Lines: fields are keys and dotted paths of the rows.
 
 def _jsonl_rows(spark, sf_dir, **view):
@@ -675,7 +697,7 @@ def a05_canonical_keys(spark, sf_dir):
 
 @register(
     "a06_normalize_rows",
-    O.with_qa("SELECT dataset, entry_id, substr(Context, 1, 300) AS Context, "
+    O.with_qa("SELECT dataset, entry_id, Context, "
               "array_to_string(list_transform(CASE WHEN pos % 2 = 1 THEN [Question, NULL] ELSE RetrievedContexts END, lambda x: coalesce(x, '')), '||') AS ctx_joined "
               "FROM qa"),
 )
@@ -683,7 +705,7 @@ def a06_normalize_rows(spark, sf_dir):
     qa = qa_view(spark, sf_dir, labels=False)
     qa = qa.withColumn("RetrievedContexts", F.when(F.col("pos") % 2 == 1, F.array(F.col("Question"), F.lit(None).cast("string")))
                        .otherwise(F.col("RetrievedContexts")))
-    df = PR.normalize_rows(qa, max_context_chars=300)
+    df = PR.normalize_rows(qa)
     return df.select("dataset", "entry_id", "Context", F.array_join("RetrievedContexts", "||").alias("ctx_joined"))
 
 
@@ -1144,6 +1166,13 @@ def e03b_trials_shared_ids(spark, sf_dir):
     return summ.select("trial", "dataset", "metric", r6(F.col("mean")).alias("mean"), "n")
 
 
+@register("e03d_trials_repeated_ids", O.repeated(O.with_qa(
+    "SELECT CAST(trial AS INTEGER) AS trial, dataset, metric, round(mean, 6) AS mean, n FROM ts", *_trial_sql_ctes(), ids="repeated"), "trial", "dataset", "metric", "mean", "n"))
+def e03d_trials_repeated_ids(spark, sf_dir):
+    summ, _ = _trials(spark, sf_dir, repeated_ids=True)
+    return summ.select("trial", "dataset", "metric", r6(F.col("mean")).alias("mean"), "n")
+
+
 @register("e04_trial_stats", O.with_qa("SELECT dataset, metric, round(m, 6) AS trial_mean, round(s, 6) AS trial_std, trials, display FROM disp", *_trial_sql_ctes()))
 def e04_trial_stats(spark, sf_dir):
     _, st = _trials(spark, sf_dir)
@@ -1153,14 +1182,13 @@ def e04_trial_stats(spark, sf_dir):
 
 @register(
     "e05_pivot",
-    O.with_qa("SELECT metric, " + ", ".join(f"coalesce(max(CASE WHEN dataset = '{d}' THEN display END), '—') AS {d}" for d in ("de", "en", "es", "fr"))
-              + " FROM disp GROUP BY metric", *_trial_sql_ctes()),
+    O.with_qa("PIVOT (SELECT dataset, metric, display FROM disp) ON dataset USING coalesce(max(display), '—') GROUP BY metric", *_trial_sql_ctes()),
 )
 def e05_pivot(spark, sf_dir):
     from ..operators.report import pivot_table
 
     _, st = _trials(spark, sf_dir)
-    return pivot_table(st, "display", ["de", "en", "es", "fr"])
+    return pivot_table(st, "display")
 
 
 _PIPE_CFG = {"mode": "dataset", "subsampling": {"method": "uniform_random", "n": SAMPLE_N},

@@ -78,7 +78,8 @@ def read_table(
     mapping: dict | None = None,
 ) -> DataFrame:
     """Canonicalise a typed DataFrame: rename columns through the synonym table (or an
-    explicit ``mapping``), add dataset / entry_id / pos. Without an id or order column a row's id
+    explicit ``mapping``), add dataset / entry_id / pos. Rows whose dataset is NULL belong to
+    ``dataset_name``; ids stay as given, also where they repeat (see operators/identity). Without an id or order column a row's id
     is the digest of its content and a count among equal rows, whatever the partitioning."""
     mapping = dict(mapping or {})
     chosen: dict[str, str] = {}
@@ -95,7 +96,8 @@ def read_table(
     used = set(chosen.values())
     cols = []
     ds = F.col(dataset_col) if dataset_col else (F.col("dataset") if "dataset" in df.columns else F.lit(dataset_name))
-    cols.append(ds.cast("string").alias("dataset"))
+    ds = F.coalesce(ds.cast("string"), F.lit(dataset_name))
+    cols.append(ds.alias("dataset"))
     pos = F.col(order_col) if order_col else (F.col("pos") if "pos" in df.columns else None)
     if id_col:
         eid = F.col(id_col).cast("string")
