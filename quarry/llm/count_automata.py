@@ -99,24 +99,25 @@ class CountAutomaton:
             parent.append(key >> 32), label.append(key & 0xFFFFFFFF), weight.append(total)
         return cls(words, parent, label, weight)
 
-    def _kept(self, keep: list[np.ndarray], weight: list[np.ndarray]) -> CountAutomaton:
-        """The nodes kept; parents of kept nodes must be kept. Words that no arc has go."""
-        parent, label, kept_weight = [], [], []
-        number = np.zeros(1, np.int64)
-        for d, k in enumerate(keep):
-            parent.append(number[self.parent[d][k]]), label.append(self.label[d][k]), kept_weight.append(weight[d][k])
-            number = np.cumsum(k) - 1
-        used = np.unique(np.concatenate(label)) if label else np.empty(0, np.int64)
-        return CountAutomaton([self.words[i] for i in used.tolist()], parent, [np.searchsorted(used, x) for x in label], kept_weight)
+    def _with(self, parent: list[np.ndarray], label: list[np.ndarray], weight: list[np.ndarray]) -> CountAutomaton:
+        """An automaton of some of the nodes; words that no arc has go."""
+        used = np.zeros(len(self.words), bool)
+        for x in label:
+            used[x] = True
+        number = np.cumsum(used) - 1
+        return CountAutomaton([self.words[i] for i in np.flatnonzero(used).tolist()], parent, [number[x] for x in label], weight)
 
     def pruned(self, least: int) -> CountAutomaton:
         """Without paths that weigh under ``least``, but for prefixes of others and the first level."""
         keep = [w >= least for w in self.weight]
         for d in range(self.depth - 1, 0, -1):
             keep[d - 1][self.parent[d][keep[d]]] = True
-        if keep:
-            keep[0][:] = True
-        return self._kept(keep, self.weight)
+        parent, number = [], np.zeros(1, np.int64)
+        for d, k in enumerate(keep):
+            k |= d == 0
+            parent.append(number[self.parent[d][k]])
+            number = np.cumsum(k) - 1
+        return self._with(parent, [x[k] for x, k in zip(self.label, keep)], [x[k] for x, k in zip(self.weight, keep)])
 
     # ---- prefix ranges --------------------------------------------------------------------------
 
@@ -155,19 +156,18 @@ class CountAutomaton:
         for i, (low, high) in enumerate(zip(cuts, cuts[1:])):
             if low == high:
                 continue
-            start = list(low)
+            start, stop = list(low), list(high)
             for d in range(self.depth - 1, 0, -1):  # the prefixes that lead to the first path
-                if start[d] < high[d]:
+                if start[d] < stop[d]:
                     start[d - 1] = min(start[d - 1], int(self.parent[d][start[d]]))
-            keep, weight = [], []
-            for d in range(self.depth):
-                row = np.arange(len(self.label[d]))
-                keep.append((row >= start[d]) & (row < max(high[d], start[d])))
-                weight.append(np.where(row >= low[d], self.weight[d], 0))
-            if any(k.any() for k in keep):
-                for d in range(self.depth - 1, 0, -1):
-                    keep[d - 1][self.parent[d][keep[d]]] = True
-                out.append((a + i, self._kept(keep, weight)))
+            parent, label, weight = [], [], []
+            for d, (x, y) in enumerate(zip(start, stop)):
+                parent.append(self.parent[d][x:y] - (start[d - 1] if d else 0))
+                label.append(self.label[d][x:y])
+                own = self.weight[d][x:y].copy()
+                own[: low[d] - x] = 0
+                weight.append(own)
+            out.append((a + i, self._with(parent, label, weight)))
         return out
 
     # ---- composition ----------------------------------------------------------------------------

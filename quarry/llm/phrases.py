@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -53,15 +54,15 @@ _SEGMENT = "first array<binary>, n long, data binary"
 
 def count_words(texts: list[bytes], langs: list[bytes], max_words: int) -> CountAutomaton:
     """All n-grams of up to ``max_words`` words of the texts' pieces, under their language."""
-    parsed = [t.translate(_TABLE).replace(_BREAK, b" . ").split() for t in texts]
-    for p in parsed:
-        p.append(_BREAK)
-    coded = pa.array([w for p in parsed for w in p], pa.binary()).dictionary_encode()
+    # pieces end at a break of their own; the last one of a text too
+    parsed = pc.split_pattern(pa.array([t.translate(_TABLE).replace(_BREAK, b" . ") + b" ." for t in texts], pa.binary()), " ")
+    coded = parsed.flatten().dictionary_encode()
     known = coded.dictionary.to_pylist()
     words = sorted({*known, *langs})
     at = dict(zip(words, range(len(words))))
     label = np.array([at[w] for w in known], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
-    lang = np.repeat(np.array([at[x] for x in langs], np.int64), [len(p) for p in parsed])
+    lang = np.repeat(np.array([at[x] for x in langs], np.int64), np.diff(parsed.offsets.to_numpy()))
+    label, lang = (x[label != at.get(b"", -1)] for x in (label, lang))  # between two blanks
     word = label != at.get(_BREAK, -1)
     one = lambda n: np.ones(n, np.int64)
     row = np.flatnonzero(word)
