@@ -36,22 +36,22 @@ def running(df: DataFrame, part, order: list[Column], sums: dict[str, Column] |
     of ``sums``: the sum over the rows before it. The order must be total."""
     part, sums = list(part), dict(sums or {})
     keys = [F.col(f"`{c}`") for c in part]
-    ranged = df.select("*", *[c.alias(f"_add_{k}") for k, c in sums.items()])
+    ranged = df.select("*", *[c.alias(f"_run_add_{k}") for k, c in sums.items()])
     ranged = ranged.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    rows = saved(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_range", F.shiftright("_at", 33))
-    within = Window.partitionBy(*part, "_range").orderBy("_at")
-    before = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    rows = saved(ranged.withColumn("_run_at", F.monotonically_increasing_id()), "ranges").withColumn("_run_range", F.shiftright("_run_at", 33))
+    within = Window.partitionBy(*part, "_run_range").orderBy("_run_at")
+    before = Window.partitionBy(*part).orderBy("_run_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     zero = lambda c: F.coalesce(c, F.lit(0))
-    totals = rows.groupBy(*part, "_range").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_add_{k}").alias(f"_add_{k}") for k in sums])
-    starts = totals.select(*part, "_range", zero(F.sum("_n").over(before)).alias("_first"), *[zero(F.sum(f"_add_{k}").over(before)).alias(f"_first_{k}") for k in sums])
+    totals = rows.groupBy(*part, "_run_range").agg(F.count(F.lit(1)).alias("_run_n"), *[F.sum(f"_run_add_{k}").alias(f"_run_add_{k}") for k in sums])
+    starts = totals.select(*part, "_run_range", zero(F.sum("_run_n").over(before)).alias("_run_first"), *[zero(F.sum(f"_run_add_{k}").over(before)).alias(f"_run_first_{k}") for k in sums])
     rows = rows.withColumn(name, F.row_number().over(within) - 1)
     for k in sums:
-        rows = rows.withColumn(k, zero(F.sum(f"_add_{k}").over(within.rowsBetween(Window.unboundedPreceding, -1))))
-    out = match(rows, starts, [*part, "_range"])
-    out = out.withColumn(name, (F.col(name) + F.col("_first")).cast("bigint"))
+        rows = rows.withColumn(k, zero(F.sum(f"_run_add_{k}").over(within.rowsBetween(Window.unboundedPreceding, -1))))
+    out = match(rows, starts, [*part, "_run_range"])
+    out = out.withColumn(name, (F.col(name) + F.col("_run_first")).cast("bigint"))
     for k in sums:
-        out = out.withColumn(k, F.col(k) + F.col(f"_first_{k}"))
-    return out.drop("_at", "_range", "_first", *[f"_add_{k}" for k in sums], *[f"_first_{k}" for k in sums])
+        out = out.withColumn(k, F.col(k) + F.col(f"_run_first_{k}"))
+    return out.drop("_run_at", "_run_range", "_run_first", *[f"_run_add_{k}" for k in sums], *[f"_run_first_{k}" for k in sums])
 
 
 def identified(df: DataFrame, part=("dataset",), id_col: str = "entry_id") -> DataFrame:

@@ -12,16 +12,17 @@ from __future__ import annotations
 from typing import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import as_embedder, cosine
+from ..session import saved
+from .identity import match
 
 IDS = ("dataset", "entry_id")
-#: Rows of a similarity matrix that are in memory at once.
+#: Chunks of an entry in a block; a task compares two blocks.
 GRAPH_BLOCK = 1024
 
 # ---- fixed values: technique defaults and the prompt layout -------------------------
@@ -85,16 +86,174 @@ def kmeans_labels(x: np.ndarray, num_clusters: int) -> np.ndarray:
     return np.array([first[j] for j in labels.tolist()])
 
 
-def kmeans_per_entry(chunks: DataFrame, num_clusters: int = 5) -> DataFrame:
-    """(dataset, entry_id, chunk_id, vec) -> (dataset, entry_id, chunk_id, cluster_id); one group
-    per entry, which holds that entry's vectors in one task."""
+#: Entries of at most so many chunks are clustered by one task each; larger ones over all tasks.
+ENTRY_CHUNKS = 50_000
+#: Values of all centers that one broadcast may hold (32 MB of doubles).
+MAX_CENTER_VALUES = 4_000_000
+_LABELS = "dataset string, entry_id string, chunk_id int, cluster_id int"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_id")
-        pdf["cluster_id"] = kmeans_labels(np.stack(pdf.pop("vec").to_list()).astype(float), num_clusters)
-        return pdf
 
-    return chunks.select(*IDS, "chunk_id", "vec").groupBy(*IDS).applyInPandas(run, "dataset string, entry_id string, chunk_id int, cluster_id int")
+def kmeans_per_entry(chunks: DataFrame, num_clusters: int = 5, entry_chunks: int = ENTRY_CHUNKS) -> DataFrame:
+    """(dataset, entry_id, chunk_id, vec) -> (dataset, entry_id, chunk_id, cluster_id) by the rule of
+    ``kmeans_labels``. An entry of at most ``entry_chunks`` chunks is one group of one task; larger ones
+    go through ``spread_kmeans``, which never brings an entry into a task."""
+    chunks = chunks.select(*IDS, "chunk_id", "vec")
+    large = saved(chunks.groupBy(*IDS).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > entry_chunks), "large-entries")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk_id")
+        labels = kmeans_labels(_matrix(table.column("vec").combine_chunks()), num_clusters)
+        return table.drop_columns("vec").append_column("cluster_id", pa.array(labels, pa.int32()))
+
+    if large.isEmpty():
+        return chunks.groupBy(*IDS).applyInArrow(run, _LABELS)
+    chunks = saved(chunks, "chunk-vectors")
+    small = match(chunks, large, IDS, "left_anti").groupBy(*IDS).applyInArrow(run, _LABELS)
+    return small.unionByName(spread_kmeans(match(chunks, large.select(*IDS), IDS, "left_semi"), num_clusters))
+
+
+def _matrix(vecs: pa.Array) -> np.ndarray:
+    return vecs.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vecs), -1)
+
+
+def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centers."""
+    return (x * x).sum(axis=1)[:, None] - 2.0 * (x @ centers.T) + (centers * centers).sum(axis=1)[None, :]
+
+
+def _by_entry(batches) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """(entry, chunk ids, vectors) of the rows of each entry in each batch."""
+    for b in batches:
+        number: dict[tuple, int] = {}
+        of = np.array([number.setdefault(k, len(number)) for k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], np.int64)
+        ids, x = b.column(2).to_numpy(), _matrix(b.column(3)) if b.num_rows else None
+        for key, k in number.items():
+            mine = slice(None) if len(number) == 1 else of == k
+            yield key, ids[mine], x[mine]
+
+
+def _per_entry(chunks: DataFrame, centers: dict[tuple, np.ndarray], fold: Callable, schema: str) -> DataFrame:
+    """One map over (dataset, entry_id, chunk_id, vec) with the centers broadcast: ``fold(state, ids, x,
+    centers)`` gathers a task's rows of an entry, ``state`` (a list of rows behind the entry's key)
+    leaves the task. Nothing else is shuffled."""
+    shared = chunks.sparkSession.sparkContext.broadcast(centers)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[tuple, list] = {}
+        for key, ids, x in _by_entry(batches):
+            if key in shared.value:
+                states[key] = fold(states.get(key), ids, x, shared.value[key])
+        rows = [(*key, *row) for key, state in states.items() for row in state]
+        if rows:
+            kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+            columns = [pa.array(v, kinds[c.split()[1]]) for v, c in zip(zip(*rows), schema.split(", "))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return chunks.mapInArrow(run, schema)
+
+
+def farthest_chunks(chunks: DataFrame, centers: dict[tuple, np.ndarray]) -> DataFrame:
+    """(dataset, entry_id, near, chunk_id, vec): of each entry the chunk farthest from its centers,
+    ties to the lower chunk."""
+
+    def fold(state, ids, x, c):
+        near = _distances(x, c).min(axis=1)
+        far = near.max()
+        i = np.flatnonzero(near == far)[ids[near == far].argmin()]
+        best = (float(far), int(ids[i]), x[i].tolist())
+        return [max([best, *(state or [])], key=lambda r: (r[0], -r[1]))]
+
+    found = _per_entry(chunks, centers, fold, "dataset string, entry_id string, near double, chunk_id int, vec array<double>")
+    return found.groupBy(*IDS).agg(F.max_by(F.struct("near", "chunk_id", "vec"), F.struct("near", -F.col("chunk_id"))).alias("r")).select(*IDS, "r.*")
+
+
+def lloyd_round(chunks: DataFrame, centers: dict[tuple, np.ndarray]) -> DataFrame:
+    """(dataset, entry_id, cluster_id, n, total, first, mark): of each cluster, after every chunk went to
+    its nearest center (ties to the lower one), the number and sum of its vectors, its first chunk, and
+    a checksum of the chunks in it. A task adds up its own rows first."""
+
+    def fold(state, ids, x, c):
+        state = state or [[j, 0, np.zeros(x.shape[1]), None, 0] for j in range(len(c))]
+        labels = _distances(x, c).argmin(axis=1)
+        for j in np.unique(labels).tolist():
+            mine = ids[labels == j].astype(np.int64)
+            row = state[j]
+            row[1] += len(mine)
+            row[2] = row[2] + x[labels == j].sum(axis=0)
+            row[3] = int(mine.min()) if row[3] is None else min(row[3], int(mine.min()))
+            row[4] += int((((mine + 1) * 0x9E3779B1) % 0x7FFFFFFF).sum())
+        return state
+
+    schema = "dataset string, entry_id string, cluster_id int, n long, total array<double>, first int, mark long"
+    parts = _per_entry(chunks, centers, fold, schema)
+    sums = parts.groupBy(*IDS, "cluster_id").agg(
+        F.sum("n").alias("n"), F.collect_list("total").alias("_totals"), F.min("first").alias("first"), F.sum("mark").alias("mark"))  # a row a task
+    add = F.aggregate("_totals", F.transform(F.col("_totals")[0], lambda _: F.lit(0.0)), lambda a, t: F.zip_with(a, t, lambda x, y: x + y))
+    return sums.select(*IDS, "cluster_id", "n", add.alias("total"), "first", "mark")
+
+
+def spread_kmeans(chunks: DataFrame, num_clusters: int = 5) -> DataFrame:
+    """``kmeans_labels`` of entries of any size: Lloyd's rounds over all tasks. Every round is one map
+    over the written vectors with the centers broadcast and a few rows an entry and task out; the
+    farthest-first start takes ``num_clusters`` such rounds. Entries go in groups whose centers fit
+    ``MAX_CENTER_VALUES``, so neither the broadcast nor the driver grows with the data."""
+    chunks = saved(chunks.select(*IDS, "chunk_id", "vec"), "chunk-vectors")
+    spark = chunks.sparkSession
+    firsts = chunks.groupBy(*IDS).agg(F.min_by("vec", "chunk_id").alias("vec"), F.count(F.lit(1)).alias("n"))
+    out, group, values = [], {}, 0
+    for r in firsts.toLocalIterator():
+        size = num_clusters * len(r["vec"])
+        if group and values + size > MAX_CENTER_VALUES:
+            out.append(_spread_group(chunks, group, num_clusters))
+            group, values = {}, 0
+        group[r["dataset"], r["entry_id"]] = (np.array([r["vec"]], float), r["n"])
+        values += size
+    if group:
+        out.append(_spread_group(chunks, group, num_clusters))
+    done = spark.createDataFrame([], _LABELS)
+    for labels in out:
+        done = done.unionByName(labels)
+    return done
+
+
+def _spread_group(chunks: DataFrame, first: dict[tuple, tuple[np.ndarray, int]], num_clusters: int) -> DataFrame:
+    centers = {key: c for key, (c, _) in first.items()}
+    growing = {key: c for key, c in centers.items() if min(num_clusters, first[key][1]) > 1}
+    while growing:
+        for r in farthest_chunks(chunks, growing).collect():  # a row an entry of the group
+            key = r["dataset"], r["entry_id"]
+            if r["near"] > 1e-9:
+                centers[key] = growing[key] = np.vstack([growing[key], r["vec"]])
+            if r["near"] <= 1e-9 or len(growing[key]) >= min(num_clusters, first[key][1]):
+                growing.pop(key)
+    moving, seen, order = dict(centers), {key: set() for key in centers}, {}
+    while moving:
+        rounds: dict[tuple, list] = {}
+        for r in lloyd_round(chunks, moving).collect():  # a row a center of the group
+            rounds.setdefault((r["dataset"], r["entry_id"]), []).append(r)
+        for key, rows in rounds.items():
+            rows.sort(key=lambda r: r["cluster_id"])
+            mark = tuple((r["n"], r["first"], r["mark"]) for r in rows)
+            if mark in seen[key]:  # unchanged, or a circle of equally good labels
+                order[key] = [r["cluster_id"] for r in sorted((r for r in rows if r["n"]), key=lambda r: r["first"])]
+                moving.pop(key)
+                continue
+            seen[key].add(mark)
+            moving[key] = centers[key] = np.array([np.array(r["total"]) / r["n"] if r["n"] else centers[key][r["cluster_id"]] for r in rows])
+    shared = chunks.sparkSession.sparkContext.broadcast((centers, order))
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers, order = shared.value
+        for key, ids, x in _by_entry(batches):
+            if key in centers:
+                number = np.zeros(len(centers[key]), np.int64)
+                number[order[key]] = np.arange(len(order[key]))
+                labels = number[_distances(x, centers[key]).argmin(axis=1)]
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.string()), pa.array(ids, pa.int32()), pa.array(labels, pa.int32())], names=[*IDS, "chunk_id", "cluster_id"])
+
+    return saved(chunks.mapInArrow(label, _LABELS), "cluster-labels")
 
 
 def cluster_summaries(chunks: DataFrame, labels: DataFrame, keys=IDS) -> DataFrame:
@@ -112,26 +271,70 @@ def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.where(den > 0, x @ y.T / den, 0.0)
 
 
-def similarity_graph(chunks: DataFrame, threshold: float = 0.5) -> DataFrame:
+def _block_pairs(chunks: DataFrame, block: int) -> DataFrame:
+    """Chunk rows dealt to the pairs of blocks (i <= j) of their entry, ``block`` chunk ids a block; a row
+    goes to every pair its block is in. Most entries are one block, whose rows are not copied."""
+    chunks = chunks.select(*IDS, "chunk_id", "vec").withColumn("_own", F.floor(F.col("chunk_id") / block).cast("int"))
+    last = chunks.groupBy(*IDS).agg(F.max("_own").alias("_last"))
+    rows = match(chunks, last, IDS)
+    pair = lambda b: F.struct(F.least("_own", b).alias("i"), F.greatest("_own", b).alias("j"))
+    return rows.withColumn("_at", F.explode(F.transform(F.sequence(F.lit(0), F.col("_last")), pair))).select(*IDS, "chunk_id", "vec", "_own", "_at.i", "_at.j")
+
+
+def _pair_rows(table: pa.Table) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(entry, ids and vectors of block i, of block j, whether they are one block)."""
+    table = table.sort_by("chunk_id")
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    own, ids = table.column("_own").to_numpy(), table.column("chunk_id").to_numpy()
+    x = _matrix(table.column("vec").combine_chunks())
+    key = tuple(table.column(c)[0].as_py() for c in IDS)
+    return key, ids[own == i], x[own == i], ids[own == j], x[own == j], i == j
+
+
+def similarity_graph(chunks: DataFrame, threshold: float = 0.5, block: int = GRAPH_BLOCK) -> DataFrame:
     """Edges (dataset, entry_id, src, dst, weight) in both directions for chunk pairs of one entry
-    with cosine > threshold. One group per entry; its similarity matrix is made in blocks of rows
-    and only edges leave the task."""
+    with cosine > threshold. A task compares two blocks of an entry, never a whole large entry; only
+    edges leave it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, a_ids, a, b_ids, b, same = _pair_rows(table)
+        sim = _cosines(a, b)
+        if same:
+            np.fill_diagonal(sim, -2.0)
+        i, j = np.nonzero(sim > threshold)
+        src, dst, weight = a_ids[i], b_ids[j], sim[i, j]
+        if not same:
+            src, dst, weight = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([weight, weight])
+        keys = [pa.array([k] * len(src), pa.string()) for k in key]
+        return pa.table([*keys, pa.array(src, pa.int32()), pa.array(dst, pa.int32()), pa.array(weight)], names=[*IDS, "src", "dst", "weight"])
+
+    return _block_pairs(chunks, block).groupBy(*IDS, "i", "j").applyInArrow(run, "dataset string, entry_id string, src int, dst int, weight double")
+
+
+def strongest_neighbours(chunks: DataFrame, threshold: float = 0.5, block: int = GRAPH_BLOCK) -> DataFrame:
+    """(dataset, entry_id, chunk_id, neighbour, weight): each chunk's strongest neighbour in the graph
+    (ties to the lower chunk; chunks without one are left out). A pair of blocks sends one row a
+    chunk; their maxima are combined."""
+
+    def best(ids: np.ndarray, other: np.ndarray, sim: np.ndarray) -> list[tuple]:
+        at = sim.argmax(axis=1) if sim.shape[1] else np.zeros(len(ids), np.int64)  # other ids ascend
+        top = sim[np.arange(len(ids)), at] if sim.shape[1] else np.full(len(ids), -2.0)
+        keep = top > threshold
+        return list(zip(ids[keep].tolist(), other[at[keep]].tolist(), top[keep].tolist())) if keep.any() else []
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("chunk_id").to_numpy(), kind="stable")
-        ids = table.column("chunk_id").to_numpy()[order]
-        x = np.stack(table.column("vec").to_pylist()).astype(float)[order]
-        src, dst, weight = [], [], []
-        for at in range(0, len(x), GRAPH_BLOCK):
-            sim = _cosines(x[at : at + GRAPH_BLOCK], x)
-            i, j = np.nonzero(sim > threshold)
-            keep = i + at != j
-            src.append(ids[i[keep] + at]), dst.append(ids[j[keep]]), weight.append(sim[i[keep], j[keep]])
-        n = sum(map(len, src))
-        keys = [pa.array([table.column(c)[0].as_py()] * n, pa.string()) for c in IDS]
-        return pa.table([*keys, pa.array(np.concatenate(src), pa.int32()), pa.array(np.concatenate(dst), pa.int32()), pa.array(np.concatenate(weight))], names=[*IDS, "src", "dst", "weight"])
-
-    return chunks.select(*IDS, "chunk_id", "vec").groupBy(*IDS).applyInArrow(run, "dataset string, entry_id string, src int, dst int, weight double")
+        key, a_ids, a, b_ids, b, same = _pair_rows(table)
+        sim = _cosines(a, b)
+        if same:
+            np.fill_diagonal(sim, -2.0)
+        rows = best(a_ids, b_ids, sim) + ([] if same else best(b_ids, a_ids, sim.T))
+        keys = [pa.array([k] * len(rows), pa.string()) for k in key]
+        kinds = [pa.int32(), pa.int32(), pa.float64()]
+        return pa.table([*keys, *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], names=[*IDS, "chunk_id", "neighbour", "weight"])
+
+    found = _block_pairs(chunks, block).groupBy(*IDS, "i", "j").applyInArrow(run, "dataset string, entry_id string, chunk_id int, neighbour int, weight double")
+    top = found.groupBy(*IDS, "chunk_id").agg(F.max_by(F.struct("neighbour", "weight"), F.struct("weight", -F.col("neighbour"))).alias("r"))
+    return top.select(*IDS, "chunk_id", "r.*")
 
 
 def refine_with_neighbours(top: DataFrame, chunks: DataFrame, threshold: float = 0.5) -> DataFrame:
