@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -841,6 +842,41 @@ def c03_kmeans(spark, sf_dir):
 
 REGISTRY["c03_kmeans"] = (c03_kmeans, None)
 
+
+def _labelled_vectors(spark, sf_dir):
+    """The embeddings as chunks of few, large entries: one a label."""
+    e = _read(spark, sf_dir, "embeddings")
+    return e.select(F.lit("embeddings").alias("dataset"), F.col("label").cast("string").alias("entry_id"), F.col("vec_id").cast("int").alias("chunk_id"),
+                    F.col("embedding").cast("array<double>").alias("vec"))
+
+
+@register(
+    "c03b_kmeans_round",
+    "WITH v AS (SELECT CAST(label AS VARCHAR) AS entry_id, vec_id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS o FROM embeddings), "
+    "ds AS (SELECT a.entry_id, a.vec_id, a.v, c.o AS center, list_sum(list_transform(list_zip(a.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d "
+    "FROM v a JOIN v c ON a.entry_id = c.entry_id AND c.o < 3), "
+    "lb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_id, vec_id ORDER BY d, center) AS k FROM ds) WHERE k = 1) "
+    "SELECT entry_id, CAST(center AS INTEGER) AS cluster_id, count(*) AS n, CAST(min(vec_id) AS INTEGER) AS first, round(sum(list_sum(v)), 6) AS total FROM lb GROUP BY entry_id, center",
+)
+def c03b_kmeans_round(spark, sf_dir):
+    """One of Lloyd's rounds over all tasks, from the first three vectors of each label as centers."""
+    ch = _labelled_vectors(spark, sf_dir)
+    first = Window.partitionBy("entry_id").orderBy("chunk_id")
+    starts = ch.withColumn("o", F.row_number().over(first)).where("o <= 3").orderBy("o").collect()  # three rows a label
+    centers = {}
+    for r in starts:
+        centers.setdefault((r["dataset"], r["entry_id"]), []).append(r["vec"])
+    found = RT.lloyd_round(ch, {k: np.array(v) for k, v in centers.items()}).where("n > 0")
+    return found.select("entry_id", "cluster_id", "n", "first", F.round(F.aggregate("total", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+def c03c_kmeans_spread(spark, sf_dir):
+    """Every label's vectors clustered over all tasks."""
+    return RT.kmeans_per_entry(_labelled_vectors(spark, sf_dir), 5, entry_chunks=16)
+
+
+REGISTRY["c03c_kmeans_spread"] = (c03c_kmeans_spread, None)
+
 _SUMM_CTES = (
     O.chunks_cte(100),
     "sm AS (SELECT dataset, entry_id, CAST(chunk_id % 3 AS INTEGER) AS cluster_id, string_agg(text, ' ' ORDER BY chunk_id) AS summary FROM ch GROUP BY ALL)",
@@ -913,6 +949,17 @@ def c07_similarity_graph(spark, sf_dir):
     return g.select("dataset", "entry_id", "src", "dst", r6(F.col("weight")).alias("weight"))
 
 
+@register(
+    "c07b_strongest_neighbours",
+    O.with_qa("SELECT dataset, entry_id, CAST(src AS INTEGER) AS chunk_id, CAST(dst AS INTEGER) AS neighbour FROM (SELECT *, row_number() OVER (PARTITION BY dataset, entry_id, src ORDER BY w DESC, dst) AS o FROM ("
+              "SELECT dataset, entry_id, src, dst, round(w, 12) AS w FROM pr WHERE w > 0.5 UNION ALL SELECT dataset, entry_id, dst AS src, src AS dst, round(w, 12) AS w FROM pr WHERE w > 0.5)) WHERE o = 1", *_GRAPH_CTES),
+)
+def c07b_strongest_neighbours(spark, sf_dir):
+    """In blocks of 64 chunks, so that longer entries are compared block by block."""
+    qa = qa_view(spark, sf_dir, labels=False)
+    return RT.strongest_neighbours(RT.embed(RT.chunk(qa, "Context", 400), "text"), 0.5, block=64).select("dataset", "entry_id", "chunk_id", "neighbour")
+
+
 _RANK_CTES = (
     O.chunks_cte(100),
     f"cv AS (SELECT ch.*, {O.hashed_vec('ch.text')} AS v FROM ch)",

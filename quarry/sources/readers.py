@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS_CLASS
+from ..session import saved
 
 # ---- fixed values: key synonyms (normalised key -> canonical column), in priority order --
 KEY_SYNONYMS = {
@@ -178,20 +179,26 @@ def _falsy(x: Column) -> Column:
     )
 
 
+#: Splits of text files whose numbers a broadcast may hold (some 200 bytes each).
+MAX_SPLITS = 500_000
+
+
 def read_jsonl(spark: SparkSession, path, dataset_name: str = DEFAULT_DATASET) -> DataFrame:
     """One JSON object per non-blank line (splittable). ``pos`` counts the lines in the order of
     (file, split, line): a line's place does not depend on how splits are packed into tasks, and
-    neither does the id made from it. A first pass counts the lines of each split."""
+    neither does the id made from it. A first pass counts the lines of each split and notes the
+    row number that its first line has in its task; the second pass reads the same splits, so a
+    line's number in its split is its row number less that one, and no line is shuffled."""
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_seq"),  # order within a split only
-    ).where(F.col("value").rlike("[^" + WS_CLASS[1:]))
-    splits = lines.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_n"))
+    ).where(F.col("value").rlike("[^" + WS_CLASS[1:])).withColumn("_seq", F.monotonically_increasing_id())
+    splits = lines.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
     before = F.sum("_n").over(Window.orderBy("file", "_start").rowsBetween(Window.unboundedPreceding, -1))  # a row a split
-    splits = splits.select("file", "_start", F.coalesce(before, F.lit(0)).alias("_before"))
-    ranked = F.row_number().over(Window.partitionBy("file", "_start").orderBy("_seq")) - 1
-    rows = lines.withColumn("_i", ranked).join(splits, ["file", "_start"]).select(
-        F.lit(dataset_name).alias("dataset"), (F.col("_before") + F.col("_i")).cast("bigint").alias("pos"), "file", F.parse_json("value").alias("row")
+    splits = saved(splits.select("file", "_start", "_first", F.coalesce(before, F.lit(0)).alias("_before")), "splits")
+    if splits.count() <= MAX_SPLITS:
+        splits = F.broadcast(splits)
+    rows = lines.join(splits, ["file", "_start"]).select(
+        F.lit(dataset_name).alias("dataset"), (F.col("_before") + F.col("_seq") - F.col("_first")).cast("bigint").alias("pos"), "file", F.parse_json("value").alias("row")
     )
     return variant_rows_to_canonical(rows)
 
