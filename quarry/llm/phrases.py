@@ -43,7 +43,9 @@ from quarry.llm.lyndon_runs import slices
 
 #: Bytes of text that are parsed at once, nodes of a shard, of a segment of it, and of a range
 #: (before equal paths of different shards meet).
-SLICE_BYTES, SHARD_NODES, SEGMENT_NODES, RANGE_NODES = 4 << 20, 2_500_000, 1 << 16, 2_500_000
+SLICE_BYTES, SHARD_NODES, SEGMENT_NODES, RANGE_NODES = 4 << 20, 1_500_000, 1 << 16, 1_200_000
+#: Frequent paths of neighbouring ranges that answer and judge together.
+GROUP_NODES = 400_000
 #: At most so many first paths are drawn for borders, each word cut to so many bytes, and at least so
 #: many stand for a range.
 MOST_SAMPLES, BORDER_BYTES, SAMPLES_A_RANGE = 200_000, 64, 4
@@ -128,7 +130,7 @@ def _automata(table: pa.Table) -> list[CountAutomaton]:
 
 
 def merged_ranges(segments: DataFrame, borders: list[Key], min_count: int) -> DataFrame:
-    """(range, asker = range, automaton with the exact counts of the range's frequent paths)."""
+    """(range, n, data): the automaton with the exact counts of the range's frequent paths."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,10 +139,24 @@ def merged_ranges(segments: DataFrame, borders: list[Key], min_count: int) -> Da
                     yield from _blobs([(i, i, a.to_bytes())]).to_batches()
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        k = key[0].as_py()
-        return _blobs([(k, k, CountAutomaton.union(_automata(table)).pruned(min_count).to_bytes())])
+        kept = CountAutomaton.union(_automata(table)).pruned(min_count)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([kept.n_nodes], pa.int64()), pa.array([kept.to_bytes()], pa.binary())], names=["range", "n", "data"])
+
+    return segments.select("data").mapInArrow(cut, _BLOBS).groupBy("range").applyInArrow(add, "range int, n long, data binary")
 
-    return segments.select("data").mapInArrow(cut, _BLOBS).groupBy("range").applyInArrow(add, _BLOBS)
+
+def grouped(merged: DataFrame, borders: list[Key], nodes: int) -> tuple[DataFrame, list[Key]]:
+    """``merged`` with wider ranges, of about ``nodes`` nodes, and their borders. Frequent paths are few,
+    so far fewer ranges ask each other. The driver sees one number a range."""
+    wide, kept, held = [], [], 0
+    for r in merged.select("range", "n").orderBy("range").collect():
+        if held and held + r["n"] > nodes:
+            kept.append(borders[r["range"] - 1])
+            held = 0
+        held += r["n"]
+        wide.append((r["range"], len(kept)))
+    table = F.broadcast(merged.sparkSession.createDataFrame(wide, "range int, wide int"))  # a row a range
+    return merged.join(table, "range").select(F.col("wide").alias("range"), "data"), kept
 
 
 class Candidates:
@@ -196,18 +212,15 @@ def scored(counts: CountAutomaton, parts: CountAutomaton, longer: CountAutomaton
     return pa.table({k: pa.array(v, pa.binary()).cast(pa.string()) if k in ("lang", "phrase") else pa.array(v, pa.int64()) for k, v in columns.items()})
 
 
-def phrase_scores(docs: DataFrame, max_words: int = 3, min_count: int = 10, scale: int = 1_000_000, percent: int = 50, shard_nodes: int = SHARD_NODES, segment_nodes: int = SEGMENT_NODES, range_nodes: int = RANGE_NODES) -> DataFrame:
+def phrase_scores(docs: DataFrame, max_words: int = 3, min_count: int = 10, scale: int = 1_000_000, percent: int = 50, shard_nodes: int = SHARD_NODES, segment_nodes: int = SEGMENT_NODES, range_nodes: int = RANGE_NODES, group_nodes: int = GROUP_NODES) -> DataFrame:
     """lang, phrase, a, l, r, n, score of every candidate that is not dropped."""
     segments = saved(shard_segments(docs, max_words, shard_nodes, segment_nodes), "phrase-shards")
     borders = range_borders(segments, range_nodes)
-    merged = saved(merged_ranges(segments, borders, min_count), "phrase-counts")
+    merged, borders = grouped(saved(merged_ranges(segments, borders, min_count), "phrase-counts"), borders, group_nodes)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(2)):
-                wanted = requests(CountAutomaton.from_bytes(x.as_py()), min_count)
-                for i, a in wanted.cut(borders):
-                    yield from _blobs([(i, k, a.to_bytes())]).to_batches()
+    def ask(key: tuple, owned: pa.Table) -> pa.Table:
+        wanted = requests(CountAutomaton.union(_automata(owned)), min_count)
+        return _blobs([(i, key[0].as_py(), a.to_bytes()) for i, a in wanted.cut(borders)])
 
     def answer(key: tuple, asked: pa.Table, owned: pa.Table) -> pa.Table:
         k = key[0].as_py()
@@ -221,7 +234,7 @@ def phrase_scores(docs: DataFrame, max_words: int = 3, min_count: int = 10, scal
         parts, longer = (CountAutomaton.union(_automata(told.filter(pa.array(x, pa.bool_())))) for x in (~own, own))
         return scored(CountAutomaton.union(_automata(owned)), parts, longer, min_count, scale, percent)
 
-    asked = merged.mapInArrow(ask, _BLOBS)
+    asked = merged.groupBy("range").applyInArrow(ask, _BLOBS)
     told = asked.groupBy("range").cogroup(merged.groupBy("range")).applyInArrow(answer, _BLOBS)
     return told.groupBy("range").cogroup(merged.groupBy("range")).applyInArrow(judge, "lang string, phrase string, a long, l long, r long, n long, score long")
 

@@ -110,7 +110,7 @@ def mined(docs, **options):
     return sorted(map(tuple, phrases.top_phrases(docs, **options).collect()))
 
 
-TINY = {"shard_nodes": 500, "segment_nodes": 20, "range_nodes": 60}
+TINY = {"shard_nodes": 500, "segment_nodes": 20, "range_nodes": 60, "group_nodes": 30}
 
 
 @pytest.mark.parametrize("size", [{}, TINY])
