@@ -14,7 +14,9 @@ least 256, and ever finer ones for the tail that low weights make); bucket total
 along the buckets and rows only within a bucket. The result does not depend on the buckets.
 
 Null or empty text has size 0 and takes 0. A null source is a source of its own. Documents with
-equal keys go by doc_id, then size. An empty table gives no rows."""
+equal keys go by doc_id, then size. Rows that lack or repeat a doc_id are documents of their own: they
+are written once and numbered by their place there, and draw by that number. An empty table gives
+no rows."""
 
 from __future__ import annotations
 
@@ -62,12 +64,32 @@ def _bucket(z: Column, n: int) -> Column:
     return F.when(z < tail, F.floor(n * (1 - F.exp(-z)))).otherwise(n + F.floor(F.least((z - tail) * 16, F.lit(1e6)))).cast("int")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, seed: int = 6, buckets: int | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs, taken: one row a document."""
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``name``: null for rows with a doc_id of their own, else a number that only this row
+    has. Only rows that lack or repeat an id are written."""
+    key = docs["doc_id"].cast("long")
+    id_name = unused(docs, "again_id")
+    again = docs.groupBy(key.alias(id_name)).agg(F.count("*").alias("rows")).where(F.col(id_name).isNull() | (F.col("rows") > 1)).select(id_name)
+    again = saved(again, "mix-repeated")
+    if again.isEmpty():
+        return docs.withColumn(name, F.lit(None).cast("long"))
+    again, same = sized_broadcast(again), key.eqNullSafe(F.col(id_name))
+    others = saved(docs.join(again, same, "left_semi").withColumn(name, F.monotonically_increasing_id()), "mix-others")
+    return docs.join(again, same, "left_anti").withColumn(name, F.lit(None).cast("long")).unionByName(others)
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, epochs, taken: one row a document. ``options`` as in
+    ``_mix``."""
+    return _mix(_numbered(only(docs, "doc_id", "source", "text"), "mix_row"), "mix_row", **options).drop("mix_row")
+
+
+def _mix(docs: DataFrame, row: str, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, seed: int = 6, buckets: int | None = None) -> DataFrame:
     text = text_or_empty(docs["text"])
     sized = saved(
-        only(docs, "doc_id", "source", "text").select(
+        docs.select(
             docs["doc_id"].cast("long").alias("doc_id"),
+            docs[row].alias("mix_row"),
             docs["source"].cast("string").alias("source"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
             quality_weight(text).alias("quality"),
@@ -76,7 +98,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     )
     targets = saved(source_targets(sized, weights, share, max_epochs), "mix-targets")
     buckets = buckets or max(256, sized.count() // 1_000_000)
-    key = -F.log(u_key(seed, "mix", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) / F.col("quality")
+    # a row without an id of its own draws by its number
+    drawn = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mix_row").cast("string"))
+    key = -F.log(u_key(seed, "mix", drawn)) / F.col("quality")
     t = sized_broadcast(targets.withColumnRenamed("source", "t_source"))
     keyed = (
         sized.join(t, F.col("source").eqNullSafe(F.col("t_source")))
@@ -87,7 +111,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     per_bucket = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     earlier = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = saved(per_bucket.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")), "mix-offsets")
-    within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "mix_row", "size").rowsBetween(W.unboundedPreceding, -1)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     return (
         keyed.join(sized_broadcast(offsets), F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
@@ -95,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         .withColumn("epochs", epochs)
         .withColumn("rest", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size"))
         .select(
-            "doc_id", "source", "size", "source_size", "target", "epochs",
+            "doc_id", "mix_row", "source", "size", "source_size", "target", "epochs",
             (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before")))).alias("taken"),
         )
     )
@@ -104,13 +128,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows: a document stands once for each whole epoch, and once more if the fraction
     takes at least half of it. Keeps the columns of ``docs``. Documents without words take no
-    words and go; a document is matched by doc_id, and rows that repeat a doc_id stay together."""
-    taken = mix(docs, **options)
-    name, copies = unused(docs, "mix_id"), unused(docs, "mix_copies")
+    words and go; rows that lack or repeat a doc_id are taken each on its own."""
+    row = unused(docs, "mix_row")
+    docs = _numbered(docs, row)
+    taken = _mix(docs, row, **options)
+    name, number, copies = unused(docs, "mix_id"), unused(docs, "mix_number"), unused(docs, "mix_copies")
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    picked = taken.select(F.col("doc_id").alias(name), times.alias(copies)).where(F.col(copies) > 0).groupBy(name).agg(F.max(copies).alias(copies))
-    out = docs.join(picked, docs["doc_id"].cast("long").eqNullSafe(F.col(name)))
-    return out.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[out[c] for c in docs.columns])
+    picked = taken.select(F.col("doc_id").alias(name), F.col("mix_row").alias(number), times.alias(copies)).where(F.col(copies) > 0)
+    out = docs.join(picked, docs["doc_id"].cast("long").eqNullSafe(F.col(name)) & docs[row].eqNullSafe(F.col(number)))
+    return out.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[out[c] for c in docs.columns if c != row])
 
 
 #: The same rows in DuckDB SQL.

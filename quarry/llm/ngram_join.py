@@ -15,31 +15,38 @@ shared passages) go on with their prefixes and sets:
 * Where a token joins few nodes, their pairs are listed, must share a token under every order, pass
   the size filter, and are compared.
 * Where it joins many, listing pairs would grow with the square of the group: the nodes that such
-  tokens connect form a cluster, cut into blocks, and two blocks are compared in one task by a
-  matrix product over their shared tokens. Only each node's number of links and the links of a
+  tokens connect form a cluster, classed by set size (sets of classes that are not neighbours cannot
+  be alike enough) and cut into blocks, and two blocks are compared in one task by a matrix
+  product over their shared tokens. Only each node's number of links and the links of a
   spanning forest leave the task. Pairs inside a cluster are not listed again, so every pair is
   compared once, and no link between different texts is lost.
 
 Components come from repeated contraction to the least neighbour. Nothing is collected.
 
 Words are runs of bytes other than 0x20, 0x09-0x0D, with A-Z lowered. Fewer than k words make one
-shingle of the whole sequence; null, empty and blank texts have an empty set and no links. Rows
-without doc_id have a null component and link with nothing. Rows that repeat a doc_id are
-documents of their own with the same id. Other columns are ignored; an empty table gives no rows."""
+shingle of the whole sequence; null, empty and blank texts have an empty set and no links. In
+``similarity_components`` rows without doc_id have a null component and link with nothing, as there is
+no id to name them by; ``one_of_each_group`` links them like all others. Rows that repeat a doc_id
+are documents of their own with the same id. Other columns are ignored; an empty table gives no
+rows."""
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import only, saved, sized_broadcast, unused
+from quarry.llm.common import NULL_ID, only, saved, sized_broadcast, text_or_empty, unused
 from quarry.llm.repeats import Totals, chunks_of, with_repeats
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_SETS = "doc_id long, n long, first boolean, node binary, p1 array<long>, p2 array<long>, p3 array<long>, shingles binary"
+_SETS = "doc_id long, n long, alone boolean, text_id string, node binary, p1 array<long>, p2 array<long>, p3 array<long>, shingles binary"
 
 
 def mix64(x: np.ndarray, salt: int) -> np.ndarray:
@@ -92,8 +99,10 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(a[at] == b))
 
 
-def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """A row a document: n, and for those that may have partners node, prefixes and set."""
+def document_sets(docs: DataFrame, k: int, percent: int, unnamed: bool = False) -> DataFrame:
+    """A row a document: n, and for those that may have partners node, prefixes and set. ``unnamed``:
+    documents without doc_id may have partners too. ``alone`` says that the row has a doc_id that no
+    other row has; ``text_id`` (md5 of the text) tells rows apart that are not alone."""
 
     def sets(table: pa.Table) -> list[np.ndarray]:
         return [shingle_set(t, k) for t in table.column("text").to_pylist()]
@@ -103,19 +112,20 @@ def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def use(table: pa.Table, totals: Totals) -> pa.Table:
         out: dict[str, list] = {c.split()[0]: [] for c in _SETS.split(", ")}
-        seen: set[tuple] = set()
-        for doc_id, sub, s in zip(table.column("doc_id").to_pylist(), table.column("sub").to_pylist(), sets(table)):
-            p = prefixes(s, totals.of(s), percent) if len(s) and doc_id is not None else None
-            node = xxhash.xxh3_128_digest(s.tobytes()) if p else None
+        ids, subs, texts = (table.column(c).to_pylist() for c in ("doc_id", "sub", "text"))
+        rows_of = Counter(ids)  # rows of one id are in one chunk, or numbered by sub
+        for doc_id, sub, text, s in zip(ids, subs, texts, sets(table)):
+            p = prefixes(s, totals.of(s), percent) if len(s) and (unnamed or doc_id is not None) else None
+            alone = doc_id is not None and sub is None and rows_of[doc_id] == 1
             out["doc_id"].append(doc_id)
             out["n"].append(len(s))
-            out["first"].append(sub is None and (doc_id, node) not in seen)
-            seen.add((doc_id, node))
-            out["node"].append(node)
+            out["alone"].append(alone)
+            out["text_id"].append(None if alone or not p else hashlib.md5(text.encode()).hexdigest())
+            out["node"].append(xxhash.xxh3_128_digest(s.tobytes()) if p else None)
             for i, name in enumerate(("p1", "p2", "p3")):
                 out[name].append(p[i].view(np.int64) if p else None)
             out["shingles"].append(s.astype("<u8").tobytes() if p else None)
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), *[pa.list_(pa.int64())] * 3, pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.binary(), *[pa.list_(pa.int64())] * 3, pa.binary()]
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
     rows, n, bits, _ = chunks_of(only(docs, "doc_id", "text"))
@@ -214,17 +224,39 @@ def _listed_links(nodes: DataFrame, postings: DataFrame, clusters: DataFrame, pe
 
 
 def _cluster_links(nodes: DataFrame, clusters: DataFrame, percent: int, block: int) -> DataFrame:
-    sizes = sized_broadcast(clusters.groupBy("cluster").agg(F.count("*").alias("n_cluster")), 500_000)
-    at = clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n_cluster") / block).cast("int"))
+    """Links inside clusters. Sets of a cluster are classed by size so that only sets of one class or of
+    neighbouring classes can reach the similarity; a class is cut into blocks by a hash, and a
+    task compares two blocks."""
+    classed = clusters.join(nodes.select("node", "n", "copies", "shingles"), "node")
+    # sizes of classes two apart differ by more than the threshold allows, whatever the rounding
+    size_class = F.floor(F.log("n") / F.lit(-math.log(percent / 100) * (1 + 1e-9))).cast("long") if percent < 100 else F.col("n")
+    classed = saved(classed.withColumn("class", size_class), "classed")
+    sizes = classed.groupBy("cluster", "class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes = sized_broadcast(saved(sizes, "classes"), 500_000)
+    here = sizes
+    above = sizes.select("cluster", (F.col("class") - 1).alias("class"), F.col("blocks").alias("above"))
+    below = sizes.select("cluster", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below"))
+    at = classed.join(here, ["cluster", "class"]).join(sized_broadcast(above, 500_000), ["cluster", "class"], "left").join(sized_broadcast(below, 500_000), ["cluster", "class"], "left")
     at = at.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), (F.col("own") > j).cast("int").alias("side")))
-    placed = at.select("node", "cluster", F.explode(others).alias("at")).select("node", "cluster", "at.*")
-    rows = placed.join(nodes.select("node", "copies", "shingles"), "node")
+
+    def blocks(n: str) -> Column:
+        return F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def place(low: Column, up: Column, i: Column, j: Column, side: Column) -> Column:
+        return F.struct(low.alias("low"), up.alias("up"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+    own, c = F.col("own"), F.col("class")
+    same = F.transform(blocks("blocks"), lambda j: place(c, c, F.least(own, j), F.greatest(own, j), own > j))
+    with_above = F.transform(blocks("above"), lambda j: place(c, c + 1, own, j, F.lit(0)))
+    with_below = F.transform(blocks("below"), lambda j: place(c - 1, c, j, own, F.lit(1)))
+    every = same if percent >= 100 else F.concat(same, with_above, with_below)
+    rows = at.withColumn("at", F.explode(every)).select("node", "copies", "shingles", "cluster", "at.*")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        return block_links(table, percent, key[1].as_py() != key[2].as_py())
+        _, low, up, i, j = (x.as_py() for x in key)
+        return block_links(table, percent, (low, i) != (up, j))
 
-    return rows.groupBy("cluster", "i", "j").applyInArrow(compare, "a binary, b binary, n long")
+    return rows.groupBy("cluster", "low", "up", "i", "j").applyInArrow(compare, "a binary, b binary, n long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -244,34 +276,51 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def similarity_components(docs: DataFrame, k: int, percent: int, listed: int = 48, block: int = 512) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (documents it links to), first (false on rows that
-    repeat both id and set, and on all rows of an id that ``chunks_of`` deals apart)."""
-    sets = document_sets(docs, k, percent)
-    members = sets.where("node IS NOT NULL")
+def _joined(docs: DataFrame, k: int, percent: int, listed: int, block: int, unnamed: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sets, nodes, links, labels): a node is a distinct set, its label the least node of its
+    component (nodes without links have no label)."""
+    sets = document_sets(docs, k, percent, unnamed)
     one = F.min(F.struct("doc_id", "n", "p1", "p2", "p3", "shingles")).alias("r")
-    nodes = saved(members.groupBy("node").agg(one, F.count("*").alias("copies")).select("node", "copies", "r.*"), "nodes")
+    nodes = saved(sets.where("node IS NOT NULL").groupBy("node").agg(one, F.count("*").alias("copies")).select("node", "copies", "r.*"), "nodes")
     found = saved(all_links(nodes, percent, listed, block), "links")
-    labels = components(found.where("b IS NOT NULL").select("a", "b"))
+    return sets, nodes, found, components(found.where("b IS NOT NULL").select("a", "b"))
+
+
+def similarity_components(docs: DataFrame, k: int, percent: int, listed: int = 48, block: int = 512) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (documents it links to)."""
+    sets, nodes, found, labels = _joined(docs, k, percent, listed, block, False)
+    members = sets.where("node IS NOT NULL")
     counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     by_label = nodes.select("node", "doc_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = by_label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     n_links = (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
     component = by_label.join(least, "label").join(counts, "node", "left").select("node", "component_id", n_links)
     alone = F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).alias("component_id")
-    done = members.select("doc_id", F.col("n").alias("n_shingles"), "first", "node").join(component, "node").drop("node")
-    return sets.where("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "first", alone, F.lit(0).cast("long").alias("n_links")).unionByName(done)
-
-
-def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller doc_id. Rows without
-    doc_id stay; of rows that repeat id and set one stays. Keeps the columns of ``docs``."""
-    found = similarity_components(docs, k, percent)
-    name = unused(docs, "gone_id")
-    is_named = docs["doc_id"].cast("long") == F.col(name)
-    gone = saved(found.where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
-    kept = docs.join(sized_broadcast(gone, 2_000_000), is_named, "left_anti")
-    twice = saved(found.where("NOT first AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct(), "twice")
-    if twice.isEmpty():
+    done = members.select("doc_id", F.col("n").alias("n_shingles"), "node").join(component, "node").drop("node")
+    return sets.where("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), alone, F.lit(0).cast("long").alias("n_links")).unionByName(done)
+
+
+def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80, listed: int = 48, block: int = 512) -> DataFrame:
+    """The rows of ``docs`` without those whose component (rows without doc_id take part) has an earlier
+    one: the least doc_id stays, rows without one come last, then by the md5 of the text; of rows that
+    repeat id and text one stays. Rows without words stay. Keeps the columns of ``docs``."""
+    sets, _, _, labels = _joined(docs, k, percent, listed, block, True)
+    rank = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("text_id", F.lit("")).alias("text_id")).alias("rank")
+    members = sets.where("node IS NOT NULL").select("node", "doc_id", "alone", "text_id", rank)
+    members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
+    stays = members.groupBy("label").agg(F.min("rank").alias("stays"))
+    members = saved(members.join(stays, "label").select("doc_id", "alone", "text_id", (F.col("rank") == F.col("stays")).alias("stays")), "judged")
+    id_name, text_name = unused(docs, "judged_id"), unused(docs, "judged_text")
+    by_id = docs["doc_id"].cast("long").eqNullSafe(F.col(id_name))
+    by_text = by_id & (F.md5(text_or_empty(docs["text"]).cast("binary")) == F.col(text_name))
+    gone = saved(members.where("alone AND NOT stays").select(F.col("doc_id").alias(id_name)), "gone")
+    kept = docs.join(sized_broadcast(gone, 2_000_000), by_id, "left_anti")
+    others = members.where("NOT alone").groupBy(F.col("doc_id").alias(id_name), F.col("text_id").alias(text_name)).agg(F.first("stays").alias("stays"), F.count("*").alias("rows"))
+    others = saved(others, "told-apart-by-text")
+    if others.isEmpty():
         return kept
-    return kept.join(twice, is_named, "left_anti").unionByName(kept.join(twice, is_named, "left_semi").dropDuplicates(["doc_id", "text"]))
+    keys = lambda which: sized_broadcast(others.where(which).select(id_name, text_name), 500_000)
+    kept = kept.join(keys("NOT stays"), by_text, "left_anti")
+    twice = keys("stays AND rows > 1")
+    one = kept.join(twice, by_text, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, by_text, "left_anti").unionByName(one)

@@ -217,16 +217,43 @@ def test_prefixes_share_a_token_under_every_order():
         assert all(set(x.tolist()) & set(y.tolist()) for x, y in zip(pa_, pb))
 
 
+def first_of_each_group(rows, k, percent):
+    """The rows (id, text) that stay: rows without id are documents like all others."""
+    named = [(i, t) for i, (_, t) in enumerate(rows)]
+    stay, found = [], brute_components(named, k, percent)
+    for c in {x[1] for x in found}:
+        group = [i for i, x in enumerate(found) if x[1] == c]
+        stay.append(min(group, key=lambda i: (rows[i][0] is None, rows[i][0] or 0, hashlib.md5((rows[i][1] or "").encode()).hexdigest() if len(group) > 1 else "")))
+    return sorted(map(repr, (rows[i] for i in stay)))
+
+
 def test_one_of_each_group(spark, edge_docs, empty_docs):
     kept = ngram_join.one_of_each_group(edge_docs)
     assert kept.columns == edge_docs.columns
-    ids = sorted(str(r.doc_id) for r in kept.select("doc_id").collect())
-    rows = [(d, t) for d, t, _, _ in edge_rows()]
-    found = brute_components(rows, 5, 80)
-    want, seen = [], set()
-    for (d, t), (_, c, _) in zip(rows, found):
-        if c is None or (c == d and (d, t) not in seen):
-            want.append(str(d))
-        seen.add((d, t))
-    assert ids == sorted(want)
+    got = sorted(repr((r.doc_id, r.text)) for r in kept.collect())
+    assert got == first_of_each_group([(d, t) for d, t, _, _ in edge_rows()], 5, 80)
     assert ngram_join.one_of_each_group(empty_docs).count() == 0
+
+
+@pytest.mark.parametrize("listed,block", [(48, 512), (1, 3)])
+def test_one_of_each_group_without_ids(spark, tiny_parts, listed, block):
+    """A third of the rows without doc_id, a third with one, copies and near copies among all."""
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else d, t.upper() if i % 7 == 0 else t) for i, (d, t) in enumerate(near_copies(9) + [(0, t) for _, t in near_copies(3)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(repr((r.doc_id, r.text)) for r in ngram_join.one_of_each_group(df, 5, 80, listed, block).collect())
+    assert got == first_of_each_group(rows, 5, 80)
+
+
+def test_copies_without_id_leave_the_one_with_it(spark):
+    df = spark.createDataFrame([(None, prose(1, 60))] * 3 + [(9, prose(1, 60)), (None, None), (None, "")], "doc_id long, text string")
+    assert sorted(repr(tuple(r)) for r in ngram_join.one_of_each_group(df).collect()) == sorted(map(repr, [(9, prose(1, 60)), (None, None), (None, "")]))
+
+
+def test_size_classes_lose_no_link(spark):
+    """Sets of very different sizes that share their words: blocks of a size class meet those of it and
+    its neighbours only."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[: 4 + 3 * i])) for i in range(120)]
+    nodes = spark.createDataFrame(rows, "doc_id long, text string")
+    got = joined(nodes, 1, 90, listed=0, block=4)
+    assert got == sorted(((d, *w) for (d, _), w in zip(rows, brute_components(rows, 1, 90))), key=str)

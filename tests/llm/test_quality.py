@@ -1,12 +1,13 @@
 """op6, op7, op8, op9 and the pipeline."""
 
-import regex
+import math
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import edge_rows
+import regex
+from conftest import edge_rows, prose
 from oracle_check import compare, duck
 
 import corpus_pipeline
@@ -142,6 +143,19 @@ def test_op6_targets(spark, sf_dir, edge_docs, empty_docs):
     assert all(r.taken == 0 and r.target == 0 for r in mixing.mix(blank).collect())
 
 
+def test_op6_rows_without_an_id_of_their_own(spark):
+    """A third of the rows without doc_id, a third with one: each is taken on its own."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else 100 + i, prose(i // 4, 20 + i % 9), "ab"[i % 2] if i % 5 else None, i) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").coalesce(1)
+    taken = mixing.mix(df).collect()
+    check_mix(taken, df)
+    copies = Counter((r.doc_id, r.source, r.size, math.floor(r.taken / r.size + 0.5)) for r in taken)
+    assert len({r.taken for r in taken if r.doc_id is None}) > 3  # not one draw for all
+    stood = Counter(r.n for r in mixing.mixed_documents(df).collect())
+    got = Counter((d, s, len(WORD.findall(t)), stood[n]) for d, t, s, n in rows)
+    assert got == copies
+
+
 def test_op6_prefers_quality(spark):
     rows = [(i, ("good words here " if i % 2 else "#### 1234 ---- ") * 20, "a" if i < 400 else "b") for i in range(440)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("source = 'a'").collect()
