@@ -7,7 +7,14 @@
 5. BPE: every text encoded and decoded again; ids and round trip as digests
 
 All stages but the last return the columns of documents. Each works on all its predecessor kept
-and writes only to the shared folder that ``spark.checkpoint.dir`` names."""
+and writes only to the shared folder that ``spark.checkpoint.dir`` names.
+
+Null, empty and blank texts count as empty: the classifier scores them, they link with nothing, lose
+nothing, and leave at the mix, which takes words. Rows that lack or repeat a doc_id are documents of
+their own in every stage; labels reach the classifier by doc_id only. Of rows that repeat id and text
+one stays at stage 2; ties there go to the least doc_id (none comes last), then to the md5 of the text.
+A null source or lang is a value like any other. Very long texts are worked on whole. Extra columns
+of any name stay until the last stage. An empty table gives no rows, with the last stage's columns."""
 
 from __future__ import annotations
 
