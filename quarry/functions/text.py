@@ -49,6 +49,14 @@ def normalize(x) -> Column:
     return F.array_join(norm_tokens(x), " ")
 
 
+def normalized_text(x) -> Column:
+    """``normalize`` by regular expressions alone, which stay in generated code where whole texts are
+    compared and tokens are not needed."""
+    s = F.translate(F.lower(safe_str(x)), PUNCTUATION, "")
+    spaced = F.concat(F.lit(" "), F.regexp_replace(s, WS_RUN, " "), F.lit(" "))
+    return F.trim(F.regexp_replace(spaced, "(?<= )(?:" + "|".join(ARTICLES) + ") ", ""))
+
+
 def split_normalized(norm_col) -> Column:
     """Tokens of an already normalised string (cheaper than re-normalising)."""
     return F.filter(F.split(_c(norm_col), " "), lambda t: t != F.lit(""))

@@ -1132,6 +1132,9 @@ REGISTRY["d12_rouge_n"] = (
                 (f"prep1 AS (SELECT dataset, entry_id, {O.rouge_tokens('pred')} AS rp, {O.rouge_tokens('ref')} AS rg FROM prep0)",
                  O.grams_cte("rp", "rg", (1, 2), "prep1"), "prep2 AS (SELECT * FROM prep LEFT JOIN gm USING (dataset, entry_id))")),
 )
+# The same metrics as aggregates over (entry, token).
+REGISTRY["d11b_bleu_by_token"] = (_metric_spark(["bleu"], ["bleu"], engine="tokens"), REGISTRY["d11_bleu"][1])
+REGISTRY["d12b_rouge_n_by_token"] = (_metric_spark(["rouge1", "rouge2"], ["rouge1", "rouge2"], engine="tokens"), REGISTRY["d12_rouge_n"][1])
 REGISTRY["d15_nli_default"] = (
     _metric_spark(["nli_entail", "nli_neutral", "nli_contra"], ["nli_entail", "nli_neutral", "nli_contra"]),
     _metric_sql({"nli_entail": "0.0", "nli_neutral": "0.0", "nli_contra": "0.0"}, ("prep2 AS (SELECT * FROM prep)",)),
@@ -1141,11 +1144,50 @@ REGISTRY["d16_cosine_default"] = (
     _metric_sql({"cosine": f"CASE WHEN pn <> '' OR gn <> '' THEN {O.cos(O.hashed_vec('ref'), O.hashed_vec('pred'))} ELSE 0.0 END"},
                 ("prep2 AS (SELECT * FROM prep)",)),
 )
-for _name, _m, _k in (("d05_rouge_l", "rougeL", "ROUGE-L"), ("d08_seqmatch", "seqmatch", "seqmatch"),
-                      ("d13_rouge_lsum", "rougeLsum", "rougeLsum"), ("d14_meteor", "meteor", "meteor")):
+for _name, _m, _k in (("d05_rouge_l", "rougeL", "ROUGE-L"), ("d08_seqmatch", "seqmatch", "seqmatch"), ("d13_rouge_lsum", "rougeLsum", "rougeLsum")):
     REGISTRY[_name] = (_metric_spark([_m], [_k]), None)
 
 
+def _meteor_sql() -> str:
+    """The k-th occurrence of a word from the end of the prediction meets the k-th from the end of the
+    gold; breaks between met pairs that are neighbours on both sides make chunks."""
+    side = lambda name, words, at: (f"{name} AS (SELECT *, row_number() OVER (PARTITION BY dataset, entry_id, t ORDER BY {at} DESC) AS k FROM "
+                                    f"(SELECT dataset, entry_id, unnest({words}) AS t, unnest(range(len({words}))) AS {at} FROM prep))")
+    ctes = (
+        side("hy", "pt", "i"), side("rf", "gt", "j"),
+        "met AS (SELECT dataset, entry_id, i, j, lag(i) OVER w AS pi, lag(j) OVER w AS pj FROM hy JOIN rf USING (dataset, entry_id, t, k) WINDOW w AS (PARTITION BY dataset, entry_id ORDER BY i))",
+        "mt AS (SELECT dataset, entry_id, count(*)::DOUBLE AS m, sum(CASE WHEN i = pi + 1 AND j = pj + 1 THEN 0 ELSE 1 END)::DOUBLE AS chunks FROM met GROUP BY dataset, entry_id)",
+        "prep2 AS (SELECT * FROM prep LEFT JOIN mt USING (dataset, entry_id))",
+    )
+    mean = "((m / P) * (m / G) / (0.9 * (m / P) + 0.1 * (m / G)))"
+    value = f"CASE WHEN P = 0 AND G = 0 THEN 1.0 WHEN P = 0 OR G = 0 OR m IS NULL THEN 0.0 ELSE {mean} * (1 - 0.5 * power(chunks / m, 3)) END"
+    return _metric_sql({"meteor": value}, ctes)
+
+
+REGISTRY["d14_meteor"] = (_metric_spark(["meteor"], ["meteor"]), _meteor_sql())
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    """Neighbouring turns of conversations: the answer's text against the question's."""
+    return conversation_pairs(spark, sf_dir).select("dataset", F.col("id").alias("entry_id"), F.col("query").alias("Predicted"), F.col("answer").alias("Response"))
+
+
+@register(
+    "d05b_rouge_l_turns",
+    "WITH tk AS (SELECT CAST(u.conv_id AS VARCHAR) || '-' || CAST(u.turn AS VARCHAR) AS entry_id, "
+    f"{O.norm_tokens('u.text')} AS p, {O.norm_tokens('a.text')} AS g FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 "
+    "WHERE u.role = 'user' AND a.role = 'assistant'), "
+    # a row of the table a predicted token: the running maximum of what ends at each gold token
+    "lcs AS (SELECT entry_id, len(p) AS P, len(g) AS G, list_reduce(list_concat([list_transform(range(len(g) + 1), lambda x: 0)], "
+    "list_transform(p, lambda t: list_concat([0], list_transform(g, lambda y: CASE WHEN y = t THEN 1 ELSE 0 END)))), "
+    "lambda r, e: list_transform(range(1, len(r) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN k = 1 THEN 0 ELSE greatest(r[k], r[k - 1] + e[k]) END)))) AS r FROM tk) "
+    "SELECT entry_id, round(CASE WHEN P = 0 OR G = 0 THEN 0.0 ELSE 2.44 * r[len(r)] / (P + 1.44 * G) END, 6) AS rouge_l FROM lcs",
+)
+def d05b_rouge_l_turns(spark, sf_dir):
+    scored, _ = score_columns(_turns(spark, sf_dir), ["rougeL"])
+    return scored.select("entry_id", r6(F.col("`ROUGE-L`")).alias("rouge_l"))
+
+
 @register(
     "d28_merge_metrics",
     O.with_qa(f"SELECT dataset, entry_id, CAST(2 AS INTEGER) AS n_keys, round({O.metric_exprs()['EM']}, 6) AS EM, "
