@@ -12,12 +12,14 @@ Files are written under a temporary name and renamed, so a retried or speculativ
 its own file with the same content; a lost executor loses nothing once the rename is done. The
 folder is the shared one that ``spark.checkpoint.dir`` names.
 
-Null text counts as empty: the document is its end id alone. Rows without doc_id come first;
-repeated rows are stored again; other columns are ignored; an empty table writes empty parts."""
+Null text counts as empty: the document is its end id alone. Rows without doc_id come first; rows
+of one id go by a digest of the text; repeated rows are stored again; other columns are ignored; an empty table writes empty parts."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -28,16 +30,31 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.ipc as ipc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm.common import only, open_fs, parts_for, text_bytes, text_or_empty
 
 _MANIFEST = "part long, path string, n_docs long, n_tokens long"
 #: Marks that may end a word and are tokens of their own there.
 _TAIL = ".,;:!?#$%&*"
+# ---- fixed values: the rules of a tokenizer file that encodes a text word by word ---------------
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def encodes_wordwise(path: str) -> bool:
+    """Whether the file's normaliser and pre-tokenizer are the ones that ``WordwiseEncoder`` may work
+    word by word under, and no added token reaches across a blank."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    same = rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+    return same and all(t["content"].startswith("<") and not re.search(r"\s", t["content"]) for t in rules["added_tokens"])
 
 
 class WordwiseEncoder:
-    """Ids by the tokenizers library for vocabularies that drop white space: no token and no
+    """Ids by the tokenizers library. A file whose rules are not those of ``encodes_wordwise`` is left to
+    the library text by text. For the others, vocabularies that drop white space: no token and no
     normalisation step reaches across a blank, so the ids of a text are those of its words in
     turn. ``word`` is what stands between blanks or line ends; other white space stays inside and
     the library sees it. Arrow numbers the distinct words of a slice, folds ASCII words, and parts
@@ -51,6 +68,7 @@ class WordwiseEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
+        self.wordwise = encodes_wordwise(path)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         size = max(vocab.values()) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -122,6 +140,9 @@ class WordwiseEncoder:
         Words are numbered by Arrow, so Python sees each distinct word of the batch once."""
         if not len(texts):
             return np.empty(0, self.dtype), np.zeros(1, np.int64)
+        if not self.wordwise:
+            got = [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate(got), np.cumsum([0, *map(len, got)], dtype=np.int64)
         pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = pieces.flatten().dictionary_encode()
         ids, n = _joined([(*self._word_ids(coded.dictionary), coded.indices.to_numpy())])
@@ -259,7 +280,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         prefix = folder.rstrip("/")
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{prefix}/part-{part:06d}.arrow"]), pa.array([n_docs]), pa.array([out.n_tokens])], names=["part", "path", "n_docs", "n_tokens"])
 
-    files = rows.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, _MANIFEST)
+    # equal ids go by the digest of the text, equal texts by their place: no id and no text fills a file
+    order = ["doc_id", "digest", "place"]
+    placed = rows.withColumn("digest", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    files = placed.repartitionByRange(n_files, *order).sortWithinPartitions(*order).drop("digest", "place").mapInArrow(write, _MANIFEST)
     return spark.createDataFrame(sorted(map(tuple, files.collect())), _MANIFEST)  # a row a file
 
 

@@ -53,6 +53,24 @@ def test_many_texts_equal_the_library(library, texts, slice_bytes):
     assert [CODEC.decimals(x).decode() for x in got] == [",".join(map(str, x)) for x in got]
 
 
+def test_other_rules_are_left_to_the_library(library):
+    assert token_store.encodes_wordwise(WORD) and not token_store.encodes_wordwise(BYTE)
+    texts = ["", "Two  words\n", "x" * 50, " lead 12.", "é日本"]
+    ids, ends = token_store.WordwiseEncoder(BYTE).encode_batch(pa.array(["skipped", *texts]).slice(1))
+    assert [ids[i:j].tolist() for i, j in zip(ends, ends[1:])] == [library[BYTE].encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rows_without_id_fill_no_file(spark, library, tmp_path):
+    rows = [(None, prose(i % 40, 30) if i % 3 else "same text") for i in range(600)] + [(5, prose(99, 30))] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = token_store.write_token_files(df, str(tmp_path / "t"), WORD, 2, text_bytes_per_file=10_000)
+    files = manifest.collect()
+    assert len(files) > 8 and max(f.n_docs for f in files) < 400
+    got = sorted((r.doc_id or -1, r.ids_crc32) for r in token_store.read_token_digests(spark, manifest).collect())
+    crc = {t: zlib.crc32(np.array([*library[WORD].encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for _, t in rows}
+    assert got == sorted((d or -1, crc[t]) for d, t in rows)
+
+
 def test_small_caches_change_nothing(library):
     small = bpe.BytePairCodec(BYTE, cache_entries=3)
     words = token_store.WordwiseEncoder(WORD, cache_entries=3)
