@@ -1399,3 +1399,39 @@ def b16b_iso_forms(spark, sf_dir):
         .otherwise(F.concat(text("yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00")))
     )
     return ev.select("event_id", F.unix_micros(S.parse_date(s, "string").cast("timestamp")).alias("micros"))
+
+
+# ---------------------------------------------------------------- streams ----------
+from ..streaming import running as RUN  # noqa: E402
+
+
+def _streamed(spark, sf_dir, build, mode: str) -> DataFrame:
+    """All QA rows as a stream of a few micro-batches; the rows that ``build`` gives with their epoch."""
+    qa = qa_view(spark, sf_dir, labels=False).select("dataset", "entry_id", "Response", "Predicted")
+    path, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
+    qa.write.parquet(path)
+    files = max(1, len(spark.read.parquet(path).inputFiles()) // 3)
+    stream = spark.readStream.schema(qa.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    running = build(stream).writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", scratch_path(spark, "stream-state"))
+    running.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("s01_running_sample", O.with_qa(_rank_sql("qa", f"{O.u(42, 'pick', O.ID)}, entry_id", SAMPLE_N)))
+def s01_running_sample(spark, sf_dir):
+    got = _streamed(spark, sf_dir, lambda s: RUN.running_sample(s, SAMPLE_N), "update")
+    last = got.groupBy("dataset").agg(F.max("n_seen").alias("n_seen"))
+    return got.join(last, ["dataset", "n_seen"]).select("dataset", "entry_id")
+
+
+@register("s02_running_summary", O.with_qa(
+    f"SELECT dataset, 'EM' AS metric, round(sum({O.metric_exprs()['EM']}), 6) AS total, count(*) AS n FROM prep GROUP BY dataset "
+    f"UNION ALL SELECT dataset, 'F1' AS metric, round(sum({O.metric_exprs()['F1']}), 6) AS total, count(*) AS n FROM prep GROUP BY dataset", O.PREP_CTE))
+def s02_running_summary(spark, sf_dir):
+    got = _streamed(spark, sf_dir, lambda s: RUN.running_summary(s, ["em", "f1"]), "complete")
+    last = got.agg(F.max("epoch").alias("epoch"))
+    return got.join(F.broadcast(last), "epoch").select("dataset", "metric", r6(F.col("total")).alias("total"), "n")
