@@ -298,17 +298,23 @@ def sorted_runs(rows: DataFrame, n_chunks: int, bits: int, width: int, gram: int
     return with_repeats(rows, n_chunks, bits, keys, use, _CUT)
 
 
+#: Sampled keys (of some 200 bytes) from which the driver draws the borders, whatever the corpus.
+MOST_SAMPLES = 200_000
+
+
 def splitters(samples: list[tuple[int, list[bytes]]], parts: int, gram: int) -> tuple[list[bytes], set[bytes]]:
-    """Borders of ``parts`` ranges, and the grams cut by a border. A border is a gram's first key;
-    a gram that would take several borders keeps them as full keys and is cut."""
+    """Borders of at most ``parts`` ranges, and the grams cut by a border. A border is a gram's first
+    key; a gram that would take several different borders keeps them as full keys and is cut. A
+    sampled key that stands for more than a range is one border."""
     weighed = sorted((k, n / len(ks)) for n, ks in samples for k in ks)
     total = sum(w for _, w in weighed)
     chosen, run, want = [], 0.0, 1
     for k, w in weighed:
         run += w
-        while want < parts and run >= want * total / parts:
-            chosen.append(k)
-            want += 1
+        if want < parts and run >= want * total / parts:
+            want = int(run * parts / total) + 1
+            if not chosen or chosen[-1] != k:
+                chosen.append(k)
     of_gram: dict[bytes, list[bytes]] = {}
     for k in chosen:
         of_gram.setdefault(k[:gram], []).append(k)
@@ -324,10 +330,13 @@ def splitters(samples: list[tuple[int, list[bytes]]], parts: int, gram: int) ->
 def merged_removals(runs: DataFrame, width: int, gram: int, keys_per_part: int, least_parts: int) -> DataFrame:
     """(key, start, end) of what only the merge of all runs can decide."""
     spark = runs.sparkSession
-    heads = runs.where("run IS NOT NULL").select("n_keys", "sample").collect()  # bounded: `samples` keys a run
-    samples = [(r["n_keys"], [bytes(k) for k in r["sample"]]) for r in heads if r["sample"]]
-    total = sum(n for n, _ in samples)
-    borders, cut_grams = splitters(samples, parts_for(total, keys_per_part, least_parts), gram)
+    heads = runs.where("run IS NOT NULL").select("n_keys", "sample")
+    found = heads.agg(F.coalesce(F.sum("n_keys"), F.lit(0)).alias("keys"), F.coalesce(F.sum(F.size("sample")), F.lit(0)).alias("drawn")).first()
+    if found["drawn"] > MOST_SAMPLES:
+        heads = heads.sample(MOST_SAMPLES / found["drawn"], seed=17)
+    samples = [(r["n_keys"], [bytes(k) for k in r["sample"]]) for r in heads.collect() if r["sample"]]  # MOST_SAMPLES keys
+    parts = min(parts_for(found["keys"], keys_per_part, least_parts), max(1, sum(len(ks) for _, ks in samples)))
+    borders, cut_grams = splitters(samples, parts, gram)
     shared_borders = spark.sparkContext.broadcast((borders, cut_grams))  # a few keys a range
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

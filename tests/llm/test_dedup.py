@@ -105,6 +105,23 @@ def test_op2_cut_grams(spark, tiny_parts, monkeypatch):
     assert got == sorted(brute_dedup(in_order(rows)))
 
 
+def test_few_samples_and_many_ranges():
+    """A sampled key that stands for many ranges cuts no gram; one gram with many keys is cut."""
+    few = [(1000, [bytes([65 + i]) * 40 for i in range(16)])]
+    borders, cut = suffix_dedup.splitters(few, 100, 8)
+    assert not cut and borders == [bytes([65 + i]) * 8 for i in range(16)]
+    hot = [(1000, [b"g" * 8 + bytes([i]) * 30 for i in range(50)] + [b"a" * 38, b"z" * 38])]
+    borders, cut = suffix_dedup.splitters(hot, 10, 8)
+    assert cut == {b"g" * 8} and len(borders) >= 9 and borders == sorted(borders)
+
+
+@pytest.mark.parametrize("most", [3, 12])
+def test_op2_with_few_samples(spark, tiny_parts, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MOST_SAMPLES", most)
+    rows = passages(60)
+    assert dedup(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(brute_dedup(in_order(rows)))
+
+
 def test_op2_edges(edge_docs, empty_docs, tiny_parts):
     rows = in_order([(d, t) for d, t, _, _ in edge_rows()])
     assert dedup(edge_docs) == sorted(brute_dedup(rows))
