@@ -55,7 +55,7 @@ def test_trials_and_token_metrics_on_repeated_ids(spark):
     assert got == {("x", "x"): (1.0, 1.0), ("x", "y"): (0.0, 0.0), ("x", "z"): (0.0, 0.0), ("u v", "w w w"): (0.0, 0.0)}
 
 
-@pytest.mark.parametrize("n", [0, 3, 50])
+@pytest.mark.parametrize("n", [0, 3])
 def test_uniform_trials_are_the_sampler(half_named, n):
     rows = I.identified(half_named)
     drawn = S.uniform_trials(rows.repartition(5), n, ["42", "43"])
@@ -90,8 +90,7 @@ def test_running_numbers_and_sums(spark, parts):
             total += row[3]
 
 
-@pytest.mark.parametrize("allocation", ["proportional", "equal", "neyman"])
-@pytest.mark.parametrize("min_per", [0, 2])
+@pytest.mark.parametrize("allocation,min_per", [("proportional", 0), ("equal", 2), ("neyman", 0)])
 def test_allocation_over_ranges_is_that_of_windows(spark, monkeypatch, allocation, min_per):
     r = random.Random(min_per)
     rows = [(r.choice(["a", None]), str(i), f"t{min(r.randrange(40), r.randrange(40))}", float(r.randrange(9))) for i in range(500)]
@@ -138,7 +137,7 @@ def test_kcenter_equals_plain_greedy(spark, kind, monkeypatch):
         assert {row["entry_id"] for row in out.collect()} == set(map(str, want))
 
 
-@pytest.mark.parametrize("core", [1, 5, 40])
+@pytest.mark.parametrize("core", [1, 40])
 def test_core_set_gives_n_rows(spark, core):
     rows = [("a" if i % 2 else None, str(i % 30), [float(i % 5), float(i % 3), 1.0]) for i in range(60)]
     df = spark.createDataFrame(rows, "dataset string, entry_id string, embedding array<double>").repartition(4)
@@ -150,7 +149,7 @@ def test_long_vectors_are_normalised_in_linear_time(spark):
     assert S.run_sampler(df, "diversity_kcenter", {"n": 4})[0].count() == 4
 
 
-@pytest.mark.parametrize("k", [1, 3, 5])
+@pytest.mark.parametrize("k", [1, 4])
 def test_spread_kmeans_equals_one_task(spark, k, monkeypatch):
     r = np.random.default_rng(k)
     rows = []
@@ -160,15 +159,15 @@ def test_spread_kmeans_equals_one_task(spark, k, monkeypatch):
     ch = spark.createDataFrame(rows, "dataset string, entry_id string, chunk_id int, vec array<double>").repartition(6)
     one = sorted(map(repr, map(tuple, RT.kmeans_per_entry(ch, k).collect())))
     assert len(one) == len(rows)
-    for least, most in ((0, 4_000_000), (50, 4_000_000), (0, 30)):
+    for least, most in ((50, 4_000_000), (0, 30)):
         monkeypatch.setattr(RT, "MAX_CENTER_VALUES", most)
         assert sorted(map(repr, map(tuple, RT.kmeans_per_entry(ch, k, entry_chunks=least).collect()))) == one
 
 
-@pytest.mark.parametrize("block", [1, 7, 1000])
+@pytest.mark.parametrize("block", [7, 1000])
 def test_graph_in_blocks(spark, block):
     r = np.random.default_rng(block)
-    rows = [("d", e, i, r.integers(-2, 3, 4).astype(float).tolist()) for e, n in (("x", 1), ("y", 40), (None, 13)) for i in range(n)]
+    rows = [("d", e, i, (r.normal(size=4) * (i % 11 > 0)).tolist()) for e, n in (("x", 1), ("y", 40), (None, 13)) for i in range(n)]
     ch = spark.createDataFrame(rows, "dataset string, entry_id string, chunk_id int, vec array<double>").repartition(3)
     want, best = {}, {}
     for _, e, i, v in rows:
