@@ -29,7 +29,7 @@ def tfidf_postings(df: DataFrame, text: Column, part=("dataset",), ids=("entry_i
     part, ids = list(part), list(ids)
     toks = df.select(*part, *ids, sampler_tokens(text).alias("_t"))
     ex = toks.select(*part, *ids, F.greatest(F.size("_t"), F.lit(1)).alias("_L"), F.explode("_t").alias("term"))
-    tf = ex.groupBy(*part, *ids, "term").agg(F.count(F.lit(1)).alias("_c"), F.first("_L").alias("_L"))
+    tf = saved(ex.groupBy(*part, *ids, "term").agg(F.count(F.lit(1)).alias("_c"), F.first("_L").alias("_L")), "term-counts")  # read by what follows
     ndocs = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_N"))
     dfreq = tf.groupBy(*part, "term").agg(F.count(F.lit(1)).alias("_df"))
     idf = match(dfreq, ndocs, part).select(*part, "term", "_df", (F.log((F.col("_N") + 1.0) / (F.col("_df") + 1.0)) + 1.0).alias("_idf"))
