@@ -58,9 +58,10 @@ def identified(df: DataFrame, part=("dataset",), id_col: str = "entry_id") -> Da
     """``df`` with ``COPY``, so that (part..., id, COPY) is unique. Ids that do not repeat cost one
     aggregate of the ids; only rows of repeated ids are sorted and numbered."""
     keys = [*part, id_col]
-    again = saved(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys), "repeated-ids")
+    again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
     if again.isEmpty():
         return df.withColumn(COPY, F.lit(0).cast("bigint"))
+    again = saved(again, "repeated-ids")
     place = "_place"
     rows = saved(match(df, again, keys, "left_semi").withColumn(place, F.monotonically_increasing_id()), "repeated-rows")
     content = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
