@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import as_embedder, cosine
+from ..functions.vectors import as_embedder, cosine, rows_of
 from ..session import saved
 from .identity import match
 
@@ -38,13 +38,9 @@ EXCERPT_SEP = "\n\n"
 
 def chunk(df: DataFrame, text_col: str = "Context", chunk_size: int = 100, keys=IDS) -> DataFrame:
     """Consecutive fixed-size character chunks, no overlap; empty text -> no chunks."""
-    k = int(chunk_size)
     t = F.coalesce(F.col(text_col), F.lit(""))
-    n = F.length(t)
-    idx = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / k).cast("int"))).otherwise(F.array().cast("array<int>"))
-    # Build the chunk strings first, then explode them: the full text is not copied into
-    # every exploded row.
-    pieces = F.transform(idx, lambda i: F.substring(t, i * k + 1, k))
+    # One pass over the text; the full text is not copied into every exploded row.
+    pieces = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{int(chunk_size)}}}"), F.lit(0))
     return df.select(*keys, F.posexplode(pieces).alias("chunk_id", "text"))
 
 
@@ -337,16 +333,72 @@ def strongest_neighbours(chunks: DataFrame, threshold: float = 0.5, block: int =
     return top.select(*IDS, "chunk_id", "r.*")
 
 
+_REFINED = "dataset string, entry_id string, rank int, refined_id int, refined_text string"
+
+
 def refine_with_neighbours(top: DataFrame, chunks: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Each top node is replaced by its strongest graph neighbour (cosine > threshold,
-    ties -> lowest index), or kept when isolated. Joins the k top nodes with the entry's
-    chunks (k x chunks rows per entry), no all-pairs graph."""
-    t = top.select(*IDS, "rank", F.col("chunk_id").alias("node"), F.col("vec").alias("_tv"))
-    c = chunks.select(*IDS, F.col("chunk_id").alias("nb"), F.col("vec").alias("_nv"), F.col("text").alias("_nt"))
-    pairs = t.join(c, list(IDS)).where(F.col("nb") != F.col("node"))
-    pairs = pairs.withColumn("_w", cosine(F.col("_tv"), F.col("_nv"))).where(F.col("_w") > F.lit(float(threshold)))
-    best = pairs.groupBy(*IDS, "rank").agg(F.max_by(F.struct("nb", "_nt"), F.struct(F.col("_w"), -F.col("nb"))).alias("_b"))
-    out = top.join(best.select(*IDS, "rank", F.col("_b.nb").alias("refined_id"), F.col("_b._nt").alias("refined_text")), [*IDS, "rank"], "left")
+    ties -> lowest index), or kept when isolated. Top nodes and chunks of an entry meet in one sorted
+    stream, the nodes first: a task holds the k nodes of an entry and a batch of chunks, and makes
+    no rows of pairs."""
+    top = saved(top, "top-nodes")
+    columns = lambda df, rank, text: df.select(*IDS, rank.cast("int").alias("rank"), F.col("chunk_id").cast("int"), "vec", text.alias("text"))
+    keyed = chunks.where(F.col("dataset").isNotNull() & F.col("entry_id").isNotNull())
+    rows = columns(top, F.col("rank"), F.lit(None).cast("string")).unionByName(columns(keyed, F.lit(None), F.col("text")))
+    rows = rows.repartition(*IDS).sortWithinPartitions(*IDS, F.col("rank").asc_nulls_last(), "chunk_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for b in batches:
+            found: list[tuple] = []
+            keys, texts = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())), b.column("text")
+            ranks, ids, x = b.column("rank").to_pylist(), b.column("chunk_id").to_numpy(), rows_of(b.column("vec"))[0].T
+            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            for at, end in zip(starts, [*starts[1:], len(keys)]):
+                if now is None or keys[at] != now.key:
+                    found += now.refined() if now else []
+                    now = _Nodes(keys[at])
+                nodes = at
+                while nodes < end and ranks[nodes] is not None:
+                    nodes += 1
+                now.add(ranks[at:nodes], ids[at:nodes], x[at:nodes])
+                now.meet(ids[nodes:end], x[nodes:end], texts, nodes)
+            if found:
+                yield _refined_batch(found)
+        if now is not None:
+            yield _refined_batch(now.refined())
+
+    class _Nodes:
+        """The top nodes of one entry and the best neighbour of each so far."""
+
+        def __init__(self, key: tuple):
+            self.key, self.ranks, self.ids, self.x, self.best = key, [], [], None, []
+
+        def add(self, ranks, ids, x) -> None:
+            if len(ranks):
+                self.ranks += ranks
+                self.ids += ids.tolist()
+                self.x = x if self.x is None else np.vstack([self.x, x])
+                self.best += [(threshold, None, None)] * len(ranks)
+
+        def meet(self, ids, x, texts, at) -> None:
+            if not self.ranks or not len(ids):
+                return
+            sim = _cosines(self.x, x)
+            sim[np.array(self.ids)[:, None] == ids[None, :]] = -2.0
+            for r, j in enumerate(sim.argmax(axis=1).tolist()):
+                if sim[r, j] > self.best[r][0]:
+                    self.best[r] = (sim[r, j], int(ids[j]), texts[at + j].as_py())
+
+        def refined(self) -> list[tuple]:
+            return [(*self.key, rank, b[1], b[2]) for rank, b in zip(self.ranks, self.best) if b[1] is not None]
+
+    def _refined_batch(found: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in _REFINED.split(", ")])
+
+    best = rows.mapInArrow(run, _REFINED)
+    out = top.join(best, [*IDS, "rank"], "left")
     return out.withColumn("refined_id", F.coalesce("refined_id", "chunk_id")).withColumn("refined_text", F.coalesce("refined_text", "text"))
 
 
@@ -413,22 +465,22 @@ def generate(df: DataFrame, prompt_col: str = "prompt", factory: Callable[[], Ge
     """One answer per prompt: the generator is built once per task and fed ``batch`` prompts at a
     time. A NULL prompt is not sent and gets ''. A failing prompt yields NULL and the error text."""
     build = GENERATORS[factory] if isinstance(factory, str) else factory or extractive_generator
-    rest = [f for f in df.schema.fields if f.name not in (out_col, "GenerationError")]
-    schema = T.StructType([*rest, T.StructField(out_col, T.StringType()), T.StructField("GenerationError", T.StringType())])
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (out_col, "GenerationError")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.StructType([T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())]))
+    def answers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         gen = build()
         for b in batches:
-            prompts = b.column(prompt_col).to_pylist()
-            ask = [i for i, p in enumerate(prompts) if p is not None]
-            ans, err = [""] * len(prompts), [None] * len(prompts)
+            ans, err = [""] * len(b), [None] * len(b)
+            ask = [i for i, there in enumerate(b.is_valid().to_pylist()) if there]
             for at in range(0, len(ask), batch):
                 part = ask[at : at + batch]
-                for i, a, e in zip(part, *answers_for(gen, [prompts[i] for i in part])):
+                for i, a, e in zip(part, *answers_for(gen, b.take(pa.array(part)).to_pylist())):
                     ans[i], err[i] = a, e
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in rest], pa.array(ans, pa.string()), pa.array(err, pa.string())], names=schema.names)
+            yield pa.StructArray.from_arrays([pa.array(ans, pa.string()), pa.array(err, pa.string())], names=["answer", "error"])
 
-    return df.mapInArrow(run, schema)
+    answered = df.select(*rest, answers.asNondeterministic()(F.col(prompt_col)).alias("__generated"))  # a prompt is sent once
+    return answered.select(*rest, F.col("__generated.answer").alias(out_col), F.col("__generated.error").alias("GenerationError"))
 
 
 # ---- techniques ------------------------------------------------------------------------
@@ -463,19 +515,26 @@ def _graphrag_row(encode, question, context, chunk_size, top_k, edge_threshold)
     return out
 
 
+#: Rows whose texts are Python strings at a time.
+ROWS_AT_ONCE = 256
+
+
 def _excerpts_by_row(df: DataFrame, embedder, row_fn, **params) -> DataFrame:
-    """``df`` with ``RetrievedExcerpts``, computed where the row is; no excerpts without context."""
+    """``df`` with ``RetrievedExcerpts``, computed where the row is; no excerpts without context. Python
+    sees the two columns it reads, ``ROWS_AT_ONCE`` rows at a time."""
     factory = as_embedder(embedder).factory
-    schema = T.StructType([*[f for f in df.schema.fields if f.name != "RetrievedExcerpts"], T.StructField("RetrievedExcerpts", T.ArrayType(T.StringType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def excerpts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         encode = factory()
-        for b in batches:
-            rows = zip(b.column("Question").to_pylist(), b.column("Context").to_pylist())
-            got = [row_fn(encode, q, c, **params) if c else [] for q, c in rows]
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in schema.names[:-1]], pa.array(got, pa.list_(pa.string()))], names=schema.names)
+        for questions, contexts in batches:
+            parts = [pa.array([], pa.list_(pa.string()))]
+            for at in range(0, len(questions), ROWS_AT_ONCE):
+                rows = zip(*(c.slice(at, ROWS_AT_ONCE).to_pylist() for c in (questions, contexts)))
+                parts.append(pa.array([row_fn(encode, q, c, **params) if c else [] for q, c in rows], pa.list_(pa.string())))
+            yield pa.concat_arrays(parts)
 
-    return df.mapInArrow(run, schema)
+    return df.drop("RetrievedExcerpts").withColumn("RetrievedExcerpts", excerpts(F.col("Question"), F.col("Context")))
 
 
 def raptor_excerpts(df: DataFrame, chunk_size=100, num_clusters=5, top_k=3, embedder=None) -> DataFrame:
@@ -489,7 +548,7 @@ def raptor_excerpts(df: DataFrame, chunk_size=100, num_clusters=5, top_k=3, embe
 
 def graphrag_excerpts(df: DataFrame, chunk_size=100, top_k=3, edge_threshold=0.5, embedder=None) -> DataFrame:
     """(dataset, entry_id, rank, chunk_id, refined_id, text): GraphRAG from the operators above."""
-    ch = embed(chunk(df, "Context", chunk_size), "text", "vec", embedder).repartition(*IDS)
+    ch = saved(embed(chunk(df, "Context", chunk_size), "text", "vec", embedder), "chunk-vectors")  # read twice
     q = embed(df.select(*IDS, "Question"), "Question", "qvec", embedder).select(*IDS, "qvec")
     top = top_k_by_similarity(ch.join(q, list(IDS)), F.col("qvec"), F.col("vec"), top_k)
     ref = refine_with_neighbours(top, ch, edge_threshold)

@@ -973,9 +973,11 @@ _RANK_CTES = (
 )
 
 
-def _graph_top(spark, sf_dir, **view):
-    qa = qa_view(spark, sf_dir, labels=False, **view)
-    ch = RT.embed(RT.chunk(qa, "Context", 100), "text").repartition("dataset", "entry_id")
+def _graph_top(spark, sf_dir, twice=False):
+    """``twice``: the caller reads the chunks again."""
+    qa = qa_view(spark, sf_dir, labels=False)
+    ch = RT.embed(RT.chunk(qa, "Context", 100), "text")
+    ch = saved(ch, "chunk-vectors") if twice else ch.repartition("dataset", "entry_id")
     q = RT.embed(qa.select("dataset", "entry_id", "Question"), "Question", "qvec").select("dataset", "entry_id", "qvec")
     top = RT.top_k_by_similarity(ch.join(q, ["dataset", "entry_id"]), F.col("qvec"), F.col("vec"), 3)
     return qa, ch, top
@@ -989,7 +991,7 @@ def c08_node_ranking(spark, sf_dir):
 
 @register("c09_neighbour_refinement", O.with_qa("SELECT dataset, entry_id, CAST(rank AS INTEGER) AS rank, chunk_id, refined_id FROM ref", *_RANK_CTES))
 def c09_neighbour_refinement(spark, sf_dir):
-    _qa, ch, top = _graph_top(spark, sf_dir)
+    _qa, ch, top = _graph_top(spark, sf_dir, twice=True)
     return RT.refine_with_neighbours(top, ch, 0.5).select("dataset", "entry_id", "rank", "chunk_id", "refined_id")
 
 
@@ -1016,7 +1018,7 @@ def c12c_graphrag_shared_ids(spark, sf_dir):
 @register("c12d_graphrag_operators", _graph_prompt_sql())
 def c12d_graphrag_operators(spark, sf_dir):
     """Composed of the operators, as with an embedder that only maps columns."""
-    qa, ch, top = _graph_top(spark, sf_dir)
+    qa, ch, top = _graph_top(spark, sf_dir, twice=True)
     ref = RT.refine_with_neighbours(top, ch, 0.5)
     return RT.excerpts_prompt(qa, ref.select("dataset", "entry_id", "rank", F.col("refined_text").alias("text")), "text").select("dataset", "entry_id", "prompt")
 
