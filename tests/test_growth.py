@@ -93,3 +93,41 @@ def test_edit_distance_after_common_ends():
         head, tail = word(), word()
         assert AM.edit_distance(head + a + tail, head + b + tail) == plain(head + a + tail, head + b + tail)
     assert AM.edit_distance("ab" * 500_000 + "x", "ab" * 500_000 + "yz") == 2
+
+
+def test_matching_blocks_as_difflib(monkeypatch):
+    import difflib
+
+    from quarry.functions import matching_blocks as MB
+
+    rng = random.Random(11)
+    a, b = ["", "x", "", "ab" * 150], ["", "", "y", "ba" * 150]
+    for letters in ("ab", "abc ", "aaaaab", "the quick brown fox éß\U0001d11e\0"):
+        for n in (5, 40, 199, 200, 260, 600):
+            x = "".join(rng.choices(letters, k=n))
+            cut = rng.randrange(n)
+            a += [x, x, x, "aab" + x, x]
+            b += ["".join(rng.choices(letters, k=rng.randint(0, n))), x[cut:] + x[:cut], x[:cut] + "#" + x[cut + 1 :], "aac" + x[::-1], x]
+    want = [difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)]
+    assert MB.ratios(a, b) == want
+    monkeypatch.setattr(MB, "PAIRS_AT_ONCE", 300)  # many slices, and difflib for the large ones
+    monkeypatch.setattr(MB, "PAIRS_OF_ONE", 2000)
+    assert MB.ratios(a, b) == want
+
+
+def test_seqmatch_work_grows_with_the_text_not_with_its_blocks():
+    import difflib
+    import time
+
+    from quarry.functions.matching_blocks import ratios
+
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choices("etaoinshrdlucmfw", k=5)) for _ in range(350)) for _ in range(60)]
+
+    def cpu(f):
+        start = time.process_time()
+        f()
+        return time.process_time() - start
+
+    plain = cpu(lambda: [difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(texts[:10], texts[1:11])])
+    assert cpu(lambda: ratios(texts[:-1], texts[1:])) / 59 < plain / 10 / 2
