@@ -131,3 +131,58 @@ def test_seqmatch_work_grows_with_the_text_not_with_its_blocks():
 
     plain = cpu(lambda: [difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(texts[:10], texts[1:11])])
     assert cpu(lambda: ratios(texts[:-1], texts[1:])) / 59 < plain / 10 / 2
+
+
+def test_sentences_share_one_integer_as_if_alone(monkeypatch):
+    rng = random.Random(13)
+
+    def plain(r, c):
+        t = [[0] * (len(c) + 1) for _ in range(len(r) + 1)]
+        for i in range(1, len(r) + 1):
+            for j in range(1, len(c) + 1):
+                t[i][j] = t[i - 1][j - 1] + 1 if r[i - 1] == c[j - 1] else max(t[i - 1][j], t[i][j - 1])
+        got, i, j = set(), len(r), len(c)
+        while i and j:
+            if r[i - 1] == c[j - 1]:
+                got.add(i - 1)
+                i, j = i - 1, j - 1
+            elif t[i - 1][j] == t[i][j]:
+                i -= 1
+            else:
+                j -= 1
+        return got
+
+    for bits, rows in ((4096, 4 << 20), (20, 3)):
+        monkeypatch.setattr(AM, "LCS_BITS", bits)
+        monkeypatch.setattr(AM, "LCS_ROWS", rows)
+        for _ in range(150):
+            refs, others = ([[rng.choice("abcdefgh"[: rng.randint(2, 8)]) for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 5))] for _ in "xy")
+            others[0] = [rng.choice("abyz") for _ in others[0]]
+            want = [i in set().union(*(plain(r, c) for c in others)) for r in refs for i in range(len(r))]
+            assert AM._on_any_lcs(refs, others) == want
+
+
+def test_bag_scores_by_counters():
+    from collections import Counter
+
+    rng = random.Random(14)
+    for _ in range(200):
+        p, g = ([rng.choice("bcdef") for _ in range(rng.randint(0, 12))] for _ in "xy")
+        got = AM.bag_scores(set(AM.BAG_METRICS), p, g, {"b", "c"}, " ".join(p), " ".join(g))
+        grams = lambda s, n: Counter(zip(*(s[i:] for i in range(n))))
+        hits = [(grams(p, n) & grams(g, n)).total() for n in (1, 2, 3, 4)]
+        assert AM._shared_ngrams(*AM._numbered(p, g)[1:], 4) == hits if p and g else True
+        for n in (1, 2):
+            a, b = max(1, len(p) - n + 1), max(1, len(g) - n + 1)
+            assert got[f"rouge{n}"] == pytest.approx(2 * hits[n - 1] / (a + b) if p and g else 0.0)
+        if p and g:
+            assert got["jaccard"] == len({*p} & {*g}) / len({*p, *g})
+            assert got["coverage_recall"] == sum(t in "bc" for t in g) / len(g)
+            assert got["f1"] == pytest.approx(2 * hits[0] / (len(p) + len(g)))
+
+
+def test_words_of_any_alphabet():
+    texts = ["", "The, a É-é x_9!", "a the ß\U0001d11e", "İI \ud800 an"]
+    plain = lambda s: [t for t in s.lower().translate(str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")).split() if t not in ("a", "an", "the")]
+    assert [AM.norm_words(t) for t in texts] == [plain(t) for t in texts]
+    assert AM._rouge_tok("É-9aBİxß_z") == ["9abi", "x", "z"]
