@@ -115,17 +115,15 @@ def unit_rows(df: DataFrame, p: dict, seed, part) -> DataFrame:
     rows = df.select(*key, emb.alias("_emb"), field(df, p.get("text_field", "question")).alias("_text"), row_u(seed, "shuffle").alias("u0"), row_u(seed, "first").alias("u1"))
     dense = saved(rows.groupBy(*part).agg(F.bool_and(F.coalesce(embedding_valid(F.col("_emb")), F.lit(False))).alias("_dense")), "kcenter-dense")
     rows = match(rows, dense, part)
-    if dense.where(~F.col("_dense")).isEmpty():
-        rows = rows.withColumn("_sp", F.lit(None).cast("array<struct<i:bigint,v:double>>"))
-    else:
-        post = tfidf_postings(rows.where(~F.col("_dense")), F.col("_text"), part, ("entry_id", COPY))
-        pairs = post.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("i"), F.col("w").alias("v")))).alias("_sp"))
-        rows = match(rows, pairs, key, "left")
-    empty = F.array().cast("array<struct<i:bigint,v:double>>")
+    out = _dense_units(rows.where("_dense"), key)
+    if not dense.where(~F.col("_dense")).isEmpty():
+        out = out.unionByName(_tfidf_units(rows.where(~F.col("_dense")), part, key))
+    return out
+
+
+def _dense_units(rows: DataFrame, key: list[str]) -> DataFrame:
     from_dense = F.transform("_emb", lambda x, i: F.struct(i.cast("bigint").alias("i"), x.alias("v")))
-    vec = F.when(F.col("_dense"), F.filter(from_dense, lambda x: x["v"] != 0)).otherwise(F.coalesce("_sp", empty))
-    note = F.when(F.col("_dense"), F.lit("used provided embeddings")).otherwise(F.lit("used TF-IDF fallback"))
-    rows = rows.select(*key, "u0", "u1", note.alias("note"), vec.alias("_v"))
+    rows = rows.select(*key, "u0", "u1", F.lit("used provided embeddings").alias("note"), F.filter(from_dense, lambda x: x["v"] != 0).alias("_v"))
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x["v"] * x["v"]))
     # the norm is bound once a row, as an element: inside the inner lambda it would be summed again for
     # every value
@@ -133,6 +131,103 @@ def unit_rows(df: DataFrame, p: dict, seed, part) -> DataFrame:
     return rows.select(*key, "u0", "u1", "note", F.col("_v.i").alias("idx"), val.alias("val"))
 
 
+#: Terms whose idf a task looks up: 32 MB. Beyond, those of the fewest rows are joined.
+MAX_IDF_TERMS = 2_000_000
+
+
+def _tfidf_units(rows: DataFrame, part: list[str], key: list[str]) -> DataFrame:
+    """Unit rows of ``tfidf_postings``, a row's terms kept together: they are counted in its row, and
+    weighted there by the idf of the terms that most rows have. Only postings of the other terms are
+    dealt by term, and what they weigh is brought back to their rows."""
+    rows = rows.select(*key, "u0", "u1", F.lit("used TF-IDF fallback").alias("note"), sampler_tokens(F.col("_text")).alias("_t"))
+    rows = rows.select(*key, "u0", "u1", "note", F.greatest(F.size("_t"), F.lit(1)).alias("_L"), _term_counts(F.col("_t")).alias("_c"))
+    in_part = [x for c in part for x in (F.col(c), F.col(c).isNull())]  # the hash passes over a NULL
+    hashes = F.transform("_c.term", lambda t: F.xxhash64(t))
+    rows = saved(rows.select(*key, "u0", "u1", "note", "_L", hashes.alias("_i"), F.col("_c.n").alias("_n")), "term-counts")
+    rows = rows.withColumn("_k", F.transform("_i", lambda i: F.xxhash64(*in_part, i)))
+    n_rows = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_N"))
+    dfreq = rows.select(*part, F.explode("_k").alias("_k")).groupBy(*part, "_k").agg(F.count(F.lit(1)).alias("_df"))
+    idf = (F.log((F.col("_N") + 1.0) / (F.col("_df") + 1.0)) + 1.0).alias("_idf")
+    table = saved(match(dfreq, n_rows, part).select("_k", "_df", idf), "idf")
+    size = F.floor(F.log2("_df")).alias("size")
+    least, held = None, 0
+    for r in table.groupBy(size).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size")).collect():  # a row a power of two
+        held += r["n"]
+        if held > MAX_IDF_TERMS:
+            break
+        least = r["size"]
+    seen = table.where(size >= least) if least is not None else table.limit(0)
+    seen = seen.select("_k", "_idf").toArrow()
+    at = np.argsort(seen["_k"].to_numpy())
+    shared = rows.sparkSession.sparkContext.broadcast((seen["_k"].to_numpy()[at], seen["_idf"].to_numpy()[at]))
+    names = [*key, "u0", "u1", "note"]
+    kept = [rows.schema[c] for c in names]
+    more: list[Column] = []
+    dealt = held > MAX_IDF_TERMS
+    if dealt:
+        lack = T.StructType([*[rows.schema[c] for c in key], T.StructField("_k", T.LongType())])
+
+        def others(batches):
+            for b in batches:
+                k = b.column("_k")
+                row, flat = _row_of(k), k.flatten()
+                out = np.flatnonzero(np.isnan(_looked_up(*shared.value, flat.to_numpy())))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row[out])) for c in key), flat.take(pa.array(out))], names=lack.names)
+
+        rare = rows.select(*key, "_k").mapInArrow(others, lack)
+        rest = table if least is None else table.where(size < least)
+        rare = match(rare, rest.select("_k", "_idf"), ["_k"]).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_k", "_idf"))).alias("_more"))
+        rows = match(rows, rare, key, "left")
+        more = [F.col("_more._k").alias("_mk"), F.col("_more._idf").alias("_mi")]
+    schema = T.StructType([*kept, T.StructField("idx", T.ArrayType(T.LongType())), T.StructField("val", T.ArrayType(T.DoubleType()))])
+
+    def weigh(batches):
+        for b in batches:
+            i, k, row = b.column("_i").flatten().to_numpy(), b.column("_k").flatten().to_numpy(), _row_of(b.column("_k"))
+            idf = _looked_up(*shared.value, k)
+            if dealt:
+                mk, mi = b.column("_mk"), b.column("_mi")
+                lacking = np.flatnonzero(np.isnan(idf))
+                lacking = lacking[np.lexsort((k[lacking], row[lacking]))]  # the order of _more
+                assert (mk.flatten().to_numpy() == k[lacking]).all()
+                idf[lacking] = mi.flatten().to_numpy()
+            v = b.column("_n").flatten().to_numpy() / b.column("_L").to_numpy()[row] * idf
+            order = np.lexsort((v, i, row))
+            i, v = i[order], v[order]
+            # summed from the first to the last
+            norm = np.sqrt(np.bincount(row, v * v, b.num_rows))
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (i, v / norm[row])]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *lists], names=schema.names)
+
+    return rows.select(*names, "_L", "_i", "_n", "_k", *more).mapInArrow(weigh, schema)
+
+
+@F.arrow_udf(T.StructType([T.StructField("term", T.ArrayType(T.StringType())), T.StructField("n", T.ArrayType(T.IntegerType()))]))
+def _term_counts(tokens: pa.Array) -> pa.Array:
+    """The distinct tokens of each row and how often it has them."""
+    coded = tokens.flatten().dictionary_encode()
+    terms = coded.dictionary
+    row, code = _row_of(tokens), coded.indices.to_numpy().astype(np.int64)
+    pairs, n = np.unique(row * (len(terms) + 1) + code, return_counts=True)
+    row, code = np.divmod(pairs, len(terms) + 1)
+    ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(tokens)))]), pa.int32())
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, x) for x in (terms.take(pa.array(code)), pa.array(n, pa.int32()))], names=["term", "n"])
+
+
+def _row_of(lists: pa.Array) -> np.ndarray:
+    """The row of each value."""
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy().astype(np.int64))
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, NaN where ``keys`` (ascending) lacks it."""
+    if not len(keys):
+        return np.full(len(wanted), np.nan)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], np.nan)
+
+
 class _Rows:
     """Sparse unit vectors of a batch, end to end; a plain matrix where all have the same indices."""
 
@@ -185,21 +280,21 @@ def _nearer(state: DataFrame, part: list[str], fresh: dict[tuple, list[Center]])
     def run(batches):
         for b in batches:
             keys, of = _keys(b, part)
-            rows = _Rows(b.column("idx"), b.column("val"))
-            near, keep = b.column("near").to_numpy().copy(), np.zeros(b.num_rows, bool)
-            ids, copies = b.column("entry_id"), b.column(COPY).to_numpy()
             for k, key in enumerate(keys):
-                if key not in shared.value:
-                    continue
-                mine = of == k
-                keep |= mine
-                for entry, copy, ci, cv in shared.value[key]:
-                    near[mine] = np.maximum(near, rows.similarity((ci, cv)))[mine]
-                    hit = pc.equal(ids, entry) if entry is not None else pc.is_null(ids)
-                    keep &= ~(mine & (copies == copy) & hit.fill_null(False).to_numpy(zero_copy_only=False))
-            md = np.round(np.maximum(0.0, 1.0 - near), DISTANCE_DIGITS)
-            columns = [pa.array(near) if n == "near" else pa.array(md) if n == "md" else b.column(n) for n in schema.names]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep))
+                if key in shared.value:  # its rows meet its own centers
+                    yield nearer(b.filter(pa.array(of == k)) if len(keys) > 1 else b, shared.value[key])
+
+    def nearer(b: pa.RecordBatch, centers: list[Center]) -> pa.RecordBatch:
+        rows = _Rows(b.column("idx"), b.column("val"))
+        near, keep = b.column("near").to_numpy().copy(), np.ones(b.num_rows, bool)
+        ids, copies = b.column("entry_id"), b.column(COPY).to_numpy()
+        for entry, copy, ci, cv in centers:
+            near = np.maximum(near, rows.similarity((ci, cv)))
+            hit = pc.equal(ids, entry) if entry is not None else pc.is_null(ids)
+            keep &= ~((copies == copy) & hit.fill_null(False).to_numpy(zero_copy_only=False))
+        md = np.round(np.maximum(0.0, 1.0 - near), DISTANCE_DIGITS)
+        columns = [pa.array(near) if n == "near" else pa.array(md) if n == "md" else b.column(n) for n in schema.names]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep))
 
     return state.mapInArrow(run, schema)
 

@@ -186,3 +186,23 @@ def test_words_of_any_alphabet():
     plain = lambda s: [t for t in s.lower().translate(str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")).split() if t not in ("a", "an", "the")]
     assert [AM.norm_words(t) for t in texts] == [plain(t) for t in texts]
     assert AM._rouge_tok("É-9aBİxß_z") == ["9abi", "x", "z"]
+
+
+@pytest.mark.parametrize("held", [2_000_000, 4, 0])
+def test_tfidf_unit_rows_equal_postings(spark, monkeypatch, held):
+    from quarry.operators import vectors as V
+    from quarry.operators.identity import identified, match
+
+    rng = random.Random(15)
+    rows = [(rng.choice(["d", "e", None]), str(i // 2), " ".join(rng.choices(["One", "two,", "deux-trois", "É", "x" + str(i)], k=rng.randint(0, 9)))) for i in range(40)]
+    df = identified(spark.createDataFrame([*rows, ("d", None, None), ("d", "z", "...")], "dataset string, entry_id string, question string"))
+    monkeypatch.setattr(V, "MAX_IDF_TERMS", held)
+    got = V.unit_rows(df, {}, 42, ["dataset"])
+    if held > 100:  # no posting is dealt by its term
+        assert not [x for x in _plan(got).splitlines() if "Exchange hashpartitioning" in x and ("_k#" in x or "term#" in x)]
+    key = ["dataset", "entry_id", V.COPY]
+    post = V.tfidf_postings(df, F.col("question"), ("dataset",), key[1:])
+    want = match(post, V.norms(post, ("dataset",), key[1:]), key).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("i"), (F.col("w") / F.col("norm")).alias("v")))).alias("v"))
+    want = {tuple(r[c] for c in key): [(x.i, pytest.approx(x.v, rel=1e-12)) for x in r.v] for r in want.collect()}
+    found = {tuple(r[c] for c in key): [*zip(r.idx, r.val)] for r in got.collect()}
+    assert len(found) == 42 and {k: v for k, v in found.items() if v} == want
